@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op1_jaccard_join
 from .packing import op4_best_fit_packing
 from .token_counts import op7_token_counts
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_token_counts": op7_token_counts,
     "op10_warc": op10_warc,
