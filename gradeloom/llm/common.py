@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _DIR = "spark.checkpoint.dir"
 
@@ -88,23 +87,31 @@ def crc_fold(doc_id, mod: int) -> int:
 
 
 class Cache(dict):
-    """A dict that fills itself by ``make`` and starts anew beyond ``most`` entries or ``size`` key units."""
+    """A dict that fills itself by ``make``; beyond ``most`` entries or ``size`` key units only those used since it was last full stay."""
 
     def __init__(self, make, most: int = 400_000, size: int = 40_000_000):
         super().__init__()
-        self.make, self.most, self.size, self.used = make, most, size, 0
+        self.make, self.most, self.size, self.used, self.old = make, most, size, 0, {}
 
     def __missing__(self, key):
         if len(self) >= self.most or self.used > self.size:
+            self.old = dict(self)
             self.clear()
             self.used = 0
         self.used += len(key)
-        out = self[key] = self.make(key)
+        out = self.old.get(key)
+        out = self[key] = self.make(key) if out is None else out
         return out
 
 
-def with_schema(df: DataFrame, drop: tuple[str, ...], *add: T.StructField) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name not in drop and f.name not in {a.name for a in add}] + list(add))
+_HELD: dict = {}
+
+
+def held(make, *args):
+    """``make(*args)``, made once in each Python worker: later tasks find its caches filled."""
+    if (make, args) not in _HELD:
+        _HELD[make, args] = make(*args)
+    return _HELD[make, args]
 
 
 def quiet_workers() -> None:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontamination
 from .jaccard_join import op1_jaccard_join
 from .packing import op4_best_fit_packing
+from .sharding import op6_balanced_sharding
 from .token_counts import op7_token_counts
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_balanced_sharding": op6_balanced_sharding,
     "op7_token_counts": op7_token_counts,
+    "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL = {"op10_warc": OP10_SQL}
