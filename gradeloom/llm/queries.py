@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontamination
 from .jaccard_join import op1_jaccard_join
+from .minhash import op8_fingerprints
 from .packing import op4_best_fit_packing
 from .sharding import op6_balanced_sharding
 from .token_counts import op7_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_balanced_sharding": op6_balanced_sharding,
     "op7_token_counts": op7_token_counts,
+    "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
