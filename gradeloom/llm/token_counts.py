@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, table, tokenizer_path
+from .common import Cache, held, table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -32,7 +32,7 @@ MARK = "▁"
 class PrefixCounter:
     """Token counts of every prefix of a text, for a sentencepiece BPE model with byte fallback."""
 
-    def __init__(self, model_file: str, most: int = 400_000):
+    def __init__(self, model_file: str, most: int = 1_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -40,8 +40,11 @@ class PrefixCounter:
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not any(f(i) for f in skip)}
         if any(MARK in p[1:] and p.strip(MARK) for p in self.scores):
             raise ValueError("this vocabulary has tokens that cross the start of a word")
-        self.longest = max(map(len, self.scores))
-        self.valid = Cache(lambda t: self._merge(t) == [t], most)
+        #: by last character, the lengths of tokens that are their own encoding
+        self.tokens = {t for t in self.scores if len(t) > 1 and self._merge(t) == [t]}
+        self.lengths: dict[str, list[int]] = {}
+        for c, n in sorted({(t[-1], len(t)) for t in self.tokens}):
+            self.lengths.setdefault(c, []).append(n)
         self.follows = Cache(lambda ab: self._merge(ab[0] + ab[1]) == [*ab], most)
         self.words = Cache(self._deltas, most)
 
@@ -61,17 +64,22 @@ class PrefixCounter:
 
     def word_counts(self, word: str) -> list[int]:
         """Counts at the prefixes of a word (its marks included), from length 0 on."""
-        counts, last = [0], [""]
+        counts, last, tokens, follows = [0], [""], self.tokens, self.follows
         for i in range(1, len(word) + 1):
-            for n in range(1, min(self.longest, i) + 1):
+            end = word[i - 1]
+            for n in self.lengths.get(end, ()):
+                if n > i:
+                    token = end
+                    break
                 token = word[i - n : i]
-                if n > 1 and (token not in self.scores or not self.valid[token]):
-                    continue
-                if i == n or self.follows[last[i - n], token]:
+                if token in tokens and (i == n or follows[last[i - n], token]):
                     break
             else:
-                raise AssertionError(f"no token ends at {i}")
-            counts.append(counts[i - n] + (1 if n > 1 or token in self.scores else len(token.encode())))
+                token = end
+            if token is end:  # one character, of one token if it is known and of its bytes otherwise
+                counts.append(counts[i - 1] + (1 if end in self.scores else len(end.encode())))
+            else:
+                counts.append(counts[i - n] + 1)
             last.append(token)
         return counts
 
@@ -131,7 +139,7 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     def run(it: Iterator):
         import pyarrow as pa
 
-        counter = PrefixCounter(path)
+        counter = held(PrefixCounter, path)
         for b in it:
             n_bytes, n_tokens, tables = [], [], []
             for t in b.column(text).to_pylist():
