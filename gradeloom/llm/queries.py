@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontamination
 from .jaccard_join import op1_jaccard_join
+from .language_id import op2_language_id
 from .minhash import op8_fingerprints
 from .packing import op4_best_fit_packing
+from .pii import op3_pii
 from .sharding import op6_balanced_sharding
 from .token_counts import op7_token_counts
+from .toxicity import op5_toxicity
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_language_id": op2_language_id,
+    "op3_pii": op3_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_balanced_sharding": op6_balanced_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_fingerprints": op8_fingerprints,
