@@ -1,0 +1 @@
+"""Native column expressions."""

@@ -1,0 +1 @@
+"""Plans: whole runs, and the queries over the driver's tables."""

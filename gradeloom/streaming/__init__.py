@@ -1,0 +1 @@
+"""Incremental scoring as a stream."""
