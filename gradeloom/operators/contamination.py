@@ -38,27 +38,25 @@ def report(flagged: DataFrame, subset: str = "subset") -> DataFrame:
     return out.select(F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(subset)).alias(subset), "n", "verbatim", F.round(100.0 * F.col("verbatim") / F.col("n"), 1).alias("verbatim_pct"), "near_duplicate")
 
 
-def containment(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item: str, words: int = 8) -> DataFrame:
+def containment(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item: str) -> DataFrame:
     """(text_id, item_id) of items that occur verbatim inside a text.
 
-    An item of ``words`` words or more can only occur where its first full words do, so texts' shingles are
-    joined with one key for each item, and only the pairs that meet are compared. Shorter items meet by
-    their first whole word. Items without an inner word would meet everything and are compared by a
-    broadcast join, of which the item side is bounded by ``words``.
+    All but the first and last word of an item are whole words of a text that contains it, so an item is
+    only compared with texts that have its rarest inner word (by the number of texts). Items without an
+    inner word are compared with all texts, each a substring search in a broadcast of at most 100,000 of them.
     """
     split = lambda c: F.split(c, r"\s+")
-    own = items.select(F.col(item_id), F.col(item).alias("_item")).where(F.col("_item").isNotNull() & (F.col("_item") != ""))
-    # the first and last word of an item may be parts of longer words in the text
-    inner = F.slice(split(F.col("_item")), F.lit(2), F.greatest(F.size(split(F.col("_item"))) - 2, F.lit(0)))
-    own = own.withColumn("_inner", inner).withColumn("_n", F.least(F.size("_inner"), F.lit(words)))
-    sizes = sorted(r[0] for r in own.where("_n > 0").select("_n").distinct().collect())  # at most ``words`` values
-    hits = None
-    w = split(F.col(text))
-    for n in sizes:
-        keys = own.where(F.col("_n") == n).select(item_id, "_item", F.xxhash64(F.slice("_inner", F.lit(1), F.lit(n))).alias("_key"))
-        grams = texts.select(text_id, text, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i, n=n: F.xxhash64(F.slice(w, i, F.lit(n)))))).alias("_key"))
-        met = grams.join(keys, "_key").where(F.contains(F.col(text), F.col("_item"))).select(text_id, item_id)
-        hits = met if hits is None else hits.union(met)
-    short = own.where("_n = 0").select(item_id, "_item")
-    met = texts.select(text_id, text).join(short, F.contains(F.col(text), F.col("_item"))).select(text_id, item_id)
-    return (met if hits is None else hits.union(met)).distinct()
+    own = items.select(F.col(item_id), F.col(item).alias("_item")).where("_item IS NOT NULL AND _item <> ''")
+    inner = own.withColumn("_inner", F.slice(split(F.col("_item")), F.lit(2), F.greatest(F.size(split(F.col("_item"))) - 2, F.lit(0))))
+    words = inner.select(item_id, F.explode(F.array_distinct("_inner")).alias("_word"))
+    met = texts.select(text_id, F.explode(F.array_distinct(split(F.col(text)))).alias("_word")).join(words.select("_word").distinct(), "_word", "left_semi")
+    df = met.groupBy("_word").agg(F.count("*").alias("_df"))
+    keys = words.join(df, "_word").groupBy(item_id).agg(F.min_by("_word", F.struct("_df", "_word")).alias("_word"))
+    pairs = met.join(keys, "_word").select(text_id, item_id).distinct()
+    hits = pairs.join(own, item_id).join(texts.select(text_id, text), text_id).where(F.contains(F.col(text), F.col("_item"))).select(text_id, item_id)
+    short = inner.where(F.size("_inner") == 0).select(item_id, "_item")
+    if (n := short.limit(100_001).count()) > 100_000:
+        raise ValueError("more than 100,000 items have no inner word; give them in parts")
+    if n:
+        hits = hits.union(texts.select(text_id, text).join(F.broadcast(short), F.contains(F.col(text), F.col("_item"))).select(text_id, item_id))
+    return hits.distinct()

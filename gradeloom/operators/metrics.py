@@ -81,7 +81,7 @@ def similarity_bins(treatment: DataFrame, baseline: DataFrame, traces: DataFrame
     sims = traces.select("uid", F.explode("reference_similarities").alias("s")).groupBy("uid").agg(F.avg("s").alias("similarity"))
     hit = lambda df, name: df.select("uid", (F.col("predicted_label") == F.col("gold_label")).cast("double").alias(name))
     scored = sims.join(hit(treatment, "t"), "uid").join(hit(baseline, "b"), "uid")
-    place = scored.select("*", F.row_number().over(Window.orderBy("similarity", "uid")).alias("place"), F.count("*").over(Window.partitionBy()).alias("n_all"))
+    place = scored.select("*", F.row_number().over(Window.orderBy(F.round("similarity", 9), "uid")).alias("place"), F.count("*").over(Window.partitionBy()).alias("n_all"))
     place = place.withColumn("_fits", F.when(F.col("n_all") < bins, F.raise_error(F.concat(F.lit("only "), F.col("n_all").cast("string"), F.lit(" solutions carry similarities")))).otherwise(True))
     edge = lambda i: F.bround(F.lit(i) * F.col("n_all") / bins)
     own = F.lit(bins)

@@ -83,12 +83,13 @@ def all_similarities(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return queries.join(F.broadcast(pool)).select("query_id", "item_id", dot("q_vec", "p_vec").alias("similarity"), *[c for c in (*queries.columns, *pool.columns) if c not in ("query_id", "item_id", "q_vec", "p_vec")])
 
 
-def guard_walk(ranked: DataFrame, k: int, threshold: float = 0.95, query: str = "query_id", order: tuple = (F.desc("similarity"), F.col("item_id"))) -> DataFrame:
+def guard_walk(ranked: DataFrame, k: int, threshold: float = 0.95, query: str = "query_id", order: tuple | None = None) -> DataFrame:
     """Candidates that a walk in rank order visits until it has kept ``k``, each with its ``verdict``.
 
     Verdicts: ``duplicate`` (``is_duplicate``, checked first), ``similar`` (similarity at or above the
     threshold) or ``kept``. Rows after the k-th kept one are not visited and not returned.
     """
+    order = order or (F.desc("similarity"), F.col("item_id"))
     verdict = F.when(F.col("is_duplicate"), "duplicate").when(F.col("similarity") >= threshold, "similar").otherwise("kept")
     before = Window.partitionBy(query).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     walked = ranked.withColumn("verdict", verdict)
