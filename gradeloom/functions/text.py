@@ -48,7 +48,7 @@ def previous_steps(turn, separator: str = "\n\n") -> Column:
     turn = _c(turn)
     at = F.locate(STEP_MARKER, turn)
     parts = F.split(F.substr(turn, F.lit(1), at - 1), F.lit("\\Q" + separator + "\\E"))
-    return F.when(at > 0, F.filter(F.transform(parts, strip), lambda s: s != ""))
+    return F.when(at > 0, F.filter(F.transform(parts, lambda s: strip(s)), lambda s: s != ""))
 
 
 def current_step(turn) -> Column:
