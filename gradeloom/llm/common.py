@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -51,11 +52,13 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that no later step reads."""
+        """Delete tables that no later step reads; shuffle files of plans that are gone go with them."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+        gc.collect()
+        jvm.System.gc()  # else the cleaner waits until the driver's heap fills up
 
 
 def tokenizer_path(name: str, path: str | None = None) -> str:

@@ -21,7 +21,7 @@ class Shingler:
         import xxhash
 
         self.np, self.k = np, k
-        self.words = Cache(xxhash.xxh3_64_intdigest)
+        self.words = Cache(xxhash.xxh3_64_intdigest, 200_000)
         self.powers = [np.uint64(pow(_MUL, j, 1 << 64)) for j in range(k, 0, -1)]
 
     def _mix(self, h):
