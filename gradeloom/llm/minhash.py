@@ -9,12 +9,12 @@ with probability C = 2**-BITS, so likeness is (share of equal bins - C) / (1 - C
 The fingerprint of a text without words is that of no shingle: it is the empty string, alike to itself
 (1) and to nothing else (0).
 
-For edited texts each document needs the one that follows in ascending order of ids. Documents are dealt
-out by ranges of (doc_id, text), sorted within each range; a task goes through its range with one
-document of look-ahead. What needs the range after it (the last document) is handed over through a small
-table with one row for each range.
+For edited texts each document needs the one that follows in ascending order of ids. Ids are cut into
+ranges (from quantiles); the first document of each range is found by its id and added to the range
+before it. Then one shuffle by range and a sort inside the tasks let each task go through its ranges
+with one document of look-ahead.
 
-Defined cases: null texts are empty; null doc_ids come first in the order; rows that repeat a doc_id
+Defined cases: null texts are empty; null doc_ids come last in the order; rows that repeat a doc_id
 follow in the order of their texts; a single document is followed by itself; other columns are not read.
 """
 
@@ -25,7 +25,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, table
+from .common import held, table
 from .shingles import Shingler
 
 BINS = 512
@@ -52,13 +52,18 @@ class MinHasher:
         if not len(hashes):
             return np.zeros(0, np.uint8)
         at = (hashes >> self.shift).astype(np.int64)
-        full, first = np.unique(at, return_index=True)  # sorted hashes: the first of each bin is its least
-        # the bits above the lowest few hundred of a bin's range are skewed towards 0 in a minimum; the low ones are even
-        low = (hashes[first] & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
+        new = np.empty(len(at), bool)
+        new[0] = True
+        np.not_equal(at[1:], at[:-1], out=new[1:])
+        full = at[new]  # the hashes are sorted: the first of each bin is its least
+        # the high bits of a minimum are skewed towards 0, the low ones are even
+        low = (hashes[new] & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
         values = np.zeros(self.bins, np.uint8)
         values[full] = low
         if len(full) < self.bins:
-            empty = np.setdiff1d(np.arange(self.bins), full, assume_unique=True)
+            empty = np.ones(self.bins, bool)
+            empty[full] = False
+            empty = np.flatnonzero(empty)
             values[empty] = low[self.ranks[np.ix_(empty, full)].argmin(axis=1)]
         return values
 
@@ -105,63 +110,53 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFram
     return docs.withColumn("fingerprint", sign("text"))
 
 
-def fingerprint_with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFrame:
-    """Fingerprints of each text of ``docs(doc_id, text)`` and its edited text, and their likeness."""
+def fingerprint_with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS, range_rows: int = 5_000) -> DataFrame:
+    """Fingerprints of each text of ``docs(doc_id, text)`` and its edited text, and their likeness.
+
+    ``range_rows``: about how many documents a range of ids has.
+    """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-
-    def run(it):
-        import pyarrow as pa
-        from pyspark import TaskContext
+    ranges = max(1, docs.count() // range_rows)
+    # a number for each range
+    cuts = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
 
-        hasher, part = held(MinHasher, bins, bits), TaskContext.get().partitionId()
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    @F.pandas_udf("int")
+    def range_of(ids):
+        import numpy as np
 
-        def batch(rows, edges):
-            m, e = len(rows), len(edges)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            left = [pa.array([*c, *([None] * e)], t) for c, t in zip(cols, kinds, strict=True)]
-            pad = [None] * m
-            right = [pa.array([*pad, *(x[k] for x in edges)], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.int64(), pa.string()))]
-            return pa.RecordBatch.from_arrays([*left, *right], names=[*names, "part", "head", "edge_id", "edge_text"])
+        out = np.searchsorted(cuts, ids.to_numpy(float, na_value=np.inf), side="right")
+        return ids.__class__(np.where(ids.isna(), len(cuts) + 1, out))
+
+    dealt = docs.withColumn("range", range_of("doc_id"))
+    firsts = docs.select("doc_id").withColumn("range", range_of("doc_id")).groupBy("range").agg(F.min("doc_id").alias("doc_id")).orderBy("range").collect()
+    if not firsts:
+        return spark.createDataFrame([], _OUT)
+    before = [(firsts[k - 1]["range"] if k else firsts[-1]["range"], r["doc_id"]) for k, r in enumerate(firsts)]
+    # one row for each range, of 12 bytes: a size that the number of ranges bounds
+    heads = spark.createDataFrame(before, "to int, head long")
+    first_text = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("to").agg(F.min("text").alias("text"))
+    rows = dealt.select("range", F.lit(0).alias("ahead"), "doc_id", "text").union(first_text.select(F.col("to").alias("range"), F.lit(1), F.lit(None).cast("long"), "text"))
+    rows = rows.repartition(F.col("range")).sortWithinPartitions("range", "ahead", F.asc_nulls_last("doc_id"), "text")
+    names = [x.split()[0] for x in _OUT.split(", ")]
 
-        last = None
-        for b in it:
-            rows, edges = [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = hasher.signature(text.encode())
-                if last is None:
-                    edges.append((part, True, doc, text))
-                else:
-                    rows.append(_row(hasher, *last, text, own))
-                last = doc, text, own
-            yield batch(rows, edges)
-        if last is not None:
-            yield batch([], [(part, False, last[0], last[1])])
-
-    made = scratch.save(ranged.mapInArrow(run, f"{_OUT}, part int, head boolean, edge_id long, edge_text string"), "ranges")
-    edges = made.where("part is not null").select("part", "head", "edge_id", "edge_text")
-    parts = sorted(r[0] for r in edges.where("head").select("part").collect())  # a number for each range
-    after = {p: parts[(k + 1) % len(parts)] for k, p in enumerate(parts)}
-    follows = spark.createDataFrame([(p, q) for p, q in after.items()] or [(-1, -1)], "part int, next int")
-    tails = edges.where("not head").join(follows, "part").select("edge_id", "edge_text", "next")
-    heads = edges.where("head").select(F.col("part").alias("next"), F.col("edge_text").alias("next_text"))
-
-    def close(it):
+    def run(it):
         import pyarrow as pa
 
         hasher = held(MinHasher, bins, bits)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        last = None
         for b in it:
-            rows = [_row(hasher, doc, text, hasher.signature(text.encode()), following, hasher.signature(following.encode())) for doc, text, following in zip(*(b.column(c).to_pylist() for c in ("edge_id", "edge_text", "next_text")), strict=True)]
-            if rows:
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            out = []
+            for ahead, doc, text in zip(*(b.column(c).to_pylist() for c in ("ahead", "doc_id", "text")), strict=True):
+                own = hasher.signature(text.encode())
+                if last is not None:
+                    out.append(_row(hasher, *last, text, own))
+                last = None if ahead else (doc, text, own)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    closed = tails.join(heads, "next").select("edge_id", "edge_text", "next_text").mapInArrow(close, _OUT)
-    return made.where("part is null").select(*closed.columns).union(closed)
+    return rows.select("ahead", "doc_id", "text").mapInArrow(run, _OUT)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
