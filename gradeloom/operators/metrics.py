@@ -123,6 +123,13 @@ def arm_table(scores: DataFrame, arm: str = "arm", anchor: float = 69.5) -> Data
     return scores.groupBy(arm).agg((100 * F.avg("f1")).alias("average_f1")).withColumn("gap", F.col("average_f1") - anchor)
 
 
+def comparable_scores(scores: DataFrame, arm: str = "arm", subset: str = "subset", ranks: dict[str, int] | None = None) -> DataFrame:
+    """What a chart of arms shows: F1 by arm and subset, only of subsets whose F1 is defined in every arm."""
+    arms = scores.select(arm).distinct().count()
+    defined = scores.groupBy(subset).agg(F.count("f1").alias("_n")).where(F.col("_n") == arms)
+    return scores.join(defined, subset, "left_semi").select(arm, subset, severity(subset, ranks).alias("ood_rank"), "f1")
+
+
 def pivot_metrics(profiles: DataFrame, arm: str, arms: list[str], metrics: list[str]) -> DataFrame:
     """A row for each metric, a column for each arm."""
     long = profiles.unpivot([arm], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value")

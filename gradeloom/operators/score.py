@@ -19,6 +19,25 @@ def register_grader(name: str, make: Callable[[], Callable[[str, list[str], str,
     _GRADERS[name] = make
 
 
+def two_stage(stage1: Callable[..., list[tuple[float, float]]], stage2: Callable[..., tuple[float, float]]) -> Callable:
+    """A grader from a model's logits: ``(yes, no)`` at each mask of the first stage, then at the correctness mask.
+
+    A step that the first stage flags gets no score and costs no second pass; otherwise the score is the
+    softmax over both logits of the second stage, which sees the first one's verdicts.
+    """
+
+    def score(question: str, prev_steps: list[str], step: str, references: list) -> tuple[bool, bool, float | None]:
+        import math
+
+        math_ok, consistency_ok = (yes >= no for yes, no in stage1(question, prev_steps, step, references))
+        if not (math_ok and consistency_ok):
+            return math_ok, consistency_ok, None
+        yes, no = stage2(question, prev_steps, step, references, [math_ok, consistency_ok])
+        return True, True, 1 / (1 + math.exp(min(700.0, no - yes)))
+
+    return score
+
+
 def score_mock(steps: DataFrame, threshold: float = 0.5, seed: int = 17, prefix: str = "", check_prompts: bool = True, **style) -> DataFrame:
     """Trace columns for ``steps(uid, subset, gold_label, question, prev_steps, step, step_index, references)``.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import question_id
+from ..operators import contamination as guard
 from ..operators.contrast import compare
 from ..operators.encode import apply_projection, build_index, encode
 from ..operators.metrics import macro_average, score_subsets
@@ -13,6 +14,7 @@ from ..operators.retrieve import retrieve_steps, topk_by_cosine
 from ..operators.score import score_with
 from ..operators.sequences import explode_steps, predictions
 from ..sources import runs
+from ..sources.config import save as save_config
 
 
 def with_references(steps: DataFrame, pool: DataFrame, config: dict) -> DataFrame:
@@ -66,6 +68,7 @@ def run_evaluation(spark: SparkSession, solutions: DataFrame, config: dict, fold
     done = runs.read_predictions(spark, folder).join(wanted, ["uid", "subset"], "left_semi")
     scores = score_subsets(done)
     metrics = {"subsets": [r.asDict() for r in scores.collect()], **macro_average(scores).first().asDict()}
+    save_config(config, f"{folder}/config.resolved.json")
     runs.write_json(metrics, f"{folder}/metrics.json")
     runs.write_json({"config": config, "environment": runs.environment(config["prm"]["backend"]), "n_solutions": done.count(), **metrics}, f"{folder}/summary.json")
     return metrics
@@ -80,3 +83,51 @@ def compare_runs(spark: SparkSession, run_a: str, run_b: str, out: str, contamin
         clean = compare(a, b, runs.read_excluded(spark, contamination), seed, "contaminated solutions removed", (run_a, run_b))
         runs.write_report(clean, out, "uncontaminated-")
     return result
+
+
+def check_contamination(spark: SparkSession, solutions: DataFrame, pool: DataFrame, config: dict, out: str, near: bool = True) -> dict:
+    """Which problems the pool holds, verbatim and (with ``near``) by similarity; written as the report that exclusions are read from."""
+    threshold, name = config["retrieval"]["max_question_similarity"], config["retrieval"]["encoder_name"]
+    similar = None
+    if near:
+        questions, _, meta = build_index(pool, name, config["retrieval"]["pca_components"] or 0, config["retrieval"]["pca_whiten"])
+        similar = guard.nearest(apply_projection(encode(solutions.select("uid", "problem"), "problem", name), meta["projection"]), questions)
+    flagged = guard.flags(solutions.select("uid", "subset"), guard.verbatim(solutions, pool), similar, threshold).cache()
+    try:
+        rows = [r.asDict() for r in guard.report(flagged).collect()]
+        # the problems of one benchmark, of which the flagged ones are listed in the report
+        named = {r["uid"]: {k: r[k] for k in ("subset", "verbatim", "near_duplicate", "max_similarity")} for r in flagged.where("flagged").orderBy("uid").toLocalIterator()}
+    finally:
+        flagged.unpersist()
+    n = pool.agg(F.count("*"), F.count_distinct("qid")).first()
+    report = {"pool_items": n[0], "pool_unique_questions": n[1], "max_question_similarity": threshold, "per_subset": [r for r in rows if r["subset"] != "TOTAL"], "flagged_uids": named, "n_flagged": len(named), "total": next(r for r in rows if r["subset"] == "TOTAL")}
+    runs.write_json(report, out)
+    return report
+
+
+def write_pool_stats(pool: DataFrame, path: str) -> dict:
+    """n_items, n_unique_questions and counts by error type and source, from one pass."""
+    from ..operators.metrics import pool_stats
+
+    out: dict = {"n_items": 0, "n_unique_questions": 0, "error_types": {}, "sources": {}}
+    for r in pool_stats(pool).collect():
+        if r["error_type"] is not None:
+            out["error_types"][r["error_type"]] = r["n_items"]
+        elif r["source"] is not None:
+            out["sources"][r["source"]] = r["n_items"]
+        else:
+            out |= {"n_items": r["n_items"], "n_unique_questions": r["n_questions"]}
+    runs.write_json(out, path)
+    return out
+
+
+def smoke(spark: SparkSession, solutions: DataFrame, pool: DataFrame, folder: str) -> dict:
+    """Three conditions end to end with the deterministic scorer: none, retrieved and random references."""
+    from ..sources.config import resolve
+
+    base = {"prm": {"backend": "mock"}, "retrieval": {"encoder_name": "hashing", "pca_components": 16}}
+    arms = {"a": {"retrieval.enabled": False}, "b": {}, "c": {"retrieval.reference_mode": "random"}}
+    metrics = {x: run_evaluation(spark, solutions, resolve(base, over), f"{folder}/{x}", pool) for x, over in arms.items()}
+    for x, y in (("a", "b"), ("a", "c"), ("c", "b")):
+        compare_runs(spark, f"{folder}/{x}", f"{folder}/{y}", f"{folder}/{x}-vs-{y}")
+    return metrics

@@ -131,3 +131,51 @@ def test_parity(spark):
     assert check_parity(spark, a, settings(**both))["problems"] == ["prm.seed: A=17 B=3"]
     assert check_parity(spark, a, settings(**both), ("prm.seed",))["ok"]
     assert not check_parity(spark, a, settings(**{"data.limit_per_subset": 3, "retrieval.enabled": True}), ("data.limit_per_subset",))["ok"]
+
+
+def test_contamination_excludes(spark, folder, items, tmp_path):
+    from gradeloom.plans.evaluation import check_contamination, write_pool_stats
+
+    solutions = benchmark.load_benchmark(spark, folder, ("gsm8k", "math"))
+    report = check_contamination(spark, solutions, items, settings(), str(tmp_path / "contamination.json"))
+    want = {r["uid"] for r in solutions.collect() if int(r["problem"].split()[2]) % 5 == int(r["problem"].split()[2]) % 7}
+    assert {u for u, x in report["flagged_uids"].items() if x["verbatim"]} == want and want
+    assert {r["uid"] for r in runs.read_excluded(spark, str(tmp_path / "contamination.json")).collect()} >= want
+    stats = write_pool_stats(items, str(tmp_path / "pool.stats.json"))
+    assert stats["n_items"] == 30 and stats["sources"] == {"x": 30} and sum(stats["error_types"].values()) == 30
+
+
+def test_smoke_and_command_line(spark, folder, items, tmp_path, capsys):
+    from gradeloom.__main__ import main
+    from gradeloom.plans.evaluation import smoke
+
+    solutions = benchmark.load_benchmark(spark, folder, ("gsm8k", "math"))
+    metrics = smoke(spark, solutions, items, str(tmp_path / "smoke"))
+    assert set(metrics) == {"a", "b", "c"} and (tmp_path / "smoke" / "a-vs-b" / "comparison.json").exists()
+    config.save(settings(), tmp_path / "x.json")
+    config.save(settings(**{"retrieval.enabled": True}), tmp_path / "y.json")
+    assert main(["check-parity", str(tmp_path / "x.json"), str(tmp_path / "y.json")]) == 0
+    assert main(["check-parity", str(tmp_path / "x.json"), str(tmp_path / "x.json")]) == 1
+    assert main(["compare-runs", str(tmp_path / "smoke" / "a"), str(tmp_path / "smoke" / "c"), "--out", str(tmp_path / "o")]) == 0
+    assert "Whole experiment" in capsys.readouterr().out
+
+
+def test_two_stage_grader_skips_its_second_pass():
+    from gradeloom.operators.score import two_stage
+
+    calls = []
+    grade = two_stage(lambda q, p, s, r: [(1.0, 0.0), (0.0, 1.0) if s == "bad" else (2.0, 0.0)], lambda *a: calls.append(a) or (0.0, 0.0))
+    assert grade("q", [], "bad", []) == (True, False, None) and not calls
+    assert grade("q", [], "ok", []) == (True, True, 0.5) and len(calls) == 1
+
+
+def test_registered_grader_stops_early(spark, folder):
+    from gradeloom.operators.score import register_grader, score_with
+    from gradeloom.operators.sequences import explode_steps, predictions
+
+    register_grader("second", lambda: lambda q, p, s, r: (len(p) != 1, True, 0.9))
+    rows = explode_steps(benchmark.load_benchmark(spark, folder, ("gsm8k",))).selectExpr("uid", "subset", "label AS gold_label", "problem AS question", "prev_steps", "step", "step_index")
+    out = score_with(rows, "second")
+    assert out.groupBy("uid").count().where("count <> 2").isEmpty() and predictions(out).where("predicted_label <> 1").isEmpty()
+    with pytest.raises(ValueError, match="unknown grader"):
+        score_with(rows, "none")
