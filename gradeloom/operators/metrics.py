@@ -75,13 +75,17 @@ def pool_stats(pool: DataFrame) -> DataFrame:
 def similarity_bins(treatment: DataFrame, baseline: DataFrame, traces: DataFrame, bins: int = 3) -> DataFrame:
     """Accuracies of both arms by equal-frequency bins of mean reference similarity; an error below ``bins`` solutions.
 
-    Bin edges are i * n / bins, halves to even, which differs from ``ntile``. The global rank is over one
-    row per solution.
+    Bin edges are i * n / bins, halves to even, which differs from ``ntile``; similarities are compared to
+    nine decimals, ties in order of uid.
     """
     sims = traces.select("uid", F.explode("reference_similarities").alias("s")).groupBy("uid").agg(F.avg("s").alias("similarity"))
     hit = lambda df, name: df.select("uid", (F.col("predicted_label") == F.col("gold_label")).cast("double").alias(name))
     scored = sims.join(hit(treatment, "t"), "uid").join(hit(baseline, "b"), "uid")
-    place = scored.select("*", F.row_number().over(Window.orderBy(F.round("similarity", 9), "uid")).alias("place"), F.count("*").over(Window.partitionBy()).alias("n_all"))
+    scored = scored.withColumns({"similarity": F.round("similarity", 9), "_slot": F.floor(F.round("similarity", 9) * 10_000)})
+    # ranks inside slots of similarity, shifted by the sizes of lower slots (at most 20,001 rows): no global sort
+    lower = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = scored.groupBy("_slot").agg(F.count("*").alias("_n")).select("_slot", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower"), F.sum("_n").over(Window.partitionBy()).alias("n_all"))
+    place = scored.join(slots, "_slot").withColumn("place", F.col("_lower") + F.row_number().over(Window.partitionBy("_slot").orderBy("similarity", "uid")))
     place = place.withColumn("_fits", F.when(F.col("n_all") < bins, F.raise_error(F.concat(F.lit("only "), F.col("n_all").cast("string"), F.lit(" solutions carry similarities")))).otherwise(True))
     edge = lambda i: F.bround(F.lit(i) * F.col("n_all") / bins)
     own = F.lit(bins)
