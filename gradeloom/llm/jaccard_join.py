@@ -31,8 +31,9 @@ from .common import Scratch, held, table, text_bytes
 from .components import components
 from .shingles import Shingler
 
-#: bits of a shingle's hash that candidates are found by; verification takes all 64
-KEY_BITS = 48
+#: bits of a shingle's hash that candidates are found by, for inputs of up to 64 GB and beyond: so many that
+#: about a hundredth of the shingles at most meet another one by chance. Verification takes all 64.
+KEY_BITS = (40, 48)
 CHUNK_SHINGLES = 1_000_000
 CHUNK_DOCS = 30_000
 #: from so many documents of a chunk on, a shingle travels as one entry with a count
@@ -48,6 +49,10 @@ def _part_bits(docs: DataFrame, part_bytes: int = 4 << 20) -> int:
     return min(20, max(6, (size // part_bytes).bit_length()))
 
 
+def _key_bits(part_bits: int) -> int:
+    return KEY_BITS[part_bits > 14]
+
+
 def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
     """A row for each document (part is null) and one for each block of a chunk.
 
@@ -55,6 +60,10 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
     shingles with the documents that have them.
     """
 
+    key_bits = _key_bits(part_bits)
+    low = key_bits - 32
+    low_type = f"u{low // 8}"
+
     def run(it):
         import pickle
 
@@ -86,14 +95,14 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
             if hot.any():
                 rows.append((chunk, -1, None, None, None, None, pickle.dumps((hot_keys, hot_counts, idx[~cold]), protocol=5)))
             keys, idx = keys[cold], idx[cold]
-            edges = (np.arange((1 << part_bits) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - part_bits)).astype(np.uint64)
+            edges = (np.arange((1 << part_bits) + 1, dtype=np.uint64) << np.uint64(key_bits - part_bits)).astype(np.uint64)
             at, at_hot = np.searchsorted(keys, edges), np.searchsorted(hot_keys, edges)
             for p in range(1 << part_bits):
                 a, b, c, d = at[p], at[p + 1], at_hot[p], at_hot[p + 1]
                 if b > a or d > c:
-                    step = np.diff((keys[a:b] >> np.uint64(16)).astype(np.uint32), prepend=np.uint32(int(edges[p]) >> 16))
+                    step = np.diff((keys[a:b] >> np.uint64(low)).astype(np.uint32), prepend=np.uint32(int(edges[p]) >> low))
                     step = step.astype(np.uint16) if not len(step) or step.max() < 65536 else step
-                    rows.append((chunk, p, None, None, None, None, pickle.dumps((step, keys[a:b].astype(np.uint16), idx[a:b], hot_keys[c:d], hot_counts[c:d]), protocol=5)))
+                    rows.append((chunk, p, None, None, None, None, pickle.dumps((step, keys[a:b].astype(low_type), idx[a:b], hot_keys[c:d], hot_counts[c:d]), protocol=5)))
             for r in range(0, len(rows), 256):
                 yield batch(rows[r : r + 256])
 
@@ -101,7 +110,7 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
             for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
                 s = shingler.set(t)
                 docs_.append((d, xxhash.xxh3_128_digest(s.tobytes()), len(s)))
-                keys_.append(np.unique(s >> np.uint64(64 - KEY_BITS)))
+                keys_.append(np.unique(s >> np.uint64(64 - key_bits)))
                 size += len(s)
                 if size >= CHUNK_SHINGLES or len(docs_) >= CHUNK_DOCS:
                     yield from flush()
@@ -115,19 +124,22 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
 def _repeated(blocks: DataFrame, part_bits: int) -> DataFrame:
     """For each chunk, its entries whose shingle occurs in more documents, with the number of documents."""
 
+    key_bits = _key_bits(part_bits)
+    low_bits = key_bits - 32
+
     def run(key, rows):
         import pickle
 
         import numpy as np
         import pyarrow as pa
 
-        start = key[0].as_py() << (KEY_BITS - part_bits - 16)
+        start = key[0].as_py() << (key_bits - part_bits - low_bits)
         chunks, keys, idx, weights = [], [], [], []
         own = rows.column("chunk").to_pylist()
         for i, data in enumerate(rows.column("data").to_pylist()):
             step, low, docs_, hot_keys, hot_counts = pickle.loads(data)
             high = np.cumsum(step.astype(np.uint64)) + np.uint64(start)
-            keys += [(high << np.uint64(16)) | low, hot_keys]
+            keys += [(high << np.uint64(low_bits)) | low, hot_keys]
             idx += [docs_, np.full(len(hot_keys), 65535, np.uint16)]
             weights += [np.ones(len(low), np.uint32), hot_counts]
             chunks.append(np.full(len(low) + len(hot_keys), i, np.int64))
