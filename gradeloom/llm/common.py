@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import os
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,26 +110,23 @@ _HELD: dict = {}
 
 
 def held(make, *args):
-    """``make(*args)``, made once in each Python worker: later tasks find its caches filled."""
+    """``make(*args)``, made once in each Python worker: later tasks of the same operator find its caches filled.
+
+    A worker holds one such object, so that the caches of earlier operators don't add up.
+    """
     if (make, args) not in _HELD:
+        _HELD.clear()
         _HELD[make, args] = make(*args)
     return _HELD[make, args]
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in slices of so many rows, which bounds what a task makes Python objects of at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def quiet_workers() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
-
-
-def batches(rows: Iterator, schema, size: int = 20_000):
-    """Arrow record batches of ``schema`` from tuples."""
-    import pyarrow as pa
-
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)

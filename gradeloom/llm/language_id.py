@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_id, held, table
+from .common import fold_id, held, sliced, table
 
 DIMENSIONS = 8192
 CLUSTERS = 4
@@ -84,7 +84,7 @@ def _statistics(learnable: DataFrame, dimensions: int):
         import pyarrow as pa
 
         grams, df, langs = held(Grams, dimensions), np.zeros(dimensions, np.int64), {}
-        for b in it:
+        for b in sliced(it):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 c = grams.counts(text or "")
                 if c is not None:
@@ -165,7 +165,7 @@ def learn(learnable: DataFrame, sample: int = SAMPLE, most: int = MOST, clusters
         import pyarrow as pa
 
         grams = held(Grams, dimensions)
-        for b in it:
+        for b in sliced(it):
             rows = [(lang, c) for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if (c := grams.counts(text or "")) is not None]
             if rows:
                 at = [np.flatnonzero(c) for _, c in rows]
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: Centroids, keep: list[str], text: str = "te
         import pyarrow as pa
 
         grams = held(Grams, dimensions)
-        for b in it:
+        for b in sliced(it):
             found = [tables.value.predict(grams.counts(t or "")) for t in b.column(text).to_pylist()]
             cols = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=[*keep, "lang_pred", "score", "similarity", "rejected"])

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, Scratch, held, quiet_workers, table, tokenizer_path
+from .common import Cache, Scratch, held, quiet_workers, sliced, table, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -44,7 +44,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.array = np.array
-        self.words = Cache(self._encode, 1_000_000)
+        self.words = Cache(self._encode, 300_000)
 
     def _encode(self, word: str) -> bytes:
         return self.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, nearly_f
         import numpy as np
 
         encoder, end = held(WordEncoder, path), np.array([separator], "<u4").tobytes()
-        for b in it:
+        for b in sliced(it):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = encoder.ids(text or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):

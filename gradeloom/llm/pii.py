@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.5
@@ -200,7 +200,7 @@ def learn(docs: DataFrame, text: str = "text") -> dict[str, list[float]]:
         import pyarrow as pa
 
         seen: Counter = Counter()
-        for b in it:
+        for b in sliced(it):
             for t in b.column(text).to_pylist():
                 for kind, _, _, _, votes, features in candidates(t or ""):
                     seen[kind, votes, features] += 1
@@ -242,7 +242,7 @@ def find_pii(docs: DataFrame, model: dict[str, list[float]], keep: list[str], te
     def run(it):
         import pyarrow as pa
 
-        for b in it:
+        for b in sliced(it):
             found = [spans(t or "", model) for t in b.column(text).to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             hashes = pa.array([hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in found], pa.string())

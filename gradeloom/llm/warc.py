@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, sliced, table
 
 LEAST = 100
 MAGIC = b"\x1f\x8b\x08"
@@ -107,7 +107,7 @@ def write_warc(pages: DataFrame, scratch: Scratch, least: int = LEAST, archive_b
         files, path = _filesystem(base)
         files.create_dir(path)
         done, out, size = [], None, 0
-        for b in it:
+        for b in sliced(it, 200):
             for page_id, url, payload, digest, n, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "n", "first_id")), strict=True):
                 revisit = first is not None and first != page_id
                 deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
