@@ -23,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_bytes
+from .common import Scratch, sliced, table, text_bytes
 
 WIDTH = 13
 SEGMENT_TOKENS = 4_000_000
@@ -82,7 +82,7 @@ def build_index(docs: DataFrame, phrases, gap: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["segment", "term", "df", "positions", "docs"])
 
         size = 0
-        for b in it:
+        for b in sliced(it):
             for i, t in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
                 own = words(t)
                 held.append((i, np.array([get(w, -1) for w in own], np.int32)))
@@ -253,6 +253,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 13 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 11), lambda j: array_to_string(w[j:j + 12], ' ')) END) AS x, least(len(w), 13) AS n FROM b WHERE len(w) > 0),
+n AS (SELECT DISTINCT n FROM i),
+g AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS k, unnest(list_transform(range(1, len(w) - n + 2), lambda j: array_to_string(w[j:j + n - 1], ' '))) AS x FROM d, n WHERE len(w) >= n),
+m AS (SELECT g.doc_id, g.k, g.n, i.item_id FROM g JOIN i ON g.x = i.x AND g.n = i.n),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], width: int = WIDTH) -> list[tuple]:
     """The contract's rows by trying each window at each place; for tests."""
     out = []

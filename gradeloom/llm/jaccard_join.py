@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, table, text_bytes
+from .common import Scratch, held, sliced, table, text_bytes
 from .components import components
 from .shingles import Shingler
 
@@ -106,7 +106,7 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
             for r in range(0, len(rows), 256):
                 yield batch(rows[r : r + 256])
 
-        for b in it:
+        for b in sliced(it):
             for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
                 s = shingler.set(t)
                 docs_.append((d, xxhash.xxh3_128_digest(s.tobytes()), len(s)))
@@ -218,7 +218,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
 
         shingler = held(Shingler, k)
-        for b in it:
+        for b in sliced(it):
             sets = [shingler.set(t).tobytes() for t in text_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
@@ -248,7 +248,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
         import numpy as np
         import pyarrow as pa
 
-        for b in it:
+        for b in sliced(it):
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_())) if ok else b.select(["a", "b"])
 
@@ -329,3 +329,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT p.a, p.b FROM p JOIN g x ON x.doc_id = p.a JOIN g y ON y.doc_id = p.b WHERE 100 * o >= 80 * (len(x.s) + len(y.s) - o)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, t.b FROM r JOIN t ON r.m = t.a)
+SELECT g.doc_id, CAST(len(any_value(g.s)) AS BIGINT) AS n_shingles, min(m) AS component_id FROM g JOIN r ON r.doc_id = g.doc_id GROUP BY g.doc_id
+"""

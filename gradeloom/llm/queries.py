@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .decontaminate import op9_decontamination
-from .jaccard_join import op1_jaccard_join
+from .decontaminate import OP9_SQL, op9_decontamination
+from .jaccard_join import OP1_SQL, op1_jaccard_join
 from .language_id import op2_language_id
 from .minhash import op8_fingerprints
 from .packing import op4_best_fit_packing
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL = {"op10_warc": OP10_SQL}
+ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op9_decontamination": OP9_SQL, "op10_warc": OP10_SQL}
