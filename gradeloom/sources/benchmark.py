@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def read_subset(spark: SparkSession, folder: str, subset: str, array: bool = Fal
         raw = spark.read.option("multiLine", True).schema(_RAW).json(path)
     else:
         lines = spark.read.text(path).where(F.trim("value") != "")
-        found = spark.read.json(lines.limit(1).select("value").rdd.map(lambda r: r[0])).columns if not lines.isEmpty() else [*REQUIRED]
+        first = lines.first()
+        found = [*json.loads(first[0])] if first else [*REQUIRED]
         raw = lines.select(F.from_json("value", _RAW).alias("r")).select("r.*")
     if missing := [c for c in REQUIRED if c not in found]:
         raise KeyError(f"{path} lacks {missing}; it has {sorted(found)}")
