@@ -162,3 +162,10 @@ def test_pipeline_stages_take_odd_rows(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     kept = corpus_pipeline.jaccard_join(spark, docs, sf_dir)
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["10", "20", "7", "8", "9", "None", "None"]
+
+
+def test_sql_gives_the_same_rows(spark, sf_dir, duck):
+    from gradeloom.llm.queries import ORACLE_SQL, QUERIES
+
+    for name in ("op1_jaccard_join", "op9_decontamination"):
+        same_rows(QUERIES[name](spark, sf_dir), duck.sql(ORACLE_SQL[name]))
