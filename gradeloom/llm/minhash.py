@@ -25,10 +25,11 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, table
+from .common import held, sliced, table
 from .shingles import Shingler
 
 BINS = 512
+MOST_RANGES = 20_000
 BITS = 4
 
 
@@ -44,6 +45,7 @@ class MinHasher:
         rng = np.random.Generator(np.random.PCG64(seed))
         #: ranks[i, j]: when bin i, if it is empty, draws bin j
         self.ranks = np.stack([rng.permutation(bins) for _ in range(bins)]).astype(np.uint16)
+        self.draws = self.ranks.argsort(axis=1)[:, :8].copy()  # the first bins that each bin draws
 
     def signature(self, text: bytes):
         """The stored bits of all bins as small integers; none if the text has no word."""
@@ -61,10 +63,18 @@ class MinHasher:
         values = np.zeros(self.bins, np.uint8)
         values[full] = low
         if len(full) < self.bins:
-            empty = np.ones(self.bins, bool)
-            empty[full] = False
-            empty = np.flatnonzero(empty)
-            values[empty] = low[self.ranks[np.ix_(empty, full)].argmin(axis=1)]
+            has = np.zeros(self.bins, bool)
+            has[full] = True
+            empty = np.flatnonzero(~has)
+            if 4 * len(full) > self.bins:  # most find one within their first draws
+                draws = self.draws[empty]
+                hit = has[draws]
+                first = hit.argmax(axis=1)
+                found = hit[np.arange(len(empty)), first]
+                values[empty[found]] = values[draws[found, first[found]]]
+                empty = empty[~found]
+            if len(empty):
+                values[empty] = low[self.ranks[np.ix_(empty, full)].argmin(axis=1)]
         return values
 
     def pack(self, signature) -> str:
@@ -113,11 +123,12 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFram
 def fingerprint_with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS, range_rows: int = 5_000) -> DataFrame:
     """Fingerprints of each text of ``docs(doc_id, text)`` and its edited text, and their likeness.
 
-    ``range_rows``: about how many documents a range of ids has.
+    ``range_rows``: about how many documents a range of ids has; there are at most ``MOST_RANGES``, which
+    bounds the cuts and first ids that the driver holds.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = max(1, docs.count() // range_rows)
+    ranges = min(MOST_RANGES, max(1, docs.count() // range_rows))
     # a number for each range
     cuts = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
 
@@ -146,7 +157,7 @@ def fingerprint_with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS,
         hasher = held(MinHasher, bins, bits)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         last = None
-        for b in it:
+        for b in sliced(it):
             out = []
             for ahead, doc, text in zip(*(b.column(c).to_pylist() for c in ("ahead", "doc_id", "text")), strict=True):
                 own = hasher.signature(text.encode())
