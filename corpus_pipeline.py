@@ -59,7 +59,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences: a row for each piece."""
-    return pack(docs)
+    return pack(docs, word_cache=300_000)  # its workers also hold what the stages before have left
 
 
 STAGES = [

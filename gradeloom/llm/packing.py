@@ -22,6 +22,8 @@ from .common import Cache, Scratch, held, quiet_workers, sliced, table, tokenize
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
+#: words that a worker keeps encoded, up to twice as many: a bound of its memory, which changes no result
+WORD_CACHE = 1_000_000
 _MEMBER = [("doc", "<i8"), ("known", "u1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")]
 _BIN = "bin long, fill int, final boolean, members binary"
 _BLOCK_BYTES = 128 << 20
@@ -35,7 +37,7 @@ class WordEncoder:
     of its words, one after the other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = WORD_CACHE):
         quiet_workers()
         import numpy as np
         from tokenizers import Tokenizer
@@ -44,7 +46,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.array = np.array
-        self.words = Cache(self._encode, 300_000)
+        self.words = Cache(self._encode, most)
 
     def _encode(self, word: str) -> bytes:
         return self.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -114,7 +116,7 @@ def _left(bins: DataFrame) -> tuple[int, int]:
     return tuple(bins.where("not final").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("members")), F.lit(0))).first())
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, nearly_full: float = 0.998, block: int = 100_000, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, nearly_full: float = 0.998, block: int = 100_000, vocabulary: str | None = None, word_cache: int = WORD_CACHE) -> DataFrame:
     """Pack the texts of ``docs(doc_id, text)``; one row per piece with its sequence and offset.
 
     ``block`` bounds the items that one task packs at once, ``nearly_full`` the share of the capacity
@@ -126,7 +128,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, nearly_f
     def pieces(it):
         import numpy as np
 
-        encoder, end = held(WordEncoder, path), np.array([separator], "<u4").tobytes()
+        encoder, end = held(WordEncoder, path, word_cache), np.array([separator], "<u4").tobytes()
         for b in sliced(it):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = encoder.ids(text or "") + end
