@@ -1,23 +1,30 @@
 """Operator 5: toxicity by two class-conditional Kneser-Ney models.
 
-Words are runs of word characters in lower case. The model of a class gives a word after another
+Words are runs of word characters in lower case. Both classes share a backoff, the model of all counts
 
-    p_c(w | v) = (1 - l(v)) * max(r_c C_c(v w) - d, 0) / M_c(v) + l(v) * p_c(w)
-    p_c(w)     = (1 - g)    * max(r_c N_c(. w) - d, 0) / M_c    + g    * p(w)
-    p(w)       ~ N(. w)
+    p(w)       = (max(N(. w) - d, 0) + d * some / words) / N
+    p(w | v)   = (max(C(v w) - d, 0) + d * N(v .) * p(w)) / C(v .)
 
-with C_c the number of documents that have a pair (repeating a line is no further evidence), N_c(. w) the
-number of different words before w in the class (Kneser-Ney continuation counts) and N(. w) that over
-both classes. r_c scales both classes to the same number of
-tokens, and the discount d leaves expressions that are rare in both classes to the shared counts, so
-only what one class has clearly more often speaks for it. A document's value is the difference of its
+with C the number of documents that have a pair (repeating a line is no further evidence), N(. w) and N(v .)
+the numbers of different words before and after (Kneser-Ney continuation counts) and discounts d = n1 / (n1 + 2 n2),
+from how many counts are one and two. A class has the same with its own counts, and takes from the shared
+model the more the less evidence there is:
+
+    p_c(w)     = (1 - a) * own_c(w)     + a * p(w)                        a = 30 / (30 + N(. w))
+    p_c(w | v) = (1 - b) * own_c(w | v) + b * p(w | v) * p_c(w) / p(w)    b = 100 / (100 + C(v w))
+
+so what is rare in both classes says little, and nothing is cut off. Where one class has not seen v both
+have the shared part alone. Values
+are meant up to a constant of each class, which the threshold takes in. A document's value is the difference of its
 log-likelihoods, over its different pairs, by their number (plus ``steady``, that very short texts do not
 stand out by chance).
 
 Counts come from all labelled documents of the learning folds: tasks send sorted, compressed blocks of
-distinct pairs, which meet by ranges of the first word. The tables that scoring needs have a fixed
-number of slots (hashed words and pairs), whatever the corpus; pairs that share a slot are told apart by
-a tag and the one with more evidence stays. Threshold and steepness are set on a fold of its own.
+distinct pairs, which meet by ranges of the second word, each under its whole hash (32 bits for a word, 64
+for a pair). A range knows all that its pairs need but the counts of the contexts, which it adds up with
+other ranges by ranges of contexts. Documents are scored in chunks: each asks the ranges for the values of
+its different pairs. Nothing has a fixed size or reaches the driver but a few sums. Threshold and steepness
+are set on a fold of its own.
 
 Defined cases: null and empty texts have value 0; labels that repeat a doc_id count as the greatest of
 them; null labels do not count; without labels of both classes all scores are 0; rows that repeat are
@@ -34,10 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import Cache, Scratch, fold_id, held, sliced, table
 
-WORD_BITS = 21
-PAIR_BITS = 21
-DISCOUNT = 8.0
-SHARED = 0.8
+WORD_PRIOR = 30
+PAIR_PRIOR = 100
 STEADY = 20
 _SPLIT = re.compile(r"\w+")
 _BINS = 8192
@@ -59,20 +64,32 @@ class Words:
 
 
 def _pairs(words):
-    """64-bit keys of the different pairs of a word and the one before it; the first stands after 0."""
+    """64-bit keys of the different pairs of a word (the upper half) and the one before it; the first stands after 0."""
     import numpy as np
 
     before = np.concatenate((np.zeros(1, np.uint32), words[:-1])) if len(words) else words
-    return np.unique((before.astype(np.uint64) << np.uint64(32)) | words)
+    return np.unique((words.astype(np.uint64) << np.uint64(32)) | before)
+
+
+def _pack(keys):
+    """Sorted keys as differences of their upper and as their lower halves."""
+    import numpy as np
+
+    return np.diff((keys >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0)), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _slot(keys, bits: int):
-    """Slot and tag of pairs in a table of 2**bits."""
+def _keys(high, low):
     import numpy as np
 
-    mixed = keys * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64), (mixed & np.uint64(0xFFFF)).astype(np.uint16)
+    return (np.cumsum(high, dtype=np.uint32).astype(np.uint64) << np.uint64(32)) | low
+
+
+def _edges(keys, bits: int, of: int):
+    """Where the ranges of the upper ``bits`` start and end in sorted keys of ``of`` bits."""
+    import numpy as np
+
+    starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(of - bits))
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)
 
 
 def _zip(*arrays) -> bytes:
@@ -88,7 +105,7 @@ def _unzip(data: bytes):
 
 
 def _blocks(learning: DataFrame, part_bits: int, most: int = 4_000_000) -> DataFrame:
-    """Distinct pairs with their counts in both classes, as blocks for ranges of first words."""
+    """Distinct pairs with their counts in both classes, as blocks for ranges of words."""
 
     def run(it):
         import numpy as np
@@ -103,12 +120,7 @@ def _blocks(learning: DataFrame, part_bits: int, most: int = 4_000_000) -> DataF
             found, where = np.unique(keys, return_inverse=True)
             c1 = np.bincount(where, weights=toxic, minlength=len(found)).astype(np.uint32)
             c0 = np.bincount(where, minlength=len(found)).astype(np.uint32) - c1
-            edges = np.searchsorted(found, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits))
-            rows = []
-            for part, (a, b) in enumerate(zip(edges, [*edges[1:], len(found)], strict=True)):
-                if b > a:
-                    high = (found[a:b] >> np.uint64(32)).astype(np.uint32)
-                    rows.append((part, int(c0[a:b].sum()), int(c1[a:b].sum()), _zip(np.diff(high, prepend=np.uint32(0)), (found[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), c0[a:b], c1[a:b])))
+            rows = [(part, int(c0[a:b].sum()), int(c1[a:b].sum()), _zip(*_pack(found[a:b]), c0[a:b], c1[a:b])) for part, (a, b) in enumerate(_edges(found, part_bits, 64)) if b > a]
             own[0], own[1] = [], []
             cols = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "t0", "t1", "data"])
@@ -127,125 +139,322 @@ def _blocks(learning: DataFrame, part_bits: int, most: int = 4_000_000) -> DataF
     return learning.mapInArrow(run, "part int, t0 long, t1 long, data binary")
 
 
-class Model:
-    """Tables of fixed size; ``values`` gives the value of a document's words."""
+class _Table:
+    """The pairs of a range of words with their counts, added up block by block."""
 
-    def __init__(self, word_bits: int, pair_bits: int):
-        import numpy as np
+    def __init__(self, most: int = 4_000_000):
+        self.held, self.size, self.most = [], 0, most
 
-        self.word_bits, self.pair_bits = word_bits, pair_bits
-        self.words = np.zeros((2, 1 << word_bits), np.float32)  # log p_c(w), for the two classes
-        self.mass = np.zeros((2, 1 << word_bits), np.float32)  # M_c(v)
-        self.back = np.ones(1 << word_bits, np.float32)  # l(v)
-        self.pairs = np.zeros((2, 1 << pair_bits), np.float32)
-        self.tags = np.zeros(1 << pair_bits, np.uint16)
+    def add(self, data: bytes):
+        high, low, c0, c1 = _unzip(data)
+        self.held.append((_keys(high, low), c0, c1))
+        self.size += len(low)
+        if self.size > self.most:
+            self.sums()
+            self.most = max(self.most, 2 * self.size)
 
-    def value(self, words, steady: int) -> float:
+    def sums(self):
+        """Keys, and counts of both classes."""
         import numpy as np
 
-        if not len(words):
-            return 0.0
-        keys = _pairs(words)
-        w = ((keys & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - self.word_bits)).astype(np.int64)
-        v = (keys >> np.uint64(64 - self.word_bits)).astype(np.int64)
-        slot, tag = _slot(keys, self.pair_bits)
-        p = self.words[:, w]
-        mass = self.mass[:, v]
-        own = (mass > 0).all(axis=0)
-        if own.any():
-            pairs = np.where(self.tags[slot] == tag, self.pairs[:, slot], 0)
-            back = self.back[v]
-            p = np.where(own, (1 - back) * pairs / np.where(own, mass, 1) + back * p, p)
-        return float(np.log(p[1] / p[0]).sum(dtype=np.float64) / (len(keys) + steady))
-
-
-def learn(learning: DataFrame, rows: int, scratch: Scratch, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, discount: float = DISCOUNT, shared: float = SHARED) -> Model | None:
-    """The model of ``learning(text, toxic)``, about ``rows`` of them; None without tokens of both classes."""
+        if len(self.held) != 1:
+            parts = [np.concatenate(x) if self.held else np.zeros(0, t) for x, t in zip(zip(*self.held, strict=True) if self.held else ((),) * 3, (np.uint64, np.uint32, np.uint32), strict=True)]
+            keys, where = np.unique(parts[0], return_inverse=True)
+            self.held = [(keys, *(np.bincount(where, weights=x, minlength=len(keys)).astype(np.uint32) for x in parts[1:]))]
+            self.size = len(keys)
+        return self.held[0]
+
+
+def _words(keys):
+    """Different words of sorted keys, and which of them each key has."""
     import numpy as np
 
-    part_bits = min(word_bits - 6, max(6, (rows // 2_000).bit_length()))  # ranges of first words: more for more rows
-    blocks = scratch.save(_blocks(learning, part_bits), "pairs")
-    totals = blocks.agg(F.coalesce(F.sum("t0"), F.lit(0)), F.coalesce(F.sum("t1"), F.lit(0))).first()
-    if not min(totals):
-        return None
-    scale = [min(totals) / t for t in totals]
-    span, chunk = 1 << (word_bits - part_bits), 2048
+    return np.unique((keys >> np.uint64(32)).astype(np.uint32), return_inverse=True)
+
+
+def _contexts(keys):
+    """Different words before, and which of them each key has."""
+    import numpy as np
+
+    return np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_inverse=True)
+
 
-    def reduce(key, rows):
+def _kinds(word, c0, c1, n: int):
+    """N(. w) in the classes and in both."""
+    import numpy as np
+
+    return [np.bincount(word, weights=x > 0, minlength=n) for x in (c0, c1, c0 + c1)]
+
+
+def _grouped(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """Rows such that those of a group stand together, in order, in one task that reads them one after the other."""
+    return rows.repartition(F.col(by)).sortWithinPartitions(by, *order)
+
+
+def _rows(it, *names: str):
+    for b in it:
+        yield from zip(*(b.column(n).to_pylist() for n in names), strict=True)
+
+
+def _batch(rows: list[tuple], schema):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _counted(blocks: DataFrame, part_bits: int, context_bits: int) -> DataFrame:
+    """For each range of words, its parts of the contexts' counts by ranges of contexts; at -1 what all ranges add up to."""
+
+    def run(it):
+        import numpy as np
         import pyarrow as pa
 
-        part = key[0].as_py()
-        keys, c0, c1 = [], [], []
-        for data in rows.column("data").to_pylist():
-            high, low, a, b = _unzip(data)
-            keys.append((np.cumsum(high, dtype=np.uint32).astype(np.uint64) << np.uint64(32)) | low)
-            c0.append(a)
-            c1.append(b)
-        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-        c = [np.bincount(where, weights=np.concatenate(x), minlength=len(keys)) for x in (c0, c1)]
-        v = (keys >> np.uint64(64 - word_bits)).astype(np.int64) - part * span
-        w = ((keys & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - word_bits)).astype(np.int64)
-        kept = [np.maximum(c[k] * scale[k] - discount, 0) for k in (0, 1)]
-        mass = [np.bincount(v, weights=x, minlength=span).astype(np.float32) for x in kept]
-        count, kinds = np.bincount(v, weights=c[0] + c[1], minlength=span), np.bincount(v, minlength=span)
-        back = np.minimum(1, discount * kinds / np.maximum(count, 1)).astype(np.float32)
-        some = (kept[0] > 0) | (kept[1] > 0)
-        out = [(0, part, _zip(mass[0], mass[1], back, keys[some], kept[0][some].astype(np.float32), kept[1][some].astype(np.float32)))]
-        slots, at = np.unique(w, return_inverse=True)
-        n = [np.bincount(at, weights=x > 0, minlength=len(slots)).astype(np.uint32) for x in (c[0], c[1])] + [np.bincount(at, minlength=len(slots)).astype(np.uint32)]
-        edges = np.searchsorted(slots, np.arange(0, (1 << word_bits) + 1, chunk))
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if b > a:
-                out.append((1, i, _zip((slots[a:b] - i * chunk).astype(np.uint16), *(x[a:b] for x in n))))
-        cols = list(zip(*out, strict=True))
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["kind", "at", "data"])
-
-    reduced = scratch.save(blocks.groupBy("part").applyInArrow(reduce, "kind int, at int, data binary"), "reduced")
-
-    def add(key, rows):
+        schema = pa.schema([("at", pa.int32()), ("part", pa.int32()), ("data", pa.binary()), ("stats", pa.list_(pa.int64()))])
+
+        def finish(part, table):
+            keys, c0, c1 = table.sums()
+            words, word = _words(keys)
+            contexts, context = _contexts(keys)
+            counts = [c0, c1, c0 + c1]
+            kinds = _kinds(word, c0, c1, len(words))
+            stats = [int(x) for c in (*counts, *kinds) for x in ((c == 1).sum(), (c == 2).sum(), (c > 0).sum(), c.sum())]
+            rows = [(-1, part, None, stats)]
+            sums = [np.bincount(context, weights=x, minlength=len(contexts)).astype(np.uint32) for x in (c0, c1, c0 > 0, c1 > 0, counts[2] > 0)]
+            for at, (a, b) in enumerate(_edges(contexts, context_bits, 32)):
+                if b > a:
+                    rows.append((at, part, _zip(contexts[a:b], *(x[a:b] for x in sums)), None))
+            return _batch(rows, schema)
+
+        own, table = None, None
+        for part, data in _rows(it, "part", "data"):
+            if part != own:
+                if table:
+                    yield finish(own, table)
+                own, table = part, _Table()
+            table.add(data)
+        if table:
+            yield finish(own, table)
+
+    return _grouped(blocks, "part").mapInArrow(run, "at int, part int, data binary, stats array<long>")
+
+
+def _context_sums(counted: DataFrame) -> DataFrame:
+    """(part, at, data): for the contexts of each range of words, in order, their counts over all of them."""
+
+    def run(key, rows):
+        import numpy as np
         import pyarrow as pa
 
-        total = np.zeros((3, chunk), np.int64)
-        for data in rows.column("data").to_pylist():
-            slots, *n = _unzip(data)
-            for k in range(3):
-                total[k][slots] += n[k]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([_zip(total)], pa.binary())], names=["at", "data"])
-
-    model = Model(word_bits, pair_bits)
-    counts = np.zeros((3, 1 << word_bits), np.int64)
-    for at, data in reduced.where("kind = 1").groupBy("at").applyInArrow(add, "at int, data binary").toLocalIterator():
-        counts[:, at * chunk : (at + 1) * chunk] = _unzip(bytes(data))[0]
-    common = (counts[2] + 0.5) / (counts[2] + 0.5).sum()
-    for k in (0, 1):
-        own = np.maximum(counts[k] * scale[k] - discount, 0)
-        model.words[k] = (1 - shared) * own / max(own.sum(), 1) + shared * common
-    # one row for each range of words; the pairs in it are those with evidence beyond the discount
-    for at, data in reduced.where("kind = 0").select("at", "data").toLocalIterator():
-        m0, m1, back, keys, k0, k1 = _unzip(bytes(data))
-        model.mass[:, at * span : (at + 1) * span] = m0, m1
-        model.back[at * span : (at + 1) * span] = back
-        slot, tag = _slot(keys, pair_bits)
-        order = np.argsort(k0 + k1)  # of pairs in one slot the last written, with most evidence, stays
-        slot, tag, k0, k1 = slot[order], tag[order], k0[order], k1[order]
-        more = k0 + k1 >= model.pairs[:, slot].sum(axis=0)
-        model.pairs[0, slot[more]], model.pairs[1, slot[more]], model.tags[slot[more]] = k0[more], k1[more], tag[more]
-    return model
-
-
-def values(docs: DataFrame, model: Model, steady: int = STEADY) -> DataFrame:
-    """(doc_id, value) for each row of ``docs(doc_id, text)``."""
-    tables = docs.sparkSession.sparkContext.broadcast(model)
+        parts, data = rows.column("part"), [_unzip(x) for x in rows.column("data").to_pylist()]
+        contexts, where = np.unique(np.concatenate([x[0] for x in data]), return_inverse=True)
+        sums = [np.bincount(where, weights=np.concatenate([x[k] for x in data]), minlength=len(contexts)) for k in range(1, 6)]
+        out, a = [], 0
+        for x in data:
+            own = where[a : a + len(x[0])]
+            out.append(_zip(*(s[own] for s in sums)))
+            a += len(x[0])
+        return pa.table([parts, pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["part", "at", "data"])
+
+    return counted.where("at >= 0").select("at", "part", "data").groupBy("at").applyInArrow(run, "part int, at int, data binary")
+
+
+def _discount(stats) -> float:
+    """The absolute discount n1 / (n1 + 2 n2), from how many occur once and twice."""
+    once, twice = stats[:2]
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+
+class Totals:
+    """What the values of pairs need of all ranges."""
+
+    def __init__(self, stats):
+        # for the pairs of both classes and of any, then for the words after others: how many occur once, twice, at all, and the sum
+        self.pairs, self.words = [stats[i : i + 4] for i in (0, 4, 8)], [stats[i : i + 4] for i in (12, 16, 20)]
+
+    def word(self, n):
+        """p_0(w), p_1(w) and p(w) of words with N(. w) = ``n``."""
+        import numpy as np
+
+        def own(k):
+            d, (_, _, some, total) = _discount(self.words[k]), self.words[k]
+            return (np.maximum(n[k] - d, 0) + d * some / (self.words[2][2] + 1)) / max(total, 1)
+
+        shared, weight = own(2), WORD_PRIOR / (WORD_PRIOR + n[2])
+        return [(1 - weight) * own(k) + weight * shared for k in (0, 1)] + [shared]
+
+    def pair(self, c, n, mass, kinds):
+        """log p_1(w | v) / p_0(w | v) of pairs: their counts, N(. w), and C(v .) and N(v .) of both classes and of any."""
+        import numpy as np
+
+        p = self.word(n)
+
+        def own(k, none):
+            d = _discount(self.pairs[k])
+            return np.where(mass[0] * mass[1] > 0 if k < 2 else mass[2] > 0, (np.maximum(c[k] - d, 0) + d * kinds[k] * p[k]) / np.maximum(mass[k], 1), none)
+
+        shared, weight = own(2, p[2]), PAIR_PRIOR / (PAIR_PRIOR + c[2])
+        q = []
+        for k in (0, 1):
+            common = shared * p[k] / p[2]
+            q.append((1 - weight) * own(k, common) + weight * common)
+        return np.log(q[1] / q[0])
+
+    def values(self, keys, c0, c1, contexts):
+        """Values of the pairs, the words, and values of pairs that no labelled document has, by their words."""
+        import numpy as np
+
+        words, word = _words(keys)
+        kinds = _kinds(word, c0, c1, len(words))
+        own = _contexts(keys)[1]
+        c, n = [x.astype(np.float64) for x in (c0, c1, c0 + c1)], [x[word] for x in kinds]
+        mass, after = [x[own] for x in (contexts[0], contexts[1], contexts[0] + contexts[1])], [x[own] for x in contexts[2:]]
+        p = self.word(kinds)
+        return self.pair(c, n, mass, after)[None], words, np.log(p[1] / p[0])[None]
+
+
+def _chunks(docs: DataFrame, part_bits: int, which: str, most: int = 4_000_000) -> DataFrame:
+    """Of chunks of documents, the different pairs by ranges of words, or the documents as lists of numbers of their pairs.
+
+    Both go over the same rows in the same order, so that texts need not be kept for the second time. A chunk is
+    named after its different pairs: of chunks that have the same ones the answers are the same.
+    """
 
     def run(it):
+        import numpy as np
         import pyarrow as pa
+        import xxhash
+
+        words, ids, own, size = held(Words), [], [], 0
+        schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
+
+        def flush():
+            keys, where = np.unique(np.concatenate(own), return_inverse=True)
+            chunk = xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)
+            if which == "pairs":
+                rows = [(chunk, part, b - a, _zip(*_pack(keys[a:b]))) for part, (a, b) in enumerate(_edges(keys, part_bits, 64)) if b > a]
+            else:
+                rows, a = [], 0
+                for k in range(0, len(ids), 2000):
+                    n = np.array([len(x) for x in own[k : k + 2000]], np.int64)
+                    step = np.diff(where[a : a + n.sum()], prepend=0)
+                    a += n.sum()
+                    some = [i is not None for i in ids[k : k + 2000]]
+                    rows.append((chunk, _LAST, len(keys), _zip(np.array([i or 0 for i in ids[k : k + 2000]], np.int64), np.array(some), n, (step & 0xFFFF).astype(np.uint16), (step >> 16).astype(np.int16))))
+            for k in range(0, len(rows), 256):
+                yield _batch(rows[k : k + 256], schema)
 
-        words = held(Words)
         for b in sliced(it):
-            found = [tables.value.value(words(t or ""), steady) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "value"])
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids.append(i)
+                own.append(_pairs(words(text or "")))
+                size += len(own[-1]) + 1
+                if size >= most:
+                    yield from flush()
+                    ids, own, size = [], [], 0
+        if ids:
+            yield from flush()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, part int, n long, data binary")
+
+
+def _answered(chunks: DataFrame, blocks: DataFrame, sums: DataFrame, totals: Totals) -> DataFrame:
+    """For each chunk and range of words, the values of the chunk's pairs, in order."""
+
+    def run(it):
+        import numpy as np
+        import pyarrow as pa
+
+        schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
+        own = table = known = None
+        found: list = []
+        out: list = []
+        for part, kind, chunk, data in _rows(it, "part", "kind", "chunk", "data"):
+            if part != own:
+                own, table, known, found = part, _Table(), None, []
+            if kind == 0:
+                table.add(data)
+            elif kind == 1:
+                found.append(_unzip(data))
+            else:
+                if known is None:
+                    keys, c0, c1 = table.sums()
+                    contexts = [np.concatenate([x[k] for x in found]) if found else np.zeros(0) for k in range(5)]
+                    known = keys, *totals.values(keys, c0, c1, contexts)
+                    found = []
+                keys, of_pairs, words, of_words = known
+                asked = _keys(*_unzip(data))
+                answer = np.zeros((len(of_words), len(asked)), np.float32)
+                if len(keys):
+                    word = (asked >> np.uint64(32)).astype(np.uint32)
+                    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+                    answer = np.where(words[at] == word, of_words[:, at], 0)
+                    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                    answer = np.where(keys[at] == asked, of_pairs[:, at], answer)
+                out.append((chunk, part, len(asked), _zip(answer.astype(np.float16))))
+                if len(out) == 256:
+                    yield _batch(out, schema)
+                    out = []
+        if out:
+            yield _batch(out, schema)
+
+    rows = blocks.select("part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "data")
+    rows = rows.union(sums.select("part", F.lit(1), F.col("at").cast("long"), "data"))
+    rows = rows.union(chunks.select("part", F.lit(2), "chunk", "data"))
+    return _grouped(rows, "part", "kind", "chunk").mapInArrow(run, "chunk long, part int, n long, data binary")
+
+
+_LAST = 2**31 - 1
+VALUES = ("value",)
+
+
+def _document_values(answers: DataFrame, documents: DataFrame, steady: int) -> DataFrame:
+    """(doc_id, value...) for each row of the documents, from their chunks' pairs."""
+
+    def run(it):
+        import numpy as np
+        import pyarrow as pa
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, value double")
+        own, found, table, last = None, [], None, None
+        for chunk, part, n, data in _rows(it, "chunk", "part", "n", "data"):
+            if chunk != own:
+                own, found, table, last = chunk, [], None, None
+            if part != _LAST:
+                if part != last:
+                    found.append(_unzip(data)[0])
+                last = part
+                continue
+            if table is None:
+                table = np.concatenate(found, axis=1).astype(np.float64) if found else np.zeros((len(VALUES), 0))
+                found = []
+            if table.shape[1] != n:
+                raise RuntimeError("the documents were not read twice in the same order")
+            ids, some, sizes, low, high = _unzip(data)
+            at = np.cumsum((high.astype(np.int64) << 16) | low)
+            ends = np.cumsum(sizes)
+            sums = np.concatenate((np.zeros((len(VALUES), 1)), np.cumsum(table[:, at], axis=1)), axis=1)
+            value = (sums[:, ends] - sums[:, ends - sizes]) / (sizes + steady)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~some), *(pa.array(x, pa.float64()) for x in value)], names=["doc_id", *VALUES])
+
+    return _grouped(answers.union(documents), "chunk", "part").mapInArrow(run, "doc_id long, " + ", ".join(f"{v} double" for v in VALUES))
+
+
+def document_values(docs: DataFrame, learning: DataFrame, rows: int, scratch: Scratch, steady: int = STEADY) -> DataFrame | None:
+    """(doc_id, value...) for each row of ``docs(doc_id, text)``, about ``rows``; None without tokens of both classes.
+
+    ``learning(text, toxic)`` gives the counts.
+    """
+    part_bits = min(16, max(6, (rows // 2_000).bit_length()))  # ranges of words: more for more rows
+    blocks = scratch.save(_blocks(learning, part_bits), "pairs")
+    totals = blocks.agg(F.coalesce(F.sum("t0"), F.lit(0)), F.coalesce(F.sum("t1"), F.lit(0))).first()
+    if not min(totals):
+        return None
+    counted = scratch.save(_counted(blocks.select("part", "data"), part_bits, max(3, part_bits - 3)), "counted")
+    stats = counted.where("at = -1").agg(*(F.sum(F.col("stats")[i]) for i in range(24))).first()
+    sums = scratch.save(_context_sums(counted), "contexts")
+    scratch.drop(counted)
+    answers = scratch.save(_answered(_chunks(docs, part_bits, "pairs"), blocks, sums, Totals(stats)), "answers")
+    scratch.drop(blocks, sums)
+    return scratch.save(_document_values(answers, _chunks(docs, part_bits, "documents"), steady), "values")
 
 
 def _threshold(histogram: list[tuple[int, int, int]], low: float, width: float) -> tuple[float, float]:
@@ -278,10 +487,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     labels = labels.where(F.col("toxic").isin(0, 1))
     learning = docs.where((fold != held_out) & (fold != calibrating)).join(labels.where((fold != held_out) & (fold != calibrating)).hint("merge"), "doc_id").select("text", "toxic")
-    model = learn(learning, labels.count(), scratch)
-    if model is None:
+    scored = document_values(docs, learning, docs.count(), scratch)
+    if scored is None:
         return docs.select("doc_id", (fold == held_out).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    scored = scratch.save(values(docs, model), "values")
     checked = scored.join(labels.where(fold == calibrating), "doc_id")
     low, high = checked.agg(F.coalesce(F.min("value"), F.lit(0.0)), F.coalesce(F.max("value"), F.lit(0.0))).first()
     width = max((high - low) / _BINS, 1e-12)

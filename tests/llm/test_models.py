@@ -119,6 +119,42 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(df.limit(0), lab).count() == 0
 
 
+def test_toxicity_keeps_every_pair(spark):
+    """Values by dictionaries of whole words: more pairs than blocks, ranges and chunks of one size would keep."""
+    import numpy as np
+
+    rng = random.Random(11)
+    docs = [(i, " ".join("w" + str(int(rng.paretovariate(0.5)) % 100_000) for _ in range(rng.randint(0, 80))), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int").repartition(3)
+    scratch = toxicity.Scratch(spark, "test")
+    got = {r["doc_id"]: r["value"] for r in toxicity.document_values(df, df.where("doc_id < 300"), 400_000, scratch).collect()}
+    pairs = {i: {(b, a) for a, b in zip(["", *t.split()], t.split())} for i, t, _ in docs}
+    counts = [{}, {}]
+    for i, _, k in docs[:300]:
+        for x in pairs[i]:
+            counts[k][x] = counts[k].get(x, 0) + 1
+    both = {x: counts[0].get(x, 0) + counts[1].get(x, 0) for c in counts for x in c}
+    tables = [*counts, both]
+    kinds, mass, after = [{} for _ in tables], [{} for _ in tables], [{} for _ in tables]
+    for k, c in enumerate(tables):
+        for (w, v), n in c.items():
+            kinds[k][w] = kinds[k].get(w, 0) + 1
+            mass[k][v] = mass[k].get(v, 0) + n
+            after[k][v] = after[k].get(v, 0) + 1
+    stats = [f(list(c.values())) for c in (*tables, *kinds) for f in (lambda x: x.count(1), lambda x: x.count(2), len, sum)]
+    totals = toxicity.Totals(stats)
+    one = lambda d, key: [np.array([x.get(key, 0)], float) for x in d]
+    for i, _, _ in docs:
+        total = 0.0
+        for w, v in pairs[i]:
+            if (w, v) in both:
+                total += totals.pair(one(tables, (w, v)), one(kinds, w), one(mass, v), one(after, v))[0]
+            else:
+                p = totals.word(one(kinds, w))
+                total += np.log(p[1] / p[0])[0] if w in kinds[2] else 0
+        assert abs(got[i] - total / (len(pairs[i]) + toxicity.STEADY)) < 2e-3
+
+
 @pytest.mark.parametrize("histogram", [[(0, 0, 50), (10, 0, 5), (100, 1, 9)]])
 def test_threshold_lies_between(histogram):
     at, steep = toxicity._threshold(histogram, 0.0, 1.0)
