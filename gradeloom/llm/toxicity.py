@@ -13,8 +13,8 @@ model the more the less evidence there is:
     p_c(w)     = (1 - a) * own_c(w)     + a * p(w)                        a = 30 / (30 + N(. w))
     p_c(w | v) = (1 - b) * own_c(w | v) + b * p(w | v) * p_c(w) / p(w)    b = 100 / (100 + C(v w))
 
-so what is rare in both classes says little, and nothing is cut off. Where one class has not seen v both
-have the shared part alone. Values
+so what is rare in both classes says little, and nothing is cut off. A class that has not seen v has the
+shared part alone. Values
 are meant up to a constant of each class, which the threshold takes in. A document's value is the difference of its
 log-likelihoods, over its different pairs, by their number (plus ``steady``, that very short texts do not
 stand out by chance).
@@ -290,7 +290,7 @@ class Totals:
 
         def own(k, none):
             d = _discount(self.pairs[k])
-            return np.where(mass[0] * mass[1] > 0 if k < 2 else mass[2] > 0, (np.maximum(c[k] - d, 0) + d * kinds[k] * p[k]) / np.maximum(mass[k], 1), none)
+            return np.where(mass[k] > 0, (np.maximum(c[k] - d, 0) + d * kinds[k] * p[k]) / np.maximum(mass[k], 1), none)
 
         shared, weight = own(2, p[2]), PAIR_PRIOR / (PAIR_PRIOR + c[2])
         q = []

@@ -155,6 +155,18 @@ def test_toxicity_keeps_every_pair(spark):
         assert abs(got[i] - total / (len(pairs[i]) + toxicity.STEADY)) < 2e-3
 
 
+def test_toxicity_counts_contexts_of_one_class():
+    """A phrase of five toxic documents after a word that ordinary ones don't have says more than its last word."""
+    import numpy as np
+
+    totals = toxicity.Totals([900, 60, 1000, 1300, 90, 6, 100, 130, 990, 66, 1100, 1430, 300, 40, 500, 1000, 60, 8, 80, 130, 300, 40, 520, 1100])
+    one = lambda *x: [np.array([y], float) for y in x]
+    n = one(20, 2, 22)
+    p = totals.word(n)
+    for mass, after in (((0, 5, 5), (0, 1, 1)), ((40, 5, 45), (35, 1, 36))):
+        assert totals.pair(one(0, 5, 5), n, one(*mass), one(*after)) > np.log(p[1] / p[0]) + 0.01
+
+
 @pytest.mark.parametrize("histogram", [[(0, 0, 50), (10, 0, 5), (100, 1, 9)]])
 def test_threshold_lies_between(histogram):
     at, steep = toxicity._threshold(histogram, 0.0, 1.0)
