@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, sliced, table, text_bytes
 
 WIDTH = 13
+#: words that may stand between those of a window for a proximity match
+SLOP = 3
 SEGMENT_TOKENS = 4_000_000
 BLOCK_BYTES = 32 << 20
 _WORD = frozenset(range(0x30, 0x3A)) | frozenset(range(0x61, 0x7B)) | frozenset(range(0x80, 0x100))
@@ -117,37 +119,34 @@ def intersect(lists: list, offsets: list[int]):
 def near(lists: list, span: int):
     """First places of spans of at most ``span`` words that hold a word of each list (a list given twice counts twice).
 
-    From each place of the rarest term, the other terms' places around it are looked up; the span is
-    the tightest one around that place.
+    Around each place of the rarest term, each range is found that ends at a place of some term and is the
+    tightest with as many places of each term as it is given times.
     """
-    import heapq
-
     import numpy as np
 
-    order = sorted(range(len(lists)), key=lambda i: len(lists[i]))
+    if not all(len(x) for x in lists):
+        return np.zeros(0, np.int64)
+    # a place has one term, so lists with the same first place are of the same term
+    terms: dict[int, list] = {}
+    for x in lists:
+        terms.setdefault(int(x[0]), [x, 0])[1] += 1
+    order = sorted(terms.values(), key=lambda t: len(t[0]))
+    places = order[0][0]
+    for x, times in order:  # those with enough places of each term around them
+        places = places[np.searchsorted(x, places + span) - np.searchsorted(x, places - span + 1) >= times]
     found = []
-    for p in lists[order[0]].tolist():
-        around = [[p]]
-        for i in order[1:]:
-            x = lists[i]
-            own = x[np.searchsorted(x, p - span + 1) : np.searchsorted(x, p + span)].tolist()
-            if not own:
-                break
-            around.append(own)
-        else:
-            # the smallest range with a place from each list, no place used twice
-            heads = [(x[0], k, 0) for k, x in enumerate(around)]
-            heapq.heapify(heads)
-            high = max(x[0] for x in around)
-            while True:
-                low, k, j = heads[0]
-                if high - low < span and len({h[0] for h in heads}) == len(heads):
-                    found.append(low)
-                    break
-                if j + 1 == len(around[k]):
-                    break
-                high = max(high, around[k][j + 1])
-                heapq.heapreplace(heads, (around[k][j + 1], k, j + 1))
+    for p in places.tolist():
+        around = sorted((place, k) for k, (x, _) in enumerate(order) for place in x[np.searchsorted(x, p - span + 1) : np.searchsorted(x, p + span)].tolist())
+        need, missing, first = [times for _, times in order], len(lists), 0
+        for high, k in around:
+            missing -= need[k] > 0
+            need[k] -= 1
+            while need[around[first][1]] < 0:  # the first place isn't needed
+                need[around[first][1]] += 1
+                first += 1
+            low = around[first][0]
+            if not missing and low <= p <= high and high - low < span:
+                found.append(low)
     return np.unique(np.array(found, np.int64))
 
 
@@ -248,9 +247,17 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, s
     return out.select("doc_id", "n_words", "n_hit", F.col("items").alias("item_ids"), F.col("near_items").alias("near_item_ids"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def _exact(found: DataFrame, *more) -> DataFrame:
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", *more)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return _exact(match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, with the items of which a window's words stand near each other."""
+    return _exact(match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP), "near_item_ids")
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

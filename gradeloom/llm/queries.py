@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import OP9_SQL, op9_decontamination
+from .decontaminate import OP9_SQL, op9_decontamination, op9_proximity
 from .jaccard_join import OP1_SQL, op1_jaccard_join
 from .language_id import op2_language_id
 from .minhash import op8_fingerprints
@@ -23,6 +23,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
+    "op9_proximity": op9_proximity,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op9_decontamination": OP9_SQL, "op10_warc": OP10_SQL}

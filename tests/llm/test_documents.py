@@ -69,6 +69,30 @@ def test_proximity(spark):
     assert got == {1: ([], ["1"]), 2: ([], ["1"]), 3: ([], [])}
 
 
+def test_near_with_repeated_words():
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(3000):
+        text = [rng.choice("abcd") for _ in range(rng.randint(1, 14))]
+        window = [rng.choice("abcd") for _ in range(rng.randint(1, 6))]
+        span = len(window) + rng.randint(0, 3)
+        lists = [np.array([i for i, w in enumerate(text) if w == x], np.int32) for x in window]
+        fits = lambda a, b: all(text[a:b].count(x) >= window.count(x) for x in window)
+        # each tightest range, by trying all
+        want = {a for a in range(len(text)) for b in range(a + 1, min(a + span, len(text)) + 1) if fits(a, b) and not fits(a + 1, b) and not fits(a, b - 1)}
+        got = set(decontaminate.near(lists, span).tolist())
+        assert want <= got and all(fits(a, a + span) for a in got)
+
+
+def test_proximity_query(spark, tmp_path):
+    spark.createDataFrame([(1, "Alpha the beta the."), (2, "the alpha x the beta"), (3, "alpha the beta"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "alpha the beta the")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r["doc_id"]: r for r in decontaminate.op9_proximity(spark, str(tmp_path)).collect()}
+    assert {i: r["near_item_ids"] for i, r in rows.items()} == {1: ["7"], 2: ["7"], 3: [], 4: []}
+    assert [rows[i]["contaminated"] for i in (1, 2, 3, 4)] == [True, False, False, False]
+
+
 def test_sharding(spark):
     rng = random.Random(9)
     docs = [(i, f"text {rng.randrange(60) if i % 3 == 0 else i}") for i in range(900)] + [(i, "hot") for i in range(900, 1400)] + EDGE
