@@ -19,12 +19,11 @@ are meant up to a constant of each class, which the threshold takes in. A docume
 log-likelihoods, over its different pairs, by their number (plus ``steady``, that very short texts do not
 stand out by chance).
 
-Counts come from all labelled documents of the learning folds: tasks send sorted, compressed blocks of
+Counts come from the labelled documents of all learning folds but one, which only sets the threshold: tasks send sorted, compressed blocks of
 distinct pairs, which meet by ranges of the second word, each under its whole hash (32 bits for a word, 64
 for a pair). A range knows all that its pairs need but the counts of the contexts, which it adds up with
 other ranges by ranges of contexts. Documents are scored in chunks: each asks the ranges for the values of
-its different pairs. Nothing has a fixed size or reaches the driver but a few sums. Threshold and steepness
-are set on a fold of its own.
+its different pairs. Nothing has a fixed size or reaches the driver but a few sums.
 
 Defined cases: null and empty texts have value 0; labels that repeat a doc_id count as the greatest of
 them; null labels do not count; without labels of both classes all scores are 0; rows that repeat are
