@@ -450,8 +450,10 @@ def document_values(docs: DataFrame, learning: DataFrame, rows: int, scratch: Sc
     counted = scratch.save(_counted(blocks.select("part", "data"), part_bits, max(3, part_bits - 3)), "counted")
     stats = counted.where("at = -1").agg(*(F.sum(F.col("stats")[i]) for i in range(24))).first()
     sums = scratch.save(_context_sums(counted), "contexts")
+    sums.isEmpty()  # Spark holds on to the last plan's shuffle until another one has run
     scratch.drop(counted)
     answers = scratch.save(_answered(_chunks(docs, part_bits, "pairs"), blocks, sums, Totals(stats)), "answers")
+    answers.isEmpty()
     scratch.drop(blocks, sums)
     return scratch.save(_document_values(answers, _chunks(docs, part_bits, "documents"), steady), "values")
 
