@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a small table often lies in one, and Python takes long over each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -33,10 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
+    """Tables written to the shared folder: they cut lineage and outlive lost executors.
+
+    The folder is deleted when the driver ends, since results that a caller still holds read from it.
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", []
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{len(self.paths)}-{name}"
@@ -56,8 +69,12 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+        self.release()
+
+    def release(self) -> None:
+        """Let go of the shuffle files of plans that are gone."""
         gc.collect()
-        jvm.System.gc()  # else the cleaner waits until the driver's heap fills up
+        self.spark._jvm.System.gc()  # else the cleaner waits until the driver's heap fills up
 
 
 def tokenizer_path(name: str, path: str | None = None) -> str:

@@ -1,321 +1,280 @@
-"""Operator 5: toxicity by two class-conditional Kneser-Ney models.
+"""Operator 5: toxicity by two class-conditional Kneser-Ney models over the characters of words.
 
-Words are runs of word characters in lower case. Both classes share a backoff, the model of all counts
+A word (a run of word characters, in lower case) is spelled out from the blank before it to the blank after
+it. Each symbol x follows a context h of up to ``ORDER - 1`` symbols, never from before the word's blank, and
+h' is h without its first symbol. With C the number of times that a sequence occurs (at lower orders, unless
+it begins a word: the number of different symbols before it, Kneser-Ney's continuation count), T(h) and N(h)
+the sum and the number of the counts after h, and a discount d = n1 / (n1 + 2 n2) for each order from how many
+counts are one and two, the shared model over both classes' counts is
 
-    p(w)       = (max(N(. w) - d, 0) + d * some / words) / N
-    p(w | v)   = (max(C(v w) - d, 0) + d * N(v .) * p(w)) / C(v .)
+    p(x | h)   = (max(C(h x) - d, 0) + d N(h) p(x | h')) / T(h)
 
-with C the number of documents that have a pair (repeating a line is no further evidence), N(. w) and N(v .)
-the numbers of different words before and after (Kneser-Ney continuation counts) and discounts d = n1 / (n1 + 2 n2),
-from how many counts are one and two. A class has the same with its own counts, and takes from the shared
-model the more the less evidence there is:
+and a class backs off to its own lower order, and to the shared model with the weight of ``PRIOR`` symbols:
 
-    p_c(w)     = (1 - a) * own_c(w)     + a * p(w)                        a = 30 / (30 + N(. w))
-    p_c(w | v) = (1 - b) * own_c(w | v) + b * p(w | v) * p_c(w) / p(w)    b = 100 / (100 + C(v w))
+    p_c(x | h) = (max(C_c(h x) - d_c, 0) + d_c N_c(h) p_c(x | h') + PRIOR p(x | h)) / (T_c(h) + PRIOR)
 
-so what is rare in both classes says little, and nothing is cut off. A class that has not seen v has the
-shared part alone. Values
-are meant up to a constant of each class, which the threshold takes in. A document's value is the difference of its
-log-likelihoods, over its different pairs, by their number (plus ``steady``, that very short texts do not
-stand out by chance).
+Single symbols are shared. All of these sum to one over x. An inflected word that no labelled document has is
+known by its stem; what is rare in a class has nearly the shared probability in both.
 
-Counts come from the labelled documents of all learning folds but one, which only sets the threshold: tasks send sorted, compressed blocks of
-distinct pairs, which meet by ranges of the second word, each under its whole hash (32 bits for a word, 64
-for a pair). A range knows all that its pairs need but the counts of the contexts, which it adds up with
-other ranges by ranges of contexts. Documents are scored in chunks: each asks the ranges for the values of
-its different pairs. Nothing has a fixed size or reaches the driver but a few sums.
+A toxic document is mostly ordinary words, so of its words only the share ``SHARE`` is drawn from the toxic
+model. A document's value is the log-likelihood of its words as a toxic document, less that as an ordinary
+one, by their number (plus ``STEADY``, that very short texts do not stand out by chance):
 
-Defined cases: null and empty texts have value 0; labels that repeat a doc_id count as the greatest of
-them; null labels do not count; without labels of both classes all scores are 0; rows that repeat are
-scored each for itself.
+    sum over words of log(1 - SHARE + SHARE p_1(w) / p_0(w)) / (words + STEADY)
+
+Counts come from the labelled documents of all learning folds but one, which only sets the threshold. Whole
+sequences are the keys of ordinary tables, which grow with the corpus; orders are joined natively. The tables
+hold the sequences of all documents (with counts of 0 for those without labels), so each has its value.
+Values of up to ``MOST_HELD`` sequences (by count, 24 MB) are broadcast; beyond that each chunk of documents
+asks ranges of them for the values of its own, with the same results.
+
+Defined cases: null and empty texts and those without a word have value 0; labels that repeat a doc_id count
+as the greatest of them; null labels do not count; without labels of both classes all scores are 0; rows that
+repeat are scored each for itself; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, Scratch, fold_id, held, sliced, table
+from .common import Scratch, fold_id, sliced, spread, table
 
-WORD_PRIOR = 30
-PAIR_PRIOR = 100
+ORDER = 6
+PRIOR = 20
+SHARE = 0.01
 STEADY = 20
+#: so many sequences' values (of 12 bytes) are broadcast
+MOST_HELD = 2_000_000
 _SPLIT = re.compile(r"\w+")
 _BINS = 8192
+_LAST = 2**31 - 1
 
 
-class Words:
-    """32-bit hashes of a text's words."""
-
-    def __init__(self):
-        import numpy as np
-        import xxhash
-
-        self.np = np
-        self.cache = Cache(lambda w: xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")), 200_000)
-
-    def __call__(self, text: str):
-        found = _SPLIT.findall(text.lower())
-        return self.np.fromiter(map(self.cache.__getitem__, found), self.np.uint32, len(found))
-
-
-def _pairs(words):
-    """64-bit keys of the different pairs of a word (the upper half) and the one before it; the first stands after 0."""
-    import numpy as np
-
-    before = np.concatenate((np.zeros(1, np.uint32), words[:-1])) if len(words) else words
-    return np.unique((words.astype(np.uint64) << np.uint64(32)) | before)
-
-
-def _pack(keys):
-    """Sorted keys as differences of their upper and as their lower halves."""
-    import numpy as np
-
-    return np.diff((keys >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0)), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def words_of(text: str | None) -> list[str]:
+    return _SPLIT.findall(text.lower()) if text else []
 
 
-def _keys(high, low):
+def _mixed(h):
+    """64-bit numbers, mixed so that their upper bits are even."""
     import numpy as np
 
-    return (np.cumsum(high, dtype=np.uint32).astype(np.uint64) << np.uint64(32)) | low
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
-def _edges(keys, bits: int, of: int):
-    """Where the ranges of the upper ``bits`` start and end in sorted keys of ``of`` bits."""
+def spelled(words: list[str], order: int):
+    """For each symbol of the words: the key of the sequence that it ends, its word's number, and where the sequence starts and ends in the text that is returned."""
     import numpy as np
 
-    starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(of - bits))
-    return zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)
-
-
-def _zip(*arrays) -> bytes:
-    import pickle
-
-    return zlib.compress(pickle.dumps(arrays, protocol=5), 1)
-
-
-def _unzip(data: bytes):
-    import pickle
-
-    return pickle.loads(zlib.decompress(data))
-
-
-def _blocks(learning: DataFrame, part_bits: int, most: int = 4_000_000) -> DataFrame:
-    """Distinct pairs with their counts in both classes, as blocks for ranges of words."""
+    if not words:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, ""
+    text = f" {' '.join(words)} "
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    blank = points == 32
+    place = np.arange(len(points))
+    start = np.maximum.accumulate(np.where(blank, place, 0))[:-1]  # of the word that each symbol but the first belongs to
+    depth = place[1:] - start
+    keys = np.zeros(len(depth), np.uint64)
+    for back in range(order - 1, -1, -1):
+        far = np.concatenate((np.zeros(min(back - 1, len(depth)), np.uint64), points[: max(0, len(points) - back)])) if back else points[1:]
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + np.where(back <= depth, far, 0)
+    return _mixed(keys), np.cumsum(blank)[:-1] - 1, place[1:] - np.minimum(depth, order - 1), place[1:] + 1, text
+
+
+def key_of(sequence: str) -> int:
+    """The key of one sequence, as :func:`spelled` gives it."""
+    h = 0
+    for c in sequence:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c)) & (2**64 - 1)
+    h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & (2**64 - 1)
+    return h ^ (h >> 32)
+
+
+def _counts(rows: DataFrame, order: int, most_words: int = 300_000) -> DataFrame:
+    """(g, c0, c1): the longest sequence that ends at each symbol of ``rows(text, toxic)``, and how often it occurs in the classes; parts of the sums."""
 
     def run(it):
         import numpy as np
         import pyarrow as pa
 
-        words, own, size = held(Words), {0: [], 1: []}, 0
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+        plain: set[str] = set()
 
         def flush():
-            keys = np.concatenate(own[0] + own[1])
-            toxic = np.zeros(len(keys), bool)
-            toxic[sum(map(len, own[0])) :] = True
-            found, where = np.unique(keys, return_inverse=True)
-            c1 = np.bincount(where, weights=toxic, minlength=len(found)).astype(np.uint32)
-            c0 = np.bincount(where, minlength=len(found)).astype(np.uint32) - c1
-            rows = [(part, int(c0[a:b].sum()), int(c1[a:b].sum()), _zip(*_pack(found[a:b]), c0[a:b], c1[a:b])) for part, (a, b) in enumerate(_edges(found, part_bits, 64)) if b > a]
-            own[0], own[1] = [], []
-            cols = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "t0", "t1", "data"])
+            words = list(plain.union(*found))
+            keys, word, start, end, text = spelled(words, order)
+            distinct, first, where = np.unique(keys, return_index=True, return_inverse=True)
+            sums = [np.bincount(where, weights=np.array([c[w] for w in words], float)[word], minlength=len(distinct)).astype(np.int64) for c in found]
+            for a in range(0, len(first), 50_000):
+                own = first[a : a + 50_000]
+                g = [text[i:j] for i, j in zip(start[own].tolist(), end[own].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), *(pa.array(s[a : a + 50_000]) for s in sums)], names=["g", "c0", "c1"])
+            plain.clear()
+            for c in found:
+                c.clear()
 
         for b in sliced(it):
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                keys = _pairs(words(text or ""))
-                own[toxic].append(keys)
-                size += len(keys)
-                if size >= most:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
-
-    return learning.mapInArrow(run, "part int, t0 long, t1 long, data binary")
-
-
-class _Table:
-    """The pairs of a range of words with their counts, added up block by block."""
-
-    def __init__(self, most: int = 4_000_000):
-        self.held, self.size, self.most = [], 0, most
-
-    def add(self, data: bytes):
-        high, low, c0, c1 = _unzip(data)
-        self.held.append((_keys(high, low), c0, c1))
-        self.size += len(low)
-        if self.size > self.most:
-            self.sums()
-            self.most = max(self.most, 2 * self.size)
-
-    def sums(self):
-        """Keys, and counts of both classes."""
-        import numpy as np
+                (plain if toxic is None else found[toxic]).update(words_of(text))
+            if len(plain) + len(found[0]) + len(found[1]) >= most_words:
+                yield from flush()
+        if plain or found[0] or found[1]:
+            yield from flush()
 
-        if len(self.held) != 1:
-            parts = [np.concatenate(x) if self.held else np.zeros(0, t) for x, t in zip(zip(*self.held, strict=True) if self.held else ((),) * 3, (np.uint64, np.uint32, np.uint32), strict=True)]
-            keys, where = np.unique(parts[0], return_inverse=True)
-            self.held = [(keys, *(np.bincount(where, weights=x, minlength=len(keys)).astype(np.uint32) for x in parts[1:]))]
-            self.size = len(keys)
-        return self.held[0]
+    return rows.mapInArrow(run, "g string, c0 long, c1 long")
 
 
-def _words(keys):
-    """Different words of sorted keys, and which of them each key has."""
-    import numpy as np
+def _discount(once: int, twice: int) -> float:
+    """The absolute discount n1 / (n1 + 2 n2), from how many counts are one and two."""
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
-    return np.unique((keys >> np.uint64(32)).astype(np.uint32), return_inverse=True)
 
+def sequence_values(top: DataFrame, order: int, scratch: Scratch) -> DataFrame:
+    """(g, p0, p1, p) for each sequence of ``top(g, c0, c1)``: probabilities of its last symbol after the others, in the classes and shared."""
+    names = ("c0", "c1", "c")
+    top = top.withColumn("c", F.col("c0") + F.col("c1"))
+    # counts of all orders: of each different ending of two symbols or more, whether a class has it, counted for what follows its first symbol
+    endings = top.select(F.explode(F.transform(F.sequence(F.lit(2), F.char_length("g")), lambda n: F.right(F.col("g"), n))).alias("x"), *names)
+    endings = endings.groupBy("x").agg(*(F.max(F.col(c) > 0).alias(c) for c in names))
+    lower = endings.groupBy(F.expr("substring(x, 2)").alias("g")).agg(*(F.count_if(c).alias(c) for c in names))
+    whole = (F.char_length("g") == order) | F.startswith(F.col("g"), F.lit(" "))
+    counts = scratch.save(lower.union(top.where(whole).select("g", *names)), "counts")
+    stats = {r["n"]: r for r in counts.groupBy(F.char_length("g").alias("n")).agg(*(f(c) for c in names for f in (lambda c: F.count_if(F.col(c) == 1).alias(f"once_{c}"), lambda c: F.count_if(F.col(c) == 2).alias(f"twice_{c}"))), F.sum("c").alias("total"), F.count_if(F.col("c") > 0).alias("some"), F.count("*").alias("size")).collect()}  # a row for each order
+
+    def discount(c):
+        out = F.lit(0.5)
+        for n, r in stats.items():
+            out = F.when(F.char_length("g") == n, F.lit(_discount(r[f"once_{c}"], r[f"twice_{c}"]))).otherwise(out)
+        return out
+
+    # p = a + b * lower p, and p_k = a_k + b_k * lower p_k + e_k * p
+    sums = counts.where("char_length(g) > 1").groupBy(F.expr("left(g, char_length(g) - 1)").alias("h")).agg(*(F.sum(c).alias(f"t_{c}") for c in names), *(F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in names))
+    own = counts.where("char_length(g) > 1").withColumns({"h": F.expr("left(g, char_length(g) - 1)"), **{f"d_{c}": discount(c) for c in names}}).join(sums, "h")
+    kept, open_ = (lambda c: F.greatest(F.col(c) - F.col(f"d_{c}"), F.lit(0.0))), (lambda c: F.col(f"d_{c}") * F.col(f"n_{c}"))
+    terms = own.select("g", F.when(F.col("t_c") > 0, kept("c") / F.col("t_c")).otherwise(0.0).alias("a"), F.when(F.col("t_c") > 0, open_("c") / F.col("t_c")).otherwise(1.0).alias("b"), *(x for k in ("0", "1") for x in ((kept(f"c{k}") / (F.col(f"t_c{k}") + PRIOR)).alias(f"a{k}"), (open_(f"c{k}") / (F.col(f"t_c{k}") + PRIOR)).alias(f"b{k}"), (PRIOR / (F.col(f"t_c{k}") + PRIOR)).alias(f"e{k}"))))
+    terms = scratch.save(terms, "terms")
+    one, d = stats[1], _discount(stats[1]["once_c"], stats[1]["twice_c"])
+    single = counts.where("char_length(g) = 1").select(F.col("g").alias("s"), ((F.greatest(F.col("c") - d, F.lit(0.0)) + d * one["some"] / one["size"]) / max(one["total"], 1)).alias("p"))
+    out = top.select("g", F.expr("right(g, 1)").alias("s")).join(single, "s").select("g", *(F.col("p").alias(x) for x in ("p0", "p1", "p")))
+    for n in range(2, order + 1):
+        own = terms.where(F.char_length("g") == n).withColumnRenamed("g", "s")
+        at = out.withColumn("s", F.when(F.char_length("g") >= n, F.expr(f"right(g, {n})")))
+        p = F.col("a") + F.col("b") * F.col("p")
+        met = at.join(own, "s", "left")
+        out = met.select("g", *(F.when(F.col("a").isNull(), F.col(f"p{k}")).otherwise(F.col(f"a{k}") + F.col(f"b{k}") * F.col(f"p{k}") + F.col(f"e{k}") * p).alias(f"p{k}") for k in ("0", "1")), F.when(F.col("a").isNull(), F.col("p")).otherwise(p).alias("p"))
+    return out
+
+
+def _keyed(values: DataFrame, bits: int = 0) -> DataFrame:
+    """(part, key, value) of (g, value); ``part`` is the range of keys."""
 
-def _contexts(keys):
-    """Different words before, and which of them each key has."""
-    import numpy as np
+    def run(it):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in it:
+            keys = np.array([key_of(g) for g in b.column("g").to_pylist()], np.uint64)
+            part = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys.view(np.int64)), b.column("value").cast(pa.float32())], names=["part", "key", "value"])
 
-    return np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_inverse=True)
+    return values.mapInArrow(run, "part int, key long, value float")
 
 
-def _kinds(word, c0, c1, n: int):
-    """N(. w) in the classes and in both."""
+def word_values(sums, share: float = SHARE):
+    """log(1 - share + share * exp(sum)) of the words' log-ratios."""
     import numpy as np
 
-    return [np.bincount(word, weights=x > 0, minlength=n) for x in (c0, c1, c0 + c1)]
+    return np.logaddexp(math.log1p(-share), math.log(share) + sums)
 
 
-def _grouped(rows: DataFrame, by: str, *order: str) -> DataFrame:
-    """Rows such that those of a group stand together, in order, in one task that reads them one after the other."""
-    return rows.repartition(F.col(by)).sortWithinPartitions(by, *order)
+class _Words(dict):
+    """Values of words by a table of all sequences' values; it starts anew beyond ``most`` words."""
 
+    def __init__(self, keys, values, order: int, most: int = 500_000):
+        import numpy as np
 
-def _rows(it, *names: str):
-    for b in it:
-        yield from zip(*(b.column(n).to_pylist() for n in names), strict=True)
+        super().__init__()
+        by = np.argsort(keys)
+        self.keys_, self.values_, self.order, self.most = keys[by], values[by].astype(np.float64), order, most
 
+    def add(self, words: set[str]) -> None:
+        import numpy as np
 
-def _batch(rows: list[tuple], schema):
-    import pyarrow as pa
+        if len(self) + len(words) > self.most:
+            self.clear()
+        new = [w for w in words if w not in self]
+        for a in range(0, len(new), 100_000):
+            some = new[a : a + 100_000]
+            keys, word, *_ = spelled(some, self.order)
+            at = np.searchsorted(self.keys_, keys)
+            self.update(zip(some, word_values(np.bincount(word, weights=self.values_[at], minlength=len(some))).tolist(), strict=True))
 
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+def _values_by_broadcast(docs: DataFrame, values: DataFrame, order: int, steady: int) -> DataFrame:
+    import numpy as np
 
-def _counted(blocks: DataFrame, part_bits: int, context_bits: int) -> DataFrame:
-    """For each range of words, its parts of the contexts' counts by ranges of contexts; at -1 what all ranges add up to."""
+    rows = _keyed(values).select("key", "value").toArrow()
+    tables = docs.sparkSession.sparkContext.broadcast((rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()))
 
     def run(it):
-        import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("at", pa.int32()), ("part", pa.int32()), ("data", pa.binary()), ("stats", pa.list_(pa.int64()))])
-
-        def finish(part, table):
-            keys, c0, c1 = table.sums()
-            words, word = _words(keys)
-            contexts, context = _contexts(keys)
-            counts = [c0, c1, c0 + c1]
-            kinds = _kinds(word, c0, c1, len(words))
-            stats = [int(x) for c in (*counts, *kinds) for x in ((c == 1).sum(), (c == 2).sum(), (c > 0).sum(), c.sum())]
-            rows = [(-1, part, None, stats)]
-            sums = [np.bincount(context, weights=x, minlength=len(contexts)).astype(np.uint32) for x in (c0, c1, c0 > 0, c1 > 0, counts[2] > 0)]
-            for at, (a, b) in enumerate(_edges(contexts, context_bits, 32)):
-                if b > a:
-                    rows.append((at, part, _zip(contexts[a:b], *(x[a:b] for x in sums)), None))
-            return _batch(rows, schema)
-
-        own, table = None, None
-        for part, data in _rows(it, "part", "data"):
-            if part != own:
-                if table:
-                    yield finish(own, table)
-                own, table = part, _Table()
-            table.add(data)
-        if table:
-            yield finish(own, table)
-
-    return _grouped(blocks, "part").mapInArrow(run, "at int, part int, data binary, stats array<long>")
-
-
-def _context_sums(counted: DataFrame) -> DataFrame:
-    """(part, at, data): for the contexts of each range of words, in order, their counts over all of them."""
-
-    def run(key, rows):
-        import numpy as np
-        import pyarrow as pa
-
-        parts, data = rows.column("part"), [_unzip(x) for x in rows.column("data").to_pylist()]
-        contexts, where = np.unique(np.concatenate([x[0] for x in data]), return_inverse=True)
-        sums = [np.bincount(where, weights=np.concatenate([x[k] for x in data]), minlength=len(contexts)) for k in range(1, 6)]
-        out, a = [], 0
-        for x in data:
-            own = where[a : a + len(x[0])]
-            out.append(_zip(*(s[own] for s in sums)))
-            a += len(x[0])
-        return pa.table([parts, pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["part", "at", "data"])
-
-    return counted.where("at >= 0").select("at", "part", "data").groupBy("at").applyInArrow(run, "part int, at int, data binary")
+        known = _Words(*tables.value, order)
+        for b in sliced(it):
+            texts = [words_of(t) for t in b.column("text").to_pylist()]
+            known.add(set().union(*texts))
+            out = [sum(map(known.__getitem__, w)) / (len(w) + steady) for w in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "value"])
 
+    return docs.mapInArrow(run, "doc_id long, value double")
 
-def _discount(stats) -> float:
-    """The absolute discount n1 / (n1 + 2 n2), from how many occur once and twice."""
-    once, twice = stats[:2]
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
+def _zip(*arrays) -> bytes:
+    import pickle
 
-class Totals:
-    """What the values of pairs need of all ranges."""
+    return zlib.compress(pickle.dumps(arrays, protocol=5), 1)
 
-    def __init__(self, stats):
-        # for the pairs of both classes and of any, then for the words after others: how many occur once, twice, at all, and the sum
-        self.pairs, self.words = [stats[i : i + 4] for i in (0, 4, 8)], [stats[i : i + 4] for i in (12, 16, 20)]
 
-    def word(self, n):
-        """p_0(w), p_1(w) and p(w) of words with N(. w) = ``n``."""
-        import numpy as np
+def _unzip(data: bytes):
+    import pickle
 
-        def own(k):
-            d, (_, _, some, total) = _discount(self.words[k]), self.words[k]
-            return (np.maximum(n[k] - d, 0) + d * some / (self.words[2][2] + 1)) / max(total, 1)
+    return pickle.loads(zlib.decompress(data))
 
-        shared, weight = own(2), WORD_PRIOR / (WORD_PRIOR + n[2])
-        return [(1 - weight) * own(k) + weight * shared for k in (0, 1)] + [shared]
 
-    def pair(self, c, n, mass, kinds):
-        """log p_1(w | v) / p_0(w | v) of pairs: their counts, N(. w), and C(v .) and N(v .) of both classes and of any."""
-        import numpy as np
+def _grouped(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """Rows such that those of a group stand together, in order, in one task that reads them one after the other."""
+    return rows.repartition(F.col(by)).sortWithinPartitions(by, *order)
 
-        p = self.word(n)
 
-        def own(k, none):
-            d = _discount(self.pairs[k])
-            return np.where(mass[k] > 0, (np.maximum(c[k] - d, 0) + d * kinds[k] * p[k]) / np.maximum(mass[k], 1), none)
+def _rows(it, *names: str):
+    for b in it:
+        yield from zip(*(b.column(n).to_pylist() for n in names), strict=True)
 
-        shared, weight = own(2, p[2]), PAIR_PRIOR / (PAIR_PRIOR + c[2])
-        q = []
-        for k in (0, 1):
-            common = shared * p[k] / p[2]
-            q.append((1 - weight) * own(k, common) + weight * common)
-        return np.log(q[1] / q[0])
 
-    def values(self, keys, c0, c1, contexts):
-        """Values of the pairs, the words, and values of pairs that no labelled document has, by their words."""
-        import numpy as np
+def _batches(rows, schema, size: int = 256):
+    import pyarrow as pa
 
-        words, word = _words(keys)
-        kinds = _kinds(word, c0, c1, len(words))
-        own = _contexts(keys)[1]
-        c, n = [x.astype(np.float64) for x in (c0, c1, c0 + c1)], [x[word] for x in kinds]
-        mass, after = [x[own] for x in (contexts[0], contexts[1], contexts[0] + contexts[1])], [x[own] for x in contexts[2:]]
-        p = self.word(kinds)
-        return self.pair(c, n, mass, after)[None], words, np.log(p[1] / p[0])[None]
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def _chunks(docs: DataFrame, part_bits: int, which: str, most: int = 4_000_000) -> DataFrame:
-    """Of chunks of documents, the different pairs by ranges of words, or the documents as lists of numbers of their pairs.
+def _chunks(docs: DataFrame, order: int, bits: int, which: str, most: int) -> DataFrame:
+    """Of chunks of documents of about ``most`` words, the different sequences by ranges of keys, or the documents as lists of numbers.
 
     Both go over the same rows in the same order, so that texts need not be kept for the second time. A chunk is
-    named after its different pairs: of chunks that have the same ones the answers are the same.
+    named after its different sequences: of chunks that have the same ones the answers are the same.
     """
 
     def run(it):
@@ -323,139 +282,140 @@ def _chunks(docs: DataFrame, part_bits: int, which: str, most: int = 4_000_000)
         import pyarrow as pa
         import xxhash
 
-        words, ids, own, size = held(Words), [], [], 0
         schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
-        def flush():
-            keys, where = np.unique(np.concatenate(own), return_inverse=True)
-            chunk = xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)
-            if which == "pairs":
-                rows = [(chunk, part, b - a, _zip(*_pack(keys[a:b]))) for part, (a, b) in enumerate(_edges(keys, part_bits, 64)) if b > a]
+        def chunk(ids, texts, numbers):
+            keys, word, *_ = spelled(list(numbers), order)
+            distinct, where = np.unique(keys, return_inverse=True)
+            name = xxhash.xxh3_64_intdigest(distinct.tobytes()) - (1 << 63)
+            if which == "sequences":
+                edges = np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(distinct)]
+                for part in range(1 << bits):
+                    if edges[part + 1] > edges[part]:
+                        yield name, part, edges[part + 1] - edges[part], _zip(distinct[edges[part] : edges[part + 1]])
             else:
-                rows, a = [], 0
-                for k in range(0, len(ids), 2000):
-                    n = np.array([len(x) for x in own[k : k + 2000]], np.int64)
-                    step = np.diff(where[a : a + n.sum()], prepend=0)
-                    a += n.sum()
-                    some = [i is not None for i in ids[k : k + 2000]]
-                    rows.append((chunk, _LAST, len(keys), _zip(np.array([i or 0 for i in ids[k : k + 2000]], np.int64), np.array(some), n, (step & 0xFFFF).astype(np.uint16), (step >> 16).astype(np.int16))))
-            for k in range(0, len(rows), 256):
-                yield _batch(rows[k : k + 256], schema)
+                yield name, _LAST - 1, len(distinct), _zip(where.astype(np.uint32), np.bincount(word, minlength=len(numbers)))
+                for a in range(0, len(ids), 1000):
+                    some = ids[a : a + 1000]
+                    yield name, _LAST, len(distinct), _zip(np.array([i or 0 for i in some], np.int64), np.array([i is not None for i in some]), np.array([len(t) for t in texts[a : a + 1000]], np.int64), np.concatenate([np.zeros(0, np.uint32), *texts[a : a + 1000]]))
 
-        for b in sliced(it):
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids.append(i)
-                own.append(_pairs(words(text or "")))
-                size += len(own[-1]) + 1
-                if size >= most:
-                    yield from flush()
-                    ids, own, size = [], [], 0
-        if ids:
-            yield from flush()
+        def all_chunks():
+            ids, texts, numbers, size = [], [], {}, 0
+            for b in sliced(it):
+                for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    own = words_of(text)
+                    ids.append(i)
+                    texts.append(np.array([numbers.setdefault(w, len(numbers)) for w in own], np.uint32))
+                    size += len(own) + 1
+                    if size >= most:
+                        yield from chunk(ids, texts, numbers)
+                        ids, texts, numbers, size = [], [], {}, 0
+            if ids:
+                yield from chunk(ids, texts, numbers)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, part int, n long, data binary")
+        yield from _batches(all_chunks(), schema)
 
+    return docs.mapInArrow(run, "chunk long, part int, n long, data binary")
 
-def _answered(chunks: DataFrame, blocks: DataFrame, sums: DataFrame, totals: Totals) -> DataFrame:
-    """For each chunk and range of words, the values of the chunk's pairs, in order."""
+
+def _answered(asked: DataFrame, keyed: DataFrame) -> DataFrame:
+    """For each chunk and range of keys, the values of the chunk's sequences, in order."""
 
     def run(it):
         import numpy as np
         import pyarrow as pa
 
         schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
-        own = table = known = None
-        found: list = []
-        out: list = []
-        for part, kind, chunk, data in _rows(it, "part", "kind", "chunk", "data"):
-            if part != own:
-                own, table, known, found = part, _Table(), None, []
-            if kind == 0:
-                table.add(data)
-            elif kind == 1:
-                found.append(_unzip(data))
-            else:
-                if known is None:
-                    keys, c0, c1 = table.sums()
-                    contexts = [np.concatenate([x[k] for x in found]) if found else np.zeros(0) for k in range(5)]
-                    known = keys, *totals.values(keys, c0, c1, contexts)
-                    found = []
-                keys, of_pairs, words, of_words = known
-                asked = _keys(*_unzip(data))
-                answer = np.zeros((len(of_words), len(asked)), np.float32)
-                if len(keys):
-                    word = (asked >> np.uint64(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
-                    answer = np.where(words[at] == word, of_words[:, at], 0)
-                    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                    answer = np.where(keys[at] == asked, of_pairs[:, at], answer)
-                out.append((chunk, part, len(asked), _zip(answer.astype(np.float16))))
-                if len(out) == 256:
-                    yield _batch(out, schema)
-                    out = []
-        if out:
-            yield _batch(out, schema)
-
-    rows = blocks.select("part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "data")
-    rows = rows.union(sums.select("part", F.lit(1), F.col("at").cast("long"), "data"))
-    rows = rows.union(chunks.select("part", F.lit(2), "chunk", "data"))
-    return _grouped(rows, "part", "kind", "chunk").mapInArrow(run, "chunk long, part int, n long, data binary")
 
+        def answers():
+            own, keys, values, known = None, [], [], False
+            for part, kind, chunk, data in _rows(it, "part", "kind", "chunk", "data"):
+                if part != own:
+                    own, keys, values, known = part, [], [], False
+                if kind == 0:
+                    k, v = _unzip(data)
+                    keys.append(k)
+                    values.append(v)
+                    continue
+                if not known:
+                    keys, values, known = np.concatenate(keys), np.concatenate(values), True
+                    by = np.argsort(keys)
+                    keys, values = keys[by], values[by]
+                (asks,) = _unzip(data)
+                yield chunk, part, len(asks), _zip(values[np.searchsorted(keys, asks)])
+
+        yield from _batches(answers(), schema)
+
+    def blocks(it):
+        import numpy as np
+        import pyarrow as pa
 
-_LAST = 2**31 - 1
-VALUES = ("value",)
+        schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+
+        def packed():
+            for b in it:
+                part, key, value = (b.column(c).to_numpy() for c in ("part", "key", "value"))
+                for p in np.unique(part).tolist():
+                    yield p, _zip(key[part == p].view(np.uint64), value[part == p])
 
+        yield from _batches(packed(), schema)
 
-def _document_values(answers: DataFrame, documents: DataFrame, steady: int) -> DataFrame:
-    """(doc_id, value...) for each row of the documents, from their chunks' pairs."""
+    rows = keyed.mapInArrow(blocks, "part int, data binary").select("part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "data")
+    rows = rows.union(asked.select("part", F.lit(1), "chunk", "data"))
+    return _grouped(rows, "part", "kind", "chunk").mapInArrow(run, "chunk long, part int, n long, data binary")
+
+
+def _values_by_chunks(docs: DataFrame, values: DataFrame, rows: int, order: int, steady: int, scratch: Scratch, most: int = 2_000_000) -> DataFrame:
+    bits = min(16, max(4, (rows // 2_000_000).bit_length()))  # ranges of keys: more for more sequences
+    answers = scratch.save(_answered(_chunks(docs, order, bits, "sequences", most), _keyed(values, bits)), "answers")
+    documents = _chunks(docs, order, bits, "documents", most)
 
     def run(it):
         import numpy as np
         import pyarrow as pa
 
-        own, found, table, last = None, [], None, None
+        own, found, last, by_word = None, [], None, np.zeros(0)
         for chunk, part, n, data in _rows(it, "chunk", "part", "n", "data"):
             if chunk != own:
-                own, found, table, last = chunk, [], None, None
-            if part != _LAST:
-                if part != last:
+                own, found, last = chunk, [], None
+            if part < _LAST - 1:
+                if part != last:  # chunks of the same sequences got the same answers
                     found.append(_unzip(data)[0])
                 last = part
-                continue
-            if table is None:
-                table = np.concatenate(found, axis=1).astype(np.float64) if found else np.zeros((len(VALUES), 0))
-                found = []
-            if table.shape[1] != n:
-                raise RuntimeError("the documents were not read twice in the same order")
-            ids, some, sizes, low, high = _unzip(data)
-            at = np.cumsum((high.astype(np.int64) << 16) | low)
-            ends = np.cumsum(sizes)
-            sums = np.concatenate((np.zeros((len(VALUES), 1)), np.cumsum(table[:, at], axis=1)), axis=1)
-            value = (sums[:, ends] - sums[:, ends - sizes]) / (sizes + steady)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~some), *(pa.array(x, pa.float64()) for x in value)], names=["doc_id", *VALUES])
+            elif part == _LAST - 1:
+                table_ = np.concatenate(found).astype(np.float64) if found else np.zeros(0)
+                if len(table_) != n:
+                    raise RuntimeError("the documents were not read twice in the same order")
+                where, sizes = _unzip(data)
+                spelling = np.repeat(np.arange(len(sizes)), sizes)
+                by_word = word_values(np.bincount(spelling, weights=table_[where], minlength=len(sizes)))
+            else:
+                ids, some, sizes, at = _unzip(data)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                value = np.bincount(row, weights=by_word[at] if len(at) else None, minlength=len(sizes)) / (sizes + steady)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~some), pa.array(value, pa.float64())], names=["doc_id", "value"])
 
-    return _grouped(answers.union(documents), "chunk", "part").mapInArrow(run, "doc_id long, " + ", ".join(f"{v} double" for v in VALUES))
+    return _grouped(answers.union(documents), "chunk", "part").mapInArrow(run, "doc_id long, value double")
 
 
-def document_values(docs: DataFrame, learning: DataFrame, rows: int, scratch: Scratch, steady: int = STEADY) -> DataFrame | None:
-    """(doc_id, value...) for each row of ``docs(doc_id, text)``, about ``rows``; None without tokens of both classes.
+def document_values(docs: DataFrame, learning: DataFrame, scratch: Scratch, order: int = ORDER, steady: int = STEADY, most_held: int = MOST_HELD) -> DataFrame | None:
+    """(doc_id, value) for each row of ``docs(doc_id, text)``; None without words of both classes.
 
     ``learning(text, toxic)`` gives the counts.
     """
-    part_bits = min(16, max(6, (rows // 2_000).bit_length()))  # ranges of words: more for more rows
-    blocks = scratch.save(_blocks(learning, part_bits), "pairs")
-    totals = blocks.agg(F.coalesce(F.sum("t0"), F.lit(0)), F.coalesce(F.sum("t1"), F.lit(0))).first()
+    wide = spread(docs)
+    rows = learning.select("text", F.col("toxic").cast("int")).union(wide.select("text", F.lit(None).cast("int")))
+    top = scratch.save(_counts(rows, order).groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "sequences")
+    n, *totals = top.agg(F.count("*"), F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("c1"), F.lit(0))).first()
+    scratch.release()
     if not min(totals):
         return None
-    counted = scratch.save(_counted(blocks.select("part", "data"), part_bits, max(3, part_bits - 3)), "counted")
-    stats = counted.where("at = -1").agg(*(F.sum(F.col("stats")[i]) for i in range(24))).first()
-    sums = scratch.save(_context_sums(counted), "contexts")
-    sums.isEmpty()  # Spark holds on to the last plan's shuffle until another one has run
-    scratch.drop(counted)
-    answers = scratch.save(_answered(_chunks(docs, part_bits, "pairs"), blocks, sums, Totals(stats)), "answers")
-    answers.isEmpty()
-    scratch.drop(blocks, sums)
-    return scratch.save(_document_values(answers, _chunks(docs, part_bits, "documents"), steady), "values")
+    values = sequence_values(top, order, scratch).select("g", F.log(F.col("p1") / F.col("p0")).alias("value"))
+    if n <= most_held:
+        found = _values_by_broadcast(wide, values, order, steady)
+    else:
+        found = _values_by_chunks(docs, values, n, order, steady, scratch)
+    return scratch.save(found, "values")
 
 
 def _threshold(histogram: list[tuple[int, int, int]], low: float, width: float) -> tuple[float, float]:
@@ -488,7 +448,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     labels = labels.where(F.col("toxic").isin(0, 1))
     learning = docs.where((fold != held_out) & (fold != calibrating)).join(labels.where((fold != held_out) & (fold != calibrating)).hint("merge"), "doc_id").select("text", "toxic")
-    scored = document_values(docs, learning, docs.count(), scratch)
+    scored = document_values(docs, learning, scratch)
     if scored is None:
         return docs.select("doc_id", (fold == held_out).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     checked = scored.join(labels.where(fold == calibrating), "doc_id")
@@ -496,7 +456,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     width = max((high - low) / _BINS, 1e-12)
     histogram = checked.groupBy(F.least(F.floor((F.col("value") - low) / width), F.lit(_BINS)).cast("int").alias("bin"), "toxic").count().collect()  # at most 2 x (_BINS + 1) rows
     if not histogram:
-        at, steep = 0.05, 80.0
+        at, steep = 0.01, 400.0
     else:
         at, steep = _threshold(histogram, low, width)
     score = 1 / (1 + F.exp(F.greatest(F.least((F.lit(at) - F.col("value")) * steep, F.lit(700.0)), F.lit(-700.0))))

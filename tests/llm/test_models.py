@@ -119,52 +119,88 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(df.limit(0), lab).count() == 0
 
 
-def test_toxicity_keeps_every_pair(spark):
-    """Values by dictionaries of whole words: more pairs than blocks, ranges and chunks of one size would keep."""
-    import numpy as np
-
+def kneser_ney(texts, order, prior):
+    """p0, p1, p of the last symbol of each sequence, by dictionaries; texts are (text, toxic or None)."""
+    raw, grams = [{}, {}], set()
+    for text, toxic in texts:
+        for w in re.findall(r"\w+", (text or "").lower()):
+            s = f" {w} "
+            for i in range(1, len(s)):
+                g = s[max(0, i - order + 1) : i + 1]
+                grams.add(g)
+                if toxic is not None:
+                    raw[toxic][g] = raw[toxic].get(g, 0) + 1
+    top = {g: (raw[0].get(g, 0), raw[1].get(g, 0), raw[0].get(g, 0) + raw[1].get(g, 0)) for g in grams}
+    levels = {order: {g: c for g, c in top.items() if len(g) == order}}
+    for n in range(order - 1, 0, -1):
+        levels[n] = {g: c for g, c in top.items() if len(g) == n}
+        for g, c in levels[n + 1].items():
+            own = levels[n].setdefault(g[1:], (0, 0, 0))
+            levels[n][g[1:]] = tuple(a + (x > 0) for a, x in zip(own, c))
+    d = {n: [toxicity._discount(sum(c[k] == 1 for c in x.values()), sum(c[k] == 2 for c in x.values())) for k in range(3)] for n, x in levels.items()}
+    total, some, size = sum(c[2] for c in levels[1].values()), sum(c[2] > 0 for c in levels[1].values()), len(levels[1])
+
+    def p(g, k):
+        n, c = len(g), levels[len(g)][g]
+        if n == 1:
+            return (max(c[2] - d[1][2], 0) + d[1][2] * some / size) / total
+        after = [x for h, x in levels[n].items() if h[:-1] == g[:-1]]
+        t, kinds = sum(x[k] for x in after), sum(x[k] > 0 for x in after)
+        own = max(c[k] - d[n][k], 0) + d[n][k] * kinds * p(g[1:], k)
+        if k == 2:
+            return own / t if t else p(g[1:], 2)
+        return (own + prior * p(g, 2)) / (t + prior)
+
+    return top, levels, p
+
+
+def test_toxicity_is_kneser_ney(spark):
     rng = random.Random(11)
-    docs = [(i, " ".join("w" + str(int(rng.paretovariate(0.5)) % 100_000) for _ in range(rng.randint(0, 80))), int(i % 4 == 0)) for i in range(400)]
+    texts = [(" ".join(rng.choice(["ba", "bab", "abba", "cab", "üb", "x1"]) + rng.choice(["", "en", "er", "e"]) for _ in range(rng.randint(0, 12))), rng.choice([0, 0, 0, 1, None])) for _ in range(50)]
+    rows = spark.createDataFrame([*texts, (None, 1), ("", 0)], "text string, toxic int").repartition(3)
+    for order in (2, 4):
+        top, levels, p = kneser_ney(texts, order, toxicity.PRIOR)
+        found = toxicity._counts(rows, order, most_words=10).groupBy("g").sum("c0", "c1").toDF("g", "c0", "c1")
+        assert {r["g"]: (r["c0"], r["c1"]) for r in found.collect()} == {g: c[:2] for g, c in top.items()}
+        got = {r["g"]: r for r in toxicity.sequence_values(found, order, toxicity.Scratch(spark, "test")).collect()}
+        assert got.keys() == top.keys()
+        for g, r in got.items():
+            assert all(abs(r[name] - p(g, k)) < 1e-9 for k, name in enumerate(("p0", "p1", "p"))), g
+        for k in range(3):  # after any context the probabilities sum to one, with those of symbols that never follow it
+            for h in {g[:-1] for g in top if len(g) == 2}:
+                known = sum(p(g, k) for g in levels[2] if g[:-1] == h)
+                rest = [x for x in levels[1] if h + x not in levels[2]]
+                assert known <= 1 + 1e-9 and (rest or abs(known - 1) < 1e-9)
+
+
+def test_toxicity_by_chunks_gives_the_same(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = [(i, " ".join("w" + str(int(rng.paretovariate(0.5)) % 100_000) for _ in range(rng.randint(0, 80))), int(i % 4 == 0)) for i in range(400)] + [(None, "w1 null", 0), (500, None, 0), (501, "!!", 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, toxic int").repartition(3)
-    scratch = toxicity.Scratch(spark, "test")
-    got = {r["doc_id"]: r["value"] for r in toxicity.document_values(df, df.where("doc_id < 300"), 400_000, scratch).collect()}
-    pairs = {i: {(b, a) for a, b in zip(["", *t.split()], t.split())} for i, t, _ in docs}
-    counts = [{}, {}]
-    for i, _, k in docs[:300]:
-        for x in pairs[i]:
-            counts[k][x] = counts[k].get(x, 0) + 1
-    both = {x: counts[0].get(x, 0) + counts[1].get(x, 0) for c in counts for x in c}
-    tables = [*counts, both]
-    kinds, mass, after = [{} for _ in tables], [{} for _ in tables], [{} for _ in tables]
-    for k, c in enumerate(tables):
-        for (w, v), n in c.items():
-            kinds[k][w] = kinds[k].get(w, 0) + 1
-            mass[k][v] = mass[k].get(v, 0) + n
-            after[k][v] = after[k].get(v, 0) + 1
-    stats = [f(list(c.values())) for c in (*tables, *kinds) for f in (lambda x: x.count(1), lambda x: x.count(2), len, sum)]
-    totals = toxicity.Totals(stats)
-    one = lambda d, key: [np.array([x.get(key, 0)], float) for x in d]
-    for i, _, _ in docs:
-        total = 0.0
-        for w, v in pairs[i]:
-            if (w, v) in both:
-                total += totals.pair(one(tables, (w, v)), one(kinds, w), one(mass, v), one(after, v))[0]
-            else:
-                p = totals.word(one(kinds, w))
-                total += np.log(p[1] / p[0])[0] if w in kinds[2] else 0
-        assert abs(got[i] - total / (len(pairs[i]) + toxicity.STEADY)) < 2e-3
-
-
-def test_toxicity_counts_contexts_of_one_class():
-    """A phrase of five toxic documents after a word that ordinary ones don't have says more than its last word."""
-    import numpy as np
-
-    totals = toxicity.Totals([900, 60, 1000, 1300, 90, 6, 100, 130, 990, 66, 1100, 1430, 300, 40, 500, 1000, 60, 8, 80, 130, 300, 40, 520, 1100])
-    one = lambda *x: [np.array([y], float) for y in x]
-    n = one(20, 2, 22)
-    p = totals.word(n)
-    for mass, after in (((0, 5, 5), (0, 1, 1)), ((40, 5, 45), (35, 1, 36))):
-        assert totals.pair(one(0, 5, 5), n, one(*mass), one(*after)) > np.log(p[1] / p[0]) + 0.01
+    scratch, key = toxicity.Scratch(spark, "test"), lambda r: (str(r["doc_id"]), r["value"])
+    df = scratch.save(df, "documents")
+    got = [sorted(toxicity.document_values(df.select("doc_id", "text"), df.where("doc_id < 300"), scratch, most_held=most).collect(), key=key) for most in (10**9, 0)]
+    monkeypatch.setattr(toxicity._values_by_chunks, "__defaults__", (500,))
+    got.append(sorted(toxicity.document_values(df.select("doc_id", "text"), df.where("doc_id < 300"), scratch, most_held=0).collect(), key=key))
+    assert len(got[0]) == len(docs)
+    for other in got[1:]:
+        assert all(a["doc_id"] == b["doc_id"] and abs(a["value"] - b["value"]) < 1e-6 for a, b in zip(got[0], other, strict=True))
+
+
+def test_toxicity_knows_inflected_stems(spark):
+    """Toxic words that no labelled document has are known by stems that occur with many endings."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice(["an", "be", "co", "du", "el"]) for _ in range(rng.randint(1, 5)))
+    docs = []
+    for i in range(1500):
+        own = [word() for _ in range(rng.randint(20, 150))]
+        for _ in range(rng.randint(2, 5) if i % 8 == 0 else 0):
+            own.insert(rng.randrange(len(own)), rng.choice(["zorg", "quimp"]) + word())
+        docs.append((i, " ".join(own), int(i % 8 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    rows = [r for r in toxicity.score_toxicity(df, df).collect() if r["held_out"]]
+    toxic = [r for r in rows if r["doc_id"] % 8 == 0]
+    assert sum(r["predicted"] for r in toxic) >= 0.95 * len(toxic) and sum(r["predicted"] for r in rows if r["doc_id"] % 8) <= 0.02 * len(rows)
 
 
 @pytest.mark.parametrize("histogram", [[(0, 0, 50), (10, 0, 5), (100, 1, 9)]])
