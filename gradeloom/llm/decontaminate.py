@@ -2,18 +2,19 @@
 
 Documents are indexed in segments, each made by one task from a bounded number of tokens: for each term
 one row with the sorted list of its positions. Positions count through all documents of a segment, with
-a gap after each, so that one list intersection covers all of them and no match spans two. The index
-holds the terms of the benchmark block that it serves; no other posting could take part in a match.
+a gap after each, so that one list intersection covers all of them and no match spans two. The index is
+stored once and holds the benchmark's terms; no other posting could take part in a match. A benchmark of
+more than ``VOCABULARY`` terms is indexed in groups of items, which bounds what workers hold.
 
-A window's lists are intersected from the rarest term of the segment on, each shifted by its offset, and
-stop as soon as nothing is left. Benchmarks of any size are worked on in blocks of bounded size, each
-against all documents.
+Items are matched in blocks of bounded size, each against the stored index. A window is looked up by its
+rarest term (by postings in the whole index): a segment's terms name the windows to try, of which those
+stay that have all their terms there. Their lists are intersected from the segment's rarest term on, each
+shifted by its offset, and stop as soon as nothing is left.
 
 Defined cases: a null or empty text has no words and is not contaminated; an item without words has no
 window; an item of fewer than ``width`` words is one window; items that repeat a text are all reported, rows
-that repeat an item_id as one item;
-rows that repeat a doc_id are judged each for itself; a null item_id counts as occurring in ``n_items``
-but has no text in ``item_ids``.
+that repeat an item_id as one item; rows that repeat a doc_id are judged each for itself; a null item_id
+counts as occurring in ``n_items`` but has no text in ``item_ids``; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,71 +24,156 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, sliced, table, text_bytes
+from .common import Cache, Scratch, sliced, spread, table, text_bytes
 
 WIDTH = 13
 #: words that may stand between those of a window for a proximity match
 SLOP = 3
 SEGMENT_TOKENS = 4_000_000
-BLOCK_BYTES = 32 << 20
+#: bytes of text in a block of items; its windows take about six times as much in each worker
+BLOCK_BYTES = 8 << 20
+#: terms (of 8 bytes) of the benchmark that workers hold while they index
+VOCABULARY = 8_000_000
 _WORD = frozenset(range(0x30, 0x3A)) | frozenset(range(0x61, 0x7B)) | frozenset(range(0x80, 0x100))
 #: bytes of words stay, A-Z become lower case, everything else becomes a space
 _TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD else 0x20 for c in range(256))
-_INDEX = "segment long, term int, df long, positions binary, docs binary"
+_INDEX = "segment long, term long, df long, positions binary, docs binary"
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
+def term_key(word: bytes) -> int:
+    """A term's 64-bit hash; 0 marks a segment's documents."""
+    import xxhash
+
+    return (xxhash.xxh3_64_intdigest(word) or 1) - (1 << 63)
+
+
 class Phrases:
-    """The windows of a block of items, over the block's own numbering of terms."""
+    """The different windows of a block of items, as places in the block's tokens.
+
+    ``terms`` are the block's terms in order, ``tokens`` their numbers along the items; window ``w`` is
+    ``tokens[start[w] : start[w] + length[w]]`` and occurs in the items ``owner[first[w] : first[w + 1]]``.
+    """
 
     def __init__(self, items: list[tuple], width: int):
-        self.width, self.terms, self.items = width, {}, [i for i, _ in items]
-        self.windows: dict[tuple[int, ...], set[int]] = {}
+        import numpy as np
+
+        self.items = [i for i, _ in items]
+        keys, starts, lengths, owners, at = [], [], [], [], 0
+        known = Cache(term_key, 1_000_000)
         for k, (_, text) in enumerate(items):
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words((text or "").encode())]
-            for at in range(max(1, len(ids) - width + 1) if ids else 0):
-                self.windows.setdefault(tuple(ids[at : at + width]), set()).add(k)
+            own = [known[w] for w in words((text or "").encode())]
+            if own:
+                keys.append(np.array(own, np.int64))
+                n = max(1, len(own) - width + 1)
+                starts.append(np.arange(at, at + n))
+                lengths.append(np.full(n, min(width, len(own))))
+                owners.append(np.full(n, k))
+                at += len(own)
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        self.terms, tokens = np.unique(cat(keys), return_inverse=True)
+        self.tokens = tokens.astype(np.int32)
+        start, length, owner = cat(starts), cat(lengths), cat(owners)
+        order = np.lexsort((start, length, *(self.tokens[np.minimum(start + j, start + length - 1)] for j in range(width)))) if at else start
+        start, length, owner = start[order], length[order], owner[order]
+        same = np.zeros(len(start), bool)  # as the window before it
+        if len(start):
+            same[1:] = length[1:] == length[:-1]
+            for j in range(width):
+                own = self.tokens[np.minimum(start + j, start + length - 1)]
+                same[1:] &= own[1:] == own[:-1]
+        head = np.flatnonzero(~same)
+        self.start, self.length, self.owner = start[head], length[head].astype(np.int16), owner.astype(np.int32)
+        self.first = np.append(head, len(start))
+
+    def by_rarest(self, df) -> None:
+        """Order windows by their rarest term, given the numbers of postings of ``terms``; those with a term that never occurs are not kept."""
+        import numpy as np
+
+        rarest, least, long = np.zeros(len(self.start), np.int64), np.full(len(self.start), np.iinfo(np.int64).max), self.length.astype(np.int64)
+        for j in range(int(long.max(initial=0))):
+            own = self.tokens[self.start + np.minimum(j, long - 1)]
+            rarest, least = np.where(df[own] < least, own, rarest), np.minimum(df[own], least)
+        windows = np.flatnonzero(least > 0)
+        self.windows = windows[np.argsort(rarest[windows], kind="stable")]
+        self.edges = np.searchsorted(rarest[self.windows], np.arange(len(self.terms) + 1))
+
+    def tried(self, has) -> list[tuple[int, list[int]]]:
+        """The windows of which all terms are among those that ``has`` marks, with their tokens, starting from the rarest terms."""
+        import numpy as np
+
+        some = np.flatnonzero(has)
+        sizes = self.edges[some + 1] - self.edges[some]
+        at = np.repeat(self.edges[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        windows = self.windows[at]
+        long = self.length[windows].astype(np.int64)
+        for j in range(int(long.max(initial=0))):
+            ok = has[self.tokens[self.start[windows] + np.minimum(j, long - 1)]]
+            windows, long = windows[ok], long[ok]
+        return [(w, self.tokens[self.start[w] : self.start[w] + self.length[w]].tolist()) for w in windows.tolist()]
+
+    def owners(self, window: int) -> list[int]:
+        return self.owner[self.first[window] : self.first[window + 1]].tolist()
 
 
-def build_index(docs: DataFrame, phrases, gap: int) -> DataFrame:
-    """Segments of ``docs(doc_id, text)``: a row for each term, and one with the documents themselves (term -1)."""
+def vocabulary(items: DataFrame) -> DataFrame:
+    """(term) of all different words of ``items(text)``."""
+
+    def run(it):
+        import pyarrow as pa
+
+        for b in sliced(it):
+            yield pa.RecordBatch.from_arrays([pa.array({term_key(w) for t in text_bytes(b.column("text")) for w in words(t)}, pa.int64())], names=["term"])
+
+    return items.select("text").mapInArrow(run, "term long").distinct()
+
+
+def build_index(docs: DataFrame, terms, gap: int) -> DataFrame:
+    """Segments of ``docs(doc_id, text)``: a row for each of the sorted ``terms`` (broadcast) that occurs, and one with the documents themselves (df 0)."""
 
     def run(it):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        get, part, made = phrases.value.terms.get, TaskContext.get().partitionId(), 0
+        known, part, made = terms.value, TaskContext.get().partitionId(), 0
         held: list = []
 
+        def number(word: bytes) -> int:
+            key = term_key(word)
+            at = int(known.searchsorted(key))
+            return at if at < len(known) and known[at] == key else -1
+
+        numbers = Cache(number, 300_000)
+
         def segment():
             nonlocal held, made
             lengths = np.array([len(t) for _, t in held], np.int64)
             starts = np.concatenate(([0], np.cumsum(lengths + gap)[:-1]))
-            terms = np.concatenate([t for _, t in held])
-            places = np.arange(len(terms)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-            own = terms >= 0
-            terms, places = terms[own], places[own]
-            order = np.argsort(terms, kind="stable")
-            terms, places = terms[order], places[order].astype(np.int32)
-            found, first = np.unique(terms, return_index=True)
+            found = np.concatenate([t for _, t in held])
+            places = np.arange(len(found)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+            own = found >= 0
+            found, places = found[own], places[own]
+            order = np.argsort(found, kind="stable")
+            found, places = found[order], places[order].astype(np.int32)
+            found, first = np.unique(found, return_index=True)
             lists = np.split(places, first[1:]) if len(found) else []
             ids = np.array([(i or 0, i is not None, s, n) for (i, _), s, n in zip(held, starts.tolist(), lengths.tolist(), strict=True)], _DOC)
             key = (part << 32) | made
-            rows = [(key, -1, len(held), None, ids.tobytes()), *((key, int(t), len(x), x.tobytes(), None) for t, x in zip(found, lists, strict=True))]
+            rows = [(key, None, 0, None, ids.tobytes()), *((key, int(t), len(x), x.tobytes(), None) for t, x in zip(known[found].tolist(), lists, strict=True))]
             held, made = [], made + 1
             for k in range(0, len(rows), 20_000):
                 cols = zip(*rows[k : k + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["segment", "term", "df", "positions", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["segment", "term", "df", "positions", "docs"])
 
         size = 0
         for b in sliced(it):
             for i, t in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
                 own = words(t)
-                held.append((i, np.array([get(w, -1) for w in own], np.int32)))
+                held.append((i, np.fromiter(map(numbers.__getitem__, own), np.int32, len(own))))
                 size += len(own) + gap
                 if size >= SEGMENT_TOKENS:
                     yield from segment()
@@ -161,7 +247,7 @@ def _segments(it):
                 yield key, lists, docs
                 lists, docs = {}, None
             key = s
-            if term < 0:
+            if term is None:
                 docs = np.frombuffer(own, _DOC)
             else:
                 lists[term] = np.frombuffer(places, np.int32)
@@ -185,66 +271,71 @@ def phrase_matches(index: DataFrame, phrases, slop: int | None = None) -> DataFr
             hits: dict[int, list] = {}
             items: dict[int, set] = {}
             close: dict[int, set] = {}
-            for window, owners in p.windows.items():
-                own = [lists.get(t) for t in window]
-                if any(x is None for x in own):
-                    continue
-                at = intersect(own, list(range(len(window))))
+            own_terms = np.array(sorted(lists), np.int64)
+            at = np.searchsorted(p.terms, own_terms)
+            at = at[(at < len(p.terms)) & (p.terms[np.minimum(at, len(p.terms) - 1)] == own_terms)] if len(p.terms) else at[:0]
+            has = np.zeros(len(p.terms), bool)
+            has[at] = True
+            for window, tokens in p.tried(has):
+                own = [lists[t] for t in p.terms[tokens].tolist()]
+                at = intersect(own, list(range(len(own))))
                 if len(at):
                     for d, place in zip((np.searchsorted(docs["start"], at, "right") - 1).tolist(), at.tolist(), strict=True):
-                        hits.setdefault(d, []).append(np.arange(place, place + len(window)) - docs["start"][d])
-                        items.setdefault(d, set()).update(owners)
+                        hits.setdefault(d, []).append(np.arange(place, place + len(own)) - docs["start"][d])
+                        items.setdefault(d, set()).update(p.owners(window))
                 if slop is not None:
-                    at = near(own, len(window) + slop)
+                    at = near(own, len(own) + slop)
                     for d in np.searchsorted(docs["start"], at, "right") - 1:
-                        close.setdefault(int(d), set()).update(owners)
+                        close.setdefault(int(d), set()).update(p.owners(window))
             ids = lambda x, d: sorted({p.items[k] for k in x.get(d, ())}, key=str)
             for a in range(0, len(docs), 10_000):
                 part = range(a, min(a + 10_000, len(docs)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs["doc"][a : a + 10_000], mask=docs["known"][a : a + 10_000] == 0), pa.array([key] * len(part), pa.int64()), pa.array(list(part), pa.int32()), pa.array(docs["n"][a : a + 10_000]), pa.array([np.unique(np.concatenate(hits[d])).astype(np.int32).tobytes() if d in hits else b"" for d in part], pa.binary()), pa.array([ids(items, d) for d in part], pa.list_(pa.string())), pa.array([ids(close, d) for d in part], pa.list_(pa.string()))],
+                    [pa.array(docs["doc"][a : a + 10_000], mask=docs["known"][a : a + 10_000] == 0), pa.array([key] * len(part), pa.int64()), pa.array(list(part), pa.int32()), pa.array(docs["n"][a : a + 10_000]), pa.array([np.unique(np.concatenate(hits[d])).astype(np.int32) if d in hits else [] for d in part], pa.list_(pa.int32())), pa.array([ids(items, d) for d in part], pa.list_(pa.string())), pa.array([ids(close, d) for d in part], pa.list_(pa.string()))],
                     names=["doc_id", "segment", "row", "n_words", "hits", "items", "near_items"],
                 )
 
-    return index.mapInArrow(run, "doc_id long, segment long, row int, n_words long, hits binary, items array<string>, near_items array<string>")
+    return index.mapInArrow(run, "doc_id long, segment long, row int, n_words long, hits array<int>, items array<string>, near_items array<string>")
 
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int | None = None, block_bytes: int = BLOCK_BYTES, most_terms: int = VOCABULARY) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_words, n_hit, item_ids, near_item_ids, contaminated."""
+    import numpy as np
+
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    if blocks > 1:  # each block goes over the same rows in the same order
+    total, terms = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], vocabulary(items).count()
+    groups = max(1, -(-terms // most_terms))
+    blocks = max(groups, -(-total // block_bytes))
+    blocks = -(-blocks // groups)  # of each group
+    if groups > 1:  # each group goes over the same rows in the same order
         docs = scratch.save(docs, "documents")
-    per_block = []
-    for k in range(blocks):
-        # of bounded size: a share of the benchmark that hashing its rows gives, about block_bytes of text
-        own = [tuple(r) for r in (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)).toLocalIterator()]
-        phrases = spark.sparkContext.broadcast(Phrases(own, width))
-        index = scratch.save(build_index(docs, phrases, width + (slop or 0) + 1), f"index{k}")
+    share = lambda n, k, seed: F.lit(True) if n == 1 else F.pmod(F.xxhash64("item_id", "text", F.lit(seed)), F.lit(n)) == k
+    out = None
+    for g in range(groups):
+        group = items.where(share(groups, g, 1))
+        known = np.sort(vocabulary(group).toArrow().column("term").to_numpy())  # about most_terms numbers
+        index = scratch.save(build_index(docs, spark.sparkContext.broadcast(known), width + (slop or 0) + 1), f"index{g}")
+        df = index.where("term is not null").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row for each known term
+        by = np.argsort(df.column("term").to_numpy())
+        with_postings, postings = df.column("term").to_numpy()[by], df.column("df").to_numpy()[by]
         # a segment's rows were written by one task into one file; read them by whole segments
         dealt = index.repartition(F.col("segment")).sortWithinPartitions("segment", "term")
-        per_block.append(phrase_matches(dealt, phrases, slop))
-    if blocks == 1:
-        out = per_block[0].withColumns({"n_hit": (F.octet_length("hits") / 4).cast("long")})
-    else:
-        out = per_block[0]
-        for x in per_block[1:]:
-            out = out.union(x)
-        out = scratch.save(out, "matches")
-
-        def join_hits(hits):
-            import numpy as np
-
-            return len(np.unique(np.concatenate([np.frombuffer(bytes(h), np.int32) for h in hits])))
-
-        count = F.udf(join_hits, "long")
-        out = out.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("h"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near_items")).alias("near_items"))
-        out = out.withColumns({"n_hit": count("h"), "items": F.array_sort(F.array_distinct("items")), "near_items": F.array_sort(F.array_distinct("near_items"))})
-    return out.select("doc_id", "n_words", "n_hit", F.col("items").alias("item_ids"), F.col("near_items").alias("near_item_ids"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        for k in range(blocks):
+            # of bounded size: a share of the benchmark that hashing its rows gives, about block_bytes of text
+            phrases = Phrases([tuple(r) for r in group.where(share(blocks, k, 2)).toLocalIterator()], width)
+            own = np.zeros(len(phrases.terms), np.int64)
+            if len(with_postings):
+                at = np.minimum(np.searchsorted(with_postings, phrases.terms), len(with_postings) - 1)
+                own = np.where(with_postings[at] == phrases.terms, postings[at], 0)
+            phrases.by_rarest(own)
+            found = phrase_matches(dealt, spark.sparkContext.broadcast(phrases), slop)
+            out = found if out is None else out.union(found)
+    if groups * blocks > 1:  # a document's rows of all blocks
+        out = out.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items", "near_items")))
+    return out.withColumn("n_hit", F.size("hits").cast("long")).select("doc_id", "n_words", "n_hit", F.col("items").alias("item_ids"), F.col("near_items").alias("near_item_ids"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def _exact(found: DataFrame, *more) -> DataFrame:

@@ -54,8 +54,8 @@ def test_decontamination(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(str, decontaminate.brute_force(docs, items)))
-    for size in (1 << 20, 300):
-        found = decontaminate.match_benchmark(df, b, block_bytes=size)
+    for size, terms in ((1 << 20, 1000), (300, 1000), (300, 40)):
+        found = decontaminate.match_benchmark(df, b, block_bytes=size, most_terms=terms)
         rows = [(r["doc_id"], r["n_words"], r["n_hit"], len(r["item_ids"]), hashlib.sha256(",".join(x for x in r["item_ids"] if x is not None).encode()).hexdigest(), r["contaminated"]) for r in found.collect()]
         assert sorted(map(str, rows)) == want
     assert decontaminate.match_benchmark(df.limit(0), b).count() == 0
