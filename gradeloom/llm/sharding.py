@@ -1,13 +1,18 @@
 """Operator 6: sharding by balanced label propagation.
 
 Documents that share a link key (for the query: equal texts) are neighbours. Each starts in a shard that
-its id decides. In each round every document asks for the shard where most of its neighbours are (two
-joins: shards onto link keys, counted for each key and shard, and the keys' choices back onto documents)
-and moves if the shard asked for has room: requests beyond a shard's free quota are turned down, whole
-keys at a time. Documents without neighbours are free, they never ask and fill what is left in the end.
-Then sizes are made exact: shards with too many linked documents give the last of them up, and free
-documents go wherever there is room. Numbers that need an order over all rows come from counts of
-(bucket, shard) and ranks inside buckets, never from one sort in one task.
+its id decides. Groups of neighbours of more than a quarter of a shard are cut into pieces of about that
+size, so that no key is hot; every other group is one piece. In each round, every piece that has not settled
+asks for the shard, of those with room, where most of its neighbours are (joins of pieces with their keys'
+votes), and settles there as a whole if the shard's quota allows: of the pieces that ask, in an order that a
+hash draws anew in each round, those that still fit are taken. What has settled stays and counts against the
+quota; larger pieces come first, and those of groups that had to be cut before all others, while shards have
+room to hold several. Rounds go on until all pieces have settled or none fits anywhere. Rows without neighbours are free, and
+so are those of the last pieces that fit nowhere whole: they fill what is left, so sizes are exact and no
+settled row is moved again.
+
+Numbers that need an order over all rows come from counts of (bucket, shard) and ranks inside buckets,
+never from one sort in one task.
 
 Defined cases: a null text has size 1 and the crc of no bytes, and equals empty texts; null doc_ids and
 rows that repeat are placed each for itself (in an order that their hash decides); an empty table gives
@@ -22,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 SHARDS = 16
-ROUNDS = 4
 BUCKET_ROWS = 50_000
+#: pieces of a large group are about this share of a shard
+PIECE = 4
+_COINS = 1024
 
 
 def ranked(rows: DataFrame, group: list[str], order: list[str], bucket: str, name: str, scratch: Scratch) -> DataFrame:
@@ -44,84 +51,105 @@ def quotas(total: int, shards: int) -> list[int]:
     return [total // shards + (s < total % shards) for s in range(shards)]
 
 
-def _pick(values: list[int], at):
-    return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), at + 1)
+def taken(asking: dict[int, dict[int, int]], room: list[int]) -> dict[int, list[int]]:
+    """For each shard the coins whose pieces it takes, in order while they fit, given rows by shard and coin."""
+    out = {}
+    for s, by_coin in asking.items():
+        left, own = room[s], []
+        for coin in sorted(by_coin):
+            if by_coin[coin] <= left:
+                left -= by_coin[coin]
+                own.append(coin)
+        if own:
+            out[s] = own
+    return out
 
 
-def propagate(links: DataFrame, shards: int, room: list[int], rounds: int, scratch: Scratch) -> DataFrame:
-    """Label propagation over ``links(row, key, shard)``: the same rows with the shards that they have moved to.
+def propagate(pieces: DataFrame, room: list[int], scratch: Scratch) -> DataFrame:
+    """Label propagation over ``pieces(key, piece, size, start, parts)``: the same with ``at``, the shard where the piece has settled (null if nowhere).
 
-    A row is a document's number, ``shard`` where it starts. ``room`` are the shards' quotas.
+    ``start`` counts the piece's rows by the shards where they begin, ``parts`` into how many pieces its key
+    was cut; ``room`` are the shards' quotas.
     """
-    state = links
-    for step in range(rounds):
-        votes = state.groupBy("key", "shard").agg(F.count("*").alias("votes"))
-        # ties go to shards in an order that the key decides, so that they don't all meet in one shard
-        choice = votes.groupBy("key").agg(F.max_by("shard", F.struct("votes", F.pmod(F.col("shard") + F.xxhash64("key"), F.lit(shards)))).alias("wanted"), F.sum("votes").alias("size"))
-        choice = scratch.save(choice, "choice")
-        wanting = votes.join(choice, "key").groupBy("shard", "wanted").agg(F.sum("votes").alias("n")).collect()  # shards x shards numbers
-        load, asked = [0] * shards, [0] * shards
-        for r in wanting:
-            load[r["shard"]] += r["n"]
-            asked[r["wanted"]] += r["n"]
-        # keys in full: of all that want a shard, so many stay or move there that it keeps its quota
-        share = [min(1.0, room[s] / asked[s]) if asked[s] else 1.0 for s in range(shards)]
-        bound = F.element_at(F.array(*(F.lit(x) for x in share)), F.col("wanted") + 1)
-        coin = F.pmod(F.xxhash64("key", F.lit(step)), F.lit(1_000_003)) / F.lit(1_000_003)
-        # a key of more rows than a twentieth of a shard moves in part, the others at once
-        large = F.col("size") > max(1, min(room) // 20)
-        moves = choice.select("key", "wanted", large.alias("large"), (coin < bound).alias("goes"), bound.alias("bound"))
-        own = F.pmod(F.xxhash64("row", "key", F.lit(step)), F.lit(1_000_003)) / F.lit(1_000_003)
-        moved = F.when(F.when(F.col("large"), own < F.col("bound")).otherwise(F.col("goes")), F.col("wanted")).otherwise(F.col("shard"))
-        new = scratch.save(state.join(moves, "key").select("row", "key", moved.alias("shard")), "state")
-        scratch.drop(choice)
-        if state is not links:
-            scratch.drop(state)
-        state = new
-        if all(r["shard"] == r["wanted"] for r in wanting):
+    shards, room, step, cut_first = len(room), list(room), 0, True
+    most = max(1, room[-1] // PIECE)
+    state = pieces.withColumn("at", F.lit(None).cast("int"))
+    of_key = Window.partitionBy("key")  # a key has at most PIECE * shards pieces, and a few
+    while True:
+        # a neighbour's vote is where it has settled, else where it begins
+        votes = [F.sum(F.when(F.col("at").isNull(), F.element_at("start", s + 1)).when(F.col("at") == s, F.col("size")).otherwise(0)).over(of_key) for s in range(shards)]
+        voted = state.select("key", "piece", "size", "start", "parts", "at", F.array(*votes).alias("votes"))
+        open_ = [s for s in range(shards) if room[s] > 0]
+        if not open_:
             break
-    return state
+        # ties go to shards in an order that the piece decides, so that they don't all meet in one shard
+        options = F.array(*(F.struct((F.col("size") <= room[s]).alias("fits"), F.element_at("votes", s + 1).alias("votes"), F.pmod(F.xxhash64("key", F.lit(s)), F.lit(1 << 20)).alias("tie"), F.lit(s).alias("shard")) for s in open_))
+        asks = F.col("at").isNull() & (F.col("parts") > 1) if cut_first else F.col("at").isNull()
+        class_ = F.least(F.lit(15), F.floor(F.log2(F.greatest(F.lit(1.0), F.lit(most) / F.col("size")))))
+        asked = voted.select("key", "piece", "size", "start", "parts", "at", F.when(asks, F.array_max(options)["shard"]).alias("wanted"), (class_ * (_COINS // 16) + F.pmod(F.xxhash64("key", "piece", F.lit(step)), F.lit(_COINS // 16))).cast("int").alias("coin"))
+        asked = scratch.save(asked, "asked")
+        asking: dict[int, dict[int, int]] = {}
+        for r in asked.where("wanted is not null").groupBy("wanted", "coin").agg(F.sum("size").alias("n")).collect():  # at most shards x _COINS rows
+            asking.setdefault(r["wanted"], {})[r["coin"]] = r["n"]
+        if not (take := taken(asking, room)):
+            if cut_first:
+                cut_first = False
+                continue
+            break
+        goes = F.lit(False)
+        for s, coins in take.items():
+            goes = goes | ((F.col("wanted") == s) & F.col("coin").isin(coins))
+            room[s] -= sum(asking[s][c] for c in coins)
+        new = scratch.save(asked.select("key", "piece", "size", "start", "parts", F.when(F.col("at").isNull() & goes, F.col("wanted")).otherwise(F.col("at")).alias("at")), "state")
+        scratch.drop(asked, *([state] if step else []))
+        state, step = new, step + 1
+    return state.select("key", "piece", "size", "at")
+
+
+def cut_links(rows: DataFrame, shard: str = "shard", key: str = "key") -> int:
+    """How many pairs of rows of the same key lie in different shards."""
+    sizes = rows.groupBy(key, shard).agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    pairs = lambda n: n * (n - 1) / 2
+    by_key = sizes.groupBy(key).agg(pairs(F.sum("n")).alias("every"), F.sum(pairs(F.col("n"))).alias("kept"))
+    return int(by_key.agg(F.coalesce(F.sum(F.col("every") - F.col("kept")), F.lit(0))).first()[0])
 
 
-def shard_by_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def shard_by_rows(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Shards of ``docs(doc_id, text)`` under the law ``rows``: counts differ by one at most.
 
-    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law) and key, the
-    text's digest.
+    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), key (the
+    text's digest) and start (the shard where the row began).
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("key"))
     # a number for each row, which stays with it from here on
-    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("start", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))
+    rows = scratch.save(rows, "rows")
     total = rows.count()
-    keys = scratch.save(rows.groupBy("key").agg(F.count("*").alias("links")).where("links > 1"), "keys")
     room, buckets = quotas(total, shards), max(1, -(-total // (shards * bucket_rows)))
-    start = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
-    linked = scratch.save(rows.join(keys, "key").select("row", "key", start.alias("shard")), "linked")
-    placed = propagate(linked, shards, room, rounds, scratch)
-
-    # the last linked rows of shards that have too many become free; ranks go by text, so few texts are cut
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    placed = ranked(placed, ["shard"], ["key", "row"], "bucket", "place", scratch)
-    placed = scratch.save(placed.where(F.col("place") < _pick(room, F.col("shard"))).select("row", "shard"), "kept")
-    load = dict(placed.groupBy("shard").count().collect())
-    gaps = [room[s] - load.get(s, 0) for s in range(shards)]
-    free = rows.join(placed, "row", "left_anti").select("row", F.lit(0).alias("all"), F.pmod(F.xxhash64("row"), F.lit(buckets * shards)).alias("bucket"))
+    most = max(1, room[-1] // PIECE)
+    # less than PIECE x shards + shards keys have more rows than a piece
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    large = scratch.save(large, "large")
+    cut = rows.join(F.broadcast(large), "key", "left").withColumn("piece", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")))
+    pieces = cut.groupBy("key", "piece").agg(F.count("*").alias("size"), F.coalesce(F.first("parts"), F.lit(1)).alias("parts"), F.array(*(F.count_if(F.col("start") == s) for s in range(shards))).alias("start")).where("size > 1 or parts > 1")
+    placed = propagate(scratch.save(pieces, "pieces"), room, scratch).where("at is not null").select("key", "piece", "at")
+    where = scratch.save(cut.select("row", "key", "piece").join(placed, ["key", "piece"], "left").select("row", "at"), "placed")
+
+    load = dict(where.where("at is not null").groupBy("at").count().collect())
+    free = where.where("at is null").select("row", F.lit(0).alias("all"), F.pmod(F.xxhash64("row"), F.lit(buckets * shards)).alias("bucket"))
     free = ranked(free, ["all"], ["row"], "bucket", "place", scratch)
-    ends, at = [], 0
-    for g in gaps:
-        at += g
-        ends.append(at)
-    shard = F.lit(shards - 1)
+    shard, end = F.lit(shards - 1), sum(room) - sum(load.values())
     for s in reversed(range(shards - 1)):
-        shard = F.when(F.col("place") < ends[s], s).otherwise(shard)
-    where = scratch.save(placed.union(free.select("row", shard.cast("int").alias("shard"))), "where")
+        end -= room[s + 1] - load.get(s + 1, 0)
+        shard = F.when(F.col("place") < end, s).otherwise(shard)
+    where = where.where("at is not null").select("row", F.col("at").alias("shard")).union(free.select("row", shard.cast("int").alias("shard")))
 
-    out = rows.join(where, "row").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    out = ranked(scratch.save(out, "sharded"), ["shard"], ["doc_id", "row"], "bucket", "slot", scratch)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "key")
+    out = rows.join(where, "row").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    out = ranked(scratch.save(out, "sharded"), ["shard"], ["row"], "bucket", "slot", scratch)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "key", "start")
 
 
 def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_by_rows(table(spark, sf_dir, "documents")).drop("key")
+    return shard_by_rows(table(spark, sf_dir, "documents")).drop("key", "start")
