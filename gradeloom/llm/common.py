@@ -105,6 +105,12 @@ def crc_fold(doc_id, mod: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
 
 
+def refuse_clashes(keep, results) -> None:
+    """Kept columns must not have the name of a result: neither could be told from the other."""
+    if both := [c for c in keep if c.lower() in {r.lower() for r in results}]:
+        raise ValueError(f"rename the columns {both} first: the results have these names")
+
+
 class Cache(dict):
     """A dict that fills itself by ``make``; beyond ``most`` entries or ``size`` key units only those used since it was last full stay."""
 

@@ -7,16 +7,18 @@ cosine; the nearest centroid's language is predicted.
 
 Document frequencies come from all documents that may be learned from. The clustering uses a bounded
 sample of them: at most ``sample`` documents of each language in expectation (by a hash of the id), and
-at most ``most`` in all, whatever the corpus.
+at most ``most`` in all, whatever the corpus. Each language is clustered in a task of its own.
 
-Distance-based rejection: a document is rejected if its nearest centroid is further than any clustered
-document of that language was from its own by a margin (``slack``), with the length taken into account:
-short texts lie further away. Similarities below ``FLOOR`` are always rejected. Rejected documents keep their predicted language; ``und`` is only given
+Distance-based rejection: all documents that may be learned from are measured against the centroids of
+their own language. A document is rejected if its nearest centroid is further than all but the share
+``OUTLIERS`` of that language's documents of the same class of length lie (short texts lie further away); a
+class of fewer than ``LEAST_DOCS`` documents takes the bound of the next shorter one. Similarities below
+``FLOOR`` are always rejected. Rejected documents keep their predicted language; ``und`` is only given
 to texts without a letter, which are rejected too.
 
 Defined cases: null and empty texts are ``und`` with score 0; documents with a null language are not
 learned from; if nothing can be learned every document is ``und``; rows that repeat are predicted each
-for itself; other columns are not read.
+for itself; other columns are not read; kept columns with the name of a result are refused.
 """
 
 from __future__ import annotations
@@ -24,14 +26,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_id, held, sliced, table
+from .common import fold_id, held, refuse_clashes, sliced, spread, table
 
 DIMENSIONS = 8192
 CLUSTERS = 4
 SAMPLE = 500
 MOST = 20_000
-SLACK = 0.3
+#: share of a language's documents that lie too far from its centroids
+OUTLIERS = 0.003
+LEAST_DOCS = 300
 FLOOR = 0.03
+_BINS = 500
 #: lower bounds of classes of lengths (in n-grams) that have thresholds of their own
 LENGTHS = (0, 20, 60, 180, 540, 1620)
 SHARPNESS = 12.0
@@ -146,10 +151,50 @@ class Centroids:
         return self.langs[k], float(min(1.0, 1 / e.sum())), float(min(1.0, max(0.0, best[k]))), bool(best[k] < self.nearest[k][_length_class(counts.sum())])
 
 
-def learn(learnable: DataFrame, sample: int = SAMPLE, most: int = MOST, clusters: int = CLUSTERS, dimensions: int = DIMENSIONS, slack: float = SLACK) -> Centroids:
+def _similarities(learnable: DataFrame, model: Centroids, dimensions: int) -> list[tuple[str, int, int, int]]:
+    """(language, class of length, bin of similarity to the own language's centroids, documents) over all of ``learnable``."""
+    import numpy as np
+
+    tables = learnable.sparkSession.sparkContext.broadcast(model)
+
+    def run(it):
+        import pyarrow as pa
+
+        grams, m, seen = held(Grams, dimensions), tables.value, {}
+        of = {lang: m.centroids[m.owners == k] for k, lang in enumerate(m.langs)}
+        for b in sliced(it):
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if lang in of and (c := grams.counts(text or "")) is not None:
+                    near = float((of[lang] @ _weigh(c, m.idf)).max())
+                    key = lang, _length_class(c.sum()), int(min(_BINS - 1, max(0, near * _BINS)))
+                    seen[key] = seen.get(key, 0) + 1
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in seen], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int32()))), pa.array([*seen.values()], pa.int64())], names=["lang", "length", "bin", "n"])
+
+    found = learnable.mapInArrow(run, "lang string, length int, bin int, n long").groupBy("lang", "length", "bin").agg(F.sum("n")).collect()  # at most languages x lengths x bins rows
+    return [tuple(r) for r in found]
+
+
+def bounds(counts: list[tuple[int, int, int]], outliers: float, least_docs: int) -> list[float]:
+    """The least similarity that is not rejected in each class of lengths, from (class, bin, documents)."""
+    out, low = [], FLOOR
+    for k in range(len(LENGTHS)):
+        own = sorted((b, n) for length, b, n in counts if length == k)
+        if (total := sum(n for _, n in own)) >= least_docs:
+            at = 0
+            for b, n in own:
+                at += n
+                if at > outliers * total:
+                    low = max(FLOOR, b / _BINS)
+                    break
+        out.append(low)
+    return out
+
+
+def learn(learnable: DataFrame, sample: int = SAMPLE, most: int = MOST, clusters: int = CLUSTERS, dimensions: int = DIMENSIONS, outliers: float = OUTLIERS, least_docs: int = LEAST_DOCS) -> Centroids:
     """Centroids of ``learnable(doc_id, text, lang)``."""
     import numpy as np
 
+    learnable = spread(learnable)
     sizes, df = _statistics(learnable, dimensions)
     langs = sorted(sizes)
     if not langs:
@@ -166,36 +211,36 @@ def learn(learnable: DataFrame, sample: int = SAMPLE, most: int = MOST, clusters
 
         grams = held(Grams, dimensions)
         for b in sliced(it):
-            rows = [(lang, c) for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if (c := grams.counts(text or "")) is not None]
-            if rows:
-                at = [np.flatnonzero(c) for _, c in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([a.astype(np.uint16 if dimensions <= 65536 else np.uint32).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.uint32).tobytes() for (_, c), a in zip(rows, at, strict=True)], pa.binary())], names=["lang", "at", "n"])
-
-    by_lang: dict[str, list] = {x: [] for x in langs}
-    for lang, at, n in learnable.where(drawn).mapInArrow(run, "lang string, at binary, n binary").toLocalIterator():
-        c = np.zeros(dimensions, np.int64)
-        c[np.frombuffer(at, np.uint16 if dimensions <= 65536 else np.uint32)] = np.frombuffer(n, np.uint32)
-        by_lang[lang].append((_weigh(c, idf), c.sum()))
-    langs = [x for x in langs if by_lang[x]]
-    owners, centroids, nearest = [], [], []
-    for k, lang in enumerate(langs):
-        vectors = np.stack([v for v, _ in by_lang[lang]])
+            rows = [(i, lang, np.flatnonzero(c), c) for i, lang, text in zip(b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if (c := grams.counts(text or "")) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([at.astype(np.uint32).tobytes() for *_, at, _ in rows], pa.binary()), pa.array([c[at].astype(np.uint32).tobytes() for *_, at, c in rows], pa.binary())], names=["doc_id", "lang", "at", "n"])
+
+    def clustered(key, rows):
+        import pyarrow as pa
+
+        rows = rows.sort_by([("doc_id", "ascending"), ("at", "ascending"), ("n", "ascending")])
+        vectors = np.zeros((rows.num_rows, dimensions), np.float32)
+        for v, at, n in zip(vectors, rows.column("at").to_pylist(), rows.column("n").to_pylist(), strict=True):
+            v[np.frombuffer(at, np.uint32)] = np.frombuffer(n, np.uint32)
+        vectors = np.sqrt(vectors) * idf
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         own = cluster(vectors, clusters)
-        near = (vectors @ own.T).max(axis=1)
-        classes = np.array([_length_class(n) for _, n in by_lang[lang]])
-        low, bounds = FLOOR, []
-        for j in range(len(LENGTHS)):  # longer texts are not held to less than shorter ones
-            least = near[classes == j].min() * slack if (classes == j).sum() >= 5 else low
-            low = max(low, least)
-            bounds.append(low)
-        owners += [k] * len(own)
-        centroids.append(own)
-        nearest.append(bounds)
-    return Centroids(idf, langs, np.array(owners), np.concatenate(centroids) if centroids else None, nearest)
+        return pa.table([pa.array([key[0].as_py()] * len(own), pa.string()), pa.array([c.tobytes() for c in own], pa.binary())], names=["lang", "centroid"])
+
+    rows = learnable.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(drawn).mapInArrow(run, "doc_id long, lang string, at binary, n binary")
+    # clusters rows for each language, of dimensions numbers
+    found = sorted((r["lang"], bytes(r["centroid"])) for r in rows.groupBy("lang").applyInArrow(clustered, "lang string, centroid binary").collect())
+    langs = sorted({lang for lang, _ in found})
+    if not langs:
+        return Centroids(None, [], None, None, None)
+    model = Centroids(idf, langs, np.array([langs.index(lang) for lang, _ in found]), np.stack([np.frombuffer(c, np.float32) for _, c in found]), None)
+    seen = _similarities(learnable, model, dimensions)
+    model.nearest = [bounds([r[1:] for r in seen if r[0] == lang], outliers, least_docs) for lang in langs]
+    return model
 
 
 def identify(docs: DataFrame, model: Centroids, keep: list[str], text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """The kept columns of ``docs`` and lang_pred, score, similarity, rejected; one pass without a shuffle."""
+    refuse_clashes(keep, ("lang_pred", "score", "similarity", "rejected"))
     tables = docs.sparkSession.sparkContext.broadcast(model)  # (languages x clusters + 1) x dimensions numbers
     own = docs.select(*dict.fromkeys([*keep, text]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*keep).schema.fields)
@@ -217,6 +262,6 @@ def learnable(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     found = identify(docs, learn(learnable(docs)), ["doc_id"])
     return found.select("doc_id", (fold_id("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "similarity", "rejected")

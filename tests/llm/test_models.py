@@ -207,3 +207,67 @@ def test_toxicity_knows_inflected_stems(spark):
 def test_threshold_lies_between(histogram):
     at, steep = toxicity._threshold(histogram, 0.0, 1.0)
     assert 10 < at < 101 and steep > 0
+
+
+def test_language_bounds_come_from_quantiles():
+    counts = [(2, b, 10) for b in range(100, 200)] + [(3, 50, 5), (4, 40, 1), (4, 300, 999)]
+    got = language_id.bounds(counts, 0.02, 300)
+    assert got[:2] == [language_id.FLOOR] * 2 and got[2] == 102 / 500
+    assert got[3] == got[2]  # too few documents for a bound of their own
+    assert got[4] == 300 / 500 and got[5] == got[4]
+
+
+def test_language_rejects_what_lies_far(spark):
+    rng = random.Random(3)
+    docs = corpus(3000, 2) + [(20_000 + i, " ".join("".join(rng.choice("qxzkvwj") for _ in range(rng.randint(2, 9))) for _ in range(30)), None) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    rows = language_id.identify(df, language_id.learn(language_id.learnable(df)), ["doc_id"]).collect()
+    assert all(r["rejected"] for r in rows if r["doc_id"] >= 20_000)
+    clean = [r for r in rows if r["doc_id"] < 20_000]
+    assert sum(r["rejected"] for r in clean) <= 0.01 * len(clean)
+
+
+def test_nearest_centroid_by_brute_force(spark):
+    """Predictions by sums over letter n-grams and dictionaries of centroids."""
+    import numpy as np
+
+    df = spark.createDataFrame(corpus(200, 5), "doc_id long, text string, lang string")
+    model = language_id.learn(language_id.learnable(df))
+    grams = language_id.Grams()
+    for r in language_id.identify(df, model, ["text"]).collect():
+        v = [np.sqrt(c) * w for c, w in zip(grams.counts(r["text"]), model.idf)]
+        near = [sum(a * b for a, b in zip(v, c) if a) / np.sqrt(sum(a * a for a in v)) for c in model.centroids]
+        assert r["lang_pred"] == model.langs[model.owners[int(np.argmax(near))]] and abs(r["similarity"] - max(near)) < 1e-4
+
+
+def test_pii_is_linear_in_the_text():
+    import time
+
+    text = "mail a1@ex.com and (212) 555 1234, 4111-1111-1111-1111 or 10[.]2[.]3[.]4 " * 14_000
+    start = time.process_time()
+    base, every = pii.spans(text, {})
+    once = time.process_time() - start
+    start = time.process_time()
+    pii.spans(text * 2, {})
+    assert len(text) > 1_000_000 and len(base) == 28_000 and time.process_time() - start < 4 * once + 1
+
+
+def test_loose_spans_leave_out_what_meets_base_spans():
+    rng = random.Random(6)
+    pieces = ["a@b.c ", "(212) 555-1234 ", "212 555 1234", "+1 212 555 1234 ", "a [at] b [dot] com ", "1234.5678.9012.3456", "4111 1111 1111 1111 ", "1[.]2[.]3[.]4 ", " x "]
+    for _ in range(2000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 8)))
+        base = pii.base_spans(text)
+        want = [s for s in pii._loose_spans(text, []) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+        assert pii._loose_spans(text, base) == want
+
+
+def test_clashing_kept_columns_are_refused(spark):
+    from gradeloom.llm import token_counts
+
+    docs = spark.createDataFrame([(1, "some text", 0.5, "x", 3)], "doc_id long, text string, Score double, spans string, n_tokens long")
+    for call in (lambda: language_id.identify(docs, language_id.Centroids(None, [], None, None, None), ["Score"]), lambda: pii.find_pii(docs, {}, ["doc_id", "spans"]), lambda: token_counts.count_tokens(docs, keep=("n_tokens",))):
+        with pytest.raises(ValueError, match="rename"):
+            call()
+    # columns that are not kept do no harm
+    assert language_id.identify(docs, language_id.Centroids(None, [], None, None, None), ["doc_id"]).count() == pii.find_pii(docs, {}, ["doc_id"]).count() == token_counts.count_tokens(docs).count() == 1
