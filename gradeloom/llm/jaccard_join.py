@@ -27,20 +27,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, sliced, table, text_bytes
+from .common import Scratch, held, sliced, spread, table, text_bytes
 from .components import components
 from .shingles import Shingler
 
-#: bits of a shingle's hash that candidates are found by, for inputs of up to 64 GB and beyond: so many that
-#: about a hundredth of the shingles at most meet another one by chance. Verification takes all 64.
-KEY_BITS = (40, 48)
+#: bits of a shingle's hash that candidates are found by; verification takes all 64
+KEY_BITS = 48
 CHUNK_SHINGLES = 1_000_000
 CHUNK_DOCS = 30_000
 #: from so many documents of a chunk on, a shingle travels as one entry with a count
 LOCALLY_HOT = 64
 PARTS = 64
 HUB_ROUNDS = 3
-_SCAN = "chunk long, part int, idx int, doc_id long, digest binary, n long, data binary"
+_SCAN = "chunk long, part int, idx int, doc_id long, digest binary, n long, m long, data binary"
 
 
 def _part_bits(docs: DataFrame, part_bytes: int = 4 << 20) -> int:
@@ -49,10 +48,6 @@ def _part_bits(docs: DataFrame, part_bytes: int = 4 << 20) -> int:
     return min(20, max(6, (size // part_bytes).bit_length()))
 
 
-def _key_bits(part_bits: int) -> int:
-    return KEY_BITS[part_bits > 14]
-
-
 def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
     """A row for each document (part is null) and one for each block of a chunk.
 
@@ -60,9 +55,7 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
     shingles with the documents that have them.
     """
 
-    key_bits = _key_bits(part_bits)
-    low = key_bits - 32
-    low_type = f"u{low // 8}"
+    key_bits, low = KEY_BITS, KEY_BITS - 32
 
     def run(it):
         import pickle
@@ -73,8 +66,8 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
         from pyspark import TaskContext
 
         shingler, part = held(Shingler, k), TaskContext.get().partitionId()
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
-        names = ["chunk", "part", "idx", "doc_id", "digest", "n", "data"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        names = ["chunk", "part", "idx", "doc_id", "digest", "n", "m", "data"]
         made, size, docs_, keys_ = 0, 0, [], []
 
         def batch(rows):
@@ -82,7 +75,7 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
 
         def flush():
             chunk = (part << 24) | made
-            yield batch([(chunk, None, i, d, h, n, None) for i, (d, h, n) in enumerate(docs_)])
+            yield batch([(chunk, None, i, d, h, n, len(k), None) for i, ((d, h, n), k) in enumerate(zip(docs_, keys_, strict=True))])
             idx = np.repeat(np.arange(len(keys_), dtype=np.uint16), [len(x) for x in keys_])
             keys = np.concatenate(keys_)
             order = np.argsort(keys, kind="stable")
@@ -93,7 +86,7 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
             hot_keys, hot_counts = found[hot], counts[hot].astype(np.uint32)
             rows = []
             if hot.any():
-                rows.append((chunk, -1, None, None, None, None, pickle.dumps((hot_keys, hot_counts, idx[~cold]), protocol=5)))
+                rows.append((chunk, -1, None, None, None, None, None, pickle.dumps((hot_keys, hot_counts, idx[~cold]), protocol=5)))
             keys, idx = keys[cold], idx[cold]
             edges = (np.arange((1 << part_bits) + 1, dtype=np.uint64) << np.uint64(key_bits - part_bits)).astype(np.uint64)
             at, at_hot = np.searchsorted(keys, edges), np.searchsorted(hot_keys, edges)
@@ -102,7 +95,7 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
                 if b > a or d > c:
                     step = np.diff((keys[a:b] >> np.uint64(low)).astype(np.uint32), prepend=np.uint32(int(edges[p]) >> low))
                     step = step.astype(np.uint16) if not len(step) or step.max() < 65536 else step
-                    rows.append((chunk, p, None, None, None, None, pickle.dumps((step, keys[a:b].astype(low_type), idx[a:b], hot_keys[c:d], hot_counts[c:d]), protocol=5)))
+                    rows.append((chunk, p, None, None, None, None, None, pickle.dumps((step, keys[a:b].astype(np.uint16), idx[a:b], hot_keys[c:d], hot_counts[c:d]), protocol=5)))
             for r in range(0, len(rows), 256):
                 yield batch(rows[r : r + 256])
 
@@ -124,8 +117,7 @@ def _scan(docs: DataFrame, k: int, part_bits: int) -> DataFrame:
 def _repeated(blocks: DataFrame, part_bits: int) -> DataFrame:
     """For each chunk, its entries whose shingle occurs in more documents, with the number of documents."""
 
-    key_bits = _key_bits(part_bits)
-    low_bits = key_bits - 32
+    key_bits, low_bits = KEY_BITS, KEY_BITS - 32
 
     def run(key, rows):
         import pickle
@@ -160,7 +152,7 @@ def _repeated(blocks: DataFrame, part_bits: int) -> DataFrame:
 def _postings(nodes: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
     """Postings (h, node, n, pos) of the nodes' prefixes, from their chunks.
 
-    ``nodes``: (chunk, idx, node, n); ``repeated``: (chunk, hot, data), where ``hot`` marks the chunk's own
+    ``nodes``: (chunk, idx, node, n, m), with m the number of different keys; ``repeated``: (chunk, hot, data), where ``hot`` marks the chunk's own
     locally hot shingles.
     """
 
@@ -194,10 +186,9 @@ def _postings(nodes: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
         if not keys or not own.num_rows:
             return schema.empty_table()
         keys, idx, df = np.concatenate(keys), np.concatenate(idx), np.concatenate(df)
-        sizes = np.zeros(65536, np.int64)
-        names = np.zeros(65536, np.int64)
+        sizes, different, names = (np.zeros(65536, np.int64) for _ in range(3))
         at = own.column("idx").to_numpy()
-        sizes[at], names[at] = own.column("n").to_numpy(), own.column("node").to_numpy()
+        sizes[at], different[at], names[at] = (own.column(c).to_numpy() for c in ("n", "m", "node"))
         mine = sizes[idx] > 0
         keys, idx, df = keys[mine], idx[mine], df[mine]
         order = np.lexsort((keys, df, idx))
@@ -205,8 +196,9 @@ def _postings(nodes: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
         starts = np.searchsorted(idx, np.arange(65537))
         count = np.diff(starts)
         n = sizes[idx]
-        # shingles that occur once stand first; two of a set with the same key count among them
-        pos = (n - count[idx]) + np.arange(len(idx)) - starts[idx]
+        # shingles that occur once stand first. Shingles of a set that share a key count once, so a position is
+        # never later than the shingle's own: prefixes are no shorter, and the positional filter loses nothing
+        pos = (different[idx] - count[idx]) + np.arange(len(idx)) - starts[idx]
         keep = pos < n - (-(-percent * n // 100)) + 1
         return pa.table([pa.array(keys[keep].astype(np.int64)), pa.array(names[idx[keep]]), pa.array(n[keep]), pa.array(pos[keep])], schema=schema)
 
@@ -261,14 +253,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     part_bits = _part_bits(docs)
-    scan = scratch.save(_scan(docs, k, part_bits), "scan")
-    rows = scratch.save(scan.where("part is null").select("chunk", "idx", "doc_id", "digest", "n"), "rows")
+    scan = scratch.save(_scan(spread(docs), k, part_bits), "scan")
+    rows = scratch.save(scan.where("part is null").select("chunk", "idx", "doc_id", "digest", "n", "m"), "rows")
     known = rows.where("n > 0 and doc_id is not null")
     classes = scratch.save(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
 
     repeated = _repeated(scan.where("part >= 0").select("part", "chunk", "data"), part_bits)
     repeated = repeated.select("chunk", F.lit(False).alias("hot"), "data").union(scan.where("part = -1").select("chunk", F.lit(True).alias("hot"), "data"))
-    nodes = known.join(classes, "digest").where("doc_id = node").select("chunk", "idx", "node", "n")
+    nodes = known.join(classes, "digest").where("doc_id = node").select("chunk", "idx", "node", "n", "m")
     postings = scratch.save(_postings(nodes, repeated, percent), "postings")
     scratch.drop(scan)
     shared = postings.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").select("h", "hub")
