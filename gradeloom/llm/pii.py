@@ -12,7 +12,8 @@ Spans are in code points, the end exclusive. Per kind they don't overlap, and a
 overlaps any base span is left out.
 
 Defined cases: a null text has no spans; a text of any length is read whole, in time linear in it; rows
-that repeat are read each for itself; a kind without candidates gets no classifier and no added span.
+that repeat are read each for itself; a kind without candidates gets no classifier and no added span;
+other columns are not read, and kept columns with the name of a result are refused.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, table
+from .common import refuse_clashes, sliced, spread, table
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.5
@@ -92,12 +94,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def _loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     out = []
+    # the union of the base spans, as places in order where it begins and ends
+    edges: list[int] = []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if edges and a <= edges[-1]:
+            edges[-1] = max(edges[-1], b)
+        else:
+            edges += (a, b)
     kinds = (["email"] if "[" in text or "(" in text else []) + (["ip", "card", "phone"] if _DIGIT.search(text) else [])
     for kind in kinds:
         for m in _LOOSE[kind].finditer(text):
             if kind == "ip" and not _octets(re.findall(r"[0-9]+", m[0])):
                 continue
-            if not any(a < m.end() and m.start() < b for _, a, b in base):
+            at = bisect_right(edges, m.start())  # odd inside the union
+            if at % 2 == 0 and (at == len(edges) or edges[at] >= m.end()):
                 out.append((kind, *m.span()))
     return out
 
@@ -182,7 +192,6 @@ def fit(rows: list[tuple[tuple[int, ...], tuple[int, ...], float]], rounds: int
     x = np.array([_vector(v, f) for v, f, _ in rows])
     y = np.array([truth[v] for v, _, _ in rows])
     c = np.array([c for *_, c in rows], float)
-    c *= min(1.0, 1e4 / c.sum())
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -236,6 +245,7 @@ def _written(own: list) -> str:
 
 def find_pii(docs: DataFrame, model: dict[str, list[float]], keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, counts of base spans by kind, base_sha256 and spans; one pass without a shuffle."""
+    refuse_clashes(keep, (*(f"n_{k}" for k in KINDS), "base_sha256", "spans"))
     own = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([*own.select(*keep).schema.fields, *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
@@ -272,5 +282,5 @@ def redact(docs: DataFrame, model: dict[str, list[float]], text: str = "text") -
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return find_pii(docs, learn(docs), ["doc_id"])

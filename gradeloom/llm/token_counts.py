@@ -10,7 +10,8 @@ No vocabulary entry has the word mark after another character, so encodings neve
 a word: tables are made once for each distinct word and joined.
 
 Defined cases: a null or empty text has no tokens; text of any length is counted whole; rows that
-repeat are counted each for itself; any other columns are left out unless named in ``keep``.
+repeat are counted each for itself; any other columns are left out unless named in ``keep``, and kept columns
+with the name of a result are refused.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, held, table, tokenizer_path
+from .common import Cache, held, refuse_clashes, sliced, spread, table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -133,6 +134,7 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     One pass without a shuffle; a task holds one Arrow batch and a bounded cache of words.
     """
+    refuse_clashes(keep, ("n_bytes", "n_tokens", "prefix_table"))
     path = tokenizer_path(MODEL, model_file)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("prefix_table", T.BinaryType())])
 
@@ -140,7 +142,7 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         import pyarrow as pa
 
         counter = held(PrefixCounter, path)
-        for b in it:
+        for b in sliced(it):
             n_bytes, n_tokens, tables = [], [], []
             for t in b.column(text).to_pylist():
                 deltas = counter.deltas(t or "")
@@ -163,5 +165,5 @@ def truncate_to_budget(counted: DataFrame, budget: int, text: str = "text", pref
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = count_tokens(table(spark, sf_dir, "documents"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+    counted = count_tokens(spread(table(spark, sf_dir, "documents")))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "prefix_table")
