@@ -29,7 +29,8 @@ from .common import held, sliced, table
 from .shingles import Shingler
 
 BINS = 512
-MOST_RANGES = 20_000
+#: a range is sorted by one task and streamed with one document of look-ahead, so that it may be of any size
+MOST_RANGES = 100_000
 BITS = 4
 
 
@@ -120,11 +121,11 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFram
     return docs.withColumn("fingerprint", sign("text"))
 
 
-def fingerprint_with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS, range_rows: int = 5_000) -> DataFrame:
+def fingerprint_with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS, range_rows: int = 1_000) -> DataFrame:
     """Fingerprints of each text of ``docs(doc_id, text)`` and its edited text, and their likeness.
 
-    ``range_rows``: about how many documents a range of ids has; there are at most ``MOST_RANGES``, which
-    bounds the cuts and first ids that the driver holds.
+    ``range_rows``: about how many documents a range of ids has. Beyond ``MOST_RANGES`` ranges they have more,
+    which bounds the cuts and first ids that the driver holds; results don't depend on the ranges.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
