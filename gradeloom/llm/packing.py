@@ -3,7 +3,7 @@
 Each task cuts its documents into pieces of at most ``capacity`` tokens and packs them best-fit,
 largest first, in blocks of bounded size. Nearly full bins are final at once. The others become items
 of the next round, in which fewer tasks pack them best-fit again; rounds repeat until one task holds
-all that is left or a round merges almost nothing. A bin travels as one row with its members packed in
+all that is left or a round merges nothing. A bin travels as one row with its members packed in
 one binary field, so no text or token moves and no join is needed to find places in the end.
 
 Defined cases: a null or empty text is the single separator token; a null doc_id stays null; rows that
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, Scratch, held, quiet_workers, sliced, table, tokenizer_path
+from .common import Cache, Scratch, held, quiet_workers, sliced, spread, table, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, nearly_f
         yield from _packed(pieces(it), 0, capacity, nearly, block, False)
 
     done: list[DataFrame] = []
-    bins = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, _BIN), "bins0")
+    bins = scratch.save(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(first, _BIN), "bins0")
     left, size, level = *_left(bins), 0
     while True:
         done.append(bins.where("final"))
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, nearly_f
         dealt = rest.coalesce(1) if groups == 1 else rest.repartition(groups, F.xxhash64("bin", F.lit(level)))
         bins = scratch.save(dealt.mapInArrow(again, _BIN), f"bins{level}")
         before, (left, size) = left, _left(bins)
-        if left > 0.98 * before:  # nothing fits into anything any more
+        if left >= before:  # nothing fits into anything any more
             done.append(bins)
             break
 
