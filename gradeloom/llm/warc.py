@@ -9,10 +9,12 @@ lost or repeated task leaves no record twice.
 Reading: archives are cut into byte ranges, whatever stands at their edges. A task looks for gzip magic
 in its range, takes a place as a record's start only if the member there decodes to a WARC version line
 and well-formed headers, and owns the records that start inside its range, also where they end beyond.
+Where a record ends, or the archive begins, another record must start: whoever reads up to there looks, so
+that a damaged record is found wherever ranges are cut. It is an error, or a row of the type ``damaged``.
 
 Defined cases: a null html is an empty payload; payloads below ``least`` are always responses; rows
 that repeat the smallest page_id of their payload are all responses (a record never revisits itself);
-null page_ids are larger than others; an empty table gives no archives and no rows.
+null page_ids are larger than others; an empty table gives no archives and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, sliced, table
 
 LEAST = 100
+#: a payload of more than this part of all rows counts as hot
+HOT = 200
 MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1.0\r\n"
 _RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -95,7 +99,13 @@ def write_warc(pages: DataFrame, scratch: Scratch, least: int = LEAST, archive_b
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     marked = pages.withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload").cast("long")})
     # only payloads that occur again take part in the join: one row each, made from partial counts
-    again = marked.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 and first_id is not null").select("digest", "first_id")
+    again = marked.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 and first_id is not null")
+    # payloads that are a good part of all rows (so few in number) don't meet in one task: their first ids are broadcast
+    again = scratch.save(again, "again")
+    hot = again.where(F.col("copies") > max(1000, pages.count() // HOT)).select("digest", F.col("first_id").alias("hot_id"))  # less than HOT rows
+    marked = marked.join(F.broadcast(hot), "digest", "left")
+    meets = F.when(F.col("hot_id").isNull(), F.col("digest")).otherwise(F.concat("digest", F.xxhash64("page_id").cast("string")))
+    marked = marked.withColumn("meets", meets).join(again.select(F.col("digest").alias("meets"), "first_id"), "meets", "left").withColumn("first_id", F.coalesce("hot_id", "first_id"))
     base = scratch.path("archives")
 
     def run(it: Iterator):
@@ -128,33 +138,39 @@ def write_warc(pages: DataFrame, scratch: Scratch, least: int = LEAST, archive_b
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done]), pa.array([s for _, s in done], pa.int64())], names=["path", "size"])
 
-    return scratch.save(marked.join(again, "digest", "left").select("page_id", "url", "payload", "digest", "n", "first_id").mapInArrow(run, "path string, size long"), "manifest")
+    return scratch.save(marked.select("page_id", "url", "payload", "digest", "n", "first_id").mapInArrow(run, "path string, size long"), "manifest")
 
 
-def range_records(file, begin: int, end: int, size: int, step: int = 1 << 20) -> Iterator[bytes]:
-    """Uncompressed records whose gzip member starts at a byte of [begin, end) of ``file``.
+def range_records(file, begin: int, end: int, size: int, step: int = 1 << 20) -> Iterator[tuple[int, bytes | None]]:
+    """(place, uncompressed record) of the records whose gzip member starts at a byte of [begin, end) of ``file``.
 
     A member that was read whole tells where the next one starts; magic is only searched for at the
-    range's begin and after damaged bytes.
+    range's begin and after damaged bytes. A place where a record must start (after another one, also beyond
+    the range, or at byte 0) but none does gives None.
     """
-    at = begin
+    at, must = begin, begin == 0 < size
     while at < end:
         file.seek(at)
         data = file.read(min(step, end + len(MAGIC) - 1 - at, size - at))
         found = data.find(MAGIC)
+        if must and found != 0:
+            yield at, None
         if found < 0:
-            at += max(1, len(data) - len(MAGIC) + 1)
+            at, must = at + max(1, len(data) - len(MAGIC) + 1), False
             continue
-        at += found
+        at, must = at + found, must and found == 0
         if at >= end:
             return
-        while at < end:  # one member after the other
-            whole, after = _member(file, at, size)
-            if whole is None:
-                at += 1
-                break
-            yield whole
-            at = after
+        whole, after = _member(file, at, size)
+        if whole is None:
+            if must:
+                yield at, None
+            at, must = at + 1, False
+            continue
+        yield at, whole
+        at, must = after, after < size
+    if must and at < size and _member(file, at, size)[0] is None:
+        yield at, None
 
 
 def _member(file, at: int, size: int) -> tuple[bytes | None, int]:
@@ -184,14 +200,18 @@ def _member(file, at: int, size: int) -> tuple[bytes | None, int]:
     return b"".join(parts), read - len(inflate.unused_data)
 
 
-def read_warc(archives: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
-    """Records of the archives (path, size), read in ranges of ``split_bytes`` wherever records begin and end."""
-    spark = archives.sparkSession
+def read_warc(archives: DataFrame, split_bytes: int = 32 << 20, damaged: str = "raise") -> DataFrame:
+    """Records of the archives (path, size), read in ranges of ``split_bytes`` wherever records begin and end.
+
+    ``damaged``: ``raise`` an error at the first damaged record, or ``report`` each as a row of that type
+    with its archive and place as url.
+    """
+    if damaged not in ("raise", "report"):
+        raise ValueError("damaged is either raise or report")
     ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("begin"))
     tasks = max(1, ranges.count())
     # a range is a row of a few bytes; they are dealt one to a task
     dealt = ranges.repartition(min(tasks, 100_000), F.xxhash64("path", "begin")) if tasks > 1 else ranges
-    del spark
 
     def run(it: Iterator):
         import pyarrow as pa
@@ -202,9 +222,16 @@ def read_warc(archives: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
                 files, own = _filesystem(path)
                 with files.open_input_file(own) as file:
                     held, room = [], 0
-                    for raw in range_records(file, begin, min(begin + split_bytes, size), size):
-                        held.append(parse_record(raw))
-                        room += len(raw)
+                    for at, raw in range_records(file, begin, min(begin + split_bytes, size), size):
+                        try:
+                            if raw is None:
+                                raise ValueError("no record starts where one must")
+                            held.append(parse_record(raw))
+                            room += len(raw)
+                        except ValueError as why:
+                            if damaged == "raise":
+                                raise ValueError(f"{path}, byte {at}: {why}") from why
+                            held.append((None, f"{path}#{at}", "damaged", None, None, None, None))
                         if room > 16 << 20:
                             yield _rows(held, schema)
                             held, room = [], 0

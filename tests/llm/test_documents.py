@@ -33,6 +33,10 @@ def test_fingerprints(spark, sf_dir):
         own = next(r for r in got if str(r["doc_id"]) == str(i) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest())
         errors.append(own["near_edited"] - (len(a & b) / len(a | b) if a | b else 1.0))
     assert abs(sum(errors) / len(errors)) < 0.02 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.06
+    minhash.MOST_RANGES, most = 3, minhash.MOST_RANGES
+    fewer = [r.asDict() for r in minhash.fingerprint_with_edits(df, range_rows=2).collect()]
+    minhash.MOST_RANGES = most
+    assert sorted(map(str, fewer)) == sorted(map(str, got))
     one = minhash.fingerprint_with_edits(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).collect()
     assert one[0]["near_next"] == 1.0 and minhash.fingerprint_with_edits(df.limit(0)).count() == 0
     assert minhash.fingerprint(spark.createDataFrame([(1, "A b c"), (2, "a b c")], "doc_id long, text string")).select("fingerprint").distinct().count() == 1
@@ -170,7 +174,35 @@ def test_records_are_found_from_any_byte():
     file = io.BytesIO(data)
     for _ in range(200):
         a, b = sorted((rng.randrange(len(data)), rng.randrange(len(data) + 1)))
-        assert list(warc.range_records(file, a, b, len(data), step=rng.choice([64, 1 << 20]))) == [r for r, s in zip(raws, starts) if a <= s < b]
+        assert list(warc.range_records(file, a, b, len(data), step=rng.choice([64, 1 << 20]))) == [(s, r) for r, s in zip(raws, starts) if a <= s < b]
+    # a damaged member is found once, whatever the ranges, and takes no other record with it
+    for k in (0, 7, 39):
+        place = starts[k] + (0 if k == 7 else 2 if k == 0 else 12)
+        broken = bytearray(data)
+        broken[place] ^= 0xFF
+        for width in (97, 1000, len(data)):
+            got = [x for a in range(0, len(data), width) for x in warc.range_records(io.BytesIO(bytes(broken)), a, min(a + width, len(data)), len(data))]
+            assert {x for x, r in got if r is None} == {starts[k]}, (k, width)
+            assert [r for _, r in got if r is not None] == [r for j, r in enumerate(raws) if j != k]
+
+
+def test_damaged_records_raise_or_are_reported(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_warc(pages, Scratch(spark, "warc")).first()["path"].removeprefix("file:")
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2] ^= 0xFF
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    archives = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(data))], "path string, size long")
+    rows = warc.read_warc(archives, split_bytes=300, damaged="report").collect()
+    assert sum(r["record_type"] == "damaged" for r in rows) == 1 and len({r["page_id"] for r in rows if r["page_id"] is not None}) == 19
+    with pytest.raises(Exception, match="x.warc.gz"):
+        warc.read_warc(archives, split_bytes=300).collect()
+
+
+def test_hot_payloads_are_revisited(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "u", "hot " * 40 if i % 3 else f"{i} " * 60 + "x" * (i % 7 == 0)) for i in range(3100)], "page_id long, url string, html string").repartition(3)
+    rows = warc.read_warc(warc.write_warc(df, Scratch(spark, "warc"))).collect()
+    assert len(rows) == 3100 and all((r["record_type"], r["refers_to"]) == (("revisit", 1) if r["page_id"] % 3 and r["page_id"] > 1 else ("response", None)) for r in rows)
 
 
 def test_warc_query(spark, sf_dir, duck):
