@@ -32,13 +32,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
+    """One document of each near-duplicate group: that with the smallest id.
+
+    Rows that repeat a doc_id are compared each for itself, under a hash of id and text in place of the id.
+    """
     docs = docs.select(COLUMNS)
-    found = Scratch(spark, "pipeline").save(jaccard_components(docs), "components")
-    firsts = found.where("doc_id = component_id").select("doc_id")
-    out = docs.join(firsts.distinct(), "doc_id", "left_semi")
-    if not firsts.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that repeat an id are one group
-        one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    repeated = Scratch(spark, "pipeline").save(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        keyed = docs.withColumn("_key", F.col("doc_id"))
+    else:
+        keyed = docs.join(repeated.withColumn("_again", F.lit(True)), "doc_id", "left").withColumn("_key", F.when(F.col("_again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
+    found = Scratch(spark, "pipeline").save(jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text")), "components")
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    out = keyed.join(firsts, "_key", "left_semi")
+    if not repeated.isEmpty():  # rows of the same id and text
+        one = Window.partitionBy("_key").orderBy("lang", "source", "n_chars")
         out = out.withColumn("_row", F.row_number().over(one)).where("_row = 1")
     return out.select(COLUMNS).union(docs.where("doc_id is null"))
 
