@@ -6,6 +6,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import same_rows
 from gradeloom.llm import decontaminate, minhash, sharding, warc
@@ -248,8 +249,20 @@ def test_pipeline_stages_take_odd_rows(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.withColumn("score", docs["n_chars"]), sf_dir).count() >= 0
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
-    kept = corpus_pipeline.jaccard_join(spark, docs, sf_dir)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["10", "20", "7", "8", "9", "None", "None"]
+    kept = sorted((str(r["doc_id"]), (r["text"] or "")[:3]) for r in corpus_pipeline.jaccard_join(spark, docs, sf_dir).collect())
+    # of the two equal rows of id 9 one stays, and its other text; all but one of the copies go
+    assert [x for x in kept if int(x[0] if x[0] != "None" else 0) < 20] == [("10", "w w"), ("7", ""), ("8", ""), ("9", "one"), ("9", "two"), ("None", ""), ("None", "nul")]
+    assert kept[1:2] == [("20", "the")]
+
+
+def test_pipeline_rejects_languages_that_it_does_not_know(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    strange = spark.createDataFrame([(10_000_000 + i, "Привет мир как дела сегодня " * (1 + i), "xx", "s", 5) for i in range(10)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.union(strange.withColumn("lang", F.lit(None).cast("string"))), sf_dir).collect()}
+    clean = {r["doc_id"] for r in docs.collect()}
+    assert not [i for i in kept if i >= 10_000_000] and len(kept & clean) >= 0.99 * len(clean)
 
 
 def test_sql_gives_the_same_rows(spark, sf_dir, duck):
