@@ -29,10 +29,8 @@ def _solutions(spark, c: dict):
 
 
 def _pool(spark, c: dict):
-    from pyspark.sql import functions as F
-
     rows = pool.load_pool(spark, c["data"]["pool_dir"])
-    return rows.withColumns({"item_id": F.xxhash64(*rows.columns), "ordinal": F.xxhash64("qid", "step")}).dropDuplicates(["item_id"])
+    return rows.withColumn("item_id", rows["ordinal"])
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -1,4 +1,4 @@
-"""Dense vectors as arrays, the hashing encoder and the deterministic scorer, natively."""
+"""Dense vectors as arrays, the hashing encoder and the deterministic scorer; dense products in Arrow batches, the rest natively."""
 
 from __future__ import annotations
 
@@ -18,10 +18,15 @@ def l2_norm(v) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` needs it for each element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
 def l2_normalise(v) -> Column:
     """Unit length; a zero vector stays zero."""
     norm = F.greatest(l2_norm(v), F.lit(1e-12))
-    return F.transform(_c(v), lambda x: x.cast("double") / norm)
+    return bound(F.struct(_c(v).alias("v"), norm.alias("n")), lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))
 
 
 def cosine(a, b) -> Column:
@@ -29,9 +34,20 @@ def cosine(a, b) -> Column:
 
 
 def project(v, mean: list[float], components: list[list[float]]) -> Column:
-    """Centred on the mean, onto the components, to unit length."""
-    centred = F.zip_with(_c(v), F.array(*map(F.lit, mean)), lambda x, m: x.cast("double") - m)
-    return l2_normalise(F.transform(F.array(*(F.array(*map(F.lit, c)) for c in components)), lambda c: dot(centred, c)))
+    """Centred on the mean, onto the components, to unit length: one dense product for each Arrow batch."""
+
+    @F.pandas_udf("array<double>")
+    def run(vectors):
+        import numpy as np
+
+        known = [list(x) for x in vectors if x is not None]
+        if not known:
+            return vectors
+        x = (np.array(known, float) - np.array(mean)) @ np.array(components).T
+        rows = iter(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+        return vectors.__class__([None if v is None else next(rows) for v in vectors])
+
+    return run(_c(v))
 
 
 def hash_tokens(text) -> Column:
@@ -46,10 +62,27 @@ def hash_bucket(token, seed: int = 0, dim: int = 256) -> Column:
 
 
 def hashing_vector(text, seed: int = 0, dim: int = 256) -> Column:
-    """Token counts by bucket, as a dense array of doubles."""
-    buckets = F.transform(hash_tokens(text), lambda t: hash_bucket(t, seed, dim))
-    sorted_buckets = F.array_sort(buckets)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(sorted_buckets, lambda b: b == k)).cast("double"))
+    """Counts of :func:`hash_tokens` by :func:`hash_bucket`, as a dense array of doubles: each token is hashed once."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts):
+        import hashlib
+        import re
+
+        import numpy as np
+
+        words, known = re.compile("[a-z0-9]+"), {}
+
+        def bucket(token: str) -> int:
+            if token not in known:
+                if len(known) >= 200_000:
+                    known.clear()
+                known[token] = int.from_bytes(hashlib.md5(f"{seed}:{token}".encode()).digest()[:4], "little") % dim
+            return known[token]
+
+        return texts.map(lambda t: None if t is None else np.bincount([bucket(w) for w in words.findall(t.lower())], minlength=dim).astype(float))
+
+    return run(_c(text))
 
 
 def unit_hash(*parts) -> Column:

@@ -38,12 +38,12 @@ def report(flagged: DataFrame, subset: str = "subset") -> DataFrame:
     return out.select(F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(subset)).alias(subset), "n", "verbatim", F.round(100.0 * F.col("verbatim") / F.col("n"), 1).alias("verbatim_pct"), "near_duplicate")
 
 
-def containment(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item: str) -> DataFrame:
+def containment(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item: str, block: int = 100_000) -> DataFrame:
     """(text_id, item_id) of items that occur verbatim inside a text.
 
     All but the first and last word of an item are whole words of a text that contains it, so an item is
     only compared with texts that have its rarest inner word (by the number of texts). Items without an
-    inner word are compared with all texts, each a substring search in a broadcast of at most 100,000 of them.
+    inner word are compared with all texts, in blocks of about ``block`` items that are broadcast.
     """
     split = lambda c: F.split(c, r"\s+")
     own = items.select(F.col(item_id), F.col(item).alias("_item")).where("_item IS NOT NULL AND _item <> ''")
@@ -55,8 +55,8 @@ def containment(texts: DataFrame, items: DataFrame, text_id: str, text: str, ite
     pairs = met.join(keys, "_word").select(text_id, item_id).distinct()
     hits = pairs.join(own, item_id).join(texts.select(text_id, text), text_id).where(F.contains(F.col(text), F.col("_item"))).select(text_id, item_id)
     short = inner.where(F.size("_inner") == 0).select(item_id, "_item")
-    if (n := short.limit(100_001).count()) > 100_000:
-        raise ValueError("more than 100,000 items have no inner word; give them in parts")
-    if n:
-        hits = hits.union(texts.select(text_id, text).join(F.broadcast(short), F.contains(F.col(text), F.col("_item"))).select(text_id, item_id))
+    blocks = -(-short.count() // block)
+    for k in range(blocks):
+        part = short.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == k)
+        hits = hits.union(texts.select(text_id, text).join(F.broadcast(part), F.contains(F.col(text), F.col("_item"))).select(text_id, item_id))
     return hits.distinct()

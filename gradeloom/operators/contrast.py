@@ -159,7 +159,7 @@ def ood_trend(deltas: DataFrame, rank: str = "ood_rank", delta: str = "delta_f1"
     )
     testable, flat = F.col("n_subsets") >= 3, F.col("spread") < 1e-9
     only = lambda c: F.when(testable, c)
-    reading = F.when(flat, "no pattern — every subset has the same delta").when((F.col("slope") > 0) & (F.col("spearman") > 0.5), "consistent with retrieval fixing distribution shift").otherwise("no clear difficulty-scaling pattern")
+    reading = F.when(flat, "equal in all subsets").when((F.col("slope") > 0) & (F.col("spearman") > 0.5), "rises with severity").otherwise("does not rise with severity")
     return out.select(
         testable.alias("testable"), only(F.col("slope")).alias("slope_per_ood_rank"), only(F.col("intercept")).alias("intercept"), only(F.coalesce("spearman", F.lit(0.0))).alias("spearman"),
         only(F.col("spread")).alias("delta_spread"), only(flat).alias("degenerate"), only(~F.col("falls") & ~flat).alias("monotonic_increasing"), only(reading).alias("interpretation"),

@@ -45,12 +45,19 @@ def topk_by_cosine(queries: DataFrame, pool: DataFrame, k: int, below: float | N
             continue
         held = spark.sparkContext.broadcast((rows["item_id"].tolist(), [list(v) for v in rows["vec"]]))
 
-        def run(batches, held=held, b=b):
+        def run(batches, held=held):
             import numpy as np
             import pandas as pd
 
             ids, vecs = held.value
             matrix, at = np.array(vecs, dtype=float), {i: j for j, i in enumerate(ids)}
+            names = np.array([zlib.crc32(str(i).encode()) for i in ids], np.uint64)
+
+            def mixed(h):
+                for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+                return h
+
             for pdf in batches:
                 if pdf.empty:
                     continue
@@ -58,7 +65,8 @@ def topk_by_cosine(queries: DataFrame, pool: DataFrame, k: int, below: float | N
                 if random_seed is None:
                     key = -sims
                 else:
-                    key = np.stack([np.random.default_rng([random_seed, b, zlib.crc32(str(q).encode())]).random(len(ids)) for q in pdf["query_id"]])
+                    own = np.array([zlib.crc32(f"{random_seed}:{q}".encode()) for q in pdf["query_id"]], np.uint64)
+                    key = (mixed(own[:, None] << np.uint64(32) ^ names[None]) >> np.uint64(11)) / 2.0**53
                 if below is not None:
                     key = np.where(sims >= below, np.inf, key)
                 if drop_same:

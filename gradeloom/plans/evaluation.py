@@ -15,6 +15,15 @@ from ..operators.score import score_with
 from ..operators.sequences import explode_steps, predictions
 from ..sources import runs
 from ..sources.config import save as save_config
+from ..sources.pool import has_index, load_index
+
+
+def index_of(pool: DataFrame, retrieval: dict) -> tuple[DataFrame, DataFrame, dict]:
+    """The stored index of a pool if ``index_dir`` holds one (refused if it doesn't fit), else a new one."""
+    spark, folder, name = pool.sparkSession, retrieval.get("index_dir"), retrieval["encoder_name"]
+    if folder and has_index(spark, folder):
+        return load_index(spark, folder, name, pool)
+    return build_index(pool, name, retrieval["pca_components"] or 0, retrieval["pca_whiten"])
 
 
 def with_references(steps: DataFrame, pool: DataFrame, config: dict) -> DataFrame:
@@ -23,7 +32,7 @@ def with_references(steps: DataFrame, pool: DataFrame, config: dict) -> DataFram
     Questions are ranked once for each distinct problem, with room for those that the guard drops.
     """
     r = config["retrieval"]
-    questions, items, meta = build_index(pool, r["encoder_name"], r["pca_components"] or 0, r["pca_whiten"])
+    questions, items, meta = index_of(pool, r)
     problems = steps.select("question").distinct().withColumn("query_id", question_id("question"))
     vecs = apply_projection(encode(problems.dropDuplicates(["query_id"]), "question", r["encoder_name"]), meta["projection"])
     # equal normalised questions have equal ids, so the guard's duplicate check is that of ids
@@ -90,7 +99,7 @@ def check_contamination(spark: SparkSession, solutions: DataFrame, pool: DataFra
     threshold, name = config["retrieval"]["max_question_similarity"], config["retrieval"]["encoder_name"]
     similar = None
     if near:
-        questions, _, meta = build_index(pool, name, config["retrieval"]["pca_components"] or 0, config["retrieval"]["pca_whiten"])
+        questions, _, meta = index_of(pool, config["retrieval"])
         similar = guard.nearest(apply_projection(encode(solutions.select("uid", "problem"), "problem", name), meta["projection"]), questions)
     flagged = guard.flags(solutions.select("uid", "subset"), guard.verbatim(solutions, pool), similar, threshold).cache()
     try:

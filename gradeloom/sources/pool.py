@@ -24,18 +24,21 @@ def build_pool(chats: DataFrame, most: int | None = 50_000, order: str = "ordina
     items = parse_rows(chats)
     if items.isEmpty():
         raise RuntimeError("no row could be parsed")
-    return items if most is None else items.orderBy(order).limit(most)
+    return items.orderBy(order) if most is None else items.orderBy(order).limit(most)
 
 
 def save_pool(pool: DataFrame, folder: str) -> None:
-    pool.select(*[f.split()[0] for f in POOL_ITEM.split(", ")]).write.mode("overwrite").json(f"{folder.rstrip('/')}/pool.jsonl")
+    """Write the items with their ``ordinal``, the place in the pool's order, by which they can be told apart and ordered again."""
+    pool.select(*[f.split()[0] for f in POOL_ITEM.split(", ")], F.monotonically_increasing_id().alias("ordinal")).write.mode("overwrite").json(f"{folder.rstrip('/')}/pool.jsonl")
 
 
 def load_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """The items of a pool, all of them, with their ``ordinal`` (places in the files if the pool was written without)."""
     path = f"{folder.rstrip('/')}/pool.jsonl"
     if not _exists(spark, path):
         raise FileNotFoundError(f"no pool at {path}")
-    return spark.read.schema(POOL_ITEM).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(f"{POOL_ITEM}, ordinal long").option("mode", "FAILFAST").json(path)
+    return rows.withColumn("ordinal", F.coalesce("ordinal", F.monotonically_increasing_id()))
 
 
 def save_index(questions: DataFrame, steps: DataFrame, meta: dict, folder: str) -> None:
@@ -47,6 +50,10 @@ def save_index(questions: DataFrame, steps: DataFrame, meta: dict, folder: str)
     questions.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
 
 
+def has_index(spark: SparkSession, folder: str) -> bool:
+    return _exists(spark, f"{folder}/meta")
+
+
 def load_index(spark: SparkSession, folder: str, encoder: str, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """An index, refused if another encoder made it or if it does not match the pool's size."""
     import json

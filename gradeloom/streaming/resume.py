@@ -22,7 +22,8 @@ def scoring_stream(spark: SparkSession, source: str, run_folder: str, score: Cal
         try:
             if not todo.isEmpty():
                 predictions, traces = score(todo)
-                append(traces, run_folder, "traces")
+                # those of an attempt that was cut off before its predictions are there already
+                append(pending(traces, read_rows(spark, run_folder, "traces").select("uid").distinct()), run_folder, "traces")
                 append(predictions, run_folder, "predictions")  # last: a uid counts as done from here on
         finally:
             todo.unpersist()

@@ -78,8 +78,8 @@ def test_align_refusals(spark):
     ("deltas", "want"),
     [
         ([0.0, 0.0, 0.0, 0.0], {"degenerate": True, "spearman": 0.0, "monotonic_increasing": False}),
-        ([0.0, 0.02, 0.05, 0.09], {"degenerate": False, "spearman": 1.0, "monotonic_increasing": True, "interpretation": "consistent with retrieval fixing distribution shift"}),
-        ([0.09, 0.05, 0.02, -0.01], {"spearman": -1.0, "monotonic_increasing": False, "interpretation": "no clear difficulty-scaling pattern"}),
+        ([0.0, 0.02, 0.05, 0.09], {"degenerate": False, "spearman": 1.0, "monotonic_increasing": True, "interpretation": "rises with severity"}),
+        ([0.09, 0.05, 0.02, -0.01], {"spearman": -1.0, "monotonic_increasing": False, "interpretation": "does not rise with severity"}),
         ([0.1, 0.2], {"testable": False, "spearman": None}),
     ],
 )

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.functions.vectors import l2_normalise
 from gradeloom.operators import contamination, encode, retrieve
 
 
@@ -87,3 +88,24 @@ def test_contamination_report(spark):
     flagged = contamination.flags(problems, contamination.verbatim(problems, pool), spark.createDataFrame([("b", 0.97)], "uid string, max_similarity double"))
     got = {r["subset"]: tuple(r)[1:] for r in contamination.report(flagged).collect()}
     assert got == {"gsm8k": (2, 1, 50.0, 1), "math": (1, 0, 0.0, 0), "TOTAL": (3, 1, 33.3, 1)}
+
+
+def test_random_draws_do_not_depend_on_blocks(spark):
+    q, p = vectors(spark, 5, 4)[1].withColumnRenamed("id", "query_id"), vectors(spark, 50, 4, 2)[1].withColumnRenamed("id", "item_id")
+    draws = [sorted(map(tuple, retrieve.topk_by_cosine(q, p, 3, random_seed=5, block_bytes=size).select("query_id", "item_id", "rank").collect())) for size in (1 << 20, 400)]
+    assert draws[0] == draws[1]
+
+
+def test_normalising_is_linear_in_the_dimension(spark):
+    import time
+
+    def seconds(d):
+        df = spark.range(2000).select(F.transform(F.sequence(F.lit(1), F.lit(d)), lambda k: (k + F.col("id")).cast("double")).alias("v"))
+        times = []
+        for _ in range(3):
+            start = time.time()
+            df.select(l2_normalise("v").alias("u")).agg(F.sum(F.col("u")[0])).collect()
+            times.append(time.time() - start)
+        return min(times)
+
+    assert seconds(512) < 10 * seconds(64) + 1

@@ -157,7 +157,7 @@ def test_smoke_and_command_line(spark, folder, items, tmp_path, capsys):
     assert main(["check-parity", str(tmp_path / "x.json"), str(tmp_path / "y.json")]) == 0
     assert main(["check-parity", str(tmp_path / "x.json"), str(tmp_path / "x.json")]) == 1
     assert main(["compare-runs", str(tmp_path / "smoke" / "a"), str(tmp_path / "smoke" / "c"), "--out", str(tmp_path / "o")]) == 0
-    assert "Whole experiment" in capsys.readouterr().out
+    assert "Comparison of two runs" in capsys.readouterr().out
 
 
 def test_two_stage_grader_skips_its_second_pass():
@@ -179,3 +179,41 @@ def test_registered_grader_stops_early(spark, folder):
     assert out.groupBy("uid").count().where("count <> 2").isEmpty() and predictions(out).where("predicted_label <> 1").isEmpty()
     with pytest.raises(ValueError, match="unknown grader"):
         score_with(rows, "none")
+
+
+def test_pool_keeps_its_order_and_repeats(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gradeloom.operators.encode import unique_questions
+    from gradeloom.sources import pool
+
+    rows = spark.range(60).select(F.concat(F.lit("q"), F.col("id") % 7).alias("qid"), F.concat(F.lit("Question "), F.col("id")).alias("question"), F.array().cast("array<string>").alias("prev_steps"), F.lit("s").alias("step"), F.lit(True).alias("math_ok"), F.lit(True).alias("consistency_ok"), F.lit(None).cast("boolean").alias("correctness_ok"), F.lit("x").alias("source"), "id").orderBy("id")
+    pool.save_pool(rows.union(rows), str(tmp_path / "p"))
+    got = pool.load_pool(spark, str(tmp_path / "p"))
+    assert got.count() == 120 and got.select("ordinal").distinct().count() == 120
+    assert {r["qid"]: r["question"] for r in unique_questions(got).collect()} == {f"q{k}": f"Question {k}" for k in range(7)}
+
+
+def test_a_stored_index_is_used(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gradeloom.plans.evaluation import index_of
+    from gradeloom.sources import pool
+
+    items = spark.range(40).select(F.col("id").alias("item_id"), F.col("id").alias("ordinal"), F.concat(F.lit("q"), F.col("id") % 5).alias("qid"), F.concat(F.lit("question "), F.col("id") % 5).alias("question"), F.concat(F.lit("step number "), F.col("id")).alias("step"))
+    r = {"encoder_name": "hashing", "pca_components": 4, "pca_whiten": False, "index_dir": str(tmp_path / "i")}
+    new = index_of(items, r)
+    pool.save_index(*new, r["index_dir"])
+    old = index_of(items, r | {"pca_components": 3})  # not built anew
+    assert old[2] == new[2] and sorted(map(str, old[1].collect())) == sorted(map(str, new[1].collect()))
+    with pytest.raises(ValueError, match="holds"):
+        index_of(items.limit(3), r)
+
+
+def test_markdown_report():
+    from gradeloom.sources.runs import markdown
+
+    subset = {"subset": "s1", "n": 4, "ood_rank": 99, "a": {"f1": 0.5}, "b": {"f1": None}, "delta_f1": None, "delta_ci95": (None, None), "mcnemar": {"p_value": 0.04}, "significant": True}
+    result = {"run_a": "x", "run_b": "y", "exclusion_label": None, "excluded_uids": 0, "per_subset": [subset], "average_f1_a": 0.5, "average_f1_b": None, "average_delta": None, "undefined_subsets": ["s1"], "overall": {"n_solutions": 4, "average_delta_ci95": (-0.1, 0.2), "mcnemar_pooled": {"p_value": 0.04, "b_only": 1, "a_only": 2, "reliable": False}}, "ood_trend": {"testable": False}}
+    text = markdown(result)
+    assert "| s1 | unknown | 4 | 50.0 | undefined | undefined | undefined | 0.040 * |" in text and "-10.0 to +20.0" in text and "left out" not in text
