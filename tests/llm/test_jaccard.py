@@ -89,3 +89,19 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(201))
     for a, b in edges:
         assert a == b or got[a] == got[b]
+
+
+def test_prefixes_allow_for_colliding_keys(spark):
+    """Of ten shingles three pairs share a key: the seven keys' positions are never later than the shingles' own."""
+    import pickle
+
+    import numpy as np
+
+    from gradeloom.llm.jaccard_join import _postings
+
+    nodes = spark.createDataFrame([(1, 0, 77, 10, 7)], "chunk long, idx int, node long, n long, m long")
+    keys = np.arange(100, 107, dtype=np.uint64)
+    data = pickle.dumps((keys, np.zeros(7, np.uint16), np.full(7, 2, np.uint32)), protocol=5)
+    repeated = spark.createDataFrame([(1, False, bytearray(data))], "chunk long, hot boolean, data binary")
+    got = sorted((r["h"], r["pos"]) for r in _postings(nodes, repeated, 80).collect())
+    assert got == [(100, 0), (101, 1), (102, 2)]  # the prefix of ten shingles at 80 % has three
