@@ -144,11 +144,17 @@ def advance_to_correctness(assistant, verdicts: list) -> Column:
     return F.when(masks(out) != 1, F.raise_error(F.lit("the second stage must hold exactly 1 mask token"))).otherwise(out)
 
 
-def fit_references(prefix: str, question, references, assistant, budget: int, **style) -> Column:
-    """The longest head of ``references`` whose whole prompt has at most ``budget`` characters; steps are never cut.
+def _lengths(texts: Column) -> Column:
+    return F.transform(texts, F.length)
 
-    Characters stand for tokens: a tokenizer's count can be put in their place by the scoring function.
+
+def fit_references(prefix: str, question, references, assistant, budget: int, tokens=_lengths, **style) -> Column:
+    """The longest head of ``references`` whose whole prompt has at most ``budget`` tokens; steps are never cut.
+
+    ``tokens`` counts the tokens of each text of an array column: natively, or as a pandas UDF around a
+    tokenizer. The default counts characters. The references beyond the result's size were dropped.
     """
     references, assistant = _c(references), _c(assistant)
-    kept = F.filter(F.sequence(F.lit(0), F.size(references)), lambda k: F.length(user_turn(prefix, question, F.slice(references, F.lit(1), k), **style)) + F.length(assistant) <= budget)
+    prompts = F.transform(F.sequence(F.lit(0), F.size(references)), lambda k: F.concat(user_turn(prefix, question, F.slice(references, F.lit(1), k), **style), assistant))
+    kept = F.transform(tokens(prompts), lambda n, k: F.when(n <= budget, k))
     return F.slice(references, F.lit(1), F.coalesce(F.array_max(kept), F.lit(0)))

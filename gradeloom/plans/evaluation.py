@@ -73,8 +73,7 @@ def run_evaluation(spark: SparkSession, solutions: DataFrame, config: dict, fold
     runs.append(preds, folder, "predictions")
     if config["run"]["save_traces"]:
         runs.append(traces, folder, "traces")
-    wanted = solutions.select("uid", "subset")
-    done = runs.read_predictions(spark, folder).join(wanted, ["uid", "subset"], "left_semi")
+    done = runs.wanted(runs.read_predictions(spark, folder), solutions)
     scores = score_subsets(done)
     metrics = {"subsets": [r.asDict() for r in scores.collect()], **macro_average(scores).first().asDict()}
     save_config(config, f"{folder}/config.resolved.json")

@@ -39,6 +39,11 @@ def pending(solutions: DataFrame, done: DataFrame) -> DataFrame:
     return solutions.join(done.select("uid"), "uid", "left_anti")
 
 
+def wanted(predictions: DataFrame, solutions: DataFrame) -> DataFrame:
+    """The predictions of ``solutions``, by uid and subset."""
+    return predictions.join(solutions.select("uid", "subset"), ["uid", "subset"], "left_semi")
+
+
 def read_excluded(spark: SparkSession, path: str) -> DataFrame:
     """(uid) of a contamination report's flagged_uids; an error if the report has none recorded."""
     raw = read_json(path)

@@ -3,10 +3,10 @@
 import pytest
 
 from conftest import same_rows
-from gradeloom.plans import evaluation_queries, retrieval_queries, text_queries
+from gradeloom.plans import evaluation_queries, retrieval_queries, source_queries, text_queries
 
-QUERIES = evaluation_queries.QUERIES | retrieval_queries.QUERIES | text_queries.QUERIES
-SQL = evaluation_queries.ORACLE_SQL | retrieval_queries.ORACLE_SQL | text_queries.ORACLE_SQL
+QUERIES = evaluation_queries.QUERIES | retrieval_queries.QUERIES | text_queries.QUERIES | source_queries.QUERIES
+SQL = evaluation_queries.ORACLE_SQL | retrieval_queries.ORACLE_SQL | text_queries.ORACLE_SQL | source_queries.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
