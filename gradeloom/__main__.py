@@ -35,7 +35,7 @@ def _pool(spark, c: dict):
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gradeloom", description=__doc__)
-    parser.add_argument("command", choices=["build-pool", "build-index", "run-eval", "compare-runs", "check-contamination", "check-parity", "error-analysis", "smoke"])
+    parser.add_argument("command", choices=["build-pool", "build-index", "run-eval", "compare-runs", "check-contamination", "check-parity", "error-analysis", "plot-arms", "summarize-study", "verify-model-interface", "smoke"])
     parser.add_argument("paths", nargs="*", help="configuration files, run folders or input, as the command needs")
     parser.add_argument("--set", action="append", default=[], metavar="SECTION.KEY=VALUE")
     parser.add_argument("--allow", action="append", default=[], metavar="SECTION.KEY")
@@ -50,6 +50,15 @@ def main(argv: list[str] | None = None) -> int:
         result = check_parity(spark, config.load(a.paths[0], over), config.load(a.paths[1], over), tuple(a.allow))
         print("\n".join(result["problems"]) or "parity holds: " + ", ".join(result["arm_differences"] + result["ablations"]))
         return int(not result["ok"])
+    elif a.command == "summarize-study":
+        print(json.dumps(evaluation.summarize_study(spark, a.paths, a.out), indent=2))
+    elif a.command == "plot-arms":
+        evaluation.arms_chart(spark, a.paths, a.out).orderBy("ood_rank", "subset", "arm").show(truncate=False)
+    elif a.command == "verify-model-interface":
+        c = config.load(a.paths[0], over) if a.paths else config.resolve({}, over)
+        checks = evaluation.verify_interface(spark, c["prompt"]["prompt_prefix"])
+        print("\n".join(f"{'holds' if ok else 'FAILS'}: {what}" for what, ok in checks))
+        return int(not all(ok for _, ok in checks))
     elif a.command == "error-analysis":
         from pyspark.sql import functions as F
 
@@ -57,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
         rows = arms[0]
         for x in arms[1:]:
             rows = rows.unionByName(x)
-        profile_runs(rows).show(truncate=False)
+        profile_runs(rows, arms=a.paths).show(truncate=False)
     else:
         c = config.load(a.paths[0], over)
         if a.command == "build-pool":

@@ -98,11 +98,12 @@ def bootstrap_cis(cell_rows: list, resamples: int = 2000, alpha: float = 0.05, s
     return {"subsets": by, "average_delta": _interval(average, alpha)}
 
 
-def hash_bootstrap(values: DataFrame, statistic: str = "value", resamples: int = 50, seed: int = 0) -> DataFrame:
+def hash_bootstrap(values: DataFrame, statistic: str = "value", resamples: int = 2000, seed: int = 0) -> DataFrame:
     """Means of resamples that md5 draws instead of a generator: the same on every engine.
 
     ``values`` has a gapless ``i`` from 0. Each of n places of a resample reads row
-    md5(seed:resample:place) mod n; exact, so for small tables and few resamples.
+    md5(seed:resample:place) mod n: n times ``resamples`` draws, so for small tables; intervals of large
+    ones come from :func:`bootstrap_cis`.
     """
     n = values.agg(F.count("*").alias("n"))
     draws = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("place"))

@@ -28,6 +28,21 @@ def batch_encoder(encode: Callable[[list[str]], Iterable[Iterable[float]]]) -> C
     return run
 
 
+def mean_pooled(embed: Callable[[list[str]], tuple]) -> Callable[[list[str]], Iterable[Iterable[float]]]:
+    """For :func:`batch_encoder`, from a model's vectors of tokens: ``embed`` gives (texts x places x width) and a mask of real tokens.
+
+    A text's vector is the mean over its real tokens; one without any is the zero vector.
+    """
+
+    def run(texts: list[str]):
+        import numpy as np
+
+        states, mask = (np.asarray(x, float) for x in embed(texts))
+        return (states * mask[..., None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
+
+    return run
+
+
 def build_encoder(name: str) -> Callable[[Column], Column]:
     """A registered encoder. An unknown name is an error: another encoder in its place would change every result."""
     if name == "hashing":

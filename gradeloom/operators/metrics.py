@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import harmonic, has_error, is_clean, rate
+from ..functions.measures import gold_ok_step, harmonic, has_error, is_clean, rate
 from ..functions.text import error_type as error_type_of
 from ..schema import severity
 
@@ -54,14 +54,20 @@ def verdict_profile(predictions: DataFrame, by: tuple[str, ...] = (), gold: str
     )
 
 
-def profile_runs(runs: DataFrame, arm: str = "arm", uid: str = "uid") -> DataFrame:
-    """Profiles of all arms over the solutions that every arm has met; an error if there are none."""
-    arms = runs.select(arm).distinct().count()
-    met = runs.groupBy(uid).agg(F.count_distinct(arm).alias("_arms")).where(F.col("_arms") == arms)
-    shared = runs.join(met, uid, "left_semi")
-    if shared.isEmpty():
+def profile_runs(runs: DataFrame, arm: str = "arm", uid: str = "uid", arms: list | None = None) -> DataFrame:
+    """Profiles of all arms over the solutions that every arm has met; an error if there are none.
+
+    With ``arms`` (their names, where the caller knows them) the runs are read once; the profiles, one row
+    for each arm, are collected so that the check needs no second pass.
+    """
+    n = len(arms) if arms is not None else runs.select(arm).distinct().count()
+    whole = F.collect_list(F.struct(*runs.columns))
+    met = runs.groupBy(F.col(uid).alias("_uid")).agg(whole.alias("_rows"), F.count_distinct(arm).alias("_arms")).where(F.col("_arms") == n)
+    found = verdict_profile(met.select(F.inline("_rows")), (arm,))
+    rows = found.collect()
+    if not rows:
         raise ValueError("the runs share no solutions")
-    return verdict_profile(shared, (arm,))
+    return runs.sparkSession.createDataFrame(rows, found.schema)
 
 
 def pool_stats(pool: DataFrame) -> DataFrame:
@@ -94,15 +100,34 @@ def similarity_bins(treatment: DataFrame, baseline: DataFrame, traces: DataFrame
     return place.where("_fits").groupBy(own.alias("bin")).agg(F.count("*").alias("n"), F.avg("similarity").alias("mean_similarity"), F.avg("b").alias("baseline_accuracy"), F.avg("t").alias("treatment_accuracy"), F.avg(F.col("t") - F.col("b")).alias("delta"))
 
 
+def median_of_shares(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """Exact medians of values in [0, 1] by group (null ones left out), without gathering a group in one task.
+
+    Equal values are counted first; counts by slot of a ten-thousandth (at most 10,001 a group) tell which
+    slots hold the one or two middle places, and only these slots' distinct values are ranked.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")).withColumn("_slot", F.floor(F.col("_v") * 10_000))
+    own = Window.partitionBy(by)
+    slots = counted.groupBy(by, "_slot").agg(F.sum("_n").alias("_size"))
+    slots = slots.select(by, "_slot", "_size", F.sum("_size").over(own).alias("_all"), (F.sum("_size").over(own.orderBy("_slot")) - F.col("_size")).alias("_lower"))
+    first, second = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    middle = slots.where((F.col("_lower") < second) & (F.col("_lower") + F.col("_size") >= first))
+    inside = counted.join(F.broadcast(middle), [by, "_slot"])  # at most two slots a group
+    upto = F.col("_lower") + F.sum("_n").over(Window.partitionBy(by, "_slot").orderBy("_v"))
+    placed = inside.withColumn("_upto", upto)
+    holds = lambda place: F.max(F.when((F.col("_upto") - F.col("_n") < place) & (F.col("_upto") >= place), F.col("_v")))
+    return placed.groupBy(by).agg(((holds(first) + holds(second)) / 2).alias(name))
+
+
 def stage_rates(traces: DataFrame, arm: str = "arm") -> DataFrame:
     """Flag rates by stage over the steps that every arm has scored, and the score's mean, median and share below a half."""
     arms = traces.select(arm).distinct().count()
     common = traces.groupBy("uid", "step_index").agg(F.count_distinct(arm).alias("_arms")).where(F.col("_arms") == arms)
     rows = traces.join(common, ["uid", "step_index"], "left_semi")
     passed = F.col("math_ok") & F.col("consistency_ok")
-    ok = is_clean("gold_label") | (F.col("step_index") < F.col("gold_label"))
+    ok = gold_ok_step("gold_label", "step_index")
     prob = F.when(passed, F.col("correctness_prob"))
-    return rows.groupBy(arm).agg(
+    rates = rows.groupBy(arm).agg(
         F.count("*").alias("steps"),
         F.count_if(ok).alias("gold_correct_steps"),
         F.avg((~passed).cast("double")).alias("stage1_flag_rate_all"),
@@ -111,15 +136,30 @@ def stage_rates(traces: DataFrame, arm: str = "arm") -> DataFrame:
         rate(~passed, ok).alias("false_flag_stage1"),
         rate(F.col("is_error") & passed, ok).alias("false_flag_stage2"),
         F.avg(prob).alias("p_correct_mean"),
-        F.percentile(prob, F.lit(0.5)).alias("p_correct_median"),
         F.avg((prob < 0.5).cast("double")).alias("p_correct_below_half"),
     )
+    median = median_of_shares(rows.select(arm, prob.alias("_p")), arm, "_p", "p_correct_median")
+    names = [*rates.columns[:-1], "p_correct_median", rates.columns[-1]]
+    return rates.join(median, arm, "left").select(*names)
 
 
-def ecdf(rows: DataFrame, value: str, by: tuple[str, ...], tie: str) -> DataFrame:
-    """Cumulative shares i / n in sorted order; equal values get increasing shares, in the order of ``tie``."""
-    own = Window.partitionBy(*by)
-    return rows.where(F.col(value).isNotNull()).withColumn("share", F.row_number().over(own.orderBy(value, tie)) / F.count("*").over(own))
+def ecdf(rows: DataFrame, value: str, by: tuple[str, ...], tie: str, slots: int = 1_000) -> DataFrame:
+    """Cumulative shares i / n in sorted order; equal values get increasing shares, in the order of ``tie``.
+
+    Places are ranked inside ``slots`` ranges of each group's values and shifted by the sizes of the lower
+    ranges. The ranges' edges are approximate quantiles; which rows they part changes the work, not the shares.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    number = F.col(value).cast("double")
+    group = F.struct(*by)
+    edges = known.groupBy(group.alias("_by")).agg(F.array_distinct(F.percentile_approx(number, [i / slots for i in range(1, slots)], 10 * slots)).alias("_edges"), F.count("*").alias("_all"))
+    placed = known.withColumn("_by", group).join(edges, "_by")
+    placed = placed.withColumn("_slot", F.size(F.filter("_edges", lambda e: e < number))).drop("_edges")
+    sizes = placed.groupBy("_by", "_slot").agg(F.count("*").alias("_size"))
+    lower = F.coalesce(F.sum("_size").over(Window.partitionBy("_by").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_by", "_slot", lower.alias("_lower"))
+    place = F.row_number().over(Window.partitionBy("_by", "_slot").orderBy(value, tie)) + F.col("_lower")
+    return placed.join(sizes, ["_by", "_slot"]).withColumn("share", place / F.col("_all")).drop("_by", "_slot", "_lower", "_all")
 
 
 def arm_table(scores: DataFrame, arm: str = "arm", anchor: float = 69.5) -> DataFrame:

@@ -27,6 +27,16 @@ def numbered(rows: DataFrame, uid: str, order: list[str], name: str = "step_inde
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(uid).orderBy(*order)) - 1)
 
 
+def gapless(rows: DataFrame, slot: Column, order: list[str], name: str) -> DataFrame:
+    """0-based positions over all rows in the order of ``slot``, then ``order``: ranked inside slots, shifted by the lower slots' sizes."""
+    rows = rows.withColumn("_slot", slot)
+    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_slot").agg(F.count("*").alias("_n")).select("_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lower"))
+    place = F.row_number().over(Window.partitionBy("_slot").orderBy(*order)) - 1 + F.col("_lower")
+    own = sizes.withColumnRenamed("_slot", "_of")
+    return rows.join(own, F.col("_slot").eqNullSafe(F.col("_of"))).withColumn(name, place).drop("_slot", "_of", "_lower")
+
+
 def first_where(condition: Column, index: str = "step_index") -> Column:
     """The first index where the condition holds, -1 if nowhere. An aggregate."""
     return F.coalesce(F.min(F.when(condition, F.col(index))), F.lit(-1))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.text import question_id
 from ..operators import contamination as guard
 from ..operators.contrast import compare
 from ..operators.encode import apply_projection, build_index, encode
-from ..operators.metrics import macro_average, score_subsets
+from ..operators.metrics import comparable_scores, macro_average, score_subsets
 from ..operators.retrieve import retrieve_steps, topk_by_cosine
 from ..operators.score import score_with
 from ..operators.sequences import explode_steps, predictions
@@ -103,16 +104,74 @@ def check_contamination(spark: SparkSession, solutions: DataFrame, pool: DataFra
     flagged = guard.flags(solutions.select("uid", "subset"), guard.verbatim(solutions, pool), similar, threshold).cache()
     try:
         rows = [r.asDict() for r in guard.report(flagged).collect()]
-        # the problems of one benchmark, of which the flagged ones are listed in the report
+        # exclusions are read from the table; the report also lists them, which are problems of one benchmark
+        table = f"{out.removesuffix('.json')}.flagged.jsonl"
+        flagged.where("flagged").select("uid", "subset", "verbatim", "near_duplicate", "max_similarity").write.mode("overwrite").json(table)
         named = {r["uid"]: {k: r[k] for k in ("subset", "verbatim", "near_duplicate", "max_similarity")} for r in flagged.where("flagged").orderBy("uid").toLocalIterator()}
     finally:
         flagged.unpersist()
     n = pool.agg(F.count("*"), F.count_distinct("qid")).first()
-    report = {"pool_items": n[0], "pool_unique_questions": n[1], "max_question_similarity": threshold, "per_subset": [r for r in rows if r["subset"] != "TOTAL"], "flagged_uids": named, "n_flagged": len(named), "total": next(r for r in rows if r["subset"] == "TOTAL")}
+    report = {"pool_items": n[0], "pool_unique_questions": n[1], "max_question_similarity": threshold, "per_subset": [r for r in rows if r["subset"] != "TOTAL"], "flagged_table": table, "flagged_uids": named, "n_flagged": len(named), "total": next(r for r in rows if r["subset"] == "TOTAL")}
     runs.write_json(report, out)
     return report
 
 
+def summarize_study(spark: SparkSession, folders: list[str], out: str | None = None, pairs: list[tuple[str, str]] | None = None, anchor: float = 69.5, seed: int = 0) -> dict:
+    """Average F1 of each finished run, the first one's gap to a published anchor, and contrasts of pairs (all, in order) with intervals.
+
+    A run without metrics is named as missing; an average is null if some subset's F1 is undefined.
+    """
+    metrics = {f: runs.read_json(f"{f}/metrics.json") for f in folders}
+    done = [f for f in folders if metrics[f] is not None]
+    arms = [{"run": f, "average_f1": None if metrics[f]["average_f1"] is None else 100 * metrics[f]["average_f1"], "undefined_subsets": metrics[f]["undefined_subsets"]} for f in done]
+    found = []
+    for x, y in pairs or [(x, y) for k, x in enumerate(done) for y in done[k + 1 :]]:
+        if x in done and y in done:
+            r = compare(runs.read_predictions(spark, x), runs.read_predictions(spark, y), seed=seed, names=(x, y))
+            found.append({"run_a": x, "run_b": y, "delta": r["average_delta"], "ci95": r["overall"]["average_delta_ci95"], "significant": r["overall"]["significant"], "reliable": r["overall"]["mcnemar_pooled"]["reliable"]})
+    first = arms[0]["average_f1"] if arms else None
+    result = {"arms": arms, "missing": [f for f in folders if f not in done], "anchor": anchor, "gap": None if first is None else first - anchor, "contrasts": found}
+    if out:
+        runs.write_json(result, f"{out}/study.json")
+    return result
+
+
+def arms_chart(spark: SparkSession, folders: list[str], out: str) -> DataFrame:
+    """F1 by run and subset, of subsets whose F1 is defined in every run; written as a table for a chart."""
+    rows = runs.read_predictions(spark, folders[0]).withColumn("arm", F.lit(folders[0]))
+    for f in folders[1:]:
+        rows = rows.unionByName(runs.read_predictions(spark, f).withColumn("arm", F.lit(f)))
+    chart = comparable_scores(score_subsets(rows, by=("arm",)))
+    chart.coalesce(1).write.mode("overwrite").json(f"{out}/arms.jsonl")
+    return chart
+
+
+def verify_interface(spark: SparkSession, prefix: str, token_ids=None) -> list[tuple[str, bool]]:
+    """Checks of what a grader is sent, without a model: (what, whether it holds).
+
+    ``token_ids`` (text -> ids) of a model's tokenizer adds the checks that mask and verdicts are one token each.
+    """
+    refs = F.array(F.struct(F.lit("1 <extra> 1?").alias("question"), F.lit("1 + 1 = 3 <extra>").alias("step"), F.lit(False).alias("math_ok"), F.lit(True).alias("consistency_ok")))
+    row = spark.range(1).select(text.user_turn(prefix, F.lit("What is 2 + 2?"), refs).alias("user"), text.assistant_turn(F.array(F.lit("First, 2 + 1 = 3.")), F.lit("Then 3 + 1 = 4.")).alias("asked"))
+    row = row.select("*", text.messages("user", "asked").alias("m"), text.advance_to_correctness("asked", [text.POS, text.NEG]).alias("second"))
+    r = row.select(
+        "m", text.masks("user").alias("in_user"), text.masks("asked").alias("first"), text.masks("second").alias("left"), text.current_step("asked").alias("step"), text.previous_steps("asked").alias("prev"),
+        text.extract_question("user").alias("question"), F.col("second").endswith(text.CORRECTNESS).alias("ends"), (F.locate(text.POS, "second") < F.locate(text.NEG, "second")).alias("ordered"),
+    ).first()
+    checks = [
+        ("the turns are user, then assistant", [x["role"] for x in r["m"]] == ["user", "assistant"]),
+        ("references bring no mask into the user turn", r["in_user"] == 0),
+        ("the first stage holds two masks", r["first"] == 2),
+        ("the second stage holds one mask, at its end", r["left"] == 1 and r["ends"]),
+        ("verdicts are filled in in order", r["ordered"]),
+        ("the step is read back", r["step"] == "Then 3 + 1 = 4." and r["prev"] == ["First, 2 + 1 = 3."]),
+        ("a question is found behind the references", r["question"] is not None and r["question"].endswith("What is 2 + 2?")),
+    ]
+    if token_ids:
+        checks += [(f"{t} is one token", len(token_ids(t)) == 1) for t in (text.MASK, text.POS, text.NEG)]
+    return checks
+
+
 def write_pool_stats(pool: DataFrame, path: str) -> dict:
     """n_items, n_unique_questions and counts by error type and source, from one pass."""
     from ..operators.metrics import pool_stats

@@ -167,14 +167,17 @@ def multinomial_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "subset string, measure string, low double, high double")
 
 
-@query("""WITH v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, quality FROM labels), n AS (SELECT count(*) AS n FROM v),
-d AS (SELECT r.range AS resample, p.range AS place, n FROM n, range(5) r, range((SELECT n FROM n)) p),
-k AS (SELECT resample, CAST(('0x' || substr(md5('0:' || resample || ':' || place), 1, 8)) AS BIGINT) % n AS i FROM d)
-SELECT CAST(resample AS BIGINT) AS resample, round(avg(quality), 6) AS mean FROM k JOIN v USING (i) GROUP BY resample""")
+@query("""WITH v AS (SELECT row_number() OVER (ORDER BY doc_id, quality) - 1 AS i, quality FROM labels), n AS (SELECT count(*) AS n FROM v),
+d AS (SELECT r.range AS resample, p.range AS place, n FROM n, range(2000) r, range((SELECT n FROM n)) p),
+k AS (SELECT resample, CAST(('0x' || substr(md5('0:' || resample || ':' || place), 1, 8)) AS BIGINT) % n AS i FROM d),
+m AS (SELECT resample, avg(quality) AS mean FROM k JOIN v USING (i) GROUP BY resample)
+SELECT count(*) AS resamples, round(quantile_cont(mean, 0.025), 6) AS low, round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
 def hash_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five hash-indexed resamples of the labels' mean quality: the feature's own, small number."""
-    rows = table(spark, sf_dir, "labels").select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), F.col("quality").cast("double").alias("value"))
-    return contrast.hash_bootstrap(rows, resamples=5).select(F.col("resample").cast("long").alias("resample"), _r("mean"))
+    """The 95 % interval of the labels' mean quality, from 2,000 hash-indexed resamples of all labels."""
+    rows = sequences.gapless(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("value")), F.floor(F.col("doc_id") / 10_000), ["doc_id", "value"], "i")
+    draws = contrast.hash_bootstrap(rows)
+    at = lambda q: F.round(F.percentile("mean", F.lit(q)), 6)
+    return draws.agg(F.count("*").alias("resamples"), at(0.025).alias("low"), F.round(F.avg("mean"), 6).alias("mean"), at(0.975).alias("high"))
 
 
 @query("WITH " + ARMS_SQL + f", m AS (SELECT arm, subset, {_SCORED.format(p='predicted_label')} FROM r GROUP BY arm, subset), a AS (SELECT arm, avg({F1_SQL}) AS f FROM m GROUP BY arm) SELECT arm, round(100 * f, 6) AS average_f1, round(100 * f - 69.5, 6) AS gap FROM a")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sample import stratified_sample
+from ..operators.sequences import gapless
 from ..schema import SEVERITY, SOLUTION, severity
 
 REQUIRED = ("problem", "steps", "label")
@@ -34,7 +35,9 @@ def read_subset(spark: SparkSession, folder: str, subset: str, array: bool = Fal
         raw = lines.select(F.from_json("value", _RAW).alias("r")).select("r.*")
     if missing := [c for c in REQUIRED if c not in found]:
         raise KeyError(f"{path} lacks {missing}; it has {sorted(found)}")
-    return normalise(raw.withColumn("_at", F.monotonically_increasing_id()), subset, "_at")
+    # ids count rows inside each split of the file in their low 33 bits: positions go on from split to split
+    placed = gapless(raw.withColumn("_id", F.monotonically_increasing_id()), F.shiftright("_id", 33), ["_id"], "_at")
+    return normalise(placed, subset, "_at")
 
 
 def normalise(raw: DataFrame, subset: str, position: str) -> DataFrame:

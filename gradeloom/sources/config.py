@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import SEVERITY
+from .runs import read_text, write_text
 
 # fixed values: all keys and their defaults, as existing configuration files use them
 DEFAULTS: dict[str, dict] = {
@@ -76,7 +77,7 @@ def check(config: dict[str, dict]) -> None:
 
 def load(path: str | Path, overrides: dict | None = None) -> dict[str, dict]:
     """A configuration file: JSON, or YAML where its library is installed."""
-    text = Path(path).read_text(encoding="utf-8")
+    text = read_text(path)
     if str(path).endswith(".json"):
         return resolve(json.loads(text), overrides)
     try:
@@ -87,8 +88,7 @@ def load(path: str | Path, overrides: dict | None = None) -> dict[str, dict]:
 
 
 def save(config: dict[str, dict], path: str | Path) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(config, indent=2, ensure_ascii=False), encoding="utf-8")
+    write_text(json.dumps(config, indent=2, ensure_ascii=False), path)
 
 
 def flatten(spark: SparkSession, config: dict[str, dict]) -> DataFrame:

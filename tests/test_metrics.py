@@ -101,7 +101,7 @@ def test_compare_and_report(spark, tmp_path):
     assert low < 0 < high and not r["overall"]["significant"] and r["ood_trend"]["testable"] is False
     runs.write_report(r, tmp_path)
     text = (tmp_path / "comparison.md").read_text()
-    assert "| gsm8k | 40 | in-dist | 60.0 | 60.0 | +0.0 |" in text and runs.read_json(tmp_path / "comparison.json")["overall"]["n_solutions"] == 40
+    assert "| gsm8k | in-dist | 40 | 60.0 | 60.0 | +0.0 |" in text and runs.read_json(tmp_path / "comparison.json")["overall"]["n_solutions"] == 40
 
 
 def test_bootstrap_covers_the_point(spark):
@@ -164,3 +164,37 @@ def test_predictions_and_early_stop(spark):
 def test_harmonic(spark):
     got = [r[0] for r in spark.createDataFrame([(0.6, 0.4), (0.0, 1.0), (None, 1.0)], "a double, b double").select(harmonic("a", "b")).collect()]
     assert got == [pytest.approx(0.48), 0.0, None]
+
+
+def test_medians_match_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.random(501).tolist(), "b": [0.25] * 400 + rng.random(200).tolist(), "c": [0.1, 0.9], "d": [1.0], "e": [0.0, 0.0, 1.0, 1.0]}
+    rows = spark.createDataFrame([(k, v) for k, own in groups.items() for v in own] + [("a", None), ("f", None)], "g string, p double")
+    got = {r["g"]: r["m"] for r in metrics.median_of_shares(rows, "g", "p", "m").collect()}
+    assert got == {k: pytest.approx(float(np.median(v)), abs=1e-15) for k, v in groups.items()}
+
+
+@pytest.mark.parametrize("slots", [2, 7, 1000])
+def test_ecdf_does_not_depend_on_slots(spark, slots):
+    values = [("x", float(i % 13), i) for i in range(200)] + [("y", 5.0, i) for i in range(50)] + [("x", None, 900)]
+    rows = spark.createDataFrame(values, "g string, v double, i int")
+    got = {(r["g"], r["i"]): r["share"] for r in metrics.ecdf(rows, "v", ("g",), "i", slots).collect()}
+    for g, n in (("x", 200), ("y", 50)):
+        order = sorted((v, i) for k, v, i in values if k == g and v is not None)
+        assert [got[g, i] for _, i in order] == [pytest.approx((k + 1) / n) for k in range(n)]
+
+
+def test_gapless_positions(spark):
+    rows = spark.createDataFrame([(k * 7 % 100,) for k in range(100)] + [(None,)], "x int")
+    got = {r["x"]: r["at"] for r in sequences.gapless(rows, F.floor(F.col("x") / 9), ["x"], "at").collect()}
+    assert got == {None: 0} | {k: k + 1 for k in range(100)}
+
+
+def test_profiles_need_shared_solutions(spark):
+    a, b = preds(spark, [1, -1], [1, 0]), preds(spark, [1, -1], [1, 0], arm="b")
+    one = {r["arm"]: r["n_solutions"] for r in metrics.profile_runs(a.union(b.limit(1)), arms=["a", "b"]).collect()}
+    assert one == {"a": 1, "b": 1}
+    with pytest.raises(ValueError, match="share no"):
+        metrics.profile_runs(a.union(b.withColumn("uid", F.concat("uid", F.lit("x")))))

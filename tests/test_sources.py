@@ -217,3 +217,58 @@ def test_markdown_report():
     result = {"run_a": "x", "run_b": "y", "exclusion_label": None, "excluded_uids": 0, "per_subset": [subset], "average_f1_a": 0.5, "average_f1_b": None, "average_delta": None, "undefined_subsets": ["s1"], "overall": {"n_solutions": 4, "average_delta_ci95": (-0.1, 0.2), "mcnemar_pooled": {"p_value": 0.04, "b_only": 1, "a_only": 2, "reliable": False}}, "ood_trend": {"testable": False}}
     text = markdown(result)
     assert "| s1 | unknown | 4 | 50.0 | undefined | undefined | undefined | 0.040 * |" in text and "-10.0 to +20.0" in text and "left out" not in text
+
+
+def test_positions_go_on_over_splits(spark, tmp_path):
+    (tmp_path / "math.jsonl").write_text("\n".join(json.dumps({"problem": f"p{i}", "steps": ["a"], "label": -1}) for i in range(300)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2000")
+    try:
+        rows = benchmark.read_subset(spark, str(tmp_path), "math")
+        assert spark.read.text(str(tmp_path / "math.jsonl")).rdd.getNumPartitions() > 1
+        assert {r["problem"]: r["uid"] for r in rows.collect()} == {f"p{i}": f"math-{i}" for i in range(300)}
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_study_charts_and_interface(spark, folder, tmp_path, capsys):
+    from gradeloom.__main__ import main
+    from gradeloom.plans.evaluation import summarize_study, verify_interface
+    from gradeloom.sources.config import DEFAULTS
+
+    solutions = benchmark.load_benchmark(spark, folder, ("gsm8k", "math"))
+    runs_ = [str(tmp_path / x) for x in "xy"]
+    averages = [run_evaluation(spark, solutions, settings(**{"prm.seed": k}), r)["average_f1"] for k, r in zip((17, 18), runs_)]
+    found = summarize_study(spark, [*runs_, str(tmp_path / "none")], str(tmp_path / "study"))
+    assert found["missing"] == [str(tmp_path / "none")] and [a["average_f1"] for a in found["arms"]] == [None if a is None else 100 * a for a in averages]
+    assert len(found["contrasts"]) == 1 and json.loads((tmp_path / "study" / "study.json").read_text()) == found
+    if None not in averages:
+        c = found["contrasts"][0]
+        assert c["delta"] == pytest.approx(averages[1] - averages[0]) and c["ci95"][0] <= c["delta"] <= c["ci95"][1]
+        assert found["gap"] == pytest.approx(100 * averages[0] - 69.5)
+    compare_runs(spark, *runs_, str(tmp_path / "xy"))
+    charts = json.loads((tmp_path / "xy" / "charts.json").read_text())
+    assert len(charts["f1"]) == 2 * len(charts["trend"]) and all(r["low"] <= r["f1"] <= r["high"] for r in charts["f1"])
+    assert main(["plot-arms", *runs_, "--out", str(tmp_path)]) == 0 and (tmp_path / "arms.jsonl").exists()
+    assert all(ok for _, ok in verify_interface(spark, DEFAULTS["prompt"]["prompt_prefix"]))
+    assert dict(verify_interface(spark, "x", lambda t: [1, 2]))["<extra> is one token"] is False
+    assert main(["verify-model-interface"]) == 0 and "FAILS" not in capsys.readouterr().out
+
+
+def test_flagged_solutions_are_a_table(spark, tmp_path):
+    runs.write_json({"flagged_uids": {"u2": {}, "u1": {}}}, tmp_path / "old.json")
+    assert [r["uid"] for r in runs.read_excluded(spark, str(tmp_path / "old.json")).collect()] == ["u1", "u2"]
+    spark.createDataFrame([("u3",)], "uid string").write.json(str(tmp_path / "t.jsonl"))
+    runs.write_json({"flagged_table": str(tmp_path / "t.jsonl"), "flagged_uids": {}}, tmp_path / "new.json")
+    assert [r["uid"] for r in runs.read_excluded(spark, str(tmp_path / "new.json")).collect()] == ["u3"]
+    runs.write_json({}, tmp_path / "none.json")
+    with pytest.raises(ValueError):
+        runs.read_excluded(spark, str(tmp_path / "none.json"))
+
+
+def test_mean_pooling_ignores_padding():
+    from gradeloom.operators.encode import mean_pooled
+
+    got = mean_pooled(lambda texts: ([[[1, 3], [3, 5], [9, 9]], [[7, 7], [7, 7], [7, 7]]], [[1, 1, 0], [0, 0, 0]]))(["a", "b"])
+    assert got.tolist() == [[2, 4], [0, 0]]

@@ -90,3 +90,18 @@ def test_hashes(spark):
     assert one(spark, unit_hash(F.lit("17"), F.lit("q"), F.lit("s"))) == pytest.approx(want, abs=1e-15)
     v = one(spark, mock_verdict(F.lit("q"), F.lit("s"), F.lit(0)))
     assert (v["math_ok"], v["consistency_ok"]) == (want >= 0.12, want < 0.12 or want >= 0.22)
+
+
+def test_budget_takes_a_tokenizer(spark):
+    @F.pandas_udf("array<int>")
+    def words(texts):
+        return texts.map(lambda own: [len(t.split()) for t in own])
+
+    refs = [("q one", "s one two", True, True), ("q two", "s three", False, True), ("q", "s " * 50, True, False)]
+    df = spark.createDataFrame([("why so", refs, "1 2 3")], "question string, references array<struct<question:string,step:string,math_ok:boolean,consistency_ok:boolean>>, a string")
+    own = lambda c: F.transform(c, lambda t: F.size(F.split(F.trim(t), r"\s+")))
+    size = [df.select(F.concat(tx.user_turn("go", "question", F.slice("references", F.lit(1), F.lit(k))), F.col("a"))).first()[0] for k in range(4)]
+    for budget in (5, len(size[1].split()), len(size[2].split()) + 1, 10_000):
+        want = max([k for k in range(4) if len(size[k].split()) <= budget], default=0)
+        for tokens in (words, own):
+            assert df.select(F.size(tx.fit_references("go", "question", "references", "a", budget, tokens=tokens))).first()[0] == want
