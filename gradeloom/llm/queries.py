@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_decontamination, op9_proximity
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .jaccard_join import OP1_SQL, op1_jaccard_join
 from .language_id import op2_language_id
 from .minhash import op8_fingerprints
@@ -25,5 +26,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op9_proximity": op9_proximity,
     "op10_warc": op10_warc,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op9_decontamination": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op9_decontamination": OP9_SQL, "op10_warc": OP10_SQL, "op13_filter_audit": OP13_SQL}
