@@ -10,6 +10,7 @@ from .minhash import op8_fingerprints
 from .packing import op4_best_fit_packing
 from .pii import op3_pii
 from .sharding import op6_balanced_sharding
+from .spelling import op12_spelling_variants
 from .token_counts import op7_token_counts
 from .toxicity import op5_toxicity
 from .warc import OP10_SQL, op10_warc
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op9_proximity": op9_proximity,
     "op10_warc": op10_warc,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op9_decontamination": OP9_SQL, "op10_warc": OP10_SQL, "op13_filter_audit": OP13_SQL}
