@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bin_slack import op11_bin_slack
 from .decontaminate import OP9_SQL, op9_decontamination, op9_proximity
 from .filter_audit import OP13_SQL, op13_filter_audit
 from .jaccard_join import OP1_SQL, op1_jaccard_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op9_proximity": op9_proximity,
     "op10_warc": op10_warc,
+    "op11_bin_slack": op11_bin_slack,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_filter_audit": op13_filter_audit,
 }
