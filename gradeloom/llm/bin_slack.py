@@ -39,6 +39,8 @@ VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 #: chunks that a worker keeps encoded, up to twice as many: a bound of its memory, which changes no result
 CHUNK_CACHE = 600_000
+#: names of documents with cut items are broadcast up to so many (a number of at most 20 digits each), joined beyond
+MOST_NAMES = 100_000
 
 
 class ChunkEncoder:
@@ -268,15 +270,16 @@ def pack_min_slack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0
     if all(r[4] == r[0] for r in rows):
         return _pieces(placed, F.col("crc"))
     placed = scratch.save(placed, "placed")
-    return _pieces(placed.where("length = origin"), F.col("crc")).union(_pieces(_parts(docs, placed.where("length < origin"), end, capacity, path, chunk_cache), F.col("part_crc")))
+    few = sum(r[2] for r in rows if r[4] < r[0]) <= MOST_NAMES
+    return _pieces(placed.where("length = origin"), F.col("crc")).union(_pieces(_parts(docs, placed.where("length < origin"), end, capacity, path, chunk_cache, few), F.col("part_crc")))
 
 
 def _pieces(placed: DataFrame, crc) -> DataFrame:
     return placed.select("doc_id", (F.col("item_start") + F.col("cut_from")).alias("start"), "length", crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def _parts(docs: DataFrame, cut: DataFrame, end: bytes, capacity: int, path: str, chunk_cache: int) -> DataFrame:
-    """Placed parts of cut items with ``part_crc``: their documents are encoded again.
+def _parts(docs: DataFrame, cut: DataFrame, end: bytes, capacity: int, path: str, chunk_cache: int, few: bool) -> DataFrame:
+    """Placed parts of cut items with ``part_crc``: their documents are encoded again, found by a broadcast of their names if these are few.
 
     An item is known by document, place, size and checksum, so that rows that repeat an id are told apart unless
     their items are equal, and then so are their parts.
@@ -296,7 +299,8 @@ def _parts(docs: DataFrame, cut: DataFrame, end: bytes, capacity: int, path: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["name", *item[1:], "ids"])
 
     asked = cut.withColumn("name", name)
-    again = docs.withColumn("name", name).join(asked.select("name").distinct(), "name", "left_semi").select("doc_id", "text")
+    names = asked.select("name").distinct()
+    again = docs.withColumn("name", name).join(F.broadcast(names) if few else names, "name", "left_semi").select("doc_id", "text")
     ids = again.mapInArrow(encode, "name string, doc_tokens long, item_start long, origin int, crc long, ids binary")
     wanted = ids.join(asked.select("name", *item[1:]).distinct(), ["name", *item[1:]], "left_semi").dropDuplicates(["name", *item[1:]])
     both = asked.join(wanted, ["name", *item[1:]])
