@@ -101,19 +101,20 @@ def error_type(math_ok, consistency_ok) -> Column:
     return F.when(~math_ok & ~consistency_ok, "math and consistency error").when(~math_ok, "math error").when(~consistency_ok, "consistency error").otherwise("no error")
 
 
-def reference_block(references, most: int = 600, labels: bool = True, style: str = "tokens") -> Column:
-    """References as prompt text; empty without any. ``style`` writes verdicts as ``tokens`` or ``words``."""
+def _block(r: Column, i: Column, most: int = 600, labels: bool = True, style: str = "tokens") -> Column:
+    """The i-th reference as prompt text."""
     yes, no = ("correct", "incorrect") if style == "words" else (POS, NEG)
+    lines = [F.concat(F.lit("[Reference "), (i + 1).cast("string"), F.lit("]")), F.concat(F.lit("Question: "), sanitise(r["question"], most)), F.concat(F.lit("Step: "), sanitise(r["step"], most))]
+    if labels:
+        verdict = lambda x: F.when(x, yes).otherwise(no)
+        lines.append(F.concat(F.lit("Teacher's judgement: Math reasoning: "), verdict(r["math_ok"]), F.lit(", Consistency: "), verdict(r["consistency_ok"]), F.lit(" ("), error_type(r["math_ok"], r["consistency_ok"]), F.lit(")")))
+    return F.concat_ws("\n", *lines)
 
-    def block(r, i):
-        lines = [F.concat(F.lit("[Reference "), (i + 1).cast("string"), F.lit("]")), F.concat(F.lit("Question: "), sanitise(r["question"], most)), F.concat(F.lit("Step: "), sanitise(r["step"], most))]
-        if labels:
-            verdict = lambda x: F.when(x, yes).otherwise(no)
-            lines.append(F.concat(F.lit("Teacher's judgement: Math reasoning: "), verdict(r["math_ok"]), F.lit(", Consistency: "), verdict(r["consistency_ok"]), F.lit(" ("), error_type(r["math_ok"], r["consistency_ok"]), F.lit(")")))
-        return F.concat_ws("\n", *lines)
 
+def reference_block(references, most: int = 600, labels: bool = True, style: str = "tokens") -> Column:
+    """References as prompt text; empty without any. ``style`` writes verdicts as ``tokens`` or ``words``."""
     references = _c(references)
-    blocks = F.concat(F.array(F.lit(REFERENCE_HEADER)), F.transform(references, block))
+    blocks = F.concat(F.array(F.lit(REFERENCE_HEADER)), F.transform(references, lambda r, i: _block(r, i, most, labels, style)))
     return F.when(F.coalesce(F.size(references), F.lit(0)) > 0, F.array_join(blocks, "\n\n")).otherwise("")
 
 
@@ -148,13 +149,36 @@ def _lengths(texts: Column) -> Column:
     return F.transform(texts, F.length)
 
 
-def fit_references(prefix: str, question, references, assistant, budget: int, tokens=_lengths, **style) -> Column:
+def fit_references(prefix: str, question, references, assistant, budget: int, tokens=_lengths, window: int = 64, **style) -> Column:
     """The longest head of ``references`` whose whole prompt has at most ``budget`` tokens; steps are never cut.
 
     ``tokens`` counts the tokens of each text of an array column: natively, or as a pandas UDF around a
     tokenizer. The default counts characters. The references beyond the result's size were dropped.
+
+    Each reference is counted once, so the work is linear in them: a prompt's tokens are the sum of its blocks' and,
+    for each seam between two blocks, what the ``window`` characters at both sides have together more or less than
+    apart. That is exact for tokenizers that part somewhere in these characters whatever follows.
     """
     references, assistant = _c(references), _c(assistant)
-    prompts = F.transform(F.sequence(F.lit(0), F.size(references)), lambda k: F.concat(user_turn(prefix, question, F.slice(references, F.lit(1), k), **style), assistant))
-    kept = F.transform(tokens(prompts), lambda n, k: F.when(n <= budget, k))
-    return F.slice(references, F.lit(1), F.coalesce(F.array_max(kept), F.lit(0)))
+    # what the prompt with all references adds to one without any, cut where each reference begins
+    head, tail = F.lit(prefix), F.concat(F.lit("\n\n Question: "), _c(question), assistant)
+    blocks = F.transform(references, lambda r, i: F.concat(F.when(i == 0, F.lit(REFERENCE_HEADER)).otherwise(F.lit("")), F.lit("\n\n"), _block(r, i, **style)))
+    ends = F.concat(F.array(head), blocks)
+    seam = lambda x, y: F.array(F.concat(F.right(x, F.lit(window)), F.left(y, F.lit(window))), F.right(x, F.lit(window)), F.left(y, F.lit(window)))
+    n = F.size(references)
+    between = F.flatten(F.transform(blocks, lambda b, i: seam(ends[i], b)))
+    closing = F.flatten(F.transform(ends, lambda e: seam(e, tail)))
+    # one call counts everything: head and blocks, the tail, then three texts for each seam
+    counted = tokens(F.coalesce(F.concat(ends, F.array(tail), between, closing), F.array().cast("array<string>")))
+
+    def kept(c: Column) -> Column:
+        own = lambda at: c[at] - c[at + 1] - c[at + 2]
+        upto = F.aggregate(
+            F.sequence(F.lit(1), n), F.array(c[0].cast("long")),
+            lambda acc, k: F.concat(acc, F.array((F.element_at(acc, -1) + c[k] + own(n + 2 + 3 * (k - 1))).cast("long"))),
+        )
+        sums = F.when(n > 0, upto).otherwise(F.array(c[0].cast("long")))
+        whole = F.transform(sums, lambda x, k: x + c[n + 1] + own(n + 2 + 3 * n + 3 * k))
+        return F.coalesce(F.array_max(F.transform(whole, lambda x, k: F.when(x <= budget, k))), F.lit(0))
+
+    return F.when(n >= 0, F.slice(references, F.lit(1), F.transform(F.array(counted), kept)[0]))

@@ -93,6 +93,16 @@ def unit_hash(*parts) -> Column:
     return (high * 4294967296.0 + low) / 18446744073709551616.0
 
 
+def draw_order(place, query, seed: int, bits: int, rounds: int = 4) -> Column:
+    """The place-th number of a random order of 0 .. 4**bits - 1 that seed and query decide: a Feistel network over two halves of ``bits`` bits, mixed by md5."""
+    mask = F.lit((1 << bits) - 1)
+    left, right = F.shiftright(_c(place), bits), _c(place).bitwiseAND(mask)
+    for r in range(rounds):
+        mixed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), _c(query).cast("string"), F.lit(str(r)), right.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+        left, right = right, left.bitwiseXOR(mixed).bitwiseAND(mask)
+    return F.shiftleft(left, bits).bitwiseOR(right)
+
+
 def mock_verdict(question, step, n_references, seed: int = 17) -> Column:
     """struct(math_ok, consistency_ok, correctness_prob) of the deterministic scorer: no model, only its contract."""
     # fixed values: how far references move a score, and the bounds below which a step is flagged

@@ -56,18 +56,21 @@ def early_stop(steps: DataFrame, uid: str = "uid", flag: str = "is_error", index
 
 
 def predictions(scored: DataFrame, stop_early: bool = True) -> DataFrame:
-    """Predictions from trace rows (uid, subset, gold_label, step_index, is_error, error_type, n_references)."""
+    """Predictions from trace rows (uid, subset, gold_label, step_index, is_error, error_type, n_references).
+
+    ``n_steps``, if the rows have it, is how many steps the solution has; else all of them have to be there.
+    """
+    whole = F.first("n_steps") if "n_steps" in scored.columns else F.count("*")
     flagged = F.when(F.col("is_error"), F.col("step_index"))
-    all_ = scored.groupBy("uid", "subset", "gold_label").agg(
+    rows = early_stop(scored) if stop_early else scored
+    if stop_early and "n_steps" not in scored.columns:
+        rows = early_stop(scored.withColumn("n_steps", F.count("*").over(Window.partitionBy("uid"))))
+        whole = F.first("n_steps")
+    out = rows.groupBy("uid", "subset", "gold_label").agg(
         F.coalesce(F.min(flagged), F.lit(-1)).alias("predicted_label"),
-        F.count("*").cast("int").alias("n_steps"),
+        whole.cast("int").alias("n_steps"),
+        F.count("*").cast("int").alias("n_steps_scored"),
         F.min_by("error_type", flagged).alias("predicted_error_type"),
-        F.sort_array(F.collect_list(F.struct("step_index", "n_references"))).alias("_refs"),
-    )
-    last = F.when(F.lit(stop_early) & (F.col("predicted_label") >= 0), F.col("predicted_label")).otherwise(F.lit(2147483647))
-    read = F.filter("_refs", lambda r: r["step_index"] <= last)
-    return all_.select(
-        "uid", "subset", "gold_label", "predicted_label", "n_steps", F.size(read).alias("n_steps_scored"), "predicted_error_type",
-        F.aggregate(read, F.lit(0), lambda acc, r: acc + r["n_references"]).alias("n_references_used"),
-        (F.col("gold_label") == F.col("predicted_label")).alias("correct"),
+        F.sum("n_references").cast("int").alias("n_references_used"),
     )
+    return out.withColumn("correct", F.col("gold_label") == F.col("predicted_label"))

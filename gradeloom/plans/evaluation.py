@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+import time
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -11,12 +14,15 @@ from ..operators import contamination as guard
 from ..operators.contrast import compare
 from ..operators.encode import apply_projection, build_index, encode
 from ..operators.metrics import comparable_scores, macro_average, score_subsets
-from ..operators.retrieve import retrieve_steps, topk_by_cosine
-from ..operators.score import score_with
-from ..operators.sequences import explode_steps, predictions
+from ..operators.retrieve import draw, nearest, retrieve_steps
+from ..operators.score import score_with, token_counter
+from ..operators.sequences import explode_steps, gapless, predictions
+from ..schema import REFERENCE, TRACE
 from ..sources import runs
 from ..sources.config import save as save_config
-from ..sources.pool import has_index, load_index
+from ..sources.pool import has_index, load_index, save_index
+
+log = logging.getLogger("gradeloom")
 
 
 def index_of(pool: DataFrame, retrieval: dict) -> tuple[DataFrame, DataFrame, dict]:
@@ -27,59 +33,149 @@ def index_of(pool: DataFrame, retrieval: dict) -> tuple[DataFrame, DataFrame, di
     return build_index(pool, name, retrieval["pca_components"] or 0, retrieval["pca_whiten"])
 
 
-def with_references(steps: DataFrame, pool: DataFrame, config: dict) -> DataFrame:
-    """Step rows with their ``references``: up to top_k_steps structs each, from the pool (item_id, qid, question, step, …).
+def with_references(steps: DataFrame, pool: DataFrame, config: dict, index: tuple | None = None) -> DataFrame:
+    """Step rows with their ``references``: up to top_k_steps structs each, from the pool (item_id, qid, question, step, …), and what the guard dropped (n_duplicates, n_similar).
 
-    Questions are ranked once for each distinct problem, with room for those that the guard drops.
+    Questions are ranked once for each distinct problem; random ones are drawn for each question and step.
     """
     r = config["retrieval"]
-    questions, items, meta = index_of(pool, r)
-    problems = steps.select("question").distinct().withColumn("query_id", question_id("question"))
-    vecs = apply_projection(encode(problems.dropDuplicates(["query_id"]), "question", r["encoder_name"]), meta["projection"])
+    questions, items, meta = index or index_of(pool, r)
+    project = lambda df, column: apply_projection(encode(df, column, r["encoder_name"]), meta["projection"])
+    k, below, same = r["top_k_questions"], r["max_question_similarity"], r["drop_exact_duplicates"]
+    steps = steps.withColumn("_own", question_id("question"))
+    problems = project(steps.select("question", "_own").dropDuplicates(["_own"]), "question").select(F.col("_own").alias("own_id"), "vec")
     # equal normalised questions have equal ids, so the guard's duplicate check is that of ids
-    random_seed = r["random_seed"] if r["reference_mode"] == "random" else None
-    ranked = topk_by_cosine(vecs, questions.select(F.col("qid").alias("item_id"), "vec"), r["top_k_questions"], r["max_question_similarity"], r["drop_exact_duplicates"], random_seed)
-    kept = ranked.select("query_id", F.col("item_id").alias("qid"), F.col("similarity").alias("question_similarity"))
-    own = apply_projection(encode(steps.select("uid", "step_index", "question", "step"), "step", r["encoder_name"]), meta["projection"]).withColumn("query_id", question_id("question"))
-    refs = retrieve_steps(kept, items, own.select("query_id", "step_index", "uid", "vec").withColumn("step_index", F.struct("uid", "step_index")), r["top_k_steps"], r["step_level"], random_seed)
+    seed = r["random_seed"] if r["reference_mode"] == "random" else None
+    if seed is None:
+        steps = steps.withColumn("query_id", F.col("_own"))
+        found = nearest(problems.withColumnRenamed("own_id", "query_id"), questions.select(F.col("qid").alias("item_id"), "vec"), k, below, same)
+    else:
+        steps = steps.withColumn("query_id", F.md5(F.concat_ws("\x1f", "question", "step").cast("binary")))
+        numbered = gapless(questions.select("qid", "vec"), F.pmod(F.xxhash64("qid"), F.lit(4096)), ["qid"], "ordinal").withColumnRenamed("qid", "item_id")
+        asked = steps.select("query_id", F.col("_own").alias("own_id")).dropDuplicates(["query_id"]).join(problems, "own_id")
+        found = draw(asked, numbered, k, seed, below, same)
+    found = found.persist()  # a row of ids and numbers for each query, read for hits and for counts
+    hits = found.select("query_id", F.inline("hits")).select("query_id", F.col("item_id").alias("qid"), F.col("similarity").alias("question_similarity"))
+    own = project(steps.select("uid", "step_index", "query_id", "step"), "step").select("query_id", F.struct("uid", "step_index").alias("step_index"), "vec")
+    refs = retrieve_steps(hits, items, own, r["top_k_steps"], r["step_level"], seed)
     full = refs.join(pool.select("item_id", "question", "step", "math_ok", "consistency_ok"), "item_id")
     gathered = full.groupBy(F.col("step_index.uid").alias("uid"), F.col("step_index.step_index").alias("step_index")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("ref_rank", F.struct("qid", "question", "step", "math_ok", "consistency_ok", "question_similarity", "step_similarity").alias("r")))), lambda x: x["r"]).alias("references")
     )
-    return steps.join(gathered, ["uid", "step_index"], "left")
+    counts = found.select("query_id", "n_duplicates", "n_similar")
+    return steps.join(gathered, ["uid", "step_index"], "left").join(counts, "query_id", "left").drop("_own", "query_id")
 
 
-def evaluate(solutions: DataFrame, config: dict, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(predictions, traces) of one condition."""
-    steps = explode_steps(solutions).select("uid", "subset", F.col("label").alias("gold_label"), F.col("problem").alias("question"), "prev_steps", "step", "step_index")
+def scored_steps(solutions: DataFrame, config: dict, pool: DataFrame | None = None, index: tuple | None = None) -> DataFrame:
+    """The steps that one condition scores, in its order up to the first flag, with references and verdicts: a row of a trace, and more."""
+    steps = explode_steps(solutions).select("uid", "subset", F.col("label").alias("gold_label"), F.col("problem").alias("question"), "prev_steps", "step", "step_index", F.size("steps").alias("n_steps"))
     p, q = config["prm"], config["prompt"]
-    steps = with_references(steps, pool, config) if config["retrieval"]["enabled"] and pool is not None else steps.withColumn("references", F.lit(None).cast("array<struct<qid:string,question:string,step:string,math_ok:boolean,consistency_ok:boolean,question_similarity:double,step_similarity:double>>"))
-    style = {"prefix": q["prompt_prefix"], "most": q["max_reference_chars"], "labels": q["include_reference_labels"], "style": q["label_style"], "seed": p["seed"]} if p["backend"] == "mock" else {}
-    traces = score_with(steps, p["backend"], p["correctness_threshold"], p["early_stop"], **style)
-    preds = predictions(traces, p["early_stop"])
-    if "references" in traces.columns:
-        traces = traces.withColumns({"reference_qids": F.transform("references", lambda r: r["qid"]), "reference_similarities": F.transform("references", lambda r: r["step_similarity"])})
+    none = F.lit(0).cast("long")
+    if config["retrieval"]["enabled"] and pool is not None:
+        steps = with_references(steps, pool, config, index)
+    else:
+        steps = steps.withColumns({"references": F.lit(None).cast(f"array<{REFERENCE}>"), "n_duplicates": none, "n_similar": none})
+    style = {"most": q["max_reference_chars"], "labels": q["include_reference_labels"], "style": q["label_style"]}
+    if counter := token_counter(p["backend"]):
+        fitted = text.fit_references(q["prompt_prefix"], "question", "references", text.assistant_turn("prev_steps", "step"), p["max_input_tokens"], counter, **style)
+        steps = steps.withColumn("_asked", F.coalesce(F.size("references"), F.lit(0))).withColumn("references", fitted)
+        steps = steps.withColumn("n_dropped", F.col("_asked") - F.coalesce(F.size("references"), F.lit(0))).drop("_asked")
     else:
-        traces = traces.withColumns({"reference_qids": F.lit(None).cast("array<string>"), "reference_similarities": F.lit(None).cast("array<double>")})
-    return preds, traces.select("uid", "subset", "step_index", "gold_label", "is_error", "math_ok", "consistency_ok", "correctness_prob", "n_references", "error_type", "reference_qids", "reference_similarities")
+        steps = steps.withColumn("n_dropped", F.lit(0))
+    scored = score_with(steps, p["backend"], p["correctness_threshold"], p["early_stop"], prefix=q["prompt_prefix"], seed=p["seed"], **style)
+    of = lambda name: F.transform("references", lambda r: r[name])
+    return scored.select(
+        "uid", "subset", "step_index", "gold_label", "is_error", "math_ok", "consistency_ok", "correctness_prob", "n_references", "error_type", of("qid").alias("reference_qids"), of("step_similarity").alias("reference_similarities"),
+        "n_steps", of("question_similarity").alias("question_similarities"), "n_dropped", F.coalesce("n_duplicates", none).alias("n_duplicates"), F.coalesce("n_similar", none).alias("n_similar"),
+    )
+
+
+def parts_of(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(predictions, traces) of scored steps."""
+    return predictions(scored, stop_early=False), scored.select(*[f.split()[0] for f in TRACE.split(", ")])
+
+
+def evaluate(solutions: DataFrame, config: dict, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(predictions, traces) of one condition, lazily: each scores for itself. A run scores once, see :func:`score_batch`."""
+    return parts_of(scored_steps(solutions, config, pool))
 
 
-def run_evaluation(spark: SparkSession, solutions: DataFrame, config: dict, folder: str, pool: DataFrame | None = None) -> dict:
-    """Score what a run folder lacks (all of it unless ``run.resume``), append it, and write metrics and a summary."""
-    todo = runs.pending(solutions, runs.read_rows(spark, folder)) if config["run"]["resume"] else solutions
-    preds, traces = evaluate(todo, config, pool)
+def score_batch(spark: SparkSession, folder: str, scored: DataFrame, traces: bool = True) -> dict:
+    """Score once and commit: the scored steps go to the run's folder, predictions and traces are made of them and committed together.
+
+    What the batch did (queries, references, drops of guard and budget, hits) is observed while the tables are
+    written, so no job counts it again; it is returned and stands in the commit.
+    """
+    began = time.perf_counter()
+    seen, hits = Observation(), Observation()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    added = lambda c: F.coalesce(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    path = f"{folder}/scored"
+    scored.observe(
+        seen, F.count("*").alias("queries"), total("n_references").alias("references_returned"), total("n_duplicates").alias("filtered_exact_duplicate"), total("n_similar").alias("filtered_similarity"),
+        F.count_if(F.col("n_references") == 0).alias("empty_results"), total(added("question_similarities")).alias("question_similarity"), total(added("reference_similarities")).alias("step_similarity"), total("n_dropped").alias("dropped_references"),
+    ).write.mode("overwrite").parquet(path)
+    preds, trace = parts_of(spark.read.schema(scored.schema).parquet(path))
+    preds = preds.observe(hits, F.count("*").alias("n_scored"), F.count_if("correct").alias("n_correct"))
+    facts: dict = {}
+
+    def done() -> dict:
+        facts.update(seen.get | hits.get | {"seconds": time.perf_counter() - began})
+        return facts
+
+    runs.commit(spark, folder, {"predictions": preds} | ({"traces": trace} if traces else {}), done)
+    return facts
+
+
+def _retrieval_summary(config: dict, facts: dict) -> dict:
+    if not config["retrieval"]["enabled"]:
+        return {"enabled": False}
+    n, q = facts.get("references_returned", 0), facts.get("queries", 0)
+    return {
+        "mode": config["retrieval"]["reference_mode"], "queries": q, "references_returned": n, "references_per_query": n / q if q else 0.0, "filtered_exact_duplicate": facts.get("filtered_exact_duplicate", 0),
+        "filtered_similarity": facts.get("filtered_similarity", 0), "empty_results": facts.get("empty_results", 0), "mean_question_similarity": facts.get("question_similarity", 0.0) / n if n else 0.0, "mean_step_similarity": facts.get("step_similarity", 0.0) / n if n else 0.0,
+    }
+
+
+def run_evaluation(spark: SparkSession, solutions: DataFrame, config: dict, folder: str, pool: DataFrame | None = None, batch: int | None = None) -> dict:
+    """Score what a run folder lacks (all of it unless ``run.resume``), commit it, and write metrics and a summary.
+
+    With ``batch`` it is done in batches of about so many solutions: each is committed as it ends, so that a run
+    that is cut off loses one of them, and progress (running accuracy, time left) is logged after each.
+    """
+    began = time.perf_counter()
     if not config["run"]["resume"]:
-        for what in ("predictions", "traces"):
-            spark.createDataFrame([], preds.schema if what == "predictions" else traces.schema).write.mode("overwrite").json(f"{folder}/{what}.jsonl")
-    runs.append(preds, folder, "predictions")
-    if config["run"]["save_traces"]:
-        runs.append(traces, folder, "traces")
+        runs.start_over(spark, folder)
+    before = runs.read_rows(spark, folder).select("uid").distinct()
+    todo = runs.pending(solutions, before)
+    n_todo, n_before = todo.count(), before.count()
+    index = None
+    if n_todo and config["retrieval"]["enabled"] and pool is not None:
+        r = config["retrieval"]
+        if not (r.get("index_dir") and has_index(spark, r["index_dir"])):
+            # written once: the plan would encode the pool anew wherever it reads the index
+            save_index(*index_of(pool, r), f"{folder}/index")
+            r = r | {"index_dir": f"{folder}/index"}
+        index = index_of(pool, r)
+    n_batches = max(1, -(-n_todo // batch)) if batch else 1
+    facts: dict = {}
+    for k in range(n_batches if n_todo else 0):
+        part = todo if n_batches == 1 else todo.where(F.pmod(F.xxhash64("uid"), F.lit(n_batches)) == k)
+        own = score_batch(spark, folder, scored_steps(part, config, pool, index), config["run"]["save_traces"])
+        facts = {x: facts.get(x, 0) + v for x, v in own.items()}
+        n, spent = facts["n_scored"], time.perf_counter() - began
+        log.info("%d/%d  running accuracy %.3f  %.2f s a solution  %.1f min left", n, n_todo, facts["n_correct"] / max(n, 1), spent / max(n, 1), (n_todo - n) * spent / max(n, 1) / 60)
     done = runs.wanted(runs.read_predictions(spark, folder), solutions)
-    scores = score_subsets(done)
-    metrics = {"subsets": [r.asDict() for r in scores.collect()], **macro_average(scores).first().asDict()}
+    scores = [r.asDict() for r in score_subsets(done).collect()]
+    metrics = {"subsets": scores, **macro_average(spark.createDataFrame(scores, score_subsets(done).schema)).first().asDict()}
     save_config(config, f"{folder}/config.resolved.json")
     runs.write_json(metrics, f"{folder}/metrics.json")
-    runs.write_json({"config": config, "environment": runs.environment(config["prm"]["backend"]), "n_solutions": done.count(), **metrics}, f"{folder}/summary.json")
+    summary = {
+        "run_name": config["run"]["name"], "condition": "B (retrieval)" if config["retrieval"]["enabled"] else "A (baseline)", "config": config, "environment": runs.environment(config["prm"]["backend"]),
+        "n_solutions": sum(r["n"] for r in scores), "n_scored_this_session": n_todo, "n_resumed": n_before, "wall_seconds": round(time.perf_counter() - began, 1),
+        "metrics": metrics, "retrieval": _retrieval_summary(config, facts), "dropped_references_for_length": facts.get("dropped_references", 0), **metrics,
+    }
+    runs.write_json(summary, f"{folder}/summary.json")
     return metrics
 
 

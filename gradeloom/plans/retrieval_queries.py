@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, hash_bucket, hash_tokens, l2_normalise
 from ..operators import contamination, encode, retrieve
+from ..operators.sequences import gapless
 from .tables import table
 
 QUERIES: dict = {}
@@ -101,12 +102,9 @@ w AS (SELECT *, coalesce(sum(CASE WHEN verdict = 'kept' THEN 1 ELSE 0 END) OVER
 
 def _walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     u = _unit(spark, sf_dir)
-    pool = u.groupBy("label").agg(F.min("vec_id").alias("first_id"), F.min_by("vec", "vec_id").alias("p_vec")).withColumnRenamed("label", "item_id")
-    # a stated query set against one vector for each label, which is few by the data model
-    ranked = u.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q_vec")).crossJoin(F.broadcast(pool))
-    ranked = ranked.select("query_id", "item_id", dot("q_vec", "p_vec").alias("similarity"), (F.col("first_id") == F.col("query_id")).alias("is_duplicate"))
-    order = (F.desc(F.round("similarity", 9)), F.col("item_id"))
-    return retrieve.guard_walk(ranked, 3, 0.8, order=order), u.select(F.col("vec_id").alias("query_id"))
+    pool = u.groupBy(F.col("label").alias("item_id")).agg(F.min("vec_id").alias("own_id"), F.min_by("vec", "vec_id").alias("vec"))
+    queries = u.select(F.col("vec_id").alias("query_id"), "vec")
+    return retrieve.visited(queries, pool, 3, 0.8), queries.select("query_id")
 
 
 @query("WITH " + _WALK_SQL + " SELECT query_id, item_id, verdict, CAST(before + 1 AS BIGINT) AS kept_rank FROM w WHERE before < 3")
@@ -136,6 +134,23 @@ def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")), "doc_id", "text", "item_id", "item")
 
 
+# the order of a draw: four Feistel rounds over two halves of b bits, mixed by md5
+_DRAW_SQL = _UNIT_SQL + ", o AS (SELECT vec_id, vec, row_number() OVER (ORDER BY vec_id) - 1 AS ordinal, count(*) OVER () AS n FROM u), " + """b AS (SELECT CAST(greatest(1, ceil(ceil(log2(max(n))) / 2)) AS INTEGER) AS b, CAST(max(n) AS BIGINT) AS n FROM o),
+f0 AS (SELECT q.vec_id AS query_id, p.range AS place, b, n, p.range >> b AS l, p.range & ((1 << b) - 1) AS r FROM u q, b, range((SELECT least(1 << (2 * b), 64) FROM b)) p),
+""" + ", ".join(f"f{k + 1} AS (SELECT query_id, place, b, n, r AS l, xor(l, CAST(('0x' || substr(md5('17:' || query_id || ':{k}:' || r), 1, 8)) AS BIGINT)) & ((1 << b) - 1) AS r FROM f{k})" for k in range(4)) + """,
+d AS (SELECT query_id, place, o.vec_id AS item_id, list_dot_product(u.vec, o.vec) AS sim FROM f4 JOIN o ON ordinal = (l << b) | r JOIN u ON u.vec_id = query_id),
+w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM d WHERE sim < 0.95 AND item_id <> query_id)"""
+
+
+@query("WITH " + _DRAW_SQL + " SELECT query_id, item_id, CAST(rank AS BIGINT) AS rank, round(sim, 6) AS similarity FROM w WHERE rank <= 8")
+def random_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight vectors drawn for each vector behind the guard, by a permutation that is computed and not searched."""
+    u = _unit(spark, sf_dir)
+    pool = gapless(u, F.floor(F.col("vec_id") / 10_000), ["vec_id"], "ordinal").select(F.col("vec_id").alias("item_id"), "ordinal", "vec")
+    found = retrieve.draw(u.select(F.col("vec_id").alias("query_id"), "vec"), pool, 8, 17, 0.95, True)
+    return found.select("query_id", F.inline("hits")).select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 _FLAG_SQL = r"""k AS (SELECT doc_id, lang, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents),
 p AS (SELECT DISTINCT t FROM k WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)),
 g AS (SELECT lang, t IN (SELECT t FROM p) AS v FROM k WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))"""

@@ -11,6 +11,8 @@ from ..operators import contrast, encode, metrics
 from ..operators.score import score_mock
 from ..operators.sequences import explode_steps, predictions
 from ..sources import benchmark, pool, runs
+from ..sources.config import resolve
+from .evaluation import evaluate
 from .evaluation_queries import _SCORED, _r
 from .tables import ARMS_SQL, F1_SQL, RANKS, SOLUTIONS_SQL, arm, both_arms, severity_sql, solutions, table
 from .text_queries import _BLOCK, _PROMPT_SQL, _UNIT, PREFIX, _graded, _q
@@ -93,6 +95,19 @@ def mock_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("uid", *whole, "predicted_error_type", "correct")
 
 
+@query("WITH " + _RAW_SQL + f""", e AS (SELECT uid, label, problem, unnest(steps) AS step, generate_subscripts(steps, 1) - 1 AS i FROM n),
+h AS (SELECT uid, label, i, md5('17' || chr(31) || problem || chr(31) || step) AS h FROM e), k AS (SELECT uid, label, i, {_UNIT.format(h="h")} AS score FROM h),
+f AS (SELECT *, min(CASE WHEN score < 0.5 THEN i END) OVER (PARTITION BY uid) AS first FROM k)
+SELECT uid, CAST(i AS BIGINT) AS step_index, CAST(label AS BIGINT) AS gold_label, score < 0.5 AS is_error, score >= 0.12 AS math_ok, score < 0.12 OR score >= 0.22 AS consistency_ok, round(CASE WHEN score >= 0.22 THEN score END, 9) AS correctness_prob,
+CASE WHEN score < 0.12 THEN 'math error' WHEN score < 0.22 THEN 'consistency error' ELSE 'no error' END AS error_type, 0 AS n_references FROM f WHERE first IS NULL OR i <= first""")
+def run_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The traces of a run without references over documents as solutions: each up to its first flag."""
+    config = resolve({"prm": {"backend": "mock"}, "retrieval": {"enabled": False}})
+    rows = evaluate(_solutions_of_documents(spark, sf_dir), config)[1]
+    whole = [F.col(c).cast("long").alias(c) for c in ("step_index", "gold_label")]
+    return rows.select("uid", *whole, "is_error", "math_ok", "consistency_ok", F.round("correctness_prob", 9).alias("correctness_prob"), "error_type", "n_references")
+
+
 _HASHED_SQL = "SELECT doc_id, CAST(('0x' || substr(md5('0:' || tok), 1, 2)) AS BIGINT) AS bucket, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents) GROUP BY ALL"
 
 

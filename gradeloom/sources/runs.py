@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import platform
 import subprocess
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,23 +16,72 @@ from ..schema import PREDICTION, SEVERITY_NAMES, TRACE
 from .benchmark import _exists
 
 
-def append(df: DataFrame, folder: str, what: str) -> None:
-    """Add rows to ``predictions`` or ``traces`` of a run."""
-    df.write.mode("append").json(f"{folder}/{what}.jsonl")
+def _files(spark: SparkSession, path: str):
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def commits(spark: SparkSession, folder: str) -> list:
+    """The committed batches of a run in their order: (epoch, files, facts)."""
+    path = f"{folder}/commits"
+    if not _exists(spark, path):
+        return []
+    fs, own = _files(spark, path)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(own))
+    return [read_json(f"{path}/{n}") for n in names if n.endswith(".json")]
+
+
+def commit(spark: SparkSession, folder: str, frames: dict[str, DataFrame], facts: Callable[[], dict] | None = None) -> int:
+    """Add a batch to a run: write each frame (``predictions``, ``traces``) under the next epoch, then commit all of them at once.
+
+    A batch counts from the moment its manifest has its name, a rename of one small file that names the others;
+    readers take committed files only. What a batch leaves behind that was cut off before is overwritten by the
+    next one, which has the same epoch. A run has one writer at a time. ``facts`` is asked once the frames are written.
+    """
+    epoch = max((c["epoch"] for c in commits(spark, folder)), default=-1) + 1
+    files = {}
+    for what, df in frames.items():
+        path = f"{folder}/{what}/epoch={epoch:06d}"
+        df.write.mode("overwrite").json(path)
+        fs, own = _files(spark, path)
+        files[what] = sorted(f"{what}/epoch={epoch:06d}/{s.getPath().getName()}" for s in fs.listStatus(own) if s.getPath().getName().startswith("part-"))
+    draft, final = f"{folder}/commits/_{epoch:06d}.tmp", f"{folder}/commits/{epoch:06d}.json"
+    write_json({"epoch": epoch, "files": files, "facts": facts() if facts else {}}, draft)
+    fs, own = _files(spark, draft)
+    if not fs.rename(own, _files(spark, final)[1]):
+        raise RuntimeError(f"{final} is there already: another writer has committed this batch")
+    return epoch
+
+
+def start_over(spark: SparkSession, folder: str) -> None:
+    """Forget all batches of a run; their files are overwritten as new batches come."""
+    for what in ("commits", "predictions.jsonl", "traces.jsonl"):
+        fs, own = _files(spark, f"{folder}/{what}")
+        fs.delete(own, True)
+
+
+def _ordered(spark: SparkSession, folder: str, what: str) -> DataFrame:
+    """All committed rows with ``_line``, their order: by batch, file and place; a plain ``<what>.jsonl`` (a run made elsewhere) comes first."""
+    schema = PREDICTION if what == "predictions" else TRACE
+    out = spark.createDataFrame([], f"{schema}, _line struct<epoch:int,file:string,start:long,place:long>")
+    found = [(c["epoch"], f"{folder}/{f}") for c in commits(spark, folder) for f in c["files"].get(what, [])]
+    plain = f"{folder}/{what}.jsonl"
+    for paths, epoch in (([plain], F.lit(-1)), ([p for _, p in found], F.regexp_extract("_metadata.file_path", r"epoch=(\d+)", 1).cast("int"))):
+        if paths and (paths[0] != plain or _exists(spark, plain)):
+            rows = spark.read.schema(schema).json(paths)
+            line = F.struct(epoch.alias("epoch"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+            out = out.union(rows.select("*", line.alias("_line")))
+    return out
 
 
 def read_rows(spark: SparkSession, folder: str, what: str = "predictions") -> DataFrame:
-    """All rows, repeated uids included; no rows if nothing was written yet."""
-    schema = PREDICTION if what == "predictions" else TRACE
-    path = f"{folder}/{what}.jsonl"
-    return spark.read.schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    """All rows of committed batches, repeated uids included; no rows if nothing was written yet."""
+    return _ordered(spark, folder, what).drop("_line")
 
 
 def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each uid: of repeated ones the last, by file (in order of writing time) and place in it."""
-    rows = read_rows(spark, folder)
-    order = F.struct(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i")) if _exists(spark, f"{folder}/predictions.jsonl") else F.lit(0)
-    return latest(rows.withColumn("line_no", order)).drop("line_no")
+    """One row for each uid: of repeated ones that of the last batch, and in it the last."""
+    return latest(_ordered(spark, folder, "predictions"), "_line").drop("_line")
 
 
 def pending(solutions: DataFrame, done: DataFrame) -> DataFrame:

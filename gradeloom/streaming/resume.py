@@ -6,25 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.evaluation import score_batch
 from ..schema import SOLUTION
-from ..sources.runs import append, pending, read_rows
+from ..sources.runs import pending, read_rows
 
 
-def scoring_stream(spark: SparkSession, source: str, run_folder: str, score: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, per_batch: int = 1):
+def scoring_stream(spark: SparkSession, source: str, run_folder: str, score: Callable[[DataFrame], DataFrame], checkpoint: str, per_batch: int = 1):
     """A query that scores solutions (JSON files under ``source``) as they arrive; start with ``.awaitTermination()``.
 
-    ``score`` gives (predictions, traces). The checkpoint remembers which files are done; rows of a batch
-    that was cut off are left out by their uids when it is tried again, so no solution is scored twice.
+    ``score`` gives scored steps (``plans.evaluation.scored_steps``), which are evaluated once. The checkpoint remembers which files are done; a batch that was cut off
+    before its commit is tried again as a whole, one that was cut off after it finds its uids done: each solution
+    has one prediction, and its traces are those of that prediction.
     """
 
     def batch(rows: DataFrame, epoch: int) -> None:
         todo = pending(rows, read_rows(spark, run_folder)).persist()
         try:
             if not todo.isEmpty():
-                predictions, traces = score(todo)
-                # those of an attempt that was cut off before its predictions are there already
-                append(pending(traces, read_rows(spark, run_folder, "traces").select("uid").distinct()), run_folder, "traces")
-                append(predictions, run_folder, "predictions")  # last: a uid counts as done from here on
+                score_batch(spark, run_folder, score(todo))
         finally:
             todo.unpersist()
 

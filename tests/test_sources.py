@@ -85,14 +85,14 @@ def test_runs_resume_and_compare(spark, folder, items, tmp_path):
 
 
 def test_stream_scores_each_solution_once(spark, folder, tmp_path):
-    from gradeloom.plans.evaluation import evaluate
+    from gradeloom.plans.evaluation import scored_steps
 
     source, out = tmp_path / "in", str(tmp_path / "run")
     source.mkdir()
     for k in range(2):
         (source / f"{k}.json").write_text("\n".join(json.dumps({"uid": f"u{i}", "subset": "math", "problem": "p", "steps": ["a", "b"], "label": -1}) for i in range(k, k + 3)))
     for _ in range(2):
-        scoring_stream(spark, str(source), out, lambda df: evaluate(df, settings()), str(tmp_path / "ck")).awaitTermination()
+        scoring_stream(spark, str(source), out, lambda df: scored_steps(df, settings()), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r["uid"] for r in runs.read_rows(spark, out).collect()) == ["u0", "u1", "u2", "u3"]
 
 
@@ -160,15 +160,6 @@ def test_smoke_and_command_line(spark, folder, items, tmp_path, capsys):
     assert "Comparison of two runs" in capsys.readouterr().out
 
 
-def test_two_stage_grader_skips_its_second_pass():
-    from gradeloom.operators.score import two_stage
-
-    calls = []
-    grade = two_stage(lambda q, p, s, r: [(1.0, 0.0), (0.0, 1.0) if s == "bad" else (2.0, 0.0)], lambda *a: calls.append(a) or (0.0, 0.0))
-    assert grade("q", [], "bad", []) == (True, False, None) and not calls
-    assert grade("q", [], "ok", []) == (True, True, 0.5) and len(calls) == 1
-
-
 def test_registered_grader_stops_early(spark, folder):
     from gradeloom.operators.score import register_grader, score_with
     from gradeloom.operators.sequences import explode_steps, predictions
