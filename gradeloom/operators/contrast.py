@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import average_rank, chi2_p_value, harmonic, mcnemar_statistic, rate, safe_corr
@@ -103,37 +103,74 @@ def hash_bootstrap(values: DataFrame, statistic: str = "value", resamples: int =
 
     ``values`` has a gapless ``i`` from 0. Each of n places of a resample reads row
     md5(seed:resample:place) mod n: n times ``resamples`` draws, so for small tables; intervals of large
-    ones come from :func:`bootstrap_cis`.
+    ones come from :func:`bootstrap_cis`. Resamples are dealt over the tasks before they are drawn.
     """
-    n = values.agg(F.count("*").alias("n"))
-    draws = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("place"))
+    n = values.count()
+    spark = values.sparkSession
+    draws = spark.range(0, resamples, 1, spark.sparkContext.defaultParallelism).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("place")) if n else spark.createDataFrame([], "resample long, place long")
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col("place").cast("string")).cast("binary"))
-    picked = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("n"))
+    picked = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)))
     return draws.withColumn("i", picked).join(values, "i").groupBy("resample").agg(F.avg(statistic).alias("mean"))
 
 
-def cluster_bootstrap(per_solution: DataFrame, resamples: int = 2000, seed: int = 17) -> dict[str, tuple[float, float, float]]:
-    """Point and 95 % interval of the percentage-point difference of two step rates, resampling whole solutions.
+#: replicates that one md5 draws weights for: 32 bits each
+DRAWS = 4
 
-    ``per_solution``: uid, n, and counts s1_a, s1_x, s2_a, s2_x of flags in the two arms. Solutions with
-    equal numbers are one cell of a multinomial, so what is collected is bounded by distinct rows.
-    """
-    import numpy as np
 
-    rows = per_solution.groupBy("n", "s1_a", "s1_x", "s2_a", "s2_x").agg(F.count("*").alias("w")).collect()
-    if not rows:
-        return {}
-    w = np.array([r["w"] for r in rows])
-    draws = np.random.default_rng(seed).multinomial(w.sum(), w / w.sum(), size=resamples)
-    n = np.array([r["n"] for r in rows])
-    out = {}
-    for stage in ("s1", "s2"):
-        d = np.array([r[f"{stage}_x"] - r[f"{stage}_a"] for r in rows])
-        samples = 100 * (draws @ d) / (draws @ n)
-        out[stage] = (float(100 * (w @ d) / (w @ n)), *map(float, np.percentile(samples, [2.5, 97.5])))
+def poisson_steps(most: int = 12) -> list[float]:
+    """Cumulative probabilities of a Poisson variable of mean 1: a weight is how many of them a uniform number has reached (beyond ``most``: less than 1e-10 of all)."""
+    import math
+
+    out, total = [], 0.0
+    for k in range(most):
+        total += math.exp(-1) / math.factorial(k)
+        out.append(total)
     return out
 
 
+def with_poisson_weights(rows: DataFrame, key: str, block: str, seed: int) -> DataFrame:
+    """``rows`` with ``_w0`` and on: ``DRAWS`` Poisson weights of mean 1 that seed, key and block of replicates decide."""
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col(block).cast("string")).cast("binary")))
+    # one step at a time: each number is used for many comparisons and computed once
+    drawn = hashed.withColumns({f"_u{j}": F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("double") / 4294967296.0 for j in range(DRAWS)})
+    return drawn.withColumns({f"_w{j}": sum(((F.col(f"_u{j}") >= t).cast("long") for t in poisson_steps()), F.lit(0).cast("long")) for j in range(DRAWS)}).drop("_h", *(f"_u{j}" for j in range(DRAWS)))
+
+
+def cluster_replicates(per_solution: DataFrame, resamples: int = 2000, seed: int = 17, key: str = "uid") -> DataFrame:
+    """(replicate, s1, s2): percentage-point differences of two step rates when whole solutions are resampled.
+
+    ``per_solution``: uid, n, and counts s1_a, s1_x, s2_a, s2_x of flags in the two arms. A replicate gives each
+    solution a Poisson weight that a hash draws (the limit of drawing with replacement), so solutions need not be
+    known together: weighted sums are added up in the tasks, and a row for each ``DRAWS`` replicates comes out,
+    however many solutions there are and however different they are.
+    """
+    blocks = -(-resamples // DRAWS)
+    rows = per_solution.select(key, "n", (F.col("s1_x") - F.col("s1_a")).alias("_1"), (F.col("s2_x") - F.col("s2_a")).alias("_2"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    rows = with_poisson_weights(rows, key, "_block", seed)
+    sums = [F.sum(F.col(f"_w{j}") * F.col(c)).alias(f"{c}{j}") for j in range(DRAWS) for c in ("n", "_1", "_2")]
+    added = rows.groupBy("_block").agg(*sums)
+    each = F.explode(F.array(*(F.struct((F.col("_block") * DRAWS + j).alias("replicate"), *(F.try_divide(100.0 * F.col(f"{c}{j}"), F.col(f"n{j}")).alias(name) for c, name in (("_1", "s1"), ("_2", "s2")))) for j in range(DRAWS))))
+    return added.select(each.alias("r")).select("r.*").where(F.col("replicate") < resamples)
+
+
+def cluster_intervals(per_solution: DataFrame, resamples: int = 2000, seed: int = 17, alpha: float = 0.05, key: str = "uid") -> DataFrame:
+    """(stage, point, low, high): the differences and their percentile intervals; no rows without solutions."""
+    drawn = cluster_replicates(per_solution, resamples, seed, key)
+    at = lambda c, q: F.percentile(c, F.lit(q))
+    # one row of percentiles over the replicates, one of sums over the solutions
+    ends = drawn.agg(*(at(c, q).alias(f"{c}{x}") for c in ("s1", "s2") for x, q in (("low", alpha / 2), ("high", 1 - alpha / 2))))
+    n = F.sum("n")
+    points = per_solution.agg(n.alias("n"), *(F.try_divide(100.0 * F.sum(F.col(f"{c}_x") - F.col(f"{c}_a")), n).alias(c) for c in ("s1", "s2"))).where("n > 0")
+    both = points.withColumn("_", F.lit(1)).join(ends.withColumn("_", F.lit(1)), "_")
+    return both.select(F.inline(F.array(*(F.struct(F.lit(c).alias("stage"), F.col(c).alias("point"), F.col(f"{c}low").alias("low"), F.col(f"{c}high").alias("high")) for c in ("s1", "s2")))))
+
+
+def cluster_bootstrap(per_solution: DataFrame, resamples: int = 2000, seed: int = 17) -> dict[str, tuple[float, float, float]]:
+    """Point and 95 % interval of each stage, as a dictionary."""
+    return {r["stage"]: (r["point"], r["low"], r["high"]) for r in cluster_intervals(per_solution, resamples, seed).collect()}
+
+
 def subset_contrast(aligned: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
     """Both arms' metrics for each subset, in one aggregation, with the F1 delta and McNemar's counts."""
     a, b, e = F.col("pred_a") == F.col("gold"), F.col("pred_b") == F.col("gold"), F.col("gold") != -1

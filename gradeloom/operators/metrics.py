@@ -100,13 +100,13 @@ def similarity_bins(treatment: DataFrame, baseline: DataFrame, traces: DataFrame
     return place.where("_fits").groupBy(own.alias("bin")).agg(F.count("*").alias("n"), F.avg("similarity").alias("mean_similarity"), F.avg("b").alias("baseline_accuracy"), F.avg("t").alias("treatment_accuracy"), F.avg(F.col("t") - F.col("b")).alias("delta"))
 
 
-def median_of_shares(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
-    """Exact medians of values in [0, 1] by group (null ones left out), without gathering a group in one task.
+def median_of_counts(counts: DataFrame, by: str, value: str, n: str, name: str) -> DataFrame:
+    """Exact medians by group of values in [0, 1] that occur ``n`` times (repeated rows add up), without gathering a group in one task.
 
-    Equal values are counted first; counts by slot of a ten-thousandth (at most 10,001 a group) tell which
-    slots hold the one or two middle places, and only these slots' distinct values are ranked.
+    Counts by slot of a ten-thousandth (at most 10,001 a group) tell which slots hold the one or two middle
+    places, and only these slots' distinct values are ranked.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")).withColumn("_slot", F.floor(F.col("_v") * 10_000))
+    counted = counts.groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.sum(n).alias("_n")).withColumn("_slot", F.floor(F.col("_v") * 10_000))
     own = Window.partitionBy(by)
     slots = counted.groupBy(by, "_slot").agg(F.sum("_n").alias("_size"))
     slots = slots.select(by, "_slot", "_size", F.sum("_size").over(own).alias("_all"), (F.sum("_size").over(own.orderBy("_slot")) - F.col("_size")).alias("_lower"))
@@ -119,26 +119,54 @@ def median_of_shares(rows: DataFrame, by: str, value: str, name: str) -> DataFra
     return placed.groupBy(by).agg(((holds(first) + holds(second)) / 2).alias(name))
 
 
-def stage_rates(traces: DataFrame, arm: str = "arm") -> DataFrame:
-    """Flag rates by stage over the steps that every arm has scored, and the score's mean, median and share below a half."""
-    arms = traces.select(arm).distinct().count()
-    common = traces.groupBy("uid", "step_index").agg(F.count_distinct(arm).alias("_arms")).where(F.col("_arms") == arms)
-    rows = traces.join(common, ["uid", "step_index"], "left_semi")
+def median_of_shares(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """Exact medians of values in [0, 1] by group, null ones left out; see :func:`median_of_counts`."""
+    return median_of_counts(rows.where(F.col(value).isNotNull()).withColumn("_one", F.lit(1)), by, value, "_one", name)
+
+
+def shared_steps(traces: DataFrame, arms: int, arm: str = "arm") -> DataFrame:
+    """The rows of steps that ``arms`` arms have scored: a window over each step, one exchange and no join."""
+    step = Window.partitionBy("uid", "step_index")
+    return traces.withColumn("_arms", F.size(F.collect_set(arm).over(step))).where(F.col("_arms") == arms).drop("_arms")
+
+
+def cluster_flags(traces: DataFrame, baseline: str, treatment: str, arm: str = "arm") -> DataFrame:
+    """(uid, n, s1_a, s1_x, s2_a, s2_x): flags by stage in two arms, over each solution's correct steps that both have scored."""
+    rows = shared_steps(traces.where(F.col(arm).isin(baseline, treatment)), 2, arm).where(gold_ok_step("gold_label", "step_index"))
+    passed = F.col("math_ok") & F.col("consistency_ok")
+    of = lambda x, c: F.count_if((F.col(arm) == x) & c)
+    late = F.col("is_error") & passed
+    return rows.groupBy("uid").agg(of(baseline, F.lit(True)).alias("n"), of(baseline, ~passed).alias("s1_a"), of(treatment, ~passed).alias("s1_x"), of(baseline, late).alias("s2_a"), of(treatment, late).alias("s2_x"))
+
+
+def stage_rates(traces: DataFrame, arm: str = "arm", arms: list | None = None) -> DataFrame:
+    """Flag rates by stage over the steps that every arm has scored, and the score's mean, median and share below a half.
+
+    With ``arms`` (their names, where the caller knows them) the traces are not read for them first. Shared steps
+    are counted by (arm, verdicts, score) once: rates, and the middle scores of the median, come from these counts.
+    """
+    n = len(arms) if arms is not None else traces.select(arm).distinct().count()
+    rows = shared_steps(traces, n, arm)
     passed = F.col("math_ok") & F.col("consistency_ok")
-    ok = gold_ok_step("gold_label", "step_index")
-    prob = F.when(passed, F.col("correctness_prob"))
-    rates = rows.groupBy(arm).agg(
-        F.count("*").alias("steps"),
-        F.count_if(ok).alias("gold_correct_steps"),
-        F.avg((~passed).cast("double")).alias("stage1_flag_rate_all"),
-        F.avg((~F.col("math_ok")).cast("double")).alias("math_flag_rate_all"),
-        F.avg((~F.col("consistency_ok")).cast("double")).alias("consistency_flag_rate_all"),
-        rate(~passed, ok).alias("false_flag_stage1"),
-        rate(F.col("is_error") & passed, ok).alias("false_flag_stage2"),
-        F.avg(prob).alias("p_correct_mean"),
-        F.avg((prob < 0.5).cast("double")).alias("p_correct_below_half"),
+    cells = rows.groupBy(
+        arm, gold_ok_step("gold_label", "step_index").alias("_ok"), "math_ok", "consistency_ok", "is_error", F.when(passed, F.col("correctness_prob").cast("double")).alias("_p"),
+    ).agg(F.count("*").alias("_n"))
+    ok, k, prob = F.col("_ok"), F.col("_n"), F.col("_p")
+    share = lambda hit, among: F.try_divide(F.sum(F.when(among & hit, k).otherwise(0)), F.sum(F.when(among, k).otherwise(0)))
+    every, scored = F.lit(True), prob.isNotNull()
+    cells = cells.persist()  # read for rates, and for the median's slots and places
+    rates = cells.groupBy(arm).agg(
+        F.sum("_n").alias("steps"),
+        F.sum(F.when(ok, k).otherwise(0)).alias("gold_correct_steps"),
+        share(~passed, every).alias("stage1_flag_rate_all"),
+        share(~F.col("math_ok"), every).alias("math_flag_rate_all"),
+        share(~F.col("consistency_ok"), every).alias("consistency_flag_rate_all"),
+        share(~passed, ok).alias("false_flag_stage1"),
+        share(F.col("is_error") & passed, ok).alias("false_flag_stage2"),
+        F.try_divide(F.sum(prob * k), F.sum(F.when(scored, k).otherwise(0))).alias("p_correct_mean"),
+        share(prob < 0.5, scored).alias("p_correct_below_half"),
     )
-    median = median_of_shares(rows.select(arm, prob.alias("_p")), arm, "_p", "p_correct_median")
+    median = median_of_counts(cells.where(scored), arm, "_p", "_n", "p_correct_median")
     names = [*rates.columns[:-1], "p_correct_median", rates.columns[-1]]
     return rates.join(median, arm, "left").select(*names)
 

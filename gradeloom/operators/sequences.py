@@ -49,9 +49,9 @@ def first_error(steps: DataFrame, uid: str = "uid", flag: str = "is_error", inde
     return steps.groupBy(uid, *keep).agg(F.coalesce(F.min(flagged), F.lit(-1)).alias("predicted_label"), F.count("*").alias("n_steps"), *more)
 
 
-def early_stop(steps: DataFrame, uid: str = "uid", flag: str = "is_error", index: str = "step_index") -> DataFrame:
+def early_stop(steps: DataFrame, uid: str | tuple[str, ...] = "uid", flag: str = "is_error", index: str = "step_index") -> DataFrame:
     """The steps that a grader that stops at its first flag has scored."""
-    first = F.min(F.when(F.col(flag), F.col(index))).over(Window.partitionBy(uid))
+    first = F.min(F.when(F.col(flag), F.col(index))).over(Window.partitionBy(*([uid] if isinstance(uid, str) else uid)))
     return steps.withColumn("_first", first).where(F.col("_first").isNull() | (F.col(index) <= F.col("_first"))).drop("_first")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import average_rank
@@ -233,8 +233,7 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, gold = steps(spark, sf_dir), first_flags(spark, sf_dir).select("uid", "gold_label")
     two = F.explode(F.array(*(F.struct(F.lit(x).alias("arm"), F.col(f"bad_{x}").alias("is_error")) for x in "ab")))
     rows = rows.select("*", two.alias("_x")).select("*", "_x.*").drop("_x")
-    first = F.min(F.when(F.col("is_error"), F.col("step_index"))).over(Window.partitionBy("uid", "arm"))
-    rows = rows.withColumn("_f", first).where(F.col("_f").isNull() | (F.col("step_index") <= F.col("_f")))
+    rows = sequences.early_stop(rows, ("uid", "arm"))
     rows = rows.withColumns({"math_ok": F.col("l_quantity") <= 45, "consistency_ok": F.col("l_quantity") >= 4, "correctness_prob": 1 - F.col("l_discount") * 6, "reference_similarities": F.array("l_discount", "l_tax")})
     return rows.join(gold, "uid")
 
@@ -250,7 +249,7 @@ round(avg(CASE WHEN NOT consistency_ok THEN 1.0 ELSE 0.0 END), 6) AS consistency
 round(avg(CASE WHEN ok THEN CASE WHEN is_error AND passed THEN 1.0 ELSE 0.0 END END), 6) AS false_flag_stage2, round(avg(CASE WHEN passed THEN prob END), 6) AS p_correct_mean,
 round(quantile_cont(CASE WHEN passed THEN prob END, 0.5), 6) AS p_correct_median, round(avg(CASE WHEN passed THEN CASE WHEN prob < 0.5 THEN 1.0 ELSE 0.0 END END), 6) AS p_correct_below_half FROM z GROUP BY arm""")
 def stage_flag_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.stage_rates(_traces(spark, sf_dir))
+    out = metrics.stage_rates(_traces(spark, sf_dir), arms=["a", "b"])
     return out.select("arm", "steps", "gold_correct_steps", *(_r(c) for c in out.columns[3:]))
 
 
@@ -270,21 +269,26 @@ def ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ecdf(table(spark, sf_dir, "part"), "p_retailprice", ("p_brand",), "p_partkey").select("p_partkey", "p_brand", _r("share"))
 
 
-@query("WITH " + _TRACES_SQL + """, c AS (SELECT uid, step_index FROM tr GROUP BY ALL HAVING count(DISTINCT arm) = 2)
-SELECT uid, count(*) FILTER (arm = 'a') AS n, count(*) FILTER (arm = 'a' AND NOT (math_ok AND consistency_ok)) AS s1_a, count(*) FILTER (arm = 'b' AND NOT (math_ok AND consistency_ok)) AS s1_x,
-count(*) FILTER (arm = 'a' AND is_error AND math_ok AND consistency_ok) AS s2_a, count(*) FILTER (arm = 'b' AND is_error AND math_ok AND consistency_ok) AS s2_x FROM tr SEMI JOIN c USING (uid, step_index) WHERE gold_label = -1 OR step_index < gold_label GROUP BY uid""")
+_CLUSTERS_SQL = _TRACES_SQL + """, c AS (SELECT uid, step_index FROM tr GROUP BY ALL HAVING count(DISTINCT arm) = 2),
+cl AS (SELECT uid, count(*) FILTER (arm = 'a') AS n, count(*) FILTER (arm = 'a' AND NOT (math_ok AND consistency_ok)) AS s1_a, count(*) FILTER (arm = 'b' AND NOT (math_ok AND consistency_ok)) AS s1_x,
+count(*) FILTER (arm = 'a' AND is_error AND math_ok AND consistency_ok) AS s2_a, count(*) FILTER (arm = 'b' AND is_error AND math_ok AND consistency_ok) AS s2_x FROM tr SEMI JOIN c USING (uid, step_index) WHERE gold_label = -1 OR step_index < gold_label GROUP BY uid)"""
+
+
+@query("WITH " + _CLUSTERS_SQL + " SELECT * FROM cl")
 def cluster_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the cluster bootstrap resamples: flags by stage and arm of each solution's correct steps."""
-    rows = _traces(spark, sf_dir)
-    common = rows.groupBy("uid", "step_index").agg(F.count_distinct("arm").alias("k")).where("k = 2")
-    rows = rows.join(common, ["uid", "step_index"], "left_semi").where((F.col("gold_label") == -1) | (F.col("step_index") < F.col("gold_label")))
-    passed = F.col("math_ok") & F.col("consistency_ok")
-    of = lambda x, c: F.count_if((F.col("arm") == x) & c)
-    return rows.groupBy("uid").agg(of("a", F.lit(True)).alias("n"), of("a", ~passed).alias("s1_a"), of("b", ~passed).alias("s1_x"), of("a", F.col("is_error") & passed).alias("s2_a"), of("b", F.col("is_error") & passed).alias("s2_x"))
+    return metrics.cluster_flags(_traces(spark, sf_dir), "a", "b")
 
 
-@query()
+_WEIGHT = " + ".join(f"CAST(u >= {t!r} AS INTEGER)" for t in contrast.poisson_steps())
+
+
+@query("WITH " + _CLUSTERS_SQL + f""", hh AS (SELECT n, s1_x - s1_a AS d1, s2_x - s2_a AS d2, b, md5('17:' || uid || ':' || b) AS h FROM cl, (SELECT range AS b FROM range(500))),
+ee AS (SELECT 4 * b + j AS replicate, n, d1, d2, CAST(('0x' || substr(h, CAST(8 * j + 1 AS INTEGER), 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM hh, (SELECT range AS j FROM range(4))),
+wt AS (SELECT replicate, n, d1, d2, {_WEIGHT} AS w FROM ee),
+rr AS (SELECT replicate, 100.0 * sum(w * d1) / sum(w * n) AS s1, 100.0 * sum(w * d2) / sum(w * n) AS s2 FROM wt GROUP BY replicate)
+SELECT 's1' AS stage, (SELECT round(100.0 * sum(s1_x - s1_a) / sum(n), 6) FROM cl) AS point, round(quantile_cont(s1, 0.025), 6) AS low, round(quantile_cont(s1, 0.975), 6) AS high FROM rr
+UNION ALL SELECT 's2', (SELECT round(100.0 * sum(s2_x - s2_a) / sum(n), 6) FROM cl), round(quantile_cont(s2, 0.025), 6), round(quantile_cont(s2, 0.975), 6) FROM rr""")
 def cluster_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of stage flag differences, resampling whole solutions."""
-    found = contrast.cluster_bootstrap(cluster_flags(spark, sf_dir))
-    return spark.createDataFrame([(k, *v) for k, v in found.items()], "stage string, point double, low double, high double")
+    """Intervals of stage flag differences from 2,000 replicates, resampling whole solutions."""
+    return contrast.cluster_intervals(cluster_flags(spark, sf_dir)).select("stage", _r("point"), _r("low"), _r("high"))
