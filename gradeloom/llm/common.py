@@ -65,11 +65,15 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads; shuffle files of plans that are gone go with them."""
+        self.discard(*frames)
+        self.release()
+
+    def discard(self, *frames: DataFrame) -> None:
+        """Delete tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
-        self.release()
 
     def release(self) -> None:
         """Let go of the shuffle files of plans that are gone."""

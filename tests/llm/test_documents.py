@@ -142,6 +142,30 @@ def test_sharding_by_brute_force(spark):
     assert len(set(hot)) <= 14 and cut("shard") < cut("start")
 
 
+def test_sharding_over_links_that_chain(spark):
+    """Chains and a dense cluster of different texts: labels travel over several links, and fewer are cut than before."""
+    rng = random.Random(12)
+    docs = [(i, f"text {i}") for i in range(1200)] + [(None, "no id"), (7, "another row of an id"), (1200, "twin"), (1201, "twin")]
+    chains = [(10 * k + j, 10 * k + j + 1) for k in range(40) for j in range(9)]  # ids 0 to 399 in chains of ten
+    dense = [(400 + 20 * k + i, 400 + 20 * k + j) for k in range(10) for i in range(20) for j in range(i) if rng.random() < 0.4]
+    links = chains + dense + [(5, 5), (3, 99_999), (None, 4), (1200, 9), (chains[0][1], chains[0][0])]
+    df, table_ = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(links, "a long, b long").repartition(3)
+    cuts: list = []
+    rows = sharding.shard_by_rows(df, 8, links=table_, cuts=cuts).collect()
+    at = {r["doc_id"]: r["shard"] for r in rows if r["text_crc32"] != zlib.crc32(b"another row of an id")}
+    began = {r["doc_id"]: r["start"] for r in rows}
+    sizes = [sum(r["shard"] == s for r in rows) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1 and len(rows) == len(docs)
+    real = {(max(x), min(x)) for x in chains + dense}
+    cut = lambda of: sum(of[a] != of[b] for a, b in real)
+    assert cut(began) > 0.8 * len(real) and cut(at) < 0.2 * len(real)
+    assert min(cuts) < cuts[0] or cuts[0] == 0  # labels were voted on again after they had settled
+    assert at[1200] == at[1201]
+    # most chains are in few shards though no document sees further than its neighbours
+    assert sum(len({at[10 * k + j] for j in range(10)}) <= 4 for k in range(40)) >= 32
+    assert sharding.shard_by_rows(df.limit(0), 8, links=table_).count() == 0
+
+
 def test_shards_take_what_fits():
     assert sharding.taken({0: {3: 5, 1: 6, 2: 4}, 2: {0: 9}}, [10, 0, 8]) == {0: [1, 2]}
 
