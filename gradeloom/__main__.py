@@ -6,7 +6,6 @@ import argparse
 import json
 import sys
 
-from .operators.metrics import profile_runs
 from .operators.parity import check_parity
 from .plans import evaluation
 from .session import build_session
@@ -35,12 +34,14 @@ def _pool(spark, c: dict):
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gradeloom", description=__doc__)
-    parser.add_argument("command", choices=["build-pool", "build-index", "run-eval", "compare-runs", "check-contamination", "check-parity", "error-analysis", "plot-arms", "summarize-study", "verify-model-interface", "smoke"])
+    parser.add_argument("command", choices=["build-pool", "build-index", "run-eval", "compare-runs", "check-contamination", "check-parity", "error-analysis", "stage-analysis", "plot-arms", "summarize-study", "verify-model-interface", "smoke"])
     parser.add_argument("paths", nargs="*", help="configuration files, run folders or input, as the command needs")
     parser.add_argument("--set", action="append", default=[], metavar="SECTION.KEY=VALUE")
     parser.add_argument("--allow", action="append", default=[], metavar="SECTION.KEY")
     parser.add_argument("--out", default="out")
     parser.add_argument("--contamination")
+    parser.add_argument("--batch", type=int, help="solutions of one committed batch of run-eval")
+    parser.add_argument("--similarity-bins", nargs=2, metavar=("TREATMENT", "BASELINE"), help="runs or labels, for error-analysis")
     a = parser.parse_args(argv)
     spark = build_session("gradeloom")
     over = _overrides(a.set)
@@ -60,13 +61,11 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(f"{'holds' if ok else 'FAILS'}: {what}" for what, ok in checks))
         return int(not all(ok for _, ok in checks))
     elif a.command == "error-analysis":
-        from pyspark.sql import functions as F
-
-        arms = [runs.read_predictions(spark, p).withColumn("arm", F.lit(p)) for p in a.paths]
-        rows = arms[0]
-        for x in arms[1:]:
-            rows = rows.unionByName(x)
-        profile_runs(rows, arms=a.paths).show(truncate=False)
+        found = evaluation.error_analysis(spark, a.paths, f"{a.out}/error_analysis.json", a.similarity_bins)
+        print(evaluation.profile_table(found["profiles"]))
+        print("\n".join(json.dumps(r) for r in found.get("similarity_bins", [])))
+    elif a.command == "stage-analysis":
+        print(json.dumps(evaluation.stage_analysis(spark, a.paths, f"{a.out}/stage_analysis.json"), indent=2))
     else:
         c = config.load(a.paths[0], over)
         if a.command == "build-pool":
@@ -82,7 +81,7 @@ def main(argv: list[str] | None = None) -> int:
             pool.save_index(*evaluation.build_index(_pool(spark, c), r["encoder_name"], r["pca_components"] or 0, r["pca_whiten"]), r["index_dir"])
         elif a.command == "run-eval":
             folder = f"{c['run']['out_dir']}/{c['run']['name']}"
-            print(json.dumps(evaluation.run_evaluation(spark, _solutions(spark, c), c, folder, _pool(spark, c) if c["retrieval"]["enabled"] else None)))
+            print(json.dumps(evaluation.run_evaluation(spark, _solutions(spark, c), c, folder, _pool(spark, c) if c["retrieval"]["enabled"] else None, a.batch)))
         elif a.command == "check-contamination":
             print(json.dumps(evaluation.check_contamination(spark, _solutions(spark, c), _pool(spark, c), c, f"{a.out}/contamination.json")["total"]))
         else:

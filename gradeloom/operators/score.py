@@ -140,7 +140,7 @@ def score_with(steps: DataFrame, backend: str, threshold: float = 0.5, stop_earl
     """
     if backend == "mock":
         scored = score_mock(steps, threshold, seed, prefix, **style)
-        return early_stop(scored) if stop_early else scored
+        return early_stop(scored, ("uid", "subset")) if stop_early else scored
     if backend not in _GRADERS:
         raise ValueError(f"unknown grader {backend!r}; known: {sorted(['mock', *_GRADERS])}")
     key, make = _GRADERS[backend]
@@ -150,7 +150,7 @@ def score_with(steps: DataFrame, backend: str, threshold: float = 0.5, stop_earl
     rows = steps.withColumn("_m", messages(user, asked))
     turns = lambda last: F.concat(F.col("_m")[0]["content"], F.lit("\n"), last)
     rows = rows.withColumns({"first": turns(F.col("_m")[1]["content"]), "second": turns(advance_to_correctness(F.col("_m")[1]["content"], [POS, POS]))})
-    ready = rows.select("uid", "step_index", F.struct("question", "prev_steps", "step", "references", "first", "second").alias("step"), F.struct(*(c for c in steps.columns)).alias("kept"))
+    ready = rows.select("uid", "subset", "step_index", F.struct("question", "prev_steps", "step", "references", "first", "second").alias("step"), F.struct(*(c for c in steps.columns)).alias("kept"))
 
     def run(batches):
         import pyarrow as pa
@@ -159,7 +159,8 @@ def score_with(steps: DataFrame, backend: str, threshold: float = 0.5, stop_earl
             uid, own = None, []
             for b in batches:
                 kept = b.column("kept")
-                for k, (u, s) in enumerate(zip(b.column("uid").to_pylist(), b.column("step").to_pylist(), strict=True)):
+                names = zip(b.column("uid").to_pylist(), b.column("subset").to_pylist(), strict=True)
+                for k, (u, s) in enumerate(zip(names, b.column("step").to_pylist(), strict=True)):
                     if own and u != uid:
                         yield own
                         own = []
@@ -183,7 +184,7 @@ def score_with(steps: DataFrame, backend: str, threshold: float = 0.5, stop_earl
             yield batch()
 
     schema = f"kept {ready.schema['kept'].dataType.simpleString()}, {_VERDICT}, is_error boolean"
-    scored = ready.repartition("uid").sortWithinPartitions("uid", "step_index").mapInArrow(run, schema).select("kept.*", "math_ok", "consistency_ok", "correctness_prob", "is_error")
+    scored = ready.repartition("uid", "subset").sortWithinPartitions("uid", "subset", "step_index").mapInArrow(run, schema).select("kept.*", "math_ok", "consistency_ok", "correctness_prob", "is_error")
     return scored.withColumns({"n_references": F.coalesce(F.size("references"), F.lit(0)), "error_type": error_type("math_ok", "consistency_ok")})
 
 

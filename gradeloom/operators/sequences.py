@@ -62,9 +62,10 @@ def predictions(scored: DataFrame, stop_early: bool = True) -> DataFrame:
     """
     whole = F.first("n_steps") if "n_steps" in scored.columns else F.count("*")
     flagged = F.when(F.col("is_error"), F.col("step_index"))
-    rows = early_stop(scored) if stop_early else scored
+    one = ("uid", "subset")
+    rows = early_stop(scored, one) if stop_early else scored
     if stop_early and "n_steps" not in scored.columns:
-        rows = early_stop(scored.withColumn("n_steps", F.count("*").over(Window.partitionBy("uid"))))
+        rows = early_stop(scored.withColumn("n_steps", F.count("*").over(Window.partitionBy(*one))), one)
         whole = F.first("n_steps")
     out = rows.groupBy("uid", "subset", "gold_label").agg(
         F.coalesce(F.min(flagged), F.lit(-1)).alias("predicted_label"),

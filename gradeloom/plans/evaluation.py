@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.text import question_id
 from ..operators import contamination as guard
-from ..operators.contrast import compare
+from ..operators.contrast import cluster_intervals, compare
 from ..operators.encode import apply_projection, build_index, encode
-from ..operators.metrics import comparable_scores, macro_average, score_subsets
+from ..operators.metrics import cluster_flags, comparable_scores, macro_average, profile_runs, score_subsets, similarity_bins, stage_rates
 from ..operators.retrieve import draw, nearest, retrieve_steps
 from ..operators.score import score_with, token_counter
 from ..operators.sequences import explode_steps, gapless, predictions
@@ -56,14 +56,14 @@ def with_references(steps: DataFrame, pool: DataFrame, config: dict, index: tupl
         found = draw(asked, numbered, k, seed, below, same)
     found = found.persist()  # a row of ids and numbers for each query, read for hits and for counts
     hits = found.select("query_id", F.inline("hits")).select("query_id", F.col("item_id").alias("qid"), F.col("similarity").alias("question_similarity"))
-    own = project(steps.select("uid", "step_index", "query_id", "step"), "step").select("query_id", F.struct("uid", "step_index").alias("step_index"), "vec")
+    own = project(steps.select("uid", "subset", "step_index", "query_id", "step"), "step").select("query_id", F.struct("uid", "subset", "step_index").alias("step_index"), "vec")
     refs = retrieve_steps(hits, items, own, r["top_k_steps"], r["step_level"], seed)
     full = refs.join(pool.select("item_id", "question", "step", "math_ok", "consistency_ok"), "item_id")
-    gathered = full.groupBy(F.col("step_index.uid").alias("uid"), F.col("step_index.step_index").alias("step_index")).agg(
+    gathered = full.groupBy(*(F.col(f"step_index.{c}").alias(c) for c in ("uid", "subset", "step_index"))).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("ref_rank", F.struct("qid", "question", "step", "math_ok", "consistency_ok", "question_similarity", "step_similarity").alias("r")))), lambda x: x["r"]).alias("references")
     )
     counts = found.select("query_id", "n_duplicates", "n_similar")
-    return steps.join(gathered, ["uid", "step_index"], "left").join(counts, "query_id", "left").drop("_own", "query_id")
+    return steps.join(gathered, ["uid", "subset", "step_index"], "left").join(counts, "query_id", "left").drop("_own", "query_id")
 
 
 def scored_steps(solutions: DataFrame, config: dict, pool: DataFrame | None = None, index: tuple | None = None) -> DataFrame:
@@ -242,6 +242,55 @@ def arms_chart(spark: SparkSession, folders: list[str], out: str) -> DataFrame:
     return chart
 
 
+def _labelled(folders: list[str]) -> dict[str, str]:
+    """Run folders by label, from ``label=folder`` or from folders alone."""
+    return {x.partition("=")[0]: x.partition("=")[2] or x for x in folders}
+
+
+def _arms(spark: SparkSession, named: dict[str, str], read) -> DataFrame:
+    out = None
+    for label, folder in named.items():
+        rows = read(spark, folder).withColumn("arm", F.lit(label))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def error_analysis(spark: SparkSession, folders: list[str], out: str | None = None, similarity: tuple[str, str] | None = None, bins: int = 3) -> dict:
+    """Profiles of runs over the solutions that all have met, by label; with ``similarity`` (treatment, baseline) also accuracies by bins of reference similarity."""
+    named = _labelled(folders)
+    result: dict = {"profiles": {r["arm"]: {k: v for k, v in r.asDict().items() if k != "arm"} for r in profile_runs(_arms(spark, named, runs.read_predictions), arms=[*named]).collect()}}
+    if similarity:
+        treated, base = (named.get(x, x) for x in similarity)
+        found = similarity_bins(runs.read_predictions(spark, treated), runs.read_predictions(spark, base), runs.read_rows(spark, treated, "traces"), bins)
+        result["similarity_bins"] = [r.asDict() for r in found.orderBy("bin").collect()]
+    if out:
+        runs.write_json(result, out)
+    return result
+
+
+def profile_table(profiles: dict[str, dict]) -> str:
+    """A row for each measure, a column for each run, in Markdown."""
+    names = [k for k in next(iter(profiles.values())) if not k.startswith("n_")]
+    cell = lambda k, x: "undefined" if x is None else f"{100 * x:.1f} %" if k.endswith("_rate") else f"{x:.2f}"
+    return "\n".join(runs.pipes(["measure", *profiles], [[k.replace("_", " "), *(cell(k, p[k]) for p in profiles.values())] for k in names]))
+
+
+def stage_analysis(spark: SparkSession, folders: list[str], out: str | None = None, resamples: int = 2000) -> dict:
+    """Flag rates by stage over the steps that all runs have scored, and how the other runs' false flags differ from the first's, with intervals over whole solutions."""
+    named = _labelled(folders)
+    labels = [*named]
+    traces = _arms(spark, named, lambda s, f: runs.read_rows(s, f, "traces")).persist()
+    try:
+        rates = {r["arm"]: {k: v for k, v in r.asDict().items() if k != "arm"} for r in stage_rates(traces, arms=labels).collect()}
+        differences = {x: {r["stage"]: [r["point"], r["low"], r["high"]] for r in cluster_intervals(cluster_flags(traces, labels[0], x), resamples).collect()} for x in labels[1:]}
+    finally:
+        traces.unpersist()
+    result = {"rates": rates, "baseline": labels[0], "differences": differences}
+    if out:
+        runs.write_json(result, out)
+    return result
+
+
 def verify_interface(spark: SparkSession, prefix: str, token_ids=None) -> list[tuple[str, bool]]:
     """Checks of what a grader is sent, without a model: (what, whether it holds).
 

@@ -186,7 +186,7 @@ _SUBSET_COLUMNS = (
 )
 
 
-def _pipes(header: list[str], rows: list[list[str]]) -> list[str]:
+def pipes(header: list[str], rows: list[list[str]]) -> list[str]:
     return ["|".join(["", *(f" {c} " for c in cells), ""]) for cells in (header, ["---"] * len(header), *rows)]
 
 
@@ -202,7 +202,7 @@ def markdown(result: dict) -> str:
         "without a defined F1": ", ".join(result["undefined_subsets"]) or None,
         "gain over severity": f"{_number(trend['slope_per_ood_rank'], form='+.2f')} a rank, Spearman {trend['spearman']:+.2f}; {trend['interpretation']}" if trend["testable"] else "not tested (fewer than 3 subsets)",
     }
-    table = _pipes([h for h, _ in _SUBSET_COLUMNS], [[cell(r) for _, cell in _SUBSET_COLUMNS] for r in result["per_subset"]])
+    table = pipes([h for h, _ in _SUBSET_COLUMNS], [[cell(r) for _, cell in _SUBSET_COLUMNS] for r in result["per_subset"]])
     return "\n".join(["# Comparison of two runs", "", *(f"* {k}: {v}" for k, v in facts.items() if v is not None), "", *table, ""])
 
 

@@ -278,3 +278,25 @@ def test_budget_is_kept_in_a_run(spark, tmp_path):
         dropped[budget] = runs.read_json(f"{out}/summary.json")["dropped_references_for_length"]
         assert dropped[budget] == 2 * traces.count() - traces.agg(F.sum("n_references")).first()[0]
     assert dropped[none] > dropped[none + 400] > dropped[10**6] == 0
+
+
+def test_error_and_stage_analysis(spark, tmp_path, capsys):
+    from gradeloom.__main__ import main
+
+    base, pool = solutions(spark, 40), pool_of(spark)
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    evaluation.run_evaluation(spark, base, settings(), a)
+    evaluation.run_evaluation(spark, base, settings(**{"retrieval.enabled": True}), b, pool)
+    assert main(["error-analysis", f"none={a}", f"some={b}", "--out", str(tmp_path), "--similarity-bins", "some", "none"]) == 0
+    assert "| measure | none | some |" in capsys.readouterr().out
+    found = runs.read_json(tmp_path / "error_analysis.json")
+    assert found["profiles"]["none"]["n_solutions"] == found["profiles"]["some"]["n_solutions"] == 40 == sum(r["n"] for r in found["similarity_bins"])
+    assert main(["stage-analysis", f"none={a}", f"some={b}", "--out", str(tmp_path)]) == 0
+    stages = runs.read_json(tmp_path / "stage_analysis.json")
+    t = {x: {(r["uid"], r["step_index"]): r for r in runs.read_rows(spark, f, "traces").collect()} for x, f in (("none", a), ("some", b))}
+    both = t["none"].keys() & t["some"].keys()
+    ok = [k for k in both if t["none"][k]["gold_label"] == -1 or k[1] < t["none"][k]["gold_label"]]
+    assert stages["rates"]["some"]["steps"] == len(both) and stages["rates"]["none"]["gold_correct_steps"] == len(ok)
+    late = lambda x: sum(t[x][k]["is_error"] and t[x][k]["math_ok"] and t[x][k]["consistency_ok"] for k in ok)
+    point, low, high = stages["differences"]["some"]["s2"]
+    assert point == pytest.approx(100 * (late("some") - late("none")) / len(ok)) and low <= point <= high
