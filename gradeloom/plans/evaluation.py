@@ -258,7 +258,8 @@ def _arms(spark: SparkSession, named: dict[str, str], read) -> DataFrame:
 def error_analysis(spark: SparkSession, folders: list[str], out: str | None = None, similarity: tuple[str, str] | None = None, bins: int = 3) -> dict:
     """Profiles of runs over the solutions that all have met, by label; with ``similarity`` (treatment, baseline) also accuracies by bins of reference similarity."""
     named = _labelled(folders)
-    result: dict = {"profiles": {r["arm"]: {k: v for k, v in r.asDict().items() if k != "arm"} for r in profile_runs(_arms(spark, named, runs.read_predictions), arms=[*named]).collect()}}
+    found = {r["arm"]: r.asDict() for r in profile_runs(_arms(spark, named, runs.read_predictions), arms=[*named]).collect()}
+    result: dict = {"profiles": {x: {k: v for k, v in found[x].items() if k != "arm"} for x in named}}
     if similarity:
         treated, base = (named.get(x, x) for x in similarity)
         found = similarity_bins(runs.read_predictions(spark, treated), runs.read_predictions(spark, base), runs.read_rows(spark, treated, "traces"), bins)
