@@ -28,17 +28,19 @@ def batch_encoder(encode: Callable[[list[str]], Iterable[Iterable[float]]]) -> C
     return run
 
 
-def mean_pooled(embed: Callable[[list[str]], tuple]) -> Callable[[list[str]], Iterable[Iterable[float]]]:
+def mean_pooled(embed: Callable[[list[str]], tuple], unit: bool = True) -> Callable[[list[str]], Iterable[Iterable[float]]]:
     """For :func:`batch_encoder`, from a model's vectors of tokens: ``embed`` gives (texts x places x width) and a mask of real tokens.
 
-    A text's vector is the mean over its real tokens; one without any is the zero vector.
+    A text's vector is the mean over its real tokens, to unit length unless ``unit`` is off (a projection is fitted
+    on vectors of one length, and others would lie far off it); one without any is the zero vector.
     """
 
     def run(texts: list[str]):
         import numpy as np
 
         states, mask = (np.asarray(x, float) for x in embed(texts))
-        return (states * mask[..., None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
+        mean = (states * mask[..., None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
+        return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12) if unit else mean
 
     return run
 

@@ -338,7 +338,8 @@ def smoke(spark: SparkSession, solutions: DataFrame, pool: DataFrame, folder: st
     """Three conditions end to end with the deterministic scorer: none, retrieved and random references."""
     from ..sources.config import resolve
 
-    base = {"prm": {"backend": "mock"}, "retrieval": {"encoder_name": "hashing", "pca_components": 16}}
+    base = {"prm": {"backend": "mock"}, "retrieval": {"encoder_name": "hashing", "pca_components": 16, "index_dir": f"{folder}/index"}}
+    save_index(*build_index(pool, "hashing", 16), f"{folder}/index")  # both conditions with references read it
     arms = {"a": {"retrieval.enabled": False}, "b": {}, "c": {"retrieval.reference_mode": "random"}}
     metrics = {x: run_evaluation(spark, solutions, resolve(base, over), f"{folder}/{x}", pool) for x, over in arms.items()}
     for x, y in (("a", "b"), ("a", "c"), ("c", "b")):

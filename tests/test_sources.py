@@ -261,5 +261,6 @@ def test_flagged_solutions_are_a_table(spark, tmp_path):
 def test_mean_pooling_ignores_padding():
     from gradeloom.operators.encode import mean_pooled
 
-    got = mean_pooled(lambda texts: ([[[1, 3], [3, 5], [9, 9]], [[7, 7], [7, 7], [7, 7]]], [[1, 1, 0], [0, 0, 0]]))(["a", "b"])
-    assert got.tolist() == [[2, 4], [0, 0]]
+    tokens = lambda texts: ([[[1, 3], [3, 5], [9, 9]], [[7, 7], [7, 7], [7, 7]]], [[1, 1, 0], [0, 0, 0]])
+    assert mean_pooled(tokens, unit=False)(["a", "b"]).tolist() == [[2, 4], [0, 0]]
+    assert mean_pooled(tokens)(["a", "b"]).round(9).tolist() == [[round(2 / 20**0.5, 9), round(4 / 20**0.5, 9)], [0, 0]]
