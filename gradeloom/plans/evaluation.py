@@ -146,9 +146,11 @@ def run_evaluation(spark: SparkSession, solutions: DataFrame, config: dict, fold
     began = time.perf_counter()
     if not config["run"]["resume"]:
         runs.start_over(spark, folder)
-    before = runs.read_rows(spark, folder).select("uid").distinct()
-    todo = runs.pending(solutions, before)
-    n_todo, n_before = todo.count(), before.count()
+    todo, n_before = solutions, 0
+    if runs.begun(spark, folder):
+        before = runs.read_rows(spark, folder).select("uid").distinct()
+        todo, n_before = runs.pending(solutions, before), before.count()
+    n_todo = todo.count()
     index = None
     if n_todo and config["retrieval"]["enabled"] and pool is not None:
         r = config["retrieval"]
@@ -166,8 +168,10 @@ def run_evaluation(spark: SparkSession, solutions: DataFrame, config: dict, fold
         n, spent = facts["n_scored"], time.perf_counter() - began
         log.info("%d/%d  running accuracy %.3f  %.2f s a solution  %.1f min left", n, n_todo, facts["n_correct"] / max(n, 1), spent / max(n, 1), (n_todo - n) * spent / max(n, 1) / 60)
     done = runs.wanted(runs.read_predictions(spark, folder), solutions)
-    scores = [r.asDict() for r in score_subsets(done).collect()]
-    metrics = {"subsets": scores, **macro_average(spark.createDataFrame(scores, score_subsets(done).schema)).first().asDict()}
+    by_subset = score_subsets(done).persist()  # a row for each subset, read twice
+    scores = [r.asDict() for r in by_subset.collect()]
+    metrics = {"subsets": scores, **macro_average(by_subset).first().asDict()}
+    by_subset.unpersist()
     save_config(config, f"{folder}/config.resolved.json")
     runs.write_json(metrics, f"{folder}/metrics.json")
     summary = {

@@ -53,6 +53,11 @@ def commit(spark: SparkSession, folder: str, frames: dict[str, DataFrame], facts
     return epoch
 
 
+def begun(spark: SparkSession, folder: str) -> bool:
+    """Whether a run has any predictions, of its own batches or made elsewhere."""
+    return bool(commits(spark, folder)) or _exists(spark, f"{folder}/predictions.jsonl")
+
+
 def start_over(spark: SparkSession, folder: str) -> None:
     """Forget all batches of a run; their files are overwritten as new batches come."""
     for what in ("commits", "predictions.jsonl", "traces.jsonl"):
