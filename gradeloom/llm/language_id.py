@@ -13,7 +13,10 @@ Distance-based rejection: all documents that may be learned from are measured ag
 their own language. A document is rejected if its nearest centroid is further than all but the share
 ``OUTLIERS`` of that language's documents of the same class of length lie (short texts lie further away); a
 class of fewer than ``LEAST_DOCS`` documents takes the bound of the next shorter one. Similarities below
-``FLOOR`` are always rejected. Rejected documents keep their predicted language; ``und`` is only given
+``FLOOR`` are always rejected. So is a document of strange n-grams: the share of its vector's squared
+length that lies in n-grams known to its language (those of two or more clustered documents, so that none
+vouches for itself) must reach what all but the share ``STRANGE`` of that language's documents reach, at any
+length. Other languages of the same script lie about as near as the shortest texts do, but are strange. Rejected documents keep their predicted language; ``und`` is only given
 to texts without a letter, which are rejected too.
 
 Defined cases: null and empty texts are ``und`` with score 0; documents with a null language are not
@@ -34,6 +37,8 @@ SAMPLE = 500
 MOST = 20_000
 #: share of a language's documents that lie too far from its centroids
 OUTLIERS = 0.003
+#: share of a language's documents whose n-grams are too little known
+STRANGE = 0.001
 LEAST_DOCS = 300
 FLOOR = 0.03
 _BINS = 500
@@ -132,27 +137,38 @@ def cluster(vectors, k: int, rounds: int = 12, seed: int = 7):
 
 
 class Centroids:
-    """The model: centroids of all languages, and how near to them clustered documents lie."""
+    """The model: centroids of all languages, n-grams known to each, and bounds of similarity and of known shares."""
 
-    def __init__(self, idf, langs, owners, centroids, nearest):
-        self.idf, self.langs, self.owners, self.centroids, self.nearest = idf, langs, owners, centroids, nearest
+    def __init__(self, idf, langs, owners, centroids, nearest, known=None, least_known=None):
+        self.idf, self.langs, self.owners, self.centroids, self.nearest, self.known, self.least_known = idf, langs, owners, centroids, nearest, known, least_known
+
+    def known_share(self, k: int, vector) -> float:
+        """How much of a unit vector's squared length lies in n-grams known to language ``k``."""
+        return min(1.0, float(vector @ (vector * self.known[k])))
 
     def predict(self, counts):
-        """(language, score, similarity, rejected) of one document's counts."""
+        """(language, score, similarity, share of known n-grams, rejected) of one document's counts."""
         import numpy as np
 
         if counts is None or not len(self.langs):
-            return "und", 0.0, 0.0, True
-        near = self.centroids @ _weigh(counts, self.idf)
+            return "und", 0.0, 0.0, 0.0, True
+        vector = _weigh(counts, self.idf)
+        near = self.centroids @ vector
         best = np.full(len(self.langs), -1.0, np.float32)
         np.maximum.at(best, self.owners, near)
         k = int(best.argmax())
         e = np.exp(SHARPNESS * (best - best[k]))
-        return self.langs[k], float(min(1.0, 1 / e.sum())), float(min(1.0, max(0.0, best[k]))), bool(best[k] < self.nearest[k][_length_class(counts.sum())])
+        share = self.known_share(k, vector)
+        rejected = best[k] < self.nearest[k][_length_class(counts.sum())] or share < self.least_known[k]
+        return self.langs[k], float(min(1.0, 1 / e.sum())), float(min(1.0, max(0.0, best[k]))), share, bool(rejected)
+
+
+#: stands in place of a class of length for shares of known n-grams
+_KNOWN = -1
 
 
 def _similarities(learnable: DataFrame, model: Centroids, dimensions: int) -> list[tuple[str, int, int, int]]:
-    """(language, class of length, bin of similarity to the own language's centroids, documents) over all of ``learnable``."""
+    """(language, class of length, bin of similarity to the own language's centroids, documents) over all of ``learnable``; under ``_KNOWN`` bins of the shares of known n-grams."""
     import numpy as np
 
     tables = learnable.sparkSession.sparkContext.broadcast(model)
@@ -161,19 +177,31 @@ def _similarities(learnable: DataFrame, model: Centroids, dimensions: int) -> li
         import pyarrow as pa
 
         grams, m, seen = held(Grams, dimensions), tables.value, {}
-        of = {lang: m.centroids[m.owners == k] for k, lang in enumerate(m.langs)}
+        of = {lang: (k, m.centroids[m.owners == k]) for k, lang in enumerate(m.langs)}
         for b in sliced(it):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if lang in of and (c := grams.counts(text or "")) is not None:
-                    near = float((of[lang] @ _weigh(c, m.idf)).max())
-                    key = lang, _length_class(c.sum()), int(min(_BINS - 1, max(0, near * _BINS)))
-                    seen[key] = seen.get(key, 0) + 1
+                    (k, own), vector = of[lang], _weigh(c, m.idf)
+                    for length, x in ((_length_class(c.sum()), float((own @ vector).max())), (_KNOWN, m.known_share(k, vector))):
+                        key = lang, length, int(min(_BINS - 1, max(0, x * _BINS)))
+                        seen[key] = seen.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in seen], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int32()))), pa.array([*seen.values()], pa.int64())], names=["lang", "length", "bin", "n"])
 
     found = learnable.mapInArrow(run, "lang string, length int, bin int, n long").groupBy("lang", "length", "bin").agg(F.sum("n")).collect()  # at most languages x lengths x bins rows
     return [tuple(r) for r in found]
 
 
+def least_share(counts: list[tuple[int, int, int]], strange: float) -> float:
+    """The least share of known n-grams that is not rejected, from rows as :func:`bounds` takes them."""
+    own = sorted((b, n) for length, b, n in counts if length == _KNOWN)
+    total, at = sum(n for _, n in own), 0
+    for b, n in own:
+        at += n
+        if at > strange * total:
+            return b / _BINS
+    return 0.0
+
+
 def bounds(counts: list[tuple[int, int, int]], outliers: float, least_docs: int) -> list[float]:
     """The least similarity that is not rejected in each class of lengths, from (class, bin, documents)."""
     out, low = [], FLOOR
@@ -190,7 +218,7 @@ def bounds(counts: list[tuple[int, int, int]], outliers: float, least_docs: int)
     return out
 
 
-def learn(learnable: DataFrame, sample: int = SAMPLE, most: int = MOST, clusters: int = CLUSTERS, dimensions: int = DIMENSIONS, outliers: float = OUTLIERS, least_docs: int = LEAST_DOCS) -> Centroids:
+def learn(learnable: DataFrame, sample: int = SAMPLE, most: int = MOST, clusters: int = CLUSTERS, dimensions: int = DIMENSIONS, outliers: float = OUTLIERS, strange: float = STRANGE, least_docs: int = LEAST_DOCS) -> Centroids:
     """Centroids of ``learnable(doc_id, text, lang)``."""
     import numpy as np
 
@@ -221,26 +249,29 @@ def learn(learnable: DataFrame, sample: int = SAMPLE, most: int = MOST, clusters
         vectors = np.zeros((rows.num_rows, dimensions), np.float32)
         for v, at, n in zip(vectors, rows.column("at").to_pylist(), rows.column("n").to_pylist(), strict=True):
             v[np.frombuffer(at, np.uint32)] = np.frombuffer(n, np.uint32)
+        shared = np.packbits((vectors > 0).sum(axis=0) > 1).tobytes()
         vectors = np.sqrt(vectors) * idf
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         own = cluster(vectors, clusters)
-        return pa.table([pa.array([key[0].as_py()] * len(own), pa.string()), pa.array([c.tobytes() for c in own], pa.binary())], names=["lang", "centroid"])
+        return pa.table([pa.array([key[0].as_py()] * len(own), pa.string()), pa.array([c.tobytes() for c in own], pa.binary()), pa.array([shared] * len(own), pa.binary())], names=["lang", "centroid", "known"])
 
     rows = learnable.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(drawn).mapInArrow(run, "doc_id long, lang string, at binary, n binary")
     # clusters rows for each language, of dimensions numbers
-    found = sorted((r["lang"], bytes(r["centroid"])) for r in rows.groupBy("lang").applyInArrow(clustered, "lang string, centroid binary").collect())
-    langs = sorted({lang for lang, _ in found})
+    found = sorted((r["lang"], bytes(r["centroid"]), bytes(r["known"])) for r in rows.groupBy("lang").applyInArrow(clustered, "lang string, centroid binary, known binary").collect())
+    langs = sorted({lang for lang, *_ in found})
     if not langs:
         return Centroids(None, [], None, None, None)
-    model = Centroids(idf, langs, np.array([langs.index(lang) for lang, _ in found]), np.stack([np.frombuffer(c, np.float32) for _, c in found]), None)
+    known = {lang: np.unpackbits(np.frombuffer(own, np.uint8), count=dimensions).astype(np.float32) for lang, _, own in found}
+    model = Centroids(idf, langs, np.array([langs.index(lang) for lang, *_ in found]), np.stack([np.frombuffer(c, np.float32) for _, c, _ in found]), None, np.stack([known[lang] for lang in langs]))
     seen = _similarities(learnable, model, dimensions)
     model.nearest = [bounds([r[1:] for r in seen if r[0] == lang], outliers, least_docs) for lang in langs]
+    model.least_known = [least_share([r[1:] for r in seen if r[0] == lang], strange) for lang in langs]
     return model
 
 
 def identify(docs: DataFrame, model: Centroids, keep: list[str], text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """The kept columns of ``docs`` and lang_pred, score, similarity, rejected; one pass without a shuffle."""
-    refuse_clashes(keep, ("lang_pred", "score", "similarity", "rejected"))
+    """The kept columns of ``docs`` and lang_pred, score, similarity, known_share, rejected; one pass without a shuffle."""
+    refuse_clashes(keep, ("lang_pred", "score", "similarity", "known_share", "rejected"))
     tables = docs.sparkSession.sparkContext.broadcast(model)  # (languages x clusters + 1) x dimensions numbers
     own = docs.select(*dict.fromkeys([*keep, text]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*keep).schema.fields)
@@ -251,10 +282,10 @@ def identify(docs: DataFrame, model: Centroids, keep: list[str], text: str = "te
         grams = held(Grams, dimensions)
         for b in sliced(it):
             found = [tables.value.predict(grams.counts(t or "")) for t in b.column(text).to_pylist()]
-            cols = zip(*found, strict=True) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=[*keep, "lang_pred", "score", "similarity", "rejected"])
+            cols = zip(*found, strict=True) if found else ((),) * 5
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=[*keep, "lang_pred", "score", "similarity", "known_share", "rejected"])
 
-    return own.mapInArrow(run, f"{schema}, lang_pred string, score double, similarity double, rejected boolean")
+    return own.mapInArrow(run, f"{schema}, lang_pred string, score double, similarity double, known_share double, rejected boolean")
 
 
 def learnable(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
@@ -264,4 +295,4 @@ def learnable(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"))
     found = identify(docs, learn(learnable(docs)), ["doc_id"])
-    return found.select("doc_id", (fold_id("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "similarity", "rejected")
+    return found.select("doc_id", (fold_id("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "similarity", "known_share", "rejected")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 
@@ -227,6 +228,36 @@ def test_language_rejects_what_lies_far(spark):
     assert sum(r["rejected"] for r in clean) <= 0.01 * len(clean)
 
 
+UNSEEN = {
+    "it": ["Il governo ha deciso di aumentare le tasse per il prossimo anno", "Mi piace molto passeggiare lungo la spiaggia quando il sole tramonta", "I bambini giocano nel giardino davanti alla casa dei nonni"],
+    "nl": ["De regering heeft besloten om volgend jaar de belastingen te verhogen", "Ik vind het heerlijk om langs het strand te wandelen wanneer de zon ondergaat", "De kinderen spelen in de tuin voor het huis van hun grootouders"],
+    "pl": ["Rząd zdecydował o podwyższeniu podatków w przyszłym roku", "Bardzo lubię spacerować po plaży, kiedy zachodzi słońce", "Dzieci bawią się w ogrodzie przed domem dziadków"],
+    "pt": ["O governo decidiu aumentar os impostos no próximo ano para todos", "Gosto muito de caminhar pela praia quando o sol se põe", "As crianças brincam no jardim em frente da casa dos avós"],
+    "sv": ["Regeringen har beslutat att höja skatterna nästa år", "Jag tycker mycket om att gå längs stranden när solen går ner"],
+    "tr": ["Hükümet gelecek yıl vergileri artırmaya karar verdi", "Güneş batarken sahilde yürümeyi çok seviyorum"],
+    "fi": ["Hallitus on päättänyt korottaa veroja ensi vuonna", "Pidän kovasti kävelemisestä rannalla auringon laskiessa"],
+}
+
+
+def test_language_rejects_unseen_languages_of_the_same_script(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.learn(language_id.learnable(docs))
+    own = [r for r in language_id.identify(docs, model, ["doc_id", "lang"]).collect() if r["lang_pred"] != "und"]
+    held = [r for r in own if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(held) > 2000
+    for rows in (own, held):
+        assert sum(not r["rejected"] for r in rows) >= 0.99 * len(rows)
+    other = spark.createDataFrame([(t,) for own in UNSEEN.values() for t in own], "text string")
+    rows = language_id.identify(other, model, ["text"]).collect()
+    assert sum(r["rejected"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_least_share_of_known_grams():
+    assert language_id.least_share([(language_id._KNOWN, 100, 1), (language_id._KNOWN, 450, 999), (3, 7, 50)], 0.001) == 450 / 500
+    assert language_id.least_share([(language_id._KNOWN, 100, 2), (language_id._KNOWN, 450, 998)], 0.001) == 100 / 500
+    assert language_id.least_share([], 0.001) == 0.0
+
+
 def test_nearest_centroid_by_brute_force(spark):
     """Predictions by sums over letter n-grams and dictionaries of centroids."""
     import numpy as np
