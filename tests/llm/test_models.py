@@ -302,3 +302,61 @@ def test_clashing_kept_columns_are_refused(spark):
             call()
     # columns that are not kept do no harm
     assert language_id.identify(docs, language_id.Centroids(None, [], None, None, None), ["doc_id"]).count() == pii.find_pii(docs, {}, ["doc_id"]).count() == token_counts.count_tokens(docs).count() == 1
+
+
+def with_check_digit(rng, first="4"):
+    body = first + "".join(rng.choice("0123456789") for _ in range(15 - len(first)))
+    return next(body + d for d in "0123456789" if pii.luhn(body + d))
+
+
+def planted(rng, kind, form):
+    """(what a document says, whether it is personal data) of a looser form or something that only looks like one."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name, host = rng.choice(["jo", "ann.lee", "r2"]) + d(2), rng.choice(["mail", "corp", "site"])
+    if kind == "email":
+        return [(f"{name} at {host} dot com", 1), (f"{name}[at]{host}[dot]org", 1), (f"{name} @ {host}.net", 1), (f"{name}＠{host}.de", 1), (f"look at {host} dot here", 0), (f"{name}@{host}", 0)][form]
+    if kind == "ip":
+        a, b = rng.randint(20, 220), rng.randint(20, 250)
+        return [(f"{a}[.]{b}[.]7[.]{a}", 1), (f"{a} . {b} . 9 . {a}", 1), (f"{a}(.){b}(.)1(.){b}", 1), (f"{a}．{b}．3．{a}", 1), (f"section 1 . {a % 9} . 3 . 4", 0), (f"{a}.{b}.{d(1)}.{300 + b}", 0)][form]
+    if kind == "card":
+        c = with_check_digit(rng)
+        cut = [c[:4], c[4:8], c[8:12], c[12:]]
+        bad = c[:-1] + str((int(c[-1]) + rng.randint(1, 9)) % 10)
+        return [(".".join(cut), 1), ("_".join(cut), 1), (" - ".join(cut), 1), (c.translate({48 + k: 0xFF10 + k for k in range(10)}), 1), (".".join([bad[:4], bad[4:8], bad[8:12], bad[12:]]), 0), (bad, 0)][form]
+    spelled = " ".join(rng.choice("zero one two three four five six seven eight nine".split()) for _ in range(10))
+    return [(f"({rng.randint(200, 999)}) 555-{d(4)}", 1), (f"0049 30 {rng.randint(100, 999)} {d(4)}", 1), (f"089{d(1)} {rng.randint(1000, 9999)} {d(3)}", 1), (spelled, 1), ("part 000 111 0000", 0), (f"+{rng.randint(1, 9)}{d(5)}", 0)][form]
+
+
+@pytest.mark.parametrize("rare", [False, True])
+def test_pii_precision_and_recall_of_added_spans(spark, rare):
+    """Looser forms are found and lookalikes left, also where looser forms are one in fifty of all candidates."""
+    rng = random.Random(21)
+    words = "the of that anding theth reon onwas ering".split()
+    said = lambda x: " ".join(rng.choices(words, k=rng.randint(3, 9))) + rng.choice([" ", " contact ", ". "]) + x + " " + " ".join(rng.choices(words, k=4))
+    strict = {"email": lambda: f"a{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", "ip": lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)), "card": lambda: with_check_digit(rng, rng.choice("123456789")), "phone": lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"}
+    strange = {"email": lambda: f"me@box{rng.randint(1, 99)}", "ip": lambda: f"{rng.randint(256, 999)}.1.2.{rng.randint(1, 99)}", "card": lambda: "".join(rng.choice("0123456789") for _ in range(16)), "phone": lambda: f"+{rng.randint(10000, 9999999)}"}
+    docs, want = [], {}
+    for kind in pii.KINDS:
+        for k in range(900):
+            docs.append(said(strict[kind]() if k % 3 else strange[kind]()))
+        for k in range(30 if rare else 300):
+            x, true = planted(rng, kind, k % 6)
+            want[len(docs)] = kind, bool(true)
+            docs.append(said(x))
+    docs += [said("nothing") for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in pii.find_pii(df, pii.learn(df), ["doc_id"]).collect()}
+    for kind in pii.KINDS:
+        added = {i: any(s.startswith(kind) for s in got[i]["spans"].split(",")) for i, (k, _) in want.items() if k == kind}
+        hits = sum(added[i] and want[i][1] for i in added)
+        assert hits >= 0.9 * sum(added.values()) and hits >= 0.9 * sum(want[i][1] for i in added), kind
+    lookalikes = [i for i, t in enumerate(docs) if i not in want and not pii.base_spans(t)]
+    assert sum(bool(got[i]["spans"]) for i in lookalikes) <= 0.02 * len(lookalikes)
+
+
+def test_known_truths_teach_the_estimate():
+    """Votes of open candidates are judged by what the known ones show."""
+    patterns = [((1, 1, 1), 90.0), ((-1, -1, 1), 80.0), ((1, 1, 1), 20.0), ((1, -1, 1), 20.0)]
+    _, rates, post = pii.estimate(patterns, truths=[1, 0, -1, -1])
+    assert post[:2] == [1.0, 0.0] and post[2] > 0.9 and post[3] < 0.1
+    assert rates[1][1, 1] > 2 * rates[1][0, 1] and abs(rates[2][1, 1] - rates[2][0, 1]) < 0.25  # the third labeler tells nothing
