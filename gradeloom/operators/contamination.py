@@ -38,12 +38,13 @@ def report(flagged: DataFrame, subset: str = "subset") -> DataFrame:
     return out.select(F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(subset)).alias(subset), "n", "verbatim", F.round(100.0 * F.col("verbatim") / F.col("n"), 1).alias("verbatim_pct"), "near_duplicate")
 
 
-def containment(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item: str, block: int = 100_000) -> DataFrame:
+def containment(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item: str) -> DataFrame:
     """(text_id, item_id) of items that occur verbatim inside a text.
 
     All but the first and last word of an item are whole words of a text that contains it, so an item is
-    only compared with texts that have its rarest inner word (by the number of texts). Items without an
-    inner word are compared with all texts, in blocks of about ``block`` items that are broadcast.
+    only compared with texts that have its rarest inner word (by the number of texts). Items of one word
+    lie inside a word of the text, items of two at the end of one and the start of the next: they meet the
+    pieces of that length of the texts' distinct words, by equality.
     """
     split = lambda c: F.split(c, r"\s+")
     own = items.select(F.col(item_id), F.col(item).alias("_item")).where("_item IS NOT NULL AND _item <> ''")
@@ -55,8 +56,29 @@ def containment(texts: DataFrame, items: DataFrame, text_id: str, text: str, ite
     pairs = met.join(keys, "_word").select(text_id, item_id).distinct()
     hits = pairs.join(own, item_id).join(texts.select(text_id, text), text_id).where(F.contains(F.col(text), F.col("_item"))).select(text_id, item_id)
     short = inner.where(F.size("_inner") == 0).select(item_id, "_item")
-    blocks = -(-short.count() // block)
-    for k in range(blocks):
-        part = short.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == k)
-        hits = hits.union(texts.select(text_id, text).join(F.broadcast(part), F.contains(F.col(text), F.col("_item"))).select(text_id, item_id))
-    return hits.distinct()
+    keyed = short.withColumns({"_words": split(F.col("_item"))}).withColumns({"_first": F.col("_words")[0], "_last": F.col("_words")[F.size("_words") - 1]})
+    side = F.when(F.size("_words") == 1, "inside").when(F.length("_first") >= F.length("_last"), "end").otherwise("start")
+    keyed = keyed.select(item_id, "_item", side.alias("_side"), F.when(F.length("_first") >= F.length("_last"), F.col("_first")).otherwise(F.col("_last")).alias("_key"))
+    lengths = {"inside": [], "end": [], "start": []}
+    for r in keyed.select("_side", F.length("_key").alias("n")).distinct().collect():  # at most three for each length of a word
+        lengths[r["_side"]].append(r["n"])
+    if not any(lengths.values()):
+        return hits.distinct()
+    listed = texts.select(text_id, F.explode(F.array_distinct(split(F.col(text)))).alias("_word"))
+    size = F.length("_word")
+
+    def pieces(side: str):
+        """The pieces of a word that a key of this side can equal."""
+        fitting = F.filter(F.lit(lengths[side]).cast("array<int>"), lambda n: n <= size)
+        if side == "inside":
+            return F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr("_word", i, n))))
+        return F.transform(fitting, lambda n: F.substr("_word", F.lit(1) if side == "start" else size - n + 1, n))
+
+    def named(side: str):
+        return F.transform(F.array_distinct(pieces(side)), lambda x: F.struct(F.lit(side).alias("_side"), x.alias("_key")))
+
+    each = [named(s) for s in lengths if lengths[s]]
+    found = listed.select("_word").distinct().select("_word", F.explode(F.concat(*each)).alias("_p")).select("_word", "_p.*")
+    near = listed.join(found.join(keyed, ["_side", "_key"]), "_word").select(text_id, item_id, "_item").distinct()
+    few = near.join(texts.select(text_id, text), text_id).where(F.contains(F.col(text), F.col("_item"))).select(text_id, item_id)
+    return hits.union(few).distinct()

@@ -69,6 +69,21 @@ def test_projection_matches_svd(spark):
     assert encode.fit_projection(df.limit(1), 4) is None and encode.fit_projection(df.limit(0), 4) is None
 
 
+def test_wide_projection_matches_the_exact_one(spark):
+    rng = np.random.default_rng(5)
+    d = 700  # several slices
+    v = rng.standard_normal((300, 12)) * np.geomspace(20, 1, 12) @ rng.standard_normal((12, d)) + 0.05 * rng.standard_normal((300, d)) + 3
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>").repartition(5)
+    for whiten in (False, True):
+        exact, wide = encode.fit_projection(df, 6, whiten=whiten), encode.fit_projection_wide(df, 6, whiten=whiten)
+        assert wide["residual"] <= 1e-9 and len(wide["components"]) == 6
+        for key in ("mean", "components", "explained"):
+            np.testing.assert_allclose(wide[key], exact[key], atol=1e-6)
+    full = encode.fit_projection_wide(df.limit(4), 10)  # fewer vectors than axes asked for
+    np.testing.assert_allclose(full["explained"], encode.fit_projection(df.limit(4), 10)["explained"], atol=1e-6)
+    assert encode.fit_projection_wide(df.limit(1), 4) is None and encode.fit_projection_wide(df.limit(0), 4) is None
+
+
 def test_unknown_encoder_is_an_error():
     with pytest.raises(ValueError, match="no encoder"):
         encode.build_encoder("other")
@@ -80,6 +95,16 @@ def test_containment(spark):
     assert sorted(map(tuple, contamination.containment(texts, items, "t", "text", "i", "item").collect())) == [(1, 1), (1, 5), (3, 2)]
 
 
+def test_containment_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    make = lambda most: "".join(rng.choice("aab  \n") for _ in range(rng.randint(0, most)))
+    texts, items = [(i, make(25)) for i in range(60)] + [(60, None)], [(i, make(7)) for i in range(80)] + [(80, None), (81, " "), (82, "ab"), (82, "b a")]
+    got = contamination.containment(spark.createDataFrame(texts, "t long, text string"), spark.createDataFrame(items, "i long, item string"), "t", "text", "i", "item")
+    assert sorted(map(tuple, got.collect())) == sorted({(t, i) for t, x in texts for i, y in items if x is not None and y and y in x})
+
+
 def test_contamination_report(spark):
     problems = spark.createDataFrame([("a", "gsm8k", "What is  1+1"), ("b", "gsm8k", "other"), ("c", "math", "third")], "uid string, subset string, problem string")
     pool = spark.createDataFrame([("what IS 1+1",)], "question string")
