@@ -16,7 +16,7 @@ class of fewer than ``LEAST_DOCS`` documents takes the bound of the next shorter
 ``FLOOR`` are always rejected. So is a document of strange n-grams: the share of its vector's squared
 length that lies in n-grams known to its language (those of two or more clustered documents, so that none
 vouches for itself) must reach what all but the share ``STRANGE`` of that language's documents reach, at any
-length. Other languages of the same script lie about as near as the shortest texts do, but are strange. Rejected documents keep their predicted language; ``und`` is only given
+length; languages of fewer than ``LEAST_DOCS`` documents have no such bound. Other languages of the same script lie about as near as the shortest texts do, but are strange. Rejected documents keep their predicted language; ``und`` is only given
 to texts without a letter, which are rejected too.
 
 Defined cases: null and empty texts are ``und`` with score 0; documents with a null language are not
@@ -191,11 +191,11 @@ def _similarities(learnable: DataFrame, model: Centroids, dimensions: int) -> li
     return [tuple(r) for r in found]
 
 
-def least_share(counts: list[tuple[int, int, int]], strange: float) -> float:
-    """The least share of known n-grams that is not rejected, from rows as :func:`bounds` takes them."""
+def least_share(counts: list[tuple[int, int, int]], strange: float, least_docs: int = LEAST_DOCS) -> float:
+    """The least share of known n-grams that is not rejected, from rows as :func:`bounds` takes them; 0 with too few documents to tell."""
     own = sorted((b, n) for length, b, n in counts if length == _KNOWN)
     total, at = sum(n for _, n in own), 0
-    for b, n in own:
+    for b, n in own if total >= least_docs else ():
         at += n
         if at > strange * total:
             return b / _BINS
@@ -265,7 +265,7 @@ def learn(learnable: DataFrame, sample: int = SAMPLE, most: int = MOST, clusters
     model = Centroids(idf, langs, np.array([langs.index(lang) for lang, *_ in found]), np.stack([np.frombuffer(c, np.float32) for _, c, _ in found]), None, np.stack([known[lang] for lang in langs]))
     seen = _similarities(learnable, model, dimensions)
     model.nearest = [bounds([r[1:] for r in seen if r[0] == lang], outliers, least_docs) for lang in langs]
-    model.least_known = [least_share([r[1:] for r in seen if r[0] == lang], strange) for lang in langs]
+    model.least_known = [least_share([r[1:] for r in seen if r[0] == lang], strange, least_docs) for lang in langs]
     return model
 
 
