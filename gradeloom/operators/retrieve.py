@@ -50,16 +50,21 @@ def cluster_centres(pool: DataFrame, clusters: int, fit_rows: int = FIT_ROWS, ro
 def _assigned(pool: DataFrame, centres) -> DataFrame:
     """``pool`` with its nearest centre and the angle to it."""
 
-    @F.pandas_udf("struct<cluster:int,angle:double>")
-    def assign(vecs):
+    def run(batches):
         import numpy as np
-        import pandas as pd
-
-        x = np.array([*vecs], float) @ centres.T if len(vecs) else np.zeros((0, len(centres)))
-        at = x.argmax(1)
-        return pd.DataFrame({"cluster": at.astype("int32"), "angle": np.arccos(np.clip(x[np.arange(len(x)), at], -1, 1))})
+        import pyarrow as pa
 
-    return pool.withColumn("_a", assign("vec")).select("item_id", "vec", "_a.cluster", "_a.angle")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = vectors(b.column("vec")) @ centres.T
+            at = x.argmax(1)
+            angle = np.arccos(np.clip(x[np.arange(len(x)), at], -1, 1))
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("vec"), pa.array(at.astype("i4")), pa.array(angle)], names=["item_id", "vec", "cluster", "angle"])
+
+    # not a UDF of an expression: Spark 4.1 leaves one unevaluated in the aggregation when the vector is made by aggregate() and transform()
+    rows = pool.select("item_id", F.col("vec").cast("array<double>").alias("vec"))
+    return rows.mapInArrow(run, f"item_id {pool.schema['item_id'].dataType.simpleString()}, vec array<double>, cluster int, angle double")
 
 
 def _score_block(k: int, below: float | None, drop_same: bool):

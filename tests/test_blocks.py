@@ -65,6 +65,18 @@ def test_clusters_are_skipped(spark):
     assert share < 0.5  # most products beyond the nearest cluster are never made
 
 
+def test_clusters_of_vectors_that_expressions_make(spark, sf_dir):
+    from gradeloom.plans.retrieval_queries import _unit
+
+    u = _unit(spark, sf_dir)  # floats, brought to unit length in the plan
+    got = retrieve.topk_by_cosine(_named(u.select(F.col("vec_id").alias("id"), "vec"), "query_id"), _named(u.select(F.col("vec_id").alias("id"), "vec"), "item_id"), 3, below=0.95, drop_same=True, cluster_rows=100).collect()
+    rows = sorted(u.select("vec_id", "vec").collect())
+    ids, v = [r["vec_id"] for r in rows], np.array([r["vec"] for r in rows])
+    sims = v @ v.T
+    for i, x in enumerate(ids):
+        assert [r["item_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == x] == _walk(sims[i], ids, x, 3, 0.95, True)[0]
+
+
 def test_empty_sides(spark):
     p = spark.createDataFrame([(1, [1.0, 0.0])], "item_id long, vec array<double>")
     q = p.withColumnRenamed("item_id", "query_id")
