@@ -98,19 +98,50 @@ def bootstrap_cis(cell_rows: list, resamples: int = 2000, alpha: float = 0.05, s
     return {"subsets": by, "average_delta": _interval(average, alpha)}
 
 
-def hash_bootstrap(values: DataFrame, statistic: str = "value", resamples: int = 2000, seed: int = 0) -> DataFrame:
+#: values that a task of :func:`hash_bootstrap` holds (more are cut into blocks, for each of which all draws are made again), and parts that the resamples are cut into
+BLOCK_VALUES = 1 << 22
+RESAMPLE_PARTS = 64
+
+
+def hash_bootstrap(values: DataFrame, statistic: str = "value", resamples: int = 2000, seed: int = 0, block_values: int = BLOCK_VALUES) -> DataFrame:
     """Means of resamples that md5 draws instead of a generator: the same on every engine.
 
     ``values`` has a gapless ``i`` from 0. Each of n places of a resample reads row
     md5(seed:resample:place) mod n: n times ``resamples`` draws, so for small tables; intervals of large
-    ones come from :func:`bootstrap_cis`. Resamples are dealt over the tasks before they are drawn.
+    ones come from :func:`bootstrap_cis`. A task makes the draws of some resamples beside the values of a block;
+    only a sum and a count for each resample and block leave it.
     """
     n = values.count()
-    spark = values.sparkSession
-    draws = spark.range(0, resamples, 1, spark.sparkContext.defaultParallelism).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("place")) if n else spark.createDataFrame([], "resample long, place long")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col("place").cast("string")).cast("binary"))
-    picked = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)))
-    return draws.withColumn("i", picked).join(values, "i").groupBy("resample").agg(F.avg(statistic).alias("mean"))
+    parts = min(resamples, RESAMPLE_PARTS)
+
+    def run(key, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        from ..functions.digests import AT_ONCE, Digests
+
+        block, part = (k.as_py() for k in key)
+        low = block * block_values
+        held, known = np.zeros(min(block_values, n - low)), np.zeros(min(block_values, n - low), bool)
+        at = rows.column("i").to_numpy() - low
+        found = rows.column("value").combine_chunks()
+        held[at], known[at] = found.fill_null(0.0).to_numpy(zero_copy_only=False), found.is_valid().to_numpy(zero_copy_only=False)
+        own = range(part, resamples, parts)
+        total, count = np.zeros(len(own)), np.zeros(len(own), "i8")
+        for first in range(0, n, AT_ONCE):
+            places = Digests([b"%d" % k for k in range(first, min(n, first + AT_ONCE))])
+            for k, resample in enumerate(own):
+                picked = places.words(b"%d:%d:" % (seed, resample), n=1)[0] % np.int64(n) - low
+                if n > block_values:
+                    picked = picked[(picked >= 0) & (picked < len(held))]
+                total[k] += held[picked].sum()
+                count[k] += known[picked].sum()
+        return pa.table([pa.array([*own], pa.int64()), pa.array(total), pa.array(count)], names=["resample", "total", "n"])
+
+    rows = values.select(F.col("i").cast("long").alias("i"), F.col(statistic).cast("double").alias("value"))
+    rows = rows.withColumns({"block": F.floor(F.col("i") / block_values), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    sums = rows.groupBy("block", "part").applyInArrow(run, "resample long, total double, n long")
+    return sums.groupBy("resample").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
 
 
 #: replicates that one md5 draws weights for: 32 bits each

@@ -117,6 +117,31 @@ def test_cluster_bootstrap(spark):
     assert out["s1"][0] == pytest.approx(10.0) and out["s1"][1] <= 10 <= out["s1"][2] and out["s2"][0] == pytest.approx(10.0)
 
 
+@pytest.mark.parametrize("block_values", [7, 10**6])
+def test_hash_bootstrap_equals_a_loop(spark, block_values):
+    import hashlib
+
+    own = [None if k == 4 else float(k * k) for k in range(23)]
+    got = contrast.hash_bootstrap(spark.createDataFrame([*enumerate(own)], "i long, value double"), resamples=70, seed=3, block_values=block_values)
+    # draws are many more than values: none of them may be gathered for a broadcast
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        drawn = [own[int(hashlib.md5(f"3:{r['resample']}:{p}".encode()).hexdigest()[:8], 16) % 23] for p in range(23)]
+        assert r["mean"] == pytest.approx(sum(x for x in drawn if x is not None) / sum(x is not None for x in drawn))
+    assert got.count() == 70 and contrast.hash_bootstrap(spark.createDataFrame([], "i long, value double")).isEmpty()
+
+
+def test_digests_are_md5():
+    import hashlib
+
+    from gradeloom.functions.digests import Digests
+
+    texts = [b"", b"7", b"12345", b"\xc3\xa9t", b"x" * 30, b"abc", b"y" * 70] * 2
+    for prefix, suffix in ((b"", b""), (b"17:", b":3"), (b"p" * 20, b"s" * 9)):
+        for text, own in zip(texts, Digests(texts).words(prefix, suffix).T.tolist(), strict=True):
+            assert "".join(f"{x:08x}" for x in own) == hashlib.md5(prefix + text + suffix).hexdigest()
+
+
 def test_similarity_bins(spark):
     t = preds(spark, [1] * 6, [1, 1, 1, 0, 0, 0])
     sims = spark.createDataFrame([(f"u{i:03d}", [i / 10]) for i in range(6)], "uid string, reference_similarities array<double>")
