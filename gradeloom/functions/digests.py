@@ -16,7 +16,7 @@ _WORD = ((1, 0), (5, 1), (3, 5), (7, 0))
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
-def _rounds(words: list, size: int) -> list:
+def _rounds(words: list, size: tuple[int, int]) -> list:
     """The four words of the digests of one-block messages; of the 16 ``words`` some are arrays, the others equal in all messages."""
     import numpy as np
 
@@ -58,7 +58,7 @@ def _rounds(words: list, size: int) -> list:
 
 
 class Digests:
-    """MD5 digests of prefix + text + suffix for fixed ``texts`` (bytes) and any prefix and suffix."""
+    """MD5 digests of prefix + text + suffix for fixed ``texts`` and any frames of (prefix, suffix), all bytes."""
 
     def __init__(self, texts: list[bytes]):
         import numpy as np
@@ -83,30 +83,30 @@ class Digests:
             held[shift] = np.ascontiguousarray(wide.view("<u4").T)
         return held[shift]
 
-    def words(self, prefix: bytes, suffix: bytes = b"", n: int = 4):
-        """The first ``n`` 32-bit numbers of each digest, as its hexadecimal form reads: an array (n, texts)."""
+    def words(self, frames: list[tuple[bytes, bytes]], n: int = 4):
+        """The first ``n`` 32-bit numbers of each digest, as its hexadecimal form reads: an array (n, frames, texts)."""
         import numpy as np
 
-        out = np.empty((n, len(self.texts)), "u4")
+        out = np.empty((n, len(frames), len(self.texts)), "u4")
+        alike: dict = {}
+        for k, (prefix, suffix) in enumerate(frames):
+            alike.setdefault((len(prefix), len(suffix)), []).append(k)
         for rows, matrix, held in self.groups:
             size = matrix.shape[1]
-            length = len(prefix) + size + len(suffix)
-            if length > ONE_BLOCK:
-                out[:, rows] = np.array([np.frombuffer(hashlib.md5(prefix + self.texts[i] + suffix).digest(), ">u4")[:n] for i in rows]).T
-                continue
-            block = bytearray(64)
-            block[: length + 1] = prefix + bytes(size) + suffix + b"\x80"
-            block[56:60] = (8 * length).to_bytes(4, "little")
-            words: list = np.frombuffer(block, "<u4").tolist()
-            at = len(prefix) // 4
-            for k, own in enumerate(self._shifted(matrix, held, len(prefix) % 4) if size else ()):
-                words[at + k] = own | np.uint32(words[at + k]) if words[at + k] else own
-            found = _rounds(words, len(rows))
-            whole = len(self.groups) == 1
-            for k in range(n):
-                if whole:
-                    found[k].byteswap(inplace=True)
-                    out[k] = found[k]
-                else:
-                    out[k, rows] = found[k].byteswap()
+            for (before, after), which in alike.items():
+                length = before + size + after
+                if length > ONE_BLOCK:
+                    for k in which:
+                        out[:, k, rows] = np.array([np.frombuffer(hashlib.md5(frames[k][0] + self.texts[i] + frames[k][1]).digest(), ">u4")[:n] for i in rows]).T
+                    continue
+                end = b"\x80" + bytes(ONE_BLOCK - length) + (8 * length).to_bytes(8, "little")
+                fixed = np.frombuffer(b"".join(frames[k][0] + bytes(size) + frames[k][1] + end for k in which), "<u4").reshape(-1, 16)
+                own, at = self._shifted(matrix, held, before % 4), before // 4
+                step = max(1, AT_ONCE // len(rows))
+                for j in range(0, len(which), step):
+                    part, few = which[j : j + step], fixed[j : j + step]
+                    words = [few[:, [w]] | own[w - at] if size and at <= w < at + len(own) else int(few[0, w]) if (few[:, w] == few[0, w]).all() else few[:, [w]] for w in range(16)]
+                    found = _rounds(words, (len(part), len(rows)))
+                    for k in range(n):
+                        out[k][np.ix_(part, rows)] = found[k].byteswap(inplace=True)
         return out

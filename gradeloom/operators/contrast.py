@@ -130,8 +130,8 @@ def hash_bootstrap(values: DataFrame, statistic: str = "value", resamples: int =
         total, count = np.zeros(len(own)), np.zeros(len(own), "i8")
         for first in range(0, n, AT_ONCE):
             places = Digests([b"%d" % k for k in range(first, min(n, first + AT_ONCE))])
-            for k, resample in enumerate(own):
-                picked = places.words(b"%d:%d:" % (seed, resample), n=1)[0] % np.int64(n) - low
+            for k, drawn in enumerate(places.words([(b"%d:%d:" % (seed, resample), b"") for resample in own], n=1)[0]):
+                picked = drawn % np.int64(n) - low
                 if n > block_values:
                     picked = picked[(picked >= 0) & (picked < len(held))]
                 total[k] += held[picked].sum()

@@ -22,6 +22,8 @@ FIT_ROWS = 20_000
 #: items of one block, and queries of one deal
 BLOCK_ROWS = 16_000
 QUERY_ROWS = 20_000
+#: the same where items are drawn by hashes, which takes some thirty times as long as a product
+DRAWN_ROWS = 4_000
 #: similarities are ranked to so many decimals, so that equal vectors tie whatever block they were multiplied in
 DECIMALS = 9
 
@@ -312,22 +314,30 @@ def retrieve_steps(kept: DataFrame, items: DataFrame, query_steps: DataFrame, to
     asked = query_steps.select("query_id", "step_index", "vec").join(kept.select("query_id", "qid", "question_similarity"), "query_id")
     asked = asked.select("qid", F.struct("query_id", "step_index", "qid", "question_similarity").alias("query"), "vec")
     own = items.select("qid", F.col("item_id").alias("item"), "vec")
-    asked, own = split_hot(asked, own, "qid", F.col("item"), F.col("query"), block_rows, query_rows)
+    asked, own = split_hot(asked, own, "qid", F.col("item"), F.col("query"), block_rows, query_rows if random_seed is None else min(query_rows, DRAWN_ROWS))
 
     def score(q, vecs, i, matrix):
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
 
-        sims = vecs @ matrix.T
         if random_seed is None:
+            sims = vecs @ matrix.T
             keys = -np.round(sims, DECIMALS)  # inside one question its own similarity is the same for all
-        else:
-            names = i.to_pylist()
-            keys = np.array([[int(hashlib.md5(f"{random_seed}:{x['query_id']}:{_named(x['step_index'])}:{n}".encode()).hexdigest()[:13], 16) for n in names] for x in q.to_pylist()], float).reshape(sims.shape)
-        row, column = best(keys, top_k)
-        return q.take(pa.array(row)), i.take(pa.array(column)), pa.array(sims[row, column]), pa.array(keys[row, column])
+            row, column = best(keys, top_k)
+            return q.take(pa.array(row)), i.take(pa.array(column)), pa.array(sims[row, column]), pa.array(keys[row, column])
+        from ..functions.digests import Digests
+
+        drawn = Digests([str(n).encode() for n in i.to_pylist()])
+        high, low = drawn.words([(f"{random_seed}:{x['query_id']}:{_named(x['step_index'])}:".encode(), b"") for x in q.to_pylist()], n=2)
+        # the first 32 bits leave few rows whose other bits and products are needed
+        few = high <= np.partition(high, top_k - 1, axis=1)[:, top_k - 1 : top_k] if top_k < high.shape[1] else np.ones(high.shape, bool)
+        row, column = np.nonzero(few)
+        keys = high[row, column] * float(1 << 20) + (low[row, column] >> 12)
+        order = np.lexsort((column, keys, row))
+        row, column, keys = row[order], column[order], keys[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < top_k
+        row, column, keys = row[kept], column[kept], keys[kept]
+        return q.take(pa.array(row)), i.take(pa.array(column)), pa.array(np.einsum("ij,ij->i", vecs[row], matrix[column])), pa.array(keys)
 
     qt, it = (df.schema[c].dataType.simpleString() for df, c in ((asked, "query"), (own, "item")))
     found = matched(asked, own, ["qid", "_block", "_deal"], score, f"query {qt}, item_id {it}, step_similarity double, _key double")

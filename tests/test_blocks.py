@@ -122,3 +122,24 @@ def test_a_question_with_half_of_all_steps(spark, block_rows, query_rows, mode):
         own = sorted((r for r in got if r["query_id"] == i), key=lambda r: r["ref_rank"])
         assert [r["item_id"] for r in own] == sorted(mine, key=order)[:4]
         assert [r["ref_rank"] for r in own] == [1, 2, 3, 4] and all(r["qid"] == qid(r["item_id"]) and round(r["question_similarity"], 6) == round(0.1 * r["qid"], 6) for r in own)
+
+
+def test_random_steps_are_not_hashed_one_by_one(spark):
+    import hashlib
+    import time
+
+    n = 2000
+    vec = F.array(F.lit(1.0), F.lit(0.0)).alias("vec")
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.lit(1).alias("qid"), vec)
+    steps = spark.range(2 * n).select(F.col("id").alias("query_id"), F.lit(0).alias("step_index"), vec)
+    kept = steps.select("query_id", F.lit(1).alias("qid"), F.lit(0.5).alias("question_similarity"))
+    draw = lambda steps: sorted((r["query_id"], r["ref_rank"], r["item_id"]) for r in retrieve.retrieve_steps(kept, items, steps, 2, random_seed=5).collect())
+    few = draw(steps.limit(1))
+    began = time.time()
+    got = draw(steps)
+    took = time.time() - began
+    began = time.time()
+    own = [sorted(range(n), key=lambda k: hashlib.md5(f"5:{x}:0:{k}".encode()).hexdigest())[:2] for x in range(40)]
+    one_by_one = (time.time() - began) * len(got) / 80
+    assert [(x, place + 1, k) for x, ks in enumerate(own) for place, k in enumerate(ks)] == got[:80] and few == got[:2]
+    assert took < one_by_one / 2, (took, one_by_one)

@@ -137,8 +137,9 @@ def test_digests_are_md5():
     from gradeloom.functions.digests import Digests
 
     texts = [b"", b"7", b"12345", b"\xc3\xa9t", b"x" * 30, b"abc", b"y" * 70] * 2
-    for prefix, suffix in ((b"", b""), (b"17:", b":3"), (b"p" * 20, b"s" * 9)):
-        for text, own in zip(texts, Digests(texts).words(prefix, suffix).T.tolist(), strict=True):
+    frames = [(b"", b""), (b"17:", b":3"), (b"18:", b":4"), (b"p" * 20, b"s" * 9)]
+    for (prefix, suffix), found in zip(frames, Digests(texts).words(frames).transpose(1, 2, 0).tolist(), strict=True):
+        for text, own in zip(texts, found, strict=True):
             assert "".join(f"{x:08x}" for x in own) == hashlib.md5(prefix + text + suffix).hexdigest()
 
 
