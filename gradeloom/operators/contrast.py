@@ -159,41 +159,77 @@ def poisson_steps(most: int = 12) -> list[float]:
     return out
 
 
-def with_poisson_weights(rows: DataFrame, key: str, block: str, seed: int) -> DataFrame:
-    """``rows`` with ``_w0`` and on: ``DRAWS`` Poisson weights of mean 1 that seed, key and block of replicates decide."""
-    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col(block).cast("string")).cast("binary")))
-    # one step at a time: each number is used for many comparisons and computed once
-    drawn = hashed.withColumns({f"_u{j}": F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("double") / 4294967296.0 for j in range(DRAWS)})
-    return drawn.withColumns({f"_w{j}": sum(((F.col(f"_u{j}") >= t).cast("long") for t in poisson_steps()), F.lit(0).cast("long")) for j in range(DRAWS)}).drop("_h", *(f"_u{j}" for j in range(DRAWS)))
+def cluster_replicates(per_solution: DataFrame, resamples: int = 2000, seed: int = 17, key: str = "uid") -> DataFrame:
+    """(replicate, s1, s2): percentage-point differences of two step rates when whole solutions are resampled; see :func:`_replicates`."""
+    return _replicates(per_solution, resamples, seed, key).where("replicate >= 0").drop("n")
 
 
-def cluster_replicates(per_solution: DataFrame, resamples: int = 2000, seed: int = 17, key: str = "uid") -> DataFrame:
-    """(replicate, s1, s2): percentage-point differences of two step rates when whole solutions are resampled.
+def _replicates(per_solution: DataFrame, resamples: int, seed: int, key: str) -> DataFrame:
+    """(replicate, n, s1, s2): weighted numbers of steps and differences of two step rates; replicate -1 has each solution once.
 
     ``per_solution``: uid, n, and counts s1_a, s1_x, s2_a, s2_x of flags in the two arms. A replicate gives each
     solution a Poisson weight that a hash draws (the limit of drawing with replacement), so solutions need not be
-    known together: weighted sums are added up in the tasks, and a row for each ``DRAWS`` replicates comes out,
-    however many solutions there are and however different they are.
+    known together: weighted sums are added up in the tasks, in numpy, and what leaves a task is a row for each
+    ``DRAWS`` replicates, however many solutions there are and however different they are.
     """
+    import math
+
     blocks = -(-resamples // DRAWS)
-    rows = per_solution.select(key, "n", (F.col("s1_x") - F.col("s1_a")).alias("_1"), (F.col("s2_x") - F.col("s2_a")).alias("_2"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    rows = with_poisson_weights(rows, key, "_block", seed)
-    sums = [F.sum(F.col(f"_w{j}") * F.col(c)).alias(f"{c}{j}") for j in range(DRAWS) for c in ("n", "_1", "_2")]
-    added = rows.groupBy("_block").agg(*sums)
-    each = F.explode(F.array(*(F.struct((F.col("_block") * DRAWS + j).alias("replicate"), *(F.try_divide(100.0 * F.col(f"{c}{j}"), F.col(f"n{j}")).alias(name) for c, name in (("_1", "s1"), ("_2", "s2")))) for j in range(DRAWS))))
+    columns = ["n", "_1", "_2"]
+    names = [f"{c}{j}" for j in range(DRAWS) for c in columns]
+    least = [math.ceil(t * 2**32) for t in poisson_steps()]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from ..functions.digests import AT_ONCE, Digests
+
+        steps = [np.uint32(x) for x in least if x < 2**32]
+        sums, once = np.zeros((blocks, DRAWS, len(columns)), "i8"), np.zeros(len(columns), "i8")
+
+        def add(held):
+            # a null key leaves no text between seed and block
+            drawn = Digests([b"" if k is None else b":" + str(k).encode() for b in held for k in b.column("key").to_pylist()])
+            counts = np.concatenate([np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns], 1) for b in held]).astype(float)
+            once[:] += counts.sum(0).astype("i8")
+            few = max(1, AT_ONCE // len(counts))
+            for first in range(0, blocks, few):
+                own = range(first, min(blocks, first + few))
+                numbers = drawn.words([(b"%d" % seed, b":%d" % k) for k in own], n=DRAWS)
+                weights = np.zeros(numbers.shape, "u1")
+                for x in steps:
+                    weights += numbers >= x
+                # whole numbers far below 2 ** 53: exact in doubles
+                sums[first : own.stop] += (weights.transpose(1, 0, 2).astype(float) @ counts).astype("i8")
+
+        held, rows = [], 0
+        for b in batches:
+            if b.num_rows:
+                held, rows = [*held, b], rows + b.num_rows
+            if rows >= AT_ONCE:
+                add(held)
+                held, rows = [], 0
+        if held:
+            add(held)
+        if once[0]:
+            rows = np.concatenate([np.tile(once, DRAWS)[None], sums.reshape(blocks, -1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, blocks)), *map(pa.array, np.ascontiguousarray(rows.T))], names=["_block", *names])
+
+    whole = lambda x: F.coalesce(x.cast("long"), F.lit(0).cast("long"))
+    rows = per_solution.select(F.col(key).cast("string").alias("key"), whole(F.col("n")).alias("n"), whole(F.col("s1_x") - F.col("s1_a")).alias("_1"), whole(F.col("s2_x") - F.col("s2_a")).alias("_2"))
+    added = rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("_block", *names))).groupBy("_block").agg(*(F.sum(c).alias(c) for c in names))
+    place = lambda j: F.when(F.col("_block") >= 0, F.col("_block") * DRAWS + j).when(F.lit(j == 0), -1)
+    each = F.explode(F.array(*(F.struct(place(j).alias("replicate"), F.col(f"n{j}").alias("n"), *(F.try_divide(100.0 * F.col(f"{c}{j}"), F.col(f"n{j}")).alias(name) for c, name in (("_1", "s1"), ("_2", "s2")))) for j in range(DRAWS))))
     return added.select(each.alias("r")).select("r.*").where(F.col("replicate") < resamples)
 
 
 def cluster_intervals(per_solution: DataFrame, resamples: int = 2000, seed: int = 17, alpha: float = 0.05, key: str = "uid") -> DataFrame:
-    """(stage, point, low, high): the differences and their percentile intervals; no rows without solutions."""
-    drawn = cluster_replicates(per_solution, resamples, seed, key)
-    at = lambda c, q: F.percentile(c, F.lit(q))
-    # one row of percentiles over the replicates, one of sums over the solutions
-    ends = drawn.agg(*(at(c, q).alias(f"{c}{x}") for c in ("s1", "s2") for x, q in (("low", alpha / 2), ("high", 1 - alpha / 2))))
-    n = F.sum("n")
-    points = per_solution.agg(n.alias("n"), *(F.try_divide(100.0 * F.sum(F.col(f"{c}_x") - F.col(f"{c}_a")), n).alias(c) for c in ("s1", "s2"))).where("n > 0")
-    both = points.withColumn("_", F.lit(1)).join(ends.withColumn("_", F.lit(1)), "_")
+    """(stage, point, low, high): the differences and their percentile intervals, from one pass over the solutions; no rows without solutions."""
+    drawn, once = _replicates(per_solution, resamples, seed, key), F.col("replicate") < 0
+    at = lambda c, q: F.percentile(F.when(~once, F.col(c)), F.lit(q))
+    ends = [at(c, q).alias(f"{c}{x}") for c in ("s1", "s2") for x, q in (("low", alpha / 2), ("high", 1 - alpha / 2))]
+    both = drawn.agg(F.max(F.when(once, F.col("n"))).alias("n"), *(F.max(F.when(once, F.col(c))).alias(c) for c in ("s1", "s2")), *ends).where("n > 0")
     return both.select(F.inline(F.array(*(F.struct(F.lit(c).alias("stage"), F.col(c).alias("point"), F.col(f"{c}low").alias("low"), F.col(f"{c}high").alias("high")) for c in ("s1", "s2")))))
 
 

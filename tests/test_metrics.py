@@ -117,6 +117,24 @@ def test_cluster_bootstrap(spark):
     assert out["s1"][0] == pytest.approx(10.0) and out["s1"][1] <= 10 <= out["s1"][2] and out["s2"][0] == pytest.approx(10.0)
 
 
+def test_cluster_replicates_equal_a_loop(spark):
+    import hashlib
+
+    rows = [(None if k == 5 else f"u{k}", k % 4, k % 3, k % 2, 0, k % 5) for k in range(40)]
+    df = spark.createDataFrame(rows, "uid string, n int, s1_a int, s1_x int, s2_a int, s2_x int").repartition(3)
+    steps = contrast.poisson_steps()
+    for r in contrast.cluster_replicates(df, 10, seed=3).collect():
+        sums = [0, 0, 0]
+        for uid, n, a, x, b, y in rows:
+            own = hashlib.md5(":".join([str(3), *([uid] if uid else []), str(r["replicate"] // 4)]).encode()).hexdigest()
+            u = int(own[8 * (r["replicate"] % 4) :][:8], 16) / 2**32
+            sums = [s + sum(u >= t for t in steps) * v for s, v in zip(sums, (n, x - a, y - b), strict=True)]
+        assert (r["s1"], r["s2"]) == pytest.approx((100 * sums[1] / sums[0], 100 * sums[2] / sums[0]))
+    plan = contrast.cluster_intervals(df, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan  # one pass: solutions are not made again for the points
+    assert contrast.cluster_intervals(df.limit(0)).isEmpty() and contrast.cluster_intervals(df.where("n = 0")).isEmpty()
+
+
 @pytest.mark.parametrize("block_values", [7, 10**6])
 def test_hash_bootstrap_equals_a_loop(spark, block_values):
     import hashlib
