@@ -12,8 +12,9 @@ one inserted letter flips one bit, so that two of the three bands are enough the
 keys in common counts at the first of them only, so no distinct is needed.
 
 The words' counts come from one pass over the texts (runs are split off, counted and hashed in Arrow batches,
-and pre-aggregated in the tasks) and one sum by word. The join is Spark's own: it streams over a group and
-spills, so no group is held in one place. One edit leads from a word of L letters to at most 181 L + 90
+and pre-aggregated in the tasks) and one sum by word. The joins are Spark's own, by sorting and merging: they stream
+over a group and spill, so no group is held in one place. They ask for it by a hint, since Spark takes the keyed
+rows, several long ones for each word, to be as small as the file of words and would broadcast them. One edit leads from a word of L letters to at most 181 L + 90
 others, which bounds what meets at any word when forms are looked up.
 
 Roots: a form has at least twice its word's count, so chains are short; they are followed by pointer doubling,
@@ -132,7 +133,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     def pairs(roles: tuple[str, str], flipped: int, order) -> DataFrame:
         a, b = (keyed(words, r).select("key", "slot", *(F.col(c).alias(f"{c}_{x}") for c in ("word", "n", "m0", "m1", "m2"))) for r, x in zip(roles, "ab", strict=True))
         # a key is a hash and may collide, which flips and edit distance tell
-        both = a.join(b, ["key", "slot"]).where(order & (flips == flipped) & first & (F.levenshtein("word_a", "word_b", 1) == 1))
+        both = a.join(b.hint("merge"), ["key", "slot"]).where(order & (flips == flipped) & first & (F.levenshtein("word_a", "word_b", 1) == 1))
         return both.select(F.col("word_a").alias("word"), F.col("n_a").alias("n"), F.col("word_b").alias("near"), F.col("n_b").alias("near_n"))
 
     return pairs(("same", "same"), 2, F.col("word_a") < F.col("word_b")).union(pairs(("short", "long"), 1, F.length("word_a") + 1 == F.length("word_b")))
@@ -143,7 +144,7 @@ def forms(words: DataFrame, pairs: DataFrame, factor: int = 2) -> DataFrame:
     both = pairs.select(F.expr("stack(2, word, near, near_n, near, word, n) AS (word, near, near_n)"))
     # of equal counts the smallest word: the first of (-n, word)
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("word"))).alias("best"))
-    out = words.join(best, "word", "left")
+    out = words.join(best.hint("merge"), "word", "left")
     has = F.coalesce(-F.col("best.n") >= factor * F.col("n"), F.lit(False))
     return out.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best.word")).alias("form"), F.when(has, -F.col("best.n")).alias("form_n"))
 
@@ -154,7 +155,7 @@ def roots(found: DataFrame, scratch: Scratch) -> DataFrame:
     while not links.where("not ended").isEmpty():
         # ended words stay, for others lead to them; the rest jumps as far as the word where it is has jumped
         ahead = links.select(F.col("word").alias("at"), F.col("at").alias("next"))
-        jumped = links.where("not ended").join(ahead, "at", "left").select("word", F.coalesce("next", "at").alias("at"), F.col("next").isNull().alias("ended"))
+        jumped = links.where("not ended").join(ahead.hint("merge"), "at", "left").select("word", F.coalesce("next", "at").alias("at"), F.col("next").isNull().alias("ended"))
         before, links = links, scratch.save(links.where("ended").union(jumped), "links")
         scratch.drop(before)
     return links.select("word", F.col("at").alias("root"))
@@ -166,7 +167,7 @@ def spelling_groups(docs: DataFrame, noise: int = NOISE, shortest: int = SHORTES
     counted = count_words(docs, noise, shortest).where(F.col("n") >= rarest)
     words = scratch.save(counted, "words")
     found = scratch.save(forms(words, near_pairs(words)), "forms")
-    return found.join(roots(found, scratch), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots(found, scratch).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

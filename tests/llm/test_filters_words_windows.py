@@ -142,6 +142,13 @@ def test_task_gives_counts_on(spark):
     assert {tuple(r) for r in spelling.count_words(df, 10**9, held_words=2).collect()} == {("alpha", 100), ("gamma", 50), ("delta", 50)}
 
 
+def test_spelling_keys_are_never_broadcast(spark, tmp_path):
+    spark.range(2000).selectExpr("translate(lpad(id, 6, '0'), '0123456789', 'abcdefghij') AS word", "id AS n").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")  # a small file, of which keyed() makes many rows
+    plan = spelling.forms(words, spelling.near_pairs(words))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_spelling_query(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in spelling.op12_spelling_variants(spark, sf_dir).collect()}
