@@ -43,6 +43,9 @@ CHUNK_CACHE = 600_000
 MOST_NAMES = 100_000
 
 
+_MARKS = frozenset(".,;:!?")
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian bytes, from chunks that are encoded once while they are cached.
 
@@ -59,6 +62,8 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most, self.known, self.old = most, {}, {}
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
         self.cut = re.compile(r"(?<=\S)(?=[ \n])").split
 
     def keys(self, text: str) -> list[str]:
@@ -70,32 +75,51 @@ class ChunkEncoder:
         return parts
 
     def _learn(self, keys: set[str]) -> None:
-        import numpy as np
-
         if len(self.known) > self.most:
             self.old, self.known = self.known, {}
+        import numpy as np
+
         known, old = self.known, self.old
-        new, marked = set(), []
-        for k in keys:
-            if k in known:
-                continue
+        new, marked = [], []
+        for k in keys.difference(known):
             if k in old:
                 known[k] = old[k]
-            elif len(k) > 2 and k[-1] in ".,;:!?" and k[-2].isalpha():
+            elif k[-1:] in _MARKS and len(k) > 2 and k[-2].isalpha():
                 marked.append(k)
-                new.update(x for x in (k[:-1], "\r" + k[-1]) if x not in known)
+                new += k[:-1], "\r" + k[-1]
             else:
-                new.add(k)
-        asked = [*new]
+                new.append(k)
+        asked = set(new).difference(known)
+        # nothing joins a letter with a line feed, nor a line feed with a blank before a word
+        lines = [k for k in asked if k[0] not in "\r\n" and k[-1].isalpha()]
+        found = self._lines(lines)
+        if found:
+            known.update(zip(lines, found, strict=True))
+            asked = asked.difference(lines)
+        asked = [*asked]
         raw = [k[1:] if k[:1] == "\r" else k if k[:1] == "\n" else " " + k for k in asked]
         for k, e in zip(asked, self.tokenizer.encode_batch_fast(raw, add_special_tokens=False), strict=True):
             known[k] = np.array(e.ids, "<u4").tobytes()
         for k in marked:
             known[k] = known[k[:-1]] + known["\r" + k[-1]]
 
+    def _lines(self, keys: list[str]) -> list[bytes]:
+        """Ids of words, each after a blank, from one text with a word in a line; none if its lines can't be told by their ends."""
+        import numpy as np
+
+        if not keys or self.feed is None:
+            return []
+        (whole,) = self.tokenizer.encode_batch_fast(["".join(f" {k}\n" for k in keys)], add_special_tokens=False)
+        ids = np.array(whole.ids, "<u4")
+        ends = np.flatnonzero(ids == self.feed)
+        if len(ends) != len(keys):
+            return []
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [self.keys(t) for t in texts]
-        self._learn({k for keys in split for k in keys})
+        self._learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, keys)) for keys in split]
 
 

@@ -272,3 +272,24 @@ def test_packing_edge_cases(spark, capacity):
 def test_packing_query(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     _check_packing(docs, bin_slack.op11_bin_slack(spark, sf_dir).collect(), 1024)
+
+
+def test_new_words_are_encoded_as_lines_of_one_text():
+    from gradeloom.llm.common import tokenizer_path
+
+    encoder = bin_slack.ChunkEncoder(tokenizer_path(bin_slack.VOCABULARY))
+    plain, asked = encoder.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            asked.append(len(texts))
+            return plain.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Counted()
+    words = " ".join(f"wor{a}d{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst")
+    texts = [words, "a\nb ñandú, été. x1 don't\n\n  (so) ***", "one <|endoftext|> two <|endoftext|>three", "\u00a0odd\ttabs  and blanks\r\n", "", " ", "日本 語。 ok"]
+    want = [b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert encoder.ids(texts[:1]) == want[:1] and sum(asked) < 10
+    assert encoder.ids(texts) == want
+    encoder = bin_slack.ChunkEncoder(tokenizer_path(bin_slack.VOCABULARY))
+    assert [encoder.ids([t])[0] for t in texts] == want
